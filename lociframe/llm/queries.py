@@ -14,6 +14,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -26,5 +32,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op10_decontamination": op10_decontamination, "op1_ngram_join": op1_ngram_join}
+QUERIES = {"op2_secrets": op2_secrets, "op4_bpe": op4_bpe, "op10_decontamination": op10_decontamination, "op1_ngram_join": op1_ngram_join}
 ORACLE_SQL: dict[str, str] = {}
