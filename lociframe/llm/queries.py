@@ -26,11 +26,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import labels
+
+    return labels(table(spark, sf_dir, "documents"))
+
+
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .telephony import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op4_bpe": op4_bpe, "op10_decontamination": op10_decontamination, "op1_ngram_join": op1_ngram_join}
+QUERIES = {"op6_licenses": op6_licenses, "op7_telephony": op7_telephony, "op2_secrets": op2_secrets, "op4_bpe": op4_bpe, "op10_decontamination": op10_decontamination, "op1_ngram_join": op1_ngram_join}
 ORACLE_SQL: dict[str, str] = {}
