@@ -20,12 +20,24 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlgraph import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license import labels
 
@@ -38,11 +50,34 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op6_licenses": op6_licenses, "op7_telephony": op7_telephony, "op2_secrets": op2_secrets, "op4_bpe": op4_bpe, "op10_decontamination": op10_decontamination, "op1_ngram_join": op1_ngram_join}
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_secrets": op2_secrets,
+    "op3_url_filters": op3_url_filters,
+    "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op6_licenses": op6_licenses,
+    "op7_telephony": op7_telephony,
+    "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
+}
 ORACLE_SQL: dict[str, str] = {}
