@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import os
-import zlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +69,35 @@ class _Pieces(Words):
         self.count = np.diff(self.bound)
 
 
+def _shrink(values: np.ndarray) -> bytes:
+    """Whole numbers of 0 and more, compressed by bytes of like weight."""
+    wide = values.astype("<u4").view(np.uint8).reshape(-1, 4)
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return struct.pack("<BQ", planes, len(values)) + zstandard.compress(np.ascontiguousarray(wide[:, :planes].T).tobytes(), 3)
+
+
+def _grow(data: bytes) -> np.ndarray:
+    planes, n = struct.unpack_from("<BQ", data)
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :planes] = np.frombuffer(zstandard.decompress(data[9:]), np.uint8).reshape(planes, n).T
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+def _join(parts: list[bytes]) -> bytes:
+    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def _part(data: bytes) -> list[bytes]:
+    n = struct.unpack_from("<I", data)[0]
+    sizes = struct.unpack_from(f"<{n}Q", data, 4)
+    ends = np.cumsum((4 + 8 * n, *sizes)).tolist()
+    return [data[s:e] for s, e in zip(ends[:-1], ends[1:])]
+
+
 def _split(buckets: int):
-    """kind 0: a block's texts as word numbers, for the block. kind 1: part of a block's word
-    list, for a bucket of words. Lists and numbers follow the words' hashes."""
+    """kind 0: a block's texts as word numbers, for the block (dest 0 or more). kind 1: part of a
+    block's word list, for a bucket of words (dest under 0). The words that are most frequent
+    in the block have the smallest numbers; a list keeps their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -80,30 +107,32 @@ def _split(buckets: int):
                 words = _Pieces(*utf8(batch.column(1).slice(s, e - s)))
                 block = (part << 24) + seq
                 seq += 1
-                hashes, at, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                hashes, at, number, times = np.unique(words.hashes(), return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
+                rows = [(block, block, 0, _join([ids.tobytes(), _shrink(words.count), _shrink(bucket), _shrink(rank[number])]))]
                 raw = words.data.tobytes()
-                begin, end = words.start[at], words.end[at]
-                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))  # a block's words are numbered bucket by bucket
-                packed = zlib.compress(place[number].astype(np.int32).tobytes(), 1)
-                rows = [(block, block, 0, np.array([len(ids)], np.int64).tobytes() + ids.tobytes() + words.count.astype(np.int64).tobytes() + packed)]
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                b, n = begin[order].tolist(), end[order].tolist()
+                listed = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[listed], np.arange(buckets + 1))
+                b, n = words.start[at][order][listed].tolist(), words.end[at][order][listed].tolist()
                 for x in range(buckets):
                     if cut[x] < cut[x + 1]:
-                        listed = b" ".join([raw[b[i] : n[i]] for i in range(cut[x], cut[x + 1])])
-                        rows.append((x, block, 1, zlib.compress(listed, 1)))
+                        own = b" ".join([raw[b[i] : n[i]] for i in range(cut[x], cut[x + 1])])
+                        rows.append((-1 - x, block, 1, zstandard.compress(own, 3)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["dest", "source", "kind", "payload"])
 
     return run
 
 
 def _encode(tokenizer):
-    """All blocks' lists of one bucket of words: each distinct word is encoded once."""
+    """All blocks' lists of one bucket of words: the bucket's table of distinct words, each encoded
+    once, and its ids for each block in the order of the block's list. Texts pass by."""
 
     def run(group: pa.Table) -> pa.Table:
+        if group["dest"][0].as_py() >= 0:
+            return group
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -113,23 +142,24 @@ def _encode(tokenizer):
         number: dict[bytes, int] = {}
         lists = []
         for payload in group["payload"]:
-            listed = zlib.decompress(payload.as_py()).split(b" ")
+            listed = zstandard.decompress(payload.as_py()).split(b" ")
             lists.append(np.fromiter((number.setdefault(w, len(number)) for w in listed), np.int32, len(listed)))
-        flat: list[int] = []
-        sizes = np.zeros(len(number), np.int32)
         distinct = list(number)
+        del number
+        sizes = np.zeros(len(distinct), np.int64)
+        flat = []
         for i in range(0, len(distinct), 20_000):
-            for j, got in enumerate(bpe.encode_batch_fast([w.decode() for w in distinct[i : i + 20_000]], add_special_tokens=False)):
-                flat += got.ids
-                sizes[i + j] = len(got.ids)
-        ids, start = np.array(flat, np.int32), np.concatenate([[0], np.cumsum(sizes)])
-        dest = int(group["dest"][0].as_py())
+            got = [x.ids for x in bpe.encode_batch_fast([w.decode() for w in distinct[i : i + 20_000]], add_special_tokens=False)]
+            sizes[i : i + len(got)] = [len(x) for x in got]
+            flat.append(np.fromiter((y for x in got for y in x), np.int32))
+        del distinct
+        ids, start = np.concatenate(flat), np.concatenate([[0], np.cumsum(sizes)])
         out = []
         for x in lists:
             n = sizes[x]
             at = np.repeat(start[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(np.array([len(x)], np.int64).tobytes() + n.tobytes() + ids[at].tobytes())
-        return pa.table({"dest": group["source"].cast(pa.int64()), "source": pa.array([dest] * len(out), pa.int64()), "kind": pa.array([2] * len(out), pa.int32()), "payload": pa.array([zlib.compress(x, 1) for x in out], pa.binary())})
+            out.append(_join([_shrink(n), _shrink(ids[at])]))
+        return pa.table({"dest": group["source"].cast(pa.int64()), "source": group["dest"].cast(pa.int64()), "kind": pa.array([2] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return run
 
@@ -139,31 +169,31 @@ def _assemble(pieces, keep_ids: bool, keep_text: bool):
 
     def run(group: pa.Table) -> pa.Table:
         table = pieces.value
+        decimals = [str(i) for i in range(len(table))]
         kinds, source = group["kind"].to_numpy(), group["source"].to_numpy()
-        own = group["payload"][int(np.flatnonzero(kinds == 0)[0])].as_py()
-        n = int(np.frombuffer(own, np.int64, 1)[0])
-        docs, count = np.frombuffer(own, np.int64, n, 8), np.frombuffer(own, np.int64, n, 8 + 8 * n)
-        number = np.frombuffer(zlib.decompress(own[8 + 16 * n :]), np.int32)
+        own = _part(group["payload"][int(np.flatnonzero(kinds == 0)[0])].as_py())
+        docs, count, bucket, number = np.frombuffer(own[0], np.int64), _grow(own[1]), _grow(own[2]), _grow(own[3])
+        where = np.argsort(bucket, kind="stable")  # the place in all lists, one after another, of each
+        place = np.empty(len(where), np.int64)
+        place[where] = np.arange(len(where))
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         parts = np.flatnonzero(kinds == 2)
-        sizes, ids = [], []
-        for i in parts[np.argsort(source[parts], kind="stable")]:
-            x = zlib.decompress(group["payload"][int(i)].as_py())
-            m = int(np.frombuffer(x, np.int64, 1)[0])
-            sizes.append(np.frombuffer(x, np.int32, m, 8))
-            ids.append(np.frombuffer(x, np.int32, -1, 8 + 4 * m))
-        sizes = np.concatenate(sizes or [np.zeros(0, np.int32)]).astype(np.int64)
-        ids = np.concatenate(ids or [np.zeros(0, np.int32)])
-        start = np.concatenate([[0], np.cumsum(sizes)])
+        for i in parts[np.argsort(-source[parts], kind="stable")]:
+            x = _part(group["payload"][int(i)].as_py())
+            sizes.append(_grow(x[0]))
+            ids.append(_grow(x[1]).astype(np.int32))
+        size, ids = np.concatenate(sizes), np.concatenate(ids).astype(np.int32)
+        start = np.concatenate([[0], np.cumsum(size)])
         bound = np.concatenate([[0], np.cumsum(count)])
         out_n, out_ids, out_text, sha_ids, sha_text = [], [], [], [], []
         for s, e in zip(bound[:-1].tolist(), bound[1:].tolist()):
-            x = number[s:e]
-            m = sizes[x]
+            x = place[number[s:e]]
+            m = size[x]
             doc = ids[np.repeat(start[x] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
             listed = doc.tolist()
             text = " ".join([table[i] for i in listed])
             out_n.append(len(doc))
-            sha_ids.append(hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest())
+            sha_ids.append(hashlib.sha256(" ".join([decimals[i] for i in listed]).encode()).hexdigest())
             sha_text.append(hashlib.sha256(text.encode()).hexdigest())
             if keep_ids:
                 out_ids.append(doc)
@@ -222,8 +252,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt"))
     volume = own.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
     buckets = max(16, volume // (16 * BUCKET_BYTES))
-    split = materialize(own.mapInArrow(_split(buckets), _PIECES), "blocks")
-    ids = split.where("kind = 1").groupBy("dest").applyInArrow(_encode(tokenizer), _PIECES)
+    split = own.mapInArrow(_split(buckets), _PIECES)
+    ids = split.groupBy("dest").applyInArrow(_encode(tokenizer), _PIECES)
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    out = split.where("kind = 0").unionByName(ids).groupBy("dest").applyInArrow(_assemble(pieces, keep_ids, keep_text), schema)
+    out = ids.groupBy("dest").applyInArrow(_assemble(pieces, keep_ids, keep_text), schema)
     return out.withColumnRenamed("id", id_col)
