@@ -99,12 +99,20 @@ class Words:
         self.bound = np.searchsorted(self.start, offs)
         self.count = np.diff(self.bound)
 
+    def _sums(self) -> np.ndarray:
+        if not hasattr(self, "_held"):
+            n = len(self.data)
+            self._held = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[self.data] * _power_tables(n)[0][:n], out=self._held[1:])
+        return self._held
+
+    def prefix_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from start to end; equal bytes have equal hashes."""
+        sums = self._sums()
+        return mix((sums[end] - sums[start]) * _power_tables(len(self.data))[1][start])
+
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        power, inverse = _power_tables(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * power[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        return self.prefix_hashes(self.start, self.end)
 
 
 def grams(word_hash: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
