@@ -194,10 +194,33 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
     return own.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int) -> DataFrame:
+    known = labels.select(F.col(id_col), F.col(label_col).alias("__label")).dropDuplicates([id_col])
+    return docs.select(id_col, text_col).where(~held_out(id_col, folds, fold)).join(known, id_col).select(id_col, text_col, F.col("__label").alias("label"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, unchanged, whose score is threshold or more. No row is moved."""
+    model = fit(training_rows(docs, labels, id_col, text_col, label_col, folds, fold), id_col, text_col, "label")
+    if isinstance(model, float):
+        return docs if model >= threshold else docs.limit(0)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for batch in batches:
+            for s, e in slices(batch.column(column), 1 << 20):
+                data, offs = utf8(batch.column(column).slice(s, e - s))
+                good = scores(m, [data[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]) >= threshold
+                yield batch.slice(s, e - s).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
     """Fit on labelled rows outside the held-out fold; (doc_id, held_out, score, predicted) of all rows."""
-    known = labels.select(F.col(id_col), F.col(label_col).alias("__label")).dropDuplicates([id_col])
-    labelled = docs.select(id_col, text_col).where(~held_out(id_col, folds, fold)).join(known, id_col).select(id_col, text_col, F.col("__label").alias("label"))
+    labelled = training_rows(docs, labels, id_col, text_col, label_col, folds, fold)
     model = fit(labelled, id_col, text_col, "label")
     out = score(docs, model, id_col, text_col)
     return out.select(id_col, held_out(id_col, folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +32,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids of a side that may be broadcast: about 50 MB as a hashed relation.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs less the rows whose id is in ids. Few ids, counted, are broadcast, so that no text is
+    moved; more are joined by shuffling."""
+    drop = materialize(ids.select(id_col).distinct(), "ids")
+    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, id_col, "left_anti").select(*docs.columns)
