@@ -115,25 +115,30 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed
     return m
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model | float:
-    """The network, or the share of label 1 if there is one class only. labelled has id, text and
-    label; at most about `sample` rows a class come to the driver."""
-    rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> Model | float:
+    """The network, or the share of label 1 if there is one class only, from labels outside the held-out fold.
+
+    Rows are chosen among the labels, about `sample` a class, before they meet the texts, so
+    that side of the join has a bound and no text is moved but those chosen."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("id", folds, fold)).groupBy("id").agg(F.min("label").alias("label"))
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return float(next(iter(sizes), 0.5))
     share = F.when(F.col("label") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    # what is read of a text is what chunks training uses; the columns are few, the rows bounded
-    got = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("id", "label", "txt").mapInArrow(_train_bytes, "id long, label int, bytes binary").collect()
-    got.sort(key=lambda r: r["id"])
-    labels = np.array([r["label"] for r in got], np.float32)
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
+    texts_of = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt")).join(F.broadcast(chosen), "id")
+    got = texts_of.select("id", "label", "txt").mapInArrow(_train_bytes, "id long, label int, bytes binary").collect()
+    got.sort(key=lambda r: (r["id"], r["bytes"]))
+    labels_of = np.array([r["label"] for r in got], np.float32)
+    if not 0 < labels_of.sum() < len(got):
+        return float(labels_of.mean()) if len(got) else sizes[1] / (sizes[0] + sizes[1])
     texts = [np.frombuffer(r["bytes"], np.uint8) for r in got]
-    n1 = max(1, int(labels.sum()))
-    n0 = max(1, len(labels) - n1)
+    n1 = int(labels_of.sum())
+    n0 = len(labels_of) - n1
     # the sample is balanced; weights give each class its share of all labelled rows, halfway
     p1 = sizes[1] / (sizes[0] + sizes[1])
-    weights = np.where(labels == 1, p1**0.5 / n1, (1 - p1) ** 0.5 / n0)
-    return train(texts, labels, weights / weights.mean())
+    weights = np.where(labels_of == 1, p1**0.5 / n1, (1 - p1) ** 0.5 / n0)
+    return train(texts, labels_of, weights / weights.mean())
 
 
 def _train_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +199,9 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
     return own.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int) -> DataFrame:
-    known = labels.select(F.col(id_col), F.col(label_col).alias("__label")).dropDuplicates([id_col])
-    return docs.select(id_col, text_col).where(~held_out(id_col, folds, fold)).join(known, id_col).select(id_col, text_col, F.col("__label").alias("label"))
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, unchanged, whose score is threshold or more. No row is moved."""
-    model = fit(training_rows(docs, labels, id_col, text_col, label_col, folds, fold), id_col, text_col, "label")
+    model = fit(docs, labels, id_col, text_col, label_col, folds, fold)
     if isinstance(model, float):
         return docs if model >= threshold else docs.limit(0)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -220,7 +220,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
     """Fit on labelled rows outside the held-out fold; (doc_id, held_out, score, predicted) of all rows."""
-    labelled = training_rows(docs, labels, id_col, text_col, label_col, folds, fold)
-    model = fit(labelled, id_col, text_col, "label")
+    model = fit(docs, labels, id_col, text_col, label_col, folds, fold)
     out = score(docs, model, id_col, text_col)
     return out.select(id_col, held_out(id_col, folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
