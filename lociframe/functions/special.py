@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([math.lgamma(v) for v in x.ravel()], float).reshape(x.shape)
 
 
 def ln_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:

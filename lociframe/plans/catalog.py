@@ -36,6 +36,26 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
+# --- the flagship --------------------------------------------------------------------------
+
+_FLAGSHIP = """, good as (select variant from genotypes group by variant having count(dosage) * 1e0 / count(*) >= 0.8 and least(avg(dosage) / 2, 1 - avg(dosage) / 2) >= 0.1),
+ c as (select g.variant, dataset, count(dosage) as n, case when min(dosage) < max(dosage) then corr(dosage, expression) end as r from genotypes g join good on g.variant = good.variant group by 1, 2),
+ t as (select variant, n, r * sqrt((n - 2) / (1 - r * r)) as t from c where n >= 4 and abs(r) < 0.9999), z as (select variant, n, sign(t) * (8 * (n - 2) + 1e0) / (8 * (n - 2) + 3) * sqrt((n - 2) * ln(1 + t * t / (n - 2))) as z from t),
+ m as (select variant, count(*) as datasets, sum(sqrt(n) * z) / sqrt(sum(n)) as z from z group by variant), p as (select variant, datasets, z, {p} as p from m), x as (select *, p * count(*) over () / row_number() over (order by p, variant) as s from p)
+ select variant, datasets, round(z, 5) as z, round(p, 6) as p, round(least(1, min(s) over (order by p, variant rows between current row and unbounded following)), 5) as q from x""".replace("{p}", normal_p_sql("z"))
+
+
+@query("association_screen", ("genotypes",), _FLAGSHIP)
+def association_screen(v):
+    """QC, correlation by dataset, joint z over datasets, and false discovery rates."""
+    g = v.genotypes
+    s = agg.variant_summary(g, ["variant"], "dosage").where(filters.at_least(F.col("call_rate"), 0.8) & filters.at_least(F.col("maf"), 0.1))
+    c = agg.correlate(g.join(s.select("variant"), "variant", "left_semi"), ["variant", "dataset"], "dosage", "expression").where("n >= 4 and abs(r) < 0.9999")
+    one = c.withColumn("z", stats.correlation_z(F.col("r"), F.col("n").cast("double")))
+    joint = meta.weighted_z(one, ["variant"], "z", "n")
+    return testing.benjamini_hochberg(joint, "p", "variant").select("variant", "datasets", r("z", 5), r("p"), r("q", 5))
+
+
 # --- variant summaries and filters -------------------------------------------------------
 
 SUMMARY_SQL = """summary as (select variant, count(*) as n, count(dosage) as called, count(dosage) * 1e0 / count(*) as call_rate,
@@ -937,3 +957,107 @@ def beta_adjusted_p(v):
 def dataset_report(v):
     s = agg.variant_summary(v.genotypes, ["variant"], "dosage").join(v.variants.select("variant", "chrom"), "variant")
     return s.groupBy("chrom").agg(F.count("*").alias("variants"), F.sum("called").alias("called"), F.round(F.avg("maf"), 5).alias("mean_maf"), F.round(F.avg("mach_r2"), 5).alias("mean_mach_r2"))
+
+
+# --- workflows -------------------------------------------------------------------------------
+
+
+from . import workflows as flow  # noqa: E402
+
+
+def _traits(v):
+    return v.genotypes.selectExpr("variant % 100 + 1 as gene", "sample", "dataset", "expression as value").groupBy("gene", "sample", "dataset").agg(F.avg("value").alias("value"))
+
+
+TRAITS_SQL = "traits as (select variant % 100 + 1 as gene, sample, dataset, avg(expression) as value from genotypes group by 1, 2, 3), calls0 as (select variant, sample, min(dosage) as dosage from genotypes where dosage is not null group by 1, 2), pairs as (select v.variant, g.gene from variants v join genes g on v.chrom = g.chrom and abs(v.pos - g.mid) < 20000), ind as (select p.variant, p.gene, t.dataset, count(*) as n, case when min(c.dosage) < max(c.dosage) and min(t.value) < max(t.value) then corr(c.dosage, t.value) end as r from pairs p join calls0 c on c.variant = p.variant join traits t on t.gene = p.gene and t.sample = c.sample group by 1, 2, 3)"
+
+
+@query("association", ("genotypes", "variants", "genes"), f", {TRAITS_SQL} select variant, gene, dataset, n, round(r, 5) as r from ind where n >= 5 and abs(r) < 0.999")
+def association(v):
+    pairs = intervals.band_join(v.variants, v.genes, ["chrom"], "pos", "mid", 20000)
+    a = flow.associate(pairs, _calls(v), _traits(v), ["dataset"], "variant", "gene", "sample", "dosage", "value", least=5)
+    return a.where("abs(r) < 0.999").select("variant", "gene", "dataset", "n", r("r", 5))
+
+
+@query("cis_mapping", ("genotypes", "variants", "genes"), f", {TRAITS_SQL}, t as (select *, r * sqrt((n - 2) / (1 - r * r)) as t from ind where n >= 5 and abs(r) < 0.999), z as (select *, sign(t) * (8 * (n - 2) + 1e0) / (8 * (n - 2) + 3) * sqrt((n - 2) * ln(1 + t * t / (n - 2))) as z from t) select variant, gene, count(*) as datasets, round(sum(sqrt(n) * z) / sqrt(sum(n)), 5) as z from z group by variant, gene having count(*) >= 2")
+def cis_mapping(v):
+    pairs = intervals.band_join(v.variants, v.genes, ["chrom"], "pos", "mid", 20000)
+    a = flow.associate(pairs, _calls(v), _traits(v), ["dataset"], "variant", "gene", "sample", "dosage", "value", least=5).where("abs(r) < 0.999")
+    return meta.weighted_z(a, ["variant", "gene"], "z", "n", least=2).select("variant", "gene", "datasets", r("z", 5))
+
+
+@query("cis_mapping_with_fdr", ())
+def cis_mapping_with_fdr(v):
+    m = flow.cis_mapping(v.variants, v.genes, _calls(v), _traits(v), 5000, maf=0.05, call_rate=0.5, permutations=3, seed=7)
+    return rounded(m.select("variant", "gene", "datasets", "z", "p", "fdr"), 5)
+
+
+@query("top_with_beta", ("effects",))
+def top_with_beta(v):
+    e = v.effects.selectExpr("gene", "snp as variant", "id % 21 as perm", "p", "z")
+    return rounded(flow.top_with_beta(e, "gene", "variant", "perm", "p", "z").select("gene", "variant", "p", "adjusted"), 8)
+
+
+@query("conditional_mapping", ())
+def conditional_mapping(v):
+    pairs = intervals.band_join(v.variants, v.genes, ["chrom"], "pos", "mid", 5000)
+    t = _traits(v).groupBy("gene", "sample").agg(F.avg("value").alias("value"))
+    return rounded(flow.conditional_mapping(pairs, _calls(v), t, 0.01, 2).select("round", "variant", "gene", "n", "z"), 5)
+
+
+@query("mediation", ("genotypes",), """, v as (select variant, dosage * 1e0 as x, quantity as m, expression as y from genotypes where dosage is not null), a as (select variant, count(*) as n, regr_slope(y, x) as total, regr_slope(y, m) as b, regr_intercept(y, m) as a from v group by variant), d as (select v.variant, regr_slope(y - a.a - a.b * m, x) as direct from v join a on v.variant = a.variant group by v.variant)
+ select a.variant, n, round(total, 4) as total, round(direct, 4) as direct from a join d on a.variant = d.variant where total is not null and direct is not null""")
+def mediation(v):
+    g = v.genotypes.withColumn("x", F.col("dosage").cast("double"))
+    return rounded(flow.mediation(g, ["variant"], "x", "quantity", "expression").where("total is not null and direct is not null").select("variant", "n", "total", "direct"), 4)
+
+
+@query("sample_mixups", ())
+def sample_mixups(v):
+    calls = _calls(v)
+    eff = v.variants.selectExpr("variant", "variant % 100 + 1 as gene")
+    t = _traits(v).groupBy("gene", "sample").agg(F.avg("value").alias("value"))
+    s = v.genotypes.select("sample").distinct()
+    links = s.selectExpr("sample as genotyped", "explode(array(sample, sample % 100 + 1)) as measured").distinct()
+    return rounded(flow.mixups(eff, calls, t, links), 4)
+
+
+@query("harmonise_panels", ("variants", "peaks"))
+def harmonise_panels(v):
+    study = v.variants.selectExpr("variant", "chrom", "pos - pos % 130 as pos", "ref", "alt", "0.05 + variant % 9 * 0.05 as maf").where("ref != alt")
+    ref = v.peaks.selectExpr("peak as ref_id", "chrom", "start as pos", "substr('ACGT', cast(peak % 4 as int) + 1, 1) as ref", "substr('CGTA', cast(peak % 4 as int) + 1, 1) as alt", "0.05 + peak % 9 * 0.05 as maf")
+    return flow.harmonise(study, ref)
+
+
+@query("gene_scores", ("effects", "variants", "genes"), ", b as (select snp as variant, max(z) as z from effects group by snp) select g.gene, count(b.z) as n, round(sum(b.z * b.z), 5) as chi2 from b join variants v on b.variant = v.variant join genes g on v.chrom = g.chrom and v.pos between g.start - 2000 and g.stop + 2000 group by g.gene")
+def gene_scores(v):
+    best = v.effects.groupBy(F.col("snp").alias("variant")).agg(F.max("z").alias("z"))
+    return flow.gene_scores(best, v.variants, v.genes, 2000).select("gene", "n", r("chi2", 5))
+
+
+@query("clumped_risk_scores", ())
+def clumped_risk_scores(v):
+    best = testing.strongest(v.effects, ["snp"], ["p", "id"]).selectExpr("snp as variant", "p", "z as weight")
+    return rounded(flow.clumped_risk_score(best, v.genotypes, v.variants, 0.1, 2000), 4)
+
+
+@query("ld_pruned", ("genotypes", "variants"))
+def ld_pruned(v):
+    links = ld.proxies(v.variants, _calls(v), "variant", "chrom", "pos", "sample", "dosage", 3000, 0.30001)
+    return ld.prune(v.variants, links, "variant", "pos").select("variant", "chrom", "pos")
+
+
+@query("ld_clusters", ("genotypes", "variants"), f"")
+def ld_clusters(v):
+    links = ld.proxies(v.variants, _calls(v), "variant", "chrom", "pos", "sample", "dosage", 3000, 0.30001)
+    return ld.components(links)
+
+
+SQL["ld_clusters"] = with_views("genotypes", "variants").replace("with ", "with recursive ", 1) + f", {CALLS_SQL}, r as (select a, b, pow(case when min(x) < max(x) and min(y) < max(y) then corr(x, y) end, 2) as r2 from j group by a, b), e as (select a, b from r where r2 >= 0.30001 union select b, a from r where r2 >= 0.30001), c as (select a as node, a as reach from e union select c.node, e.b from c join e on c.reach = e.a) select node, min(reach) as component from c group by node"
+
+
+@query("allelic_concordance", ("reads", "effects", "variants"), ", a as (select variant, sum(ref_reads) * 1e0 / (sum(ref_reads) + sum(alt_reads)) as share from reads group by variant having sum(ref_reads) + sum(alt_reads) > 0), m as (select snp as variant, max(z) as z from effects group by snp), j as (select a.variant, a.share, case when m.variant % 2 = 0 then m.z else -m.z end as za from a join m on a.variant = m.variant join variants v on v.variant = a.variant) select variant, round(za, 6) as z_aligned, (share > 0.5 and za > 0) or (share < 0.5 and za < 0) as agree from j")
+def allelic_concordance(v):
+    a = v.reads.groupBy("variant").agg(F.sum("ref_reads").alias("x"), F.sum("alt_reads").alias("y")).where("x + y > 0").selectExpr("variant", "x / (x + y) as share")
+    m = v.effects.groupBy(F.col("snp").alias("variant")).agg(F.max("z").alias("z")).join(v.variants.select("variant", "alt"), "variant").selectExpr("variant", "z", "alt", "case when variant % 2 = 0 then alt else '-' end as assessed")
+    return flow.concordance(a, m, ["variant"]).select("variant", r("z_aligned"), "agree")
