@@ -102,7 +102,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     own = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     parts = own.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     ruled = parts.select("page", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("found"))
-    seeds = materialize(ruled.where("host != ''").groupBy("host").agg(F.count_if("found.verdict = 'allow'").alias("good"), F.count_if("found.verdict = 'block'").alias("bad")), "seeds")
+    seeds = materialize(ruled.where("host != ''").groupBy("host").agg(F.count_if(F.col("found.verdict") == "allow").alias("good"), F.count_if(F.col("found.verdict") == "block").alias("bad")), "seeds")
     edges = materialize(host_edges(parts, F.col("host"), F.col("html")), "host-edges")
     trust = personalised_rank(edges, seeds.select("host", F.col("good").alias("weight")))
     distrust = personalised_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), seeds.select("host", F.col("bad").alias("weight")))
