@@ -67,7 +67,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(column: pa.Array, max_bytes: int = 4 << 20):
+def slices(column: pa.Array, max_bytes: int = 1 << 20):
     """Consecutive (start, stop) row ranges of at most max_bytes, one row at least:
     the working memory of a batch then does not depend on how long its texts are."""
     if isinstance(column, pa.ChunkedArray):
