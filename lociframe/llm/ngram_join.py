@@ -18,11 +18,11 @@ How it runs:
    miss has no partner and is dropped, exactly. A shingle in a large part of one
    task's classes travels as one count instead of as its rows ("very common",
    last in every order), so no bucket grows with a hot passage.
-3. Candidates of a prefix token are first only its classes against one of them
-   (a star); verified links are merged into components; then only classes of
-   different components remain to be compared, exhaustively. A group of near
-   copies thus costs a few comparisons per member, not all pairs, and no link
-   between components is lost.
+3. Candidates of a prefix token are first only its classes against one hub (a star),
+   twice; verified links are merged into components. Then all pairs of different
+   components that can still link are compared; how few these are in a group of near
+   copies, _remaining says. A group thus costs a few comparisons per member, not all
+   pairs, and no link between components is lost.
 
 Nulls and empty texts have no shingle, component_id is their own doc_id. Repeated
 rows of one doc_id are one document each and get the same result. Only the id and
@@ -32,6 +32,7 @@ An empty table gives an empty result."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,21 +201,30 @@ def _count(buckets: int):
             if not first.all():
                 toks = toks[np.repeat(first, cnt)]
                 fp, n, cnt = fp[:, first], n[first], cnt[first]
-            order = np.argsort(toks, kind="stable")
-            srt = toks[order]
-            start = np.flatnonzero(np.concatenate([[True], srt[1:] != srt[:-1]]))
-            df = np.diff(np.concatenate([start, [len(srt)]])).astype(np.int64)
+            row = np.repeat(np.arange(len(n), dtype=np.int32), cnt)
             common = [np.frombuffer(payloads[int(i)].as_py(), np.uint64) for i in np.flatnonzero(kinds == 1)]
-            if common:
-                df[np.isin(srt[start], np.concatenate(common))] = COMMON
-            each = np.repeat(df, np.diff(np.concatenate([start, [len(srt)]])))
-            keep = each > 1
-            at, v = order[keep], each[keep]
+            common = np.unique(np.concatenate(common)) if common else np.zeros(0, np.uint64)
+            part = (toks >> np.uint64(61)).astype(np.int8)
+            kept: list[tuple[np.ndarray, np.ndarray]] = []
+            for x in range(8):  # an eighth of the tokens at a time
+                mine = np.flatnonzero(part == x)
+                own = toks[mine]
+                order = np.argsort(own, kind="stable")
+                srt = own[order]
+                start = np.flatnonzero(np.concatenate([[True], srt[1:] != srt[:-1]])) if len(srt) else np.zeros(0, np.int64)
+                times = np.diff(np.concatenate([start, [len(srt)]]))
+                df = times.copy()
+                if len(common):
+                    df[np.isin(srt[start], common)] = COMMON
+                each = np.repeat(df, times)
+                kept.append((mine[order[each > 1]], each[each > 1].astype(np.int32)))
+            at, v = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
             back = np.argsort(at)
             at, v = at[back], v[back]
             if len(at):
-                has, c = _runs(np.repeat(np.arange(len(n)), cnt)[at], len(n))
-                send(fp[:, has], n[has], c, toks[at], v.astype(np.int32))
+                has, c = _runs(row[at], len(n))
+                send(fp[:, has], n[has], c, toks[at], v)
+            del toks, row, part, kept
         for i in np.flatnonzero(kinds == 2):
             fp, n, cnt, toks, _ = _unpack(payloads[int(i)].as_py(), False)
             send(fp, n, cnt, toks, np.full(len(toks), COMMON, np.int32))
@@ -268,13 +278,70 @@ def _survivors(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the other orders' filters and then the exact test."""
+def _tested(pairs: DataFrame, classes: DataFrame, percent: int, all_filters: bool) -> DataFrame:
+    """Pairs (a, b) with the sizes of both, of what they share, and whether they are linked.
+
+    With all_filters only pairs that share prefix tokens under the other orders too are
+    looked at; without, all are, as what a hub shares with a class is of use even if little."""
     side = lambda x: classes.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "toks", "pre2", "pre3")))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and arrays_overlap(pre2_a, pre2_b) and arrays_overlap(pre3_a, pre3_b)")
-    both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("toks_a", "toks_b")).cast("long").alias("shared"))
-    return both.where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
+    filters = "arrays_overlap(pre2_a, pre2_b) and arrays_overlap(pre3_a, pre3_b)"
+    if all_filters:
+        both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {filters}")
+    both = both.select("a", "b", "n_a", "n_b", F.expr(filters).alias("near"), F.size(F.array_intersect("toks_a", "toks_b")).cast("long").alias("shared"))
+    return both.withColumn("linked", F.expr(f"near and 100 * shared >= {percent} * (n_a + n_b - shared)")).drop("near")
+
+
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, extra: str = "true") -> DataFrame:
+    """Pairs of classes of different components that meet in `on`; the right side's columns end in 2."""
+    other = right.select(*on, *(F.col(c).alias(f"{c}2") for c in right.columns if c not in on))
+    met = left.join(other, on).where(f"comp != comp2 and {extra} and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    return met.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
+
+
+def _remaining(posts: DataFrame, classes: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components that may still link.
+
+    Every class has a home, of the hubs it was compared with the one that most were (or itself).
+    Take classes r and m of one home h, of which r, say, is not linked to h, and let them
+    link. If all they share is in h, they share at most what r shares with h, so
+    |r & h| >= t / (1 + t) (|r| + |m|), which, r and h not being linked, needs |m| < |h|. So only
+    three kinds of pairs remain, of which each shares a prefix token besides:
+
+    - of one home, with a shared token that the home lacks. It is looked for among the prefix tokens;
+      classes that have prefix tokens of the home as well may share only such ones,
+      so for these it is looked for among all tokens;
+    - of one home, one side smaller than the home, within the bound above;
+    - of different homes."""
+    hub = stars.select(F.col("b").alias("cid"), F.col("a").alias("other"), F.col("n_a").alias("n_h"), "hub", "shared", "linked").unionByName(stars.select(F.col("a").alias("cid"), F.col("b").alias("other"), F.col("n_b").alias("n_h"), "hub", "shared", "linked"))
+    hub = hub.where("other = hub").drop("other")
+    size = hub.groupBy("hub").agg(F.count("*").alias("size"))
+    best = hub.join(size, "hub").groupBy("cid").agg(F.max(F.struct("size", (-F.col("hub")).alias("less"), "n_h", "shared", "linked")).alias("x"))
+    best = best.select("cid", (-F.col("x.less")).alias("home"), "x.n_h", "x.shared", "x.linked")
+    own = posts.select("cid", "n", "comp").distinct().join(best, "cid", "left")
+    own = own.select("cid", "n", "comp", F.coalesce("home", "cid").alias("home"), F.coalesce(F.col("n") < F.col("n_h"), F.lit(False)).alias("shrinks"), F.coalesce("shared", "n").alias("held"), F.coalesce("linked", F.lit(True)).alias("near"))
+    own = materialize(own, "homes")
+
+    mixed_homes = own.groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("home")
+    apart = own.join(mixed_homes, "home", "left_semi").where("cid != home").select("cid", "n", "comp", "home")
+    home_toks = classes.select(F.col("cid").alias("home"), F.col("toks").alias("home_toks"))
+    apart = apart.join(classes.select("cid", "toks", "pre1"), "cid").join(home_toks, "home")
+    rare = F.array_except("pre1", "home_toks")
+    apart = apart.select("cid", "n", "comp", "home", F.when(F.size(rare) == F.size("pre1"), rare).otherwise(F.array_except("toks", "home_toks")).alias("new"))
+    added = apart.select("cid", "n", "comp", "home", "new", F.explode("new").alias("tok"))
+    split = added.groupBy("home", "tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("home", "tok")
+    added = added.join(split, ["home", "tok"], "left_semi")
+    first = _pairs(added, added, ["home", "tok"], percent, "cid < cid2 and tok = array_min(array_intersect(new, new2))")  # once a pair
+
+    mixed = posts.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
+    homed = materialize(posts.select("cid", "n", "tok", "comp").join(mixed, "tok", "left_semi").join(own.drop("n", "comp"), "cid"), "mixed")
+    bound = " and ".join(f"({near} or {100 + percent} * {held} >= {percent} * (n + n2))" for near, held in (("near", "held"), ("near2", "held2")))
+    second = _pairs(homed.where("shrinks"), homed, ["home", "tok"], percent, bound)
+    parts = homed.groupBy("tok", "home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    across = parts.join(parts.select("tok", F.col("home").alias("home2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "tok").where("home < home2 and not (lo = hi and lo2 = hi2 and lo = lo2)").select("tok", "home", "home2")
+    plain = homed.select("cid", "n", "tok", "comp", "home")
+    third = _pairs(plain.join(across, ["tok", "home"]).drop("home"), plain.withColumnRenamed("home", "home2"), ["tok", "home2"], percent)
+    return first.unionByName(second).unionByName(third)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -295,29 +362,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = counted.groupBy("bucket").applyInArrow(_survivors(percent), _CLASS)
     sets = materialize(materialize(sets, "sets").join(classes, ["fp1", "fp2"]).drop("fp1", "fp2"), "classes")
 
-    posts = sets.select("cid", "n", F.explode("pre1").alias("tok"))
-    tested, links, comps = None, None, None
-    for step in ("least", "greatest", "all"):
+    tokens = sets.select("cid", "n", F.struct(((F.col("n") - F.size("toks")) / F.col("n")).alias("alone"), "cid").alias("key"), F.explode("pre1").alias("tok"))
+    comps = None
+    tested, links, stars = [], [], []
+    for step in ("first", "second", "rest"):
         if comps is None:
-            now = posts.withColumn("comp", F.col("cid"))
+            posts = tokens.withColumn("comp", F.col("cid"))
         else:
-            now = posts.join(comps, posts.cid == comps.node, "left").select("cid", "n", "tok", F.coalesce("component", "cid").alias("comp"))
-        hubs = now.groupBy("tok").agg((F.min if step == "least" else F.max)(F.struct("comp", "cid")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        if step != "all":
-            pairs = now.join(hubs, "tok").where("comp != hub.comp").select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b"))
+            posts = tokens.join(comps, tokens.cid == comps.node, "left").select("cid", "n", "key", "tok", F.coalesce("component", "cid").alias("comp"))
+        if step == "rest":
+            pairs = _remaining(posts, sets, reduce(DataFrame.unionByName, stars), percent)
         else:
-            mixed = now.join(hubs.select("tok"), "tok", "left_semi")
-            other = mixed.select("tok", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = mixed.join(other, "tok").where(f"comp < comp2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)").select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            # the hub of a token is its class with the least share of tokens of its own: of
+            # near copies most likely the original; then the like among what is apart from it
+            hubs = posts.groupBy("tok").agg(F.min(F.struct("key", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok", "hub")
+            if step == "second":
+                hubs = posts.join(hubs, "tok").where("comp != hub.comp").groupBy("tok").agg(F.min(F.struct("key", "comp")).alias("hub"))
+            pairs = posts.join(hubs, "tok").where("comp != hub.comp").select(F.least("cid", "hub.key.cid").alias("a"), F.greatest("cid", "hub.key.cid").alias("b"), F.col("hub.key.cid").alias("hub"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub")) if step != "rest" else pairs.distinct()
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pairs-{step}")
-        found = materialize(_links(pairs, sets, percent), f"links-{step}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if comps is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comps = connected_components(links)
+        found = materialize(_tested(pairs.select("a", "b"), sets, percent, step == "rest"), f"tested-{step}")
+        tested.append(pairs.select("a", "b"))
+        stars.append(found.join(pairs, ["a", "b"])) if step != "rest" else None
+        new = found.where("linked").select("a", "b")
+        if comps is None or not new.isEmpty():
+            links.append(new)
+            comps = connected_components(reduce(DataFrame.unionByName, links))
 
     byset = classes.join(comps, classes.cid == comps.node, "left").select("fp1", "fp2", F.col("cid").alias("class_id"), F.coalesce("component", "cid").alias("component_id"))
     out = profile.where("n_shingles > 0").join(byset, ["fp1", "fp2"]).select(F.col("id").alias(id_col), "n_shingles", "component_id", "class_id")
