@@ -43,3 +43,10 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     moved; more are joined by shuffling."""
     drop = materialize(ids.select(id_col).distinct(), "ids")
     return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, id_col, "left_anti").select(*docs.columns)
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, out: str) -> DataFrame:
+    """Rows of docs that have a label of 0 or 1, with it as out. Few labels, counted, are broadcast, so
+    that no text is moved; more are joined by shuffling. Of several labels of an id the least counts."""
+    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias(out)).where(F.col(out).isin(0, 1)).groupBy(id_col).agg(F.min(out).alias(out))
+    return docs.join(F.broadcast(known) if labels.count() <= BROADCAST_ROWS else known, id_col)
