@@ -13,7 +13,7 @@ from .ordered import running_min_from_end, running_sums
 
 def benjamini_hochberg(tests: DataFrame, p: str, tie: str, out: str = "q") -> DataFrame:
     """tests (null p left out) with min(1, least of p n / rank over this and larger p)."""
-    t = tests.where(F.col(p).isNotNull())
+    t = tests.where(F.col(p).isNotNull()).persist()  # read for the count, the blocks and their totals
     n = t.count()
     t = running_sums(t, p, [p, tie], {"__rank": F.lit(1)})
     t = running_min_from_end(t, p, [p, tie], F.col(p) * n / F.col("__rank"), out)
@@ -66,7 +66,7 @@ def permutation_fdr(real: DataFrame, permuted: DataFrame, p: str, permutations:
     Both sides are counted by p before they are put in order."""
     a = real.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("nr"), F.lit(0).cast("long").alias("np"))
     b = permuted.where(F.col(p).isNotNull()).groupBy(p).agg(F.lit(0).cast("long").alias("nr"), F.count("*").alias("np"))
-    c = a.unionByName(b).groupBy(p).agg(F.sum("nr").alias("nr"), F.sum("np").alias("np"))
+    c = a.unionByName(b).groupBy(p).agg(F.sum("nr").alias("nr"), F.sum("np").alias("np")).persist()
     r = running_sums(c, p, [p], {"n_real": F.col("nr"), "n_permuted": F.col("np")}).where("nr > 0")
     return r.select(p, "n_real", "n_permuted", F.least(F.lit(1.0), F.col("n_permuted") / permutations / F.col("n_real")).alias("fdr"))
 
