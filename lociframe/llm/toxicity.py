@@ -14,12 +14,14 @@ one, of the whole and of the run where that is largest, are combined by a logist
 function fitted on labelled rows that the models have not seen (a quarter of the
 training rows), from counts in bins.
 
-Counting is Spark's: tasks send summed counts of word beginnings, which are summed, and
-contexts, lower orders and probabilities follow by grouping and joining those tables,
-which grow with the corpus. The scorer keeps the log ratios of beginnings seen twice or
-more, and of contexts, in hashed tables of fixed size (2^SLOT_BITS places; a place goes
-to what is counted most often, its key is kept and compared), so what is broadcast
-has a bound.
+Nothing that is counted is left out, and no table comes to the driver or is broadcast. Tasks
+gather texts in blocks; the blocks' lists of distinct words meet, dealt by word hash, in
+buckets, which hold every distinct word of the corpus once, with its counts in the
+labelled texts. Beginnings, contexts, lower orders and log ratios follow by grouping and
+joining. A bucket asks for its distinct beginnings in the table of log ratios, dealt by key, adds
+them up for its words, and gives each block its words' sums in the order of the
+block's list. There they meet the block's texts, which are split a second time
+for that, as word numbers.
 
 Null, empty and blank texts have no words and the score of differences of 0. Whole
 texts are scored, in pieces of bounded size. Repeated rows get equal scores. Only the
@@ -32,21 +34,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import _grow, _join, _part, _shrink
 from .langid import held_out
 from .shared import materialize, with_labels
 from .textops import Words, slices, utf8
 
-SLOT_BITS = 20
+BLOCK_BYTES = 32 << 20
+#: Bytes of text for one bucket of words, and beginnings in one range of keys, about.
+BUCKET_TEXT = 64 << 20
+RANGE_ROWS = 400_000
 DISCOUNT = 0.75
 DEPTH = 12
 START, END = 1, 2
 WINDOW = 3
 BINS = (100, 20)  # bins a unit of the two differences
 
-Model = dict[str, np.ndarray]
+_PIECES = "dest long, source long, kind int, payload binary"
+TEXTS, LIST, WORDS, NUMBERS, ASKED, TOLD, SUMS = range(7)  # kinds of pieces
 _ROOT = np.uint64(0x1B873593CC9E2D51)
 
 
@@ -75,63 +84,135 @@ def _beginnings(words: Words, which: np.ndarray | None = None) -> tuple[np.ndarr
     return key.view(np.int64), context.view(np.int64), last4, n
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Summed (key, context, last4, toxic, ordinary) of each task's texts."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _pieces(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["dest", "source", "kind", "payload"])
 
-    def flush():
-        if held:
-            key = np.concatenate([h[0] for h in held])
-            _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-            cols = [np.concatenate([h[i] for h in held]) for i in range(1, 5)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(cols[0][at]), pa.array(cols[1][at]), *(pa.array(np.bincount(inverse, c, len(at)).astype(np.int64)) for c in cols[2:])], names=["key", "context", "last4", "t", "o"])
-            held.clear()
 
-    size = 0
-    for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False)
-        for s, e in slices(batch.column(0), 1 << 20):
-            for c in (0, 1):
-                rows = np.flatnonzero(label[s:e] == c) + s
-                if len(rows):
-                    words = Words(*utf8(batch.column(0).take(pa.array(rows))))
-                    key, context, last4, _ = _beginnings(words)
-                    key, at, n = np.unique(key, return_index=True, return_counts=True)
-                    zero = np.zeros(len(n), np.int64)
-                    held.append((key, context[at], last4[at], n if c else zero, zero if c else n))
-                    size += len(n)
-        if size > 1_500_000:
-            yield from flush()
-            size = 0
-    yield from flush()
+def _texts_of(text: pa.Array, *others: pa.Array) -> Iterator[tuple]:
+    for s, e in slices(text, 1 << 20):
+        yield Words(*utf8(text.slice(s, e - s))), *(x.slice(s, e - s).to_numpy(zero_copy_only=False) for x in others)
 
 
-def _slots(table: DataFrame, bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, values) by slot, from (key, value, weight); at most 2^bits rows reach the driver."""
-    slot = F.shiftrightunsigned(F.xxhash64("key"), 64 - bits).cast("int")
-    rows = table.groupBy(slot.alias("slot")).agg(F.max(F.struct("weight", F.col("key").alias("k"), F.col("value").alias("v"))).alias("w")).select("slot", "w.k", "w.v").toArrow()
-    keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
-    at = rows["slot"].to_numpy()
-    keys[at], values[at] = rows["k"].to_numpy(), rows["v"].to_numpy()
-    return keys, values
+def _split(buckets: int, kind: int, labelled: bool = False):
+    """Blocks of (id, text[, label]). LIST: part of a block's list of distinct words, for a bucket,
+    with the counts in toxic and ordinary texts if labelled (source -1: nothing goes back). TEXTS: the block's
+    texts as word numbers, for the block. Frequent words have small numbers; a list keeps their order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+
+        def flush():
+            nonlocal seq
+            block = (part << 24) + seq
+            seq += 1
+            found = np.concatenate([h[0] for h in held])
+            hashes, first, inverse = np.unique(found, return_index=True, return_inverse=True)
+            total = lambda i: np.bincount(inverse, np.concatenate([h[i] for h in held]), len(hashes)).astype(np.int64)
+            order = np.argsort(-total(1), kind="stable")
+            bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
+            check = np.array([len(hashes), np.bitwise_xor.reduce(hashes, initial=np.uint64(0)).view(np.int64)]).tobytes()
+            if kind == TEXTS:
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                starts = np.cumsum([0] + [len(h[0]) for h in held])
+                number = np.concatenate([rank[inverse[s + h[2]]] for s, h in zip(starts, held)])
+                rows = [(block, block, TEXTS, _join([np.concatenate([h[3] for h in held]).tobytes(), _shrink(np.concatenate([h[4] for h in held])), _shrink(bucket), _shrink(number), check]))]
+            else:
+                rows = []
+                words = [w for h in held for w in h[2]]
+                listed = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[listed], np.arange(buckets + 1))
+                counts = [total(3)[order], total(4)[order]] if labelled else []
+                for x in range(buckets):
+                    own = listed[cut[x] : cut[x + 1]]
+                    if len(own):
+                        rows.append((x, -1 if labelled else block, LIST, _join([zstandard.compress(b" ".join([words[i] for i in first[order[own]]]), 3), check, *(_shrink(c[own]) for c in counts)])))
+            held.clear()
+            for row in rows:
+                yield from _pieces([row]).to_batches()
 
-def _xx_slot(keys: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
-    """The slot of Spark's xxhash64 (seed 42) of a long."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = np.uint64(42) + p5 + np.uint64(8) ^ rot(keys.astype(np.uint64) * p2, 31) * p1
-    h = rot(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return ((h ^ (h >> np.uint64(32))) >> np.uint64(64 - bits)).astype(np.int64)
+        size = 0
+        for batch in batches:
+            for words, ids, *label in _texts_of(batch.column(1), batch.column(0), *batch.columns[2:]):
+                hashes, at, inverse, times = np.unique(words.hashes(), return_index=True, return_inverse=True, return_counts=True)
+                if kind == TEXTS:
+                    held.append((hashes, times, inverse.astype(np.int32), ids.astype(np.int64), words.count))
+                else:
+                    raw = words.data.tobytes()
+                    listed = [raw[b:e] for b, e in zip(words.start[at].tolist(), words.end[at].tolist())]
+                    toxic = np.bincount(inverse, np.repeat(label[0], words.count), len(at)) if labelled else None
+                    held.append((hashes, times, listed, toxic, times - toxic if labelled else None))
+                size += len(words.data)
+                if size >= BLOCK_BYTES:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
 
+    return run
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """All lists of a bucket: WORDS, the bucket's distinct words and their counts, and NUMBERS, of each
+    block's list in them."""
+    bucket = group["dest"][0].as_py()
+    number: dict[bytes, int] = {}
+    out, counted = [], []
+    for source, payload in zip(group["source"].to_pylist(), group["payload"]):
+        listed, check, *counts = _part(payload.as_py())
+        own = zstandard.decompress(listed).split(b" ")
+        x = np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own))
+        if source < 0:
+            counted.append((x, *map(_grow, counts)))
+        else:
+            out.append((bucket, source, NUMBERS, _join([_shrink(x), check])))
+    t, o = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    for x, toxic, ordinary in counted:
+        t[x] += toxic
+        o[x] += ordinary
+    return _pieces([(bucket, -1, WORDS, _join([zstandard.compress(b" ".join(number), 3), _shrink(t), _shrink(o)])), *out])
+
+
+def _beginnings_of(listed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """_beginnings of a list of words, some at a time."""
+    ends = np.cumsum([len(w) + 1 for w in listed])
+    start = 0
+    while start < len(listed):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 19), side="right")))
+        data = np.frombuffer(b" ".join(listed[start:stop]), np.uint8)
+        yield _beginnings(Words(data, np.array([0, len(data)])))
+        start = stop
 
-def fit_models(labelled: DataFrame, text_col: str, label_col: str) -> Model:
-    """The hashed tables of log ratios from rows with text and label (1 toxic, 0 ordinary)."""
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summed (key, context, last4, toxic, ordinary) of each bucket's labelled words."""
+    for batch in batches:
+        for payload in batch.column(0):
+            packed, t, o = _part(payload.as_py())
+            t, o = _grow(t), _grow(o)
+            some = np.flatnonzero(t + o)
+            listed = zstandard.decompress(packed).split(b" ")
+            held, at = [], 0
+            for key, context, last4, n in _beginnings_of([listed[i] for i in some]):
+                own = some[at : at + len(n)]
+                at += len(n)
+                key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+                held.append((key, context[first], last4[first], *(np.bincount(inverse, np.repeat(c[own], n), len(key)).astype(np.int64) for c in (t, o))))
+            if held:
+                cols = [np.concatenate([h[i] for h in held]) for i in range(5)]
+                key, first, inverse = np.unique(cols[0], return_index=True, return_inverse=True)
+                sums = [np.bincount(inverse, c, len(key)).astype(np.int64) for c in cols[3:]]
+                for s in range(0, len(key), 1 << 16):
+                    e = s + (1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[s:e]) for x in (key, cols[1][first], cols[2][first], *sums)], names=["key", "context", "last4", "t", "o"])
+
+
+def fit_models(words: DataFrame) -> DataFrame:
+    """(key, what, value): the log ratio of every beginning (what 0), and of every context what it
+    leaves to bytes not seen after it (what 1), from the WORDS."""
     D = DISCOUNT
-    rows = labelled.select(F.col(text_col).cast("string").alias("txt"), F.col(label_col).cast("int").alias("label")).where("txt is not null and label in (0, 1)")
-    nodes = rows.mapInArrow(_count, "key long, context long, last4 long, t long, o long").groupBy("key").agg(F.min("context").alias("context"), F.min("last4").alias("last4"), F.sum("t").alias("t"), F.sum("o").alias("o"))
+    nodes = words.select("payload").mapInArrow(_count, "key long, context long, last4 long, t long, o long").groupBy("key").agg(F.min("context").alias("context"), F.min("last4").alias("last4"), F.sum("t").alias("t"), F.sum("o").alias("o"))
     nodes = materialize(nodes, "beginnings")
     low = lambda col, n: F.col(col).bitwiseAND((1 << (8 * n)) - 1)
     above = lambda col: F.shiftright(col, 8)
@@ -152,57 +233,141 @@ def fit_models(labelled: DataFrame, text_col: str, label_col: str) -> Model:
     left = lambda s, k: F.when(F.col(s) > 0, D * F.col(k) / F.col(s)).otherwise(1.0)
     share = lambda n, s: F.when(F.col(s) > 0, F.greatest(F.col(n) - D, F.lit(0.0)) / F.col(s)).otherwise(0.0)
     contexts = nodes.groupBy("context").agg(F.sum("t").alias("st"), F.sum("o").alias("so"), has("t").alias("kt"), has("o").alias("ko"))
-    contexts = contexts.select("context", "st", "so", left("st", "kt").alias("lt"), left("so", "ko").alias("lo")).where("st + so >= 2")
-    known = nodes.where("t + o >= 2").join(contexts, "context").join(shared.withColumnRenamed("g4", "last4"), "last4")
+    contexts = contexts.select("context", "st", "so", left("st", "kt").alias("lt"), left("so", "ko").alias("lo"))
+    known = nodes.join(contexts, "context").join(shared.withColumnRenamed("g4", "last4"), "last4")
     ratio = F.log((share("t", "st") + F.col("lt") * F.col("p4")) / (share("o", "so") + F.col("lo") * F.col("p4")))
-    model: Model = {}
-    model["kn"], model["vn"] = _slots(known.select("key", ratio.alias("value"), (F.col("t") + F.col("o")).alias("weight")))
-    model["kc"], model["vc"] = _slots(contexts.select(F.col("context").alias("key"), F.log(F.col("lt") / F.col("lo")).alias("value"), (F.col("st") + F.col("so")).alias("weight")))
-    return model
+    known = known.select("key", F.lit(0).alias("what"), ratio.cast("float").alias("value"))
+    rest = contexts.select(F.col("context").alias("key"), F.lit(1).alias("what"), F.log(F.col("lt") / F.col("lo")).cast("float").alias("value"))
+    return materialize(known.union(rest), "ratios")
 
 
-def _look(model: Model, name: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    slot = _xx_slot(key)
-    known = model[f"k{name}"][slot] == key
-    return np.where(known, model[f"v{name}"][slot], np.float32(0)), known
+def _ask(bits: int):
+    """ASKED: the distinct beginnings and contexts of a bucket's words, for each range of keys."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys = _asked(zstandard.decompress(_part(payload.as_py())[0]).split(b" "))
+                cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                for x in np.flatnonzero(np.diff(cut)).tolist():
+                    yield from _pieces([(x, bucket, ASKED, _planes(keys[cut[x] : cut[x + 1]]))]).to_batches()
 
-def log_ratios(model: Model, key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """log p(toxic) - log p(ordinary) of the last byte of each word beginning given those before."""
-    out, known = _look(model, "n", key)
-    rest = np.flatnonzero(~known)
-    out[rest] = _look(model, "c", context[rest])[0]
-    return out
+    return run
 
 
-def differences(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """(id, d, top): the length-normalised log-likelihood under the toxic less that under the
-    ordinary model, of the whole text and of the run of words where it is largest."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def _planes(values: np.ndarray) -> bytes:
+    """Values, compressed by bytes of like weight."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 3)
+
+
+def _of_planes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _asked(listed: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(np.concatenate([key, context])) for key, context, _, _ in _beginnings_of(listed)]).view(np.uint64))
+
+
+def _tell(ratios: pa.Table, asked: pa.Table) -> pa.Table:
+    """TOLD: for what each bucket asked of a range of keys, the log ratios (not a number where none
+    is known) and what contexts leave (0 where none is known)."""
+    rows = []
+    key, what, value = (ratios[c].to_numpy() for c in ("key", "what", "value"))
+    tables = []
+    for x in (0, 1):
+        own = np.flatnonzero(what == x)
+        own = own[np.argsort(key[own])]
+        tables.append((key[own], value[own]))
+    for dest, source, payload in zip(asked["dest"].to_pylist(), asked["source"].to_pylist(), asked["payload"]):
+        want = _of_planes(payload.as_py(), np.int64)
+        told = []
+        for (keys, values), none in zip(tables, (np.nan, 0)):
+            at = np.searchsorted(keys, want)
+            out = np.full(len(want), none, np.float32)
+            has = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == want) if len(keys) else []
+            out[has] = values[at[has]] if len(keys) else 0
+            told.append(_planes(out))
+        rows.append((source, dest, TOLD, _join(told)))
+    return _pieces(rows)
+
+
+def log_ratios(asked: np.ndarray, told: np.ndarray, left: np.ndarray, key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """log p(toxic) - log p(ordinary) of the last byte of each word beginning given those before."""
+    out = told[np.searchsorted(asked, key.view(np.uint64))]
+    rest = np.flatnonzero(np.isnan(out))
+    out[rest] = left[np.searchsorted(asked, context[rest].view(np.uint64))]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        for batch in batches:
-            for s, e in slices(batch.column(1), 1 << 20):
-                words = Words(*utf8(batch.column(1).slice(s, e - s)))
-                _, at, number = np.unique(words.hashes(), return_index=True, return_inverse=True)  # each distinct word once
-                d = np.zeros(e - s)
-                top = d
-                if len(at):
-                    key, context, _, n = _beginnings(words, at)
-                    each = np.add.reduceat(log_ratios(m, key, context).astype(np.float64), np.cumsum(n) - n)
-                    sums = np.concatenate([[0], np.cumsum(each[number])])
-                    d = (sums[words.bound[1:]] - sums[words.bound[:-1]]) / np.maximum(words.count, 1)
-                    top = d.copy()
-                    long = np.flatnonzero(words.count >= WINDOW)
-                    if len(long):
-                        n = words.count[long] - WINDOW + 1
-                        begin = np.repeat(words.bound[long] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        top[long] = np.maximum.reduceat(sums[begin + WINDOW] - sums[begin], np.cumsum(n) - n) / WINDOW
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s).cast(pa.int64()), pa.array(d), pa.array(top)], names=["id", "d", "top"])
 
+def _add(group: pa.Table) -> pa.Table:
+    """SUMS: of a bucket's words, for each block in the order of its list."""
+    kinds, payload = group["kind"].to_numpy(), group["payload"]
+    source = group["source"].to_numpy()
+    listed = zstandard.decompress(_part(payload[int(np.flatnonzero(kinds == WORDS)[0])].as_py())[0]).split(b" ")
+    asked = _asked(listed)
+    parts = np.flatnonzero(kinds == TOLD)
+    answers = [_part(payload[int(i)].as_py()) for i in parts[np.argsort(source[parts])]]
+    told, left = (np.concatenate([_of_planes(x[i], np.float32) for x in answers]) for i in (0, 1))
+    if len(told) != len(asked):
+        raise RuntimeError("beginnings without an answer")
+    sums = []
+    for key, context, _, n in _beginnings_of(listed):
+        sums.append(np.add.reduceat(log_ratios(asked, told, left, key, context).astype(np.float64), np.cumsum(n) - n))
+    each = np.concatenate(sums).astype(np.float32)
+    rows = []
+    for i in np.flatnonzero(kinds == NUMBERS):
+        number, check = _part(payload[int(i)].as_py())
+        rows.append((int(source[i]), group["dest"][0].as_py(), SUMS, _join([_planes(each[_grow(number)]), check])))
+    return _pieces(rows)
+
+
+def _score(group: pa.Table) -> pa.Table:
+    """(id, d, top) of a block's texts."""
+    kinds, source = group["kind"].to_numpy(), group["source"].to_numpy()
+    own = np.flatnonzero(kinds == TEXTS)
+    if len(own) != 1:
+        raise RuntimeError("the texts changed between two readings")
+    own = _part(group["payload"][int(own[0])].as_py())
+    docs, count, bucket, number = np.frombuffer(own[0], np.int64), _grow(own[1]), _grow(own[2]), _grow(own[3])
+    place = np.empty(len(bucket), np.int64)
+    place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+    parts = np.flatnonzero(kinds == SUMS)
+    lists = [_part(group["payload"][int(i)].as_py()) for i in parts[np.argsort(source[parts])]]
+    each = np.concatenate([np.zeros(0, np.float32), *(_of_planes(x[0], np.float32) for x in lists)])
+    if len(each) != len(bucket) or any(x[1] != own[4] for x in lists):
+        raise RuntimeError("the texts changed between two readings")
+    sums = np.concatenate([[0], np.cumsum(each[place[number]].astype(np.float64))])
+    bound = np.concatenate([[0], np.cumsum(count)])
+    d = (sums[bound[1:]] - sums[bound[:-1]]) / np.maximum(count, 1)
+    top = d.copy()
+    long = np.flatnonzero(count >= WINDOW)
+    if len(long):
+        n = count[long] - WINDOW + 1
+        begin = np.repeat(bound[:-1][long] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        top[long] = np.maximum.reduceat(sums[begin + WINDOW] - sums[begin], np.cumsum(n) - n) / WINDOW
+    return pa.table({"id": pa.array(docs), "d": pa.array(d), "top": pa.array(top)})
+
+
+def differences(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, d, top) of every row of docs, by models of labelled (id, txt, label): the length-normalised
+    log-likelihood under the toxic less that under the ordinary model, of the whole text and of
+    the run of words where it is largest."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt"))
-    return own.mapInArrow(run, "id long, d double, top double")
+    volume = own.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
+    buckets = max(16, volume // BUCKET_TEXT)
+    known = labelled.select(F.col("id").cast("long"), F.col("txt").cast("string"), "label").where("label in (0, 1)")
+    lists = own.mapInArrow(_split(buckets, LIST), _PIECES).union(known.mapInArrow(_split(buckets, LIST, True), _PIECES))
+    merged = materialize(lists.groupBy("dest").applyInArrow(_merge, _PIECES), "words")
+    words = merged.where(F.col("kind") == WORDS)
+    ratios = fit_models(words)
+    bits = max(4, (ratios.count() // RANGE_ROWS).bit_length())
+    asked = words.select("dest", "payload").mapInArrow(_ask(bits), _PIECES)
+    dealt = ratios.withColumn("dest", F.shiftrightunsigned("key", 64 - bits))
+    told = dealt.groupBy("dest").cogroup(asked.groupBy("dest")).applyInArrow(_tell, _PIECES)
+    sums = materialize(merged.union(told).groupBy("dest").applyInArrow(_add, _PIECES), "sums")
+    texts = own.mapInArrow(_split(buckets, TEXTS), _PIECES)
+    return materialize(texts.union(sums).groupBy("dest").applyInArrow(_score, "id long, d double, top double"), "differences")
 
 
 def fit_logistic(bins: list[tuple[float, ...]]) -> np.ndarray:
@@ -233,10 +398,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if len(sizes) < 2:
         p = float(next(iter(sizes), 0.5))
         return docs.select(F.col(id_col).alias("id")).select(*out, F.lit(p).alias("score"), F.lit(int(p >= threshold)).alias("predicted"))
-    model = fit_models(rows.where("not own"), "txt", "__label")
-    seen = differences(rows.where("own"), model, "id", "txt").join(rows.where("own").select("id", "__label"), "id")
+    found = differences(docs, rows.where("not own").withColumnRenamed("__label", "label"), id_col, text_col)
+    seen = found.join(rows.where("own").select("id", "__label").distinct(), "id")
     bin_of = lambda c, n: F.round(F.least(F.greatest(F.col(c), F.lit(-8.0)), F.lit(8.0)) * n)
     bins = seen.groupBy(bin_of("d", BINS[0]).alias("d"), bin_of("top", BINS[1]).alias("top")).agg(F.count_if(F.col("__label") == 0).alias("n0"), F.count_if(F.col("__label") == 1).alias("n1")).collect()
     a, b, c = fit_logistic([(r["d"] / BINS[0], r["top"] / BINS[1], r["n0"], r["n1"]) for r in bins]).tolist() if bins else (1.0, 0.0, 0.0)
-    scored = differences(docs, model, id_col, text_col).withColumn("score", 1 / (1 + F.exp(-(F.col("d") * a + F.col("top") * b + c))))
+    scored = found.withColumn("score", 1 / (1 + F.exp(-(F.col("d") * a + F.col("top") * b + c))))
     return scored.select(*out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

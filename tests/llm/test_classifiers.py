@@ -1,3 +1,5 @@
+import collections
+import math
 import os
 import random
 import zlib
@@ -96,3 +98,59 @@ def test_keep_good_keeps_columns_and_clean_rows(spark):
     docs, labels = toy(spark)
     kept = quality_cnn.keep_good(docs, labels)
     assert kept.schema == docs.schema and kept.count() > 0
+
+
+def beginnings(word):
+    """(beginning, context, last four bytes) of each byte of a word and its end, plainly."""
+    w = [*word, toxicity.END]
+    for i in range(min(len(w), toxicity.DEPTH)):
+        yield tuple(w[: i + 1]), tuple(w[:i]), tuple(([toxicity.START] * 3 + w[: i + 1])[-4:])
+
+
+def plain_differences(docs, train):
+    """d of each text by Kneser-Ney with plain dictionaries, nothing left out."""
+    D = toxicity.DISCOUNT
+    count, context_of, last = collections.defaultdict(lambda: [0, 0]), {}, {}
+    for text, label in train:
+        for w in text.lower().encode().split():
+            for key, context, last4 in beginnings(w):
+                count[key][label] += 1
+                context_of[key], last[key] = context, last4
+    grams = {4: collections.Counter(last[k] for k in count)}
+    for n in (3, 2, 1):
+        grams[n] = collections.Counter(g[1:] for g in grams[n + 1])
+
+    def p(g):
+        n = len(g)
+        if n == 1:
+            return (max(grams[1][g] - D, 0) + D * len(grams[1]) / 256) / sum(grams[1].values())
+        same = [c for h, c in grams[n].items() if h[:-1] == g[:-1]]
+        return (max(grams[n][g] - D, 0) + D * len(same) * p(g[1:])) / sum(same)
+
+    sums, kinds = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+    for key, c in count.items():
+        for y in (0, 1):
+            sums[context_of[key]][y] += c[y]
+            kinds[context_of[key]][y] += c[y] > 0
+
+    def left(context, y):
+        return D * kinds[context][y] / sums[context][y] if sums[context][y] else 1.0
+
+    def ratio(key, context, last4):
+        if key not in count:
+            return math.log(left(context, 1) / left(context, 0))
+        q = [(max(count[key][y] - D, 0) / sums[context][y] if sums[context][y] else 0) + left(context, y) * p(last4) for y in (0, 1)]
+        return math.log(q[1] / q[0])
+
+    return [sum(ratio(*x) for w in t for x in beginnings(w)) / max(1, len(t)) for t in (text.lower().encode().split() for text in docs)]
+
+
+def check_differences(spark, docs, train):
+    labelled = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(train)], "id long, txt string, label int")
+    got = toxicity.differences(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), labelled, "doc_id", "text").orderBy("id").collect()
+    assert [r.d for r in got] == pytest.approx(plain_differences(docs, train), abs=1e-5)
+
+
+def test_toxicity_keeps_what_is_seen_once(spark):
+    train = [("the house and the tree", 0), ("a green tree walks", 0), ("the rotten knave", 1), ("a vile zug", 1)]
+    check_differences(spark, ["zug", "the zug of the house", "knaves", "", "tree Rotter zu", "qqq"], train)
