@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of words, one of toxic and one of ordinary text, predict each byte of a word
-from all bytes before it in the word (the first DEPTH bytes; a marker ends a
-word). Counts of a class are discounted, and what that leaves goes to a model that both
+from all bytes before it in the word, or after the first DEPTH bytes from the NEAR bytes
+before it; a marker ends a word, and every byte of it counts. Counts of a class are discounted, and what that leaves goes to a model that both
 classes share: a 4-gram model of continuation counts, with Kneser-Ney backoff down to
 single bytes. A form that one class alone has by chance thus leans on the shared counts,
 while stems and words that are regular in one class stand out. A word is what
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _grow, _join, _part, _shrink
 from .langid import held_out
-from .shared import materialize, with_labels
+from .shared import BROADCAST_ROWS, materialize, with_labels
 from .textops import Words, slices, utf8
 
 BLOCK_BYTES = 32 << 20
@@ -50,6 +50,8 @@ BUCKET_TEXT = 64 << 20
 RANGE_ROWS = 400_000
 DISCOUNT = 0.75
 DEPTH = 12
+NEAR = 5  # two characters of three bytes with the next byte
+SEGMENT = 1 << 18  # bytes of a word taken at a time
 START, END = 1, 2
 WINDOW = 3
 BINS = (100, 20)  # bins a unit of the two differences
@@ -57,13 +59,14 @@ BINS = (100, 20)  # bins a unit of the two differences
 _PIECES = "dest long, source long, kind int, payload binary"
 TEXTS, LIST, WORDS, NUMBERS, ASKED, TOLD, SUMS = range(7)  # kinds of pieces
 _ROOT = np.uint64(0x1B873593CC9E2D51)
+_INNER, _INNER_END, _INNER_CONTEXT = np.uint64(0x7F4A7C15D1B54A33), np.uint64(0x94D049BB133111EB), np.uint64(0x2545F4914F6CDD1D)
 
 
-def _beginnings(words: Words, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, context key, last four bytes, how many each word has) of the word beginnings."""
-    start = words.start if which is None else words.start[which]
-    size = (words.end if which is None else words.end[which]) - start
-    n = np.minimum(size + 1, DEPTH)
+def _beginnings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, context key, last four bytes, how many each word has) of the word beginnings, and of the
+    last bytes of those over DEPTH."""
+    start, size = words.start, words.end - words.start
+    n = size + 1
     total = int(n.sum())
     first = np.cumsum(n) - n
     at = np.arange(total) - np.repeat(first, n)
@@ -81,6 +84,12 @@ def _beginnings(words: Words, which: np.ndarray | None = None) -> tuple[np.ndarr
     context = np.empty_like(key)
     context[1:] = key[:-1]
     context[at == 0] = _ROOT
+    inner = np.flatnonzero(at >= DEPTH)
+    if len(inner):
+        before = words.prefix_hashes(src[inner] - NEAR, src[inner])
+        with_own = words.prefix_hashes(src[inner] - NEAR, np.minimum(src[inner] + 1, len(words.data)))
+        key[inner] = np.where(ends[inner], before ^ _INNER_END, with_own ^ _INNER)
+        context[inner] = before ^ _INNER_CONTEXT
     return key.view(np.int64), context.view(np.int64), last4, n
 
 
@@ -174,14 +183,25 @@ def _merge(group: pa.Table) -> pa.Table:
     return _pieces([(bucket, -1, WORDS, _join([zstandard.compress(b" ".join(number), 3), _shrink(t), _shrink(o)])), *out])
 
 
-def _beginnings_of(listed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """_beginnings of a list of words, some at a time."""
-    ends = np.cumsum([len(w) + 1 for w in listed])
+def _beginnings_of(listed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """_beginnings of a list of words, some at a time, and the places in the list of what n counts. Long words come
+    in several parts, which overlap by what the last bytes need."""
+    sizes = np.array([len(w) + 1 for w in listed])
+    ends = np.cumsum(sizes)
     start = 0
     while start < len(listed):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 19), side="right")))
-        data = np.frombuffer(b" ".join(listed[start:stop]), np.uint8)
-        yield _beginnings(Words(data, np.array([0, len(data)])))
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + SEGMENT, side="right")))
+        word = listed[start]
+        if len(word) <= SEGMENT:
+            data = np.frombuffer(b" ".join(listed[start:stop]), np.uint8)
+            yield *_beginnings(Words(data, np.array([0, len(data)]))), np.arange(start, stop)
+        else:
+            for s in range(0, len(word), SEGMENT):
+                skip = min(s, DEPTH + NEAR)
+                data = np.frombuffer(word[s - skip : s + SEGMENT], np.uint8)
+                key, context, last4, _ = _beginnings(Words(data, np.array([0, len(data)])))
+                own = slice(skip, len(key) - (s + SEGMENT < len(word)))
+                yield key[own], context[own], last4[own], np.array([len(key[own])]), np.array([start])
         start = stop
 
 
@@ -193,10 +213,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, o = _grow(t), _grow(o)
             some = np.flatnonzero(t + o)
             listed = zstandard.decompress(packed).split(b" ")
-            held, at = [], 0
-            for key, context, last4, n in _beginnings_of([listed[i] for i in some]):
-                own = some[at : at + len(n)]
-                at += len(n)
+            held = []
+            for key, context, last4, n, at in _beginnings_of([listed[i] for i in some]):
+                own = some[at]
                 key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
                 held.append((key, context[first], last4[first], *(np.bincount(inverse, np.repeat(c[own], n), len(key)).astype(np.int64) for c in (t, o))))
             if held:
@@ -218,7 +237,7 @@ def fit_models(words: DataFrame) -> DataFrame:
     above = lambda col: F.shiftright(col, 8)
 
     # the shared model: in how many different contexts an n-gram continues a word
-    e4 = nodes.groupBy(F.col("last4").alias("g4")).agg(F.count("*").alias("n"))
+    e4 = materialize(nodes.groupBy(F.col("last4").alias("g4")).agg(F.count("*").alias("n")), "grams")
     e3 = e4.groupBy(low("g4", 3).alias("g3")).agg(F.count("*").alias("n"))
     e2 = e3.groupBy(low("g3", 2).alias("g2")).agg(F.count("*").alias("n"))
     e1 = e2.groupBy(low("g2", 1).alias("g1")).agg(F.count("*").alias("n"))
@@ -229,12 +248,17 @@ def fit_models(words: DataFrame) -> DataFrame:
         context = e.groupBy(above(g).alias("c")).agg(F.sum("n").alias("s"), F.count("*").alias("k"))
         shared = e.withColumn("c", above(g)).withColumn(h, low(g, n - 1)).join(context, "c").join(shared, h).select(g, ((F.greatest(F.col("n") - D, F.lit(0.0)) + D * F.col("k") * F.col(f"p{n - 1}")) / F.col("s")).alias(f"p{n}"))
 
+    shared = materialize(shared.withColumnRenamed("g4", "last4"), "shared")
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
+
     has = lambda c: F.count_if(F.col(c) > 0)
     left = lambda s, k: F.when(F.col(s) > 0, D * F.col(k) / F.col(s)).otherwise(1.0)
     share = lambda n, s: F.when(F.col(s) > 0, F.greatest(F.col(n) - D, F.lit(0.0)) / F.col(s)).otherwise(0.0)
     contexts = nodes.groupBy("context").agg(F.sum("t").alias("st"), F.sum("o").alias("so"), has("t").alias("kt"), has("o").alias("ko"))
     contexts = contexts.select("context", "st", "so", left("st", "kt").alias("lt"), left("so", "ko").alias("lo"))
-    known = nodes.join(contexts, "context").join(shared.withColumnRenamed("g4", "last4"), "last4")
+    contexts = materialize(contexts, "contexts")
+    known = nodes.join(contexts, "context").join(shared, "last4")
     ratio = F.log((share("t", "st") + F.col("lt") * F.col("p4")) / (share("o", "so") + F.col("lo") * F.col("p4")))
     known = known.select("key", F.lit(0).alias("what"), ratio.cast("float").alias("value"))
     rest = contexts.select(F.col("context").alias("key"), F.lit(1).alias("what"), F.log(F.col("lt") / F.col("lo")).cast("float").alias("value"))
@@ -266,7 +290,7 @@ def _of_planes(data: bytes, kind: type) -> np.ndarray:
 
 
 def _asked(listed: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(np.concatenate([key, context])) for key, context, _, _ in _beginnings_of(listed)]).view(np.uint64))
+    return np.unique(np.concatenate([np.unique(np.concatenate([key, context])) for key, context, *_ in _beginnings_of(listed)]).view(np.uint64))
 
 
 def _tell(ratios: pa.Table, asked: pa.Table) -> pa.Table:
@@ -311,10 +335,10 @@ def _add(group: pa.Table) -> pa.Table:
     told, left = (np.concatenate([_of_planes(x[i], np.float32) for x in answers]) for i in (0, 1))
     if len(told) != len(asked):
         raise RuntimeError("beginnings without an answer")
-    sums = []
-    for key, context, _, n in _beginnings_of(listed):
-        sums.append(np.add.reduceat(log_ratios(asked, told, left, key, context).astype(np.float64), np.cumsum(n) - n))
-    each = np.concatenate(sums).astype(np.float32)
+    each = np.zeros(len(listed))
+    for key, context, _, n, at in _beginnings_of(listed):
+        each[at] += np.add.reduceat(log_ratios(asked, told, left, key, context).astype(np.float64), np.cumsum(n) - n)
+    each = each.astype(np.float32)
     rows = []
     for i in np.flatnonzero(kinds == NUMBERS):
         number, check = _part(payload[int(i)].as_py())
@@ -352,7 +376,17 @@ def _score(group: pa.Table) -> pa.Table:
 def differences(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, d, top) of every row of docs, by models of labelled (id, txt, label): the length-normalised
     log-likelihood under the toxic less that under the ordinary model, of the whole text and of
-    the run of words where it is largest."""
+    the run of words where it is largest. Shuffle files go as soon as what they lead to is written."""
+    conf, name = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return _differences(docs, labelled, id_col, text_col)
+    finally:
+        conf.set(name, before)
+
+
+def _differences(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt"))
     volume = own.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
     buckets = max(16, volume // BUCKET_TEXT)

@@ -103,8 +103,9 @@ def test_keep_good_keeps_columns_and_clean_rows(spark):
 def beginnings(word):
     """(beginning, context, last four bytes) of each byte of a word and its end, plainly."""
     w = [*word, toxicity.END]
-    for i in range(min(len(w), toxicity.DEPTH)):
-        yield tuple(w[: i + 1]), tuple(w[:i]), tuple(([toxicity.START] * 3 + w[: i + 1])[-4:])
+    for i in range(len(w)):
+        s = 0 if i < toxicity.DEPTH else i - toxicity.NEAR
+        yield (s > 0, *w[s : i + 1]), (s > 0, *w[s:i]), tuple(([toxicity.START] * 3 + w[: i + 1])[-4:])
 
 
 def plain_differences(docs, train):
@@ -154,3 +155,17 @@ def check_differences(spark, docs, train):
 def test_toxicity_keeps_what_is_seen_once(spark):
     train = [("the house and the tree", 0), ("a green tree walks", 0), ("the rotten knave", 1), ("a vile zug", 1)]
     check_differences(spark, ["zug", "the zug of the house", "knaves", "", "tree Rotter zu", "qqq"], train)
+
+
+def test_toxicity_reads_words_to_their_end(spark, monkeypatch):
+    train = [("a-long-and-hyphenated-house", 0), ("the river-and-the-little-tree", 0), ("a-long-and-hyphenated-knave", 1), ("我们今天去公园散步", 0), ("我们今天去坏蛋散步", 1)]
+    docs = ["a-long-and-hyphenated-knave", "a-long-and-hyphenated-house", "他们明天也去坏蛋散步", "twelve-bytes", "eleven-byte", "x" * 300 + "-knave " + "y" * 70]
+    assert plain_differences(docs[:1], train)[0] > plain_differences(docs[1:2], train)[0]
+    check_differences(spark, docs, train)
+    words = [d.encode() for d in docs[:2]] + [b"k" * 50 + bytes(range(97, 123)) * 3, b"end"]
+    whole = [x.tolist() for x in toxicity._beginnings(toxicity.Words(np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))])))]
+    monkeypatch.setattr(toxicity, "SEGMENT", 20)
+    parts = list(toxicity._beginnings_of(words))
+    assert len(parts) > 6
+    assert [np.concatenate([x[i] for x in parts]).tolist() for i in range(3)] == whole[:3]
+    assert np.bincount(np.concatenate([x[4] for x in parts]), np.concatenate([x[3] for x in parts])).tolist() == whole[3]
