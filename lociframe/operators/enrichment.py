@@ -53,34 +53,38 @@ def prioritise(scores: DataFrame, terms: DataFrame, item: str, term: str, z: str
     return running_sums(s, "score", [F.desc("score"), item], {"rank": F.lit(1)}, descending=True)
 
 
-def roll_up(terms: DataFrame, parents: DataFrame, usable: DataFrame, term: str, parent: str, rounds: int = 30) -> DataFrame:
+def roll_up(terms: DataFrame, parents: DataFrame, usable: DataFrame, term: str, parent: str) -> DataFrame:
     """(term, used): each term itself if it is usable, else its nearest usable ancestors.
 
     parents is the edge table (term, parent); each round climbs one level for what is open,
-    so rounds are at most the depth of the ontology."""
+    so rounds are at most the depth of the ontology. A term comes to each ancestor once, so
+    edges in a circle end as well."""
+    from .ordered import settled
+
     ok = usable.select(F.col(term).alias("used")).distinct()
     open_ = terms.select(F.col(term).alias("term"), F.col(term).alias("used")).distinct()
     up = parents.select(F.col(term).alias("used"), F.col(parent).alias("__up"))
-    done = None
-    for _ in range(rounds):
-        hit = open_.join(ok, "used", "left_semi").select("term", "used")
-        done = hit if done is None else done.union(hit)
-        open_ = open_.join(ok, "used", "left_anti").join(up, "used").select("term", F.col("__up").alias("used")).distinct()
-        if open_.isEmpty():
-            break
+    seen = open_ = settled(open_)
+    while not open_.isEmpty():
+        above = open_.join(ok, "used", "left_anti").join(up, "used").select("term", F.col("__up").alias("used")).distinct()
+        open_ = settled(above.join(seen, ["term", "used"], "left_anti"))
+        seen = settled(seen.union(open_).distinct())
+    done = seen.join(ok, "used", "left_semi").select("term", "used")
     return done.distinct().withColumnRenamed("term", term)
 
 
-def descendants(parents: DataFrame, term: str, parent: str, rounds: int = 30) -> DataFrame:
+def descendants(parents: DataFrame, term: str, parent: str) -> DataFrame:
     """(ancestor, term): the closure of the edges, by joins that stop when nothing is new."""
+    from .ordered import settled
+
     edges = parents.select(F.col(parent).alias("ancestor"), F.col(term).alias("term")).distinct()
-    closure, front = edges, edges
-    for _ in range(rounds):
+    closure = front = edges = settled(edges)
+    while True:
         step = front.join(edges.select(F.col("ancestor").alias("term"), F.col("term").alias("__below")), "term").select("ancestor", F.col("__below").alias("term")).distinct()
-        front = step.join(closure, ["ancestor", "term"], "left_anti")
+        front = settled(step.join(closure, ["ancestor", "term"], "left_anti"))
         if front.isEmpty():
             break
-        closure = closure.union(front).distinct()
+        closure = settled(closure.union(front).distinct())
     return closure
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .intervals import band_join
+from .ordered import settled
 
 
 def pair_counts(genotypes: DataFrame, pairs: DataFrame, variant: str, sample: str, call: str) -> DataFrame:
@@ -117,21 +118,22 @@ def clump(hits: DataFrame, chrom: str, pos: str, p: str, key: str, window: int)
     return r.groupBy(chrom, "__region").applyInPandas(run, schema)
 
 
-def prune(variants: DataFrame, links: DataFrame, key: str, order: str, rounds: int = 50) -> DataFrame:
+def prune(variants: DataFrame, links: DataFrame, key: str, order: str) -> DataFrame:
     """Variants kept when, in order, each is dropped that is linked to a kept earlier one.
 
     links has (a, b) of pairs in LD. Decided in rounds of joins: a variant whose earlier
     neighbours are all dropped is kept, one with a kept earlier neighbour is dropped;
-    each round decides at least the earliest open variant of every linked group."""
+    each round decides at least the earliest open variant of every linked group, and rounds
+    go on until none is open."""
     rank = F.struct(order, key)
     v = variants.select(F.col(key).alias("k"), rank.alias("r"))
     e = links.select("a", "b").union(links.select("b", "a")).toDF("k", "other").distinct()
-    e = e.join(v, "k").join(v.select(F.col("k").alias("other"), F.col("r").alias("ro")), "other").where("ro < r").select("k", "other")
+    e = settled(e.join(v, "k").join(v.select(F.col("k").alias("other"), F.col("r").alias("ro")), "other").where("ro < r").select("k", "other"))
     state = v.select("k", F.lit(None).cast("boolean").alias("kept"))
-    for _ in range(rounds):
+    while True:
         s = e.join(state.select(F.col("k").alias("other"), F.col("kept").alias("ok")), "other").groupBy("k").agg(F.max(F.coalesce("ok", F.lit(False))).alias("has_kept"), F.max(F.col("ok").isNull()).alias("has_open"))
         new = state.join(s, "k", "left").select("k", F.coalesce("kept", F.when(F.coalesce("has_kept", F.lit(False)), False).when(~F.coalesce("has_open", F.lit(False)), True)).alias("kept"))
-        state = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        state = settled(new)
         if state.where("kept is null").isEmpty():
             break
     return variants.join(state.where("kept").select(F.col("k").alias(key)), key, "left_semi")

@@ -51,3 +51,9 @@ def running_min_from_end(rows: DataFrame, key: str, order: list[Column | str], v
     offsets = totals.select("__block", F.min("__t").over(later).alias("__o"))
     w = Window.partitionBy("__block").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     return r.join(F.broadcast(offsets), "__block").withColumn(out, F.least(F.min("__v").over(w), "__o")).select(*rows.columns, out)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that the plan of a loop of rounds stays short. Without
+    a folder, kept on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()

@@ -221,3 +221,14 @@ def test_t_test(spark, welch):
     d = spark.createDataFrame([("g", True, 1.0), ("g", True, 2.0), ("g", True, 3.0), ("g", False, 5.0), ("g", False, 7.0)], "k string, a boolean, x double")
     r = agg.t_test(d, ["k"], "x", F.col("a"), welch).first()
     assert abs(r.t - (2 - 6) / math.sqrt(1 / 3 + 2 / 2)) < 1e-12
+
+
+def test_rounds_go_on_to_the_end(spark):
+    n = 54
+    v = spark.createDataFrame([(i, i * 10) for i in range(n)], "k int, pos int").coalesce(1)
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a int, b int").coalesce(1)
+    assert [r.k for r in ld.prune(v, links, "k", "pos").orderBy("k").collect()] == list(range(0, n, 2))
+    deep = spark.createDataFrame([(i, i + 1) for i in range(32)], "term int, parent int").coalesce(1)
+    up = enrichment.roll_up(spark.createDataFrame([(0,)], "term int"), deep, spark.createDataFrame([(32,)], "term int"), "term", "parent")
+    assert rows(up) == [(0, 32)]
+    assert enrichment.descendants(deep, "term", "parent").count() == 32 * 33 // 2
