@@ -9,8 +9,9 @@ language of the centroid with the largest cosine; if that is under `reject`, too
 far from all of them, `rejected` says so.
 
 Null texts and texts without a letter are `und` with score 0. Ties go to the first
-language in sorted order. Whole texts count, long ones in pieces of bounded size.
-Repeated rows get equal results; only the named columns are read; an empty table
+language in sorted order. Whole texts count, long ones in pieces of bounded size that
+overlap as far as their grams reach, so a piece's border changes nothing. Rows with a null id are
+not trained on and stay in the result. Repeated rows get equal results; only the named columns are read; an empty table
 gives an empty result, and without any training rows every text is `und`."""
 
 from __future__ import annotations
@@ -35,25 +36,38 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
 
 
-def _codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, what is no letter as single blanks, blank at both ends."""
-    code = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "replace"), np.uint32)
+def _codes(lowered: str) -> np.ndarray:
+    """Code points, what is no letter as blanks."""
+    code = np.frombuffer(lowered.encode("utf-32-le", "replace"), np.uint32)
     letter = (code >= 0xAA) & (code != 0xD7) & (code != 0xF7) & ~((code >= 0x2000) & (code < 0x2070)) & ~((code >= 0x3000) & (code < 0x3005)) | (code >= 97) & (code < 123)
-    code = np.where(letter, code, 32).astype(np.uint32)
-    return code[np.append(True, (code[1:] != 32) | (code[:-1] != 32))]
+    return np.where(letter, code, 32).astype(np.uint32)
 
 
 def counts(texts: list[str | None]) -> np.ndarray:
-    """Gram counts, one row a text."""
+    """Gram counts, one row a text. A long text goes in pieces, each with the last two places of the
+    one before, so the grams are those of the whole; a blank is at both ends."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for i, text in enumerate(texts):
-        for at in range(0, len(text or ""), _PIECE):
-            c = _codes(text[at : at + _PIECE])
+        lowered = (text or "").lower()
+        if not lowered:
+            continue
+        before = np.array([32], np.uint32)
+        new = 1  # places of c that the piece before has not counted
+        for at in range(0, len(lowered), _PIECE):
+            own = _codes(lowered[at : at + _PIECE])
+            if at + _PIECE >= len(lowered):
+                own = np.append(own, np.uint32(32))
+            c = np.concatenate([before, own])
+            keep = np.append(True, (c[1:] != 32) | (c[:-1] != 32))
+            keep[: len(before)] = True
+            c = c[keep]
+            old = len(before) - new
             a = c * np.uint32(0x9E3779B1)
             b = a[:-1] ^ (c[1:] * np.uint32(0x85EBCA77) + np.uint32(1))
             d = b[:-1] * np.uint32(0xC2B2AE3D) ^ (c[2:] * np.uint32(0x27D4EB2F) + np.uint32(2))
-            h = np.concatenate([a, b * np.uint32(0x2545F491), d * np.uint32(0x9E3779B1)])
+            h = np.concatenate([a[old:], b[max(old - 1, 0) :] * np.uint32(0x2545F491), d[max(old - 2, 0) :] * np.uint32(0x9E3779B1)])
             out[i] += np.bincount((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(20), minlength=DIMS)[:DIMS]
+            before, new = c[-2:], 0
     return out
 
 
@@ -145,4 +159,4 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], id
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2) -> DataFrame:
     """Fit on the rows outside the held-out fold, predict all rows."""
     model = fit(docs.where(~held_out(id_col, folds, fold)), id_col, text_col, lang_col)
-    return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(id_col, folds, fold)).select(id_col, "held_out", "lang_pred", "score", "rejected")
+    return predict(docs, model, id_col, text_col).withColumn("held_out", F.coalesce(held_out(id_col, folds, fold), F.lit(False))).select(id_col, "held_out", "lang_pred", "score", "rejected")
