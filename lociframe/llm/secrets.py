@@ -1,21 +1,26 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its content (its blob).
-The ledger lists the (blob, rule version) pairs that were scanned, with what was
+The ledger, a Parquet folder, lists the (blob, rule version) pairs that were scanned, with what was
 found. A scan reads only the pairs that the ledger lacks, each blob once however
-many paths hold it, and findings are joined back to all paths and versions.
+many paths hold it, appends them, and findings are joined back to all paths and versions. A blob
+that very many paths hold is split for that join (HOT).
 
-A null text is the empty text. Empty texts, repeated rows and empty tables need no
+A null text is the empty text, and stays null in redacted rows. Empty texts, repeated rows, null ids and empty tables need no
 care: they are blobs (or none) like others. Matches of a kind are leftmost and do
-not overlap; places count code points. Only the columns named are read."""
+not overlap; places count code points. Only the columns named are read; findings and redact keep all
+columns of their input, whatever their names, but that findings replaces one named spans."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import BROADCAST_ROWS, materialize, shared_folder
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,11 +49,16 @@ BASE_RULES = (
 )
 MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", hint="-----BEGIN"),
-    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,255}", hint="gh"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="-----BEGIN"),
+    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Paths of one blob that go into one group of a join, about.
+HOT = 1000
+#: Increments in which scan takes the versions.
+INCREMENTS = 2
+
 FINDING = "struct<start:int,rank:int,end:int,kind:string>"
 
 
@@ -99,44 +109,73 @@ def scan_increment(versions: DataFrame, ledger: DataFrame | None = None, rules:
     return todo.select("blob", F.array_join("todo", ",").alias("rules"), F.sort_array(F.concat(*every)).alias("spans"))
 
 
+def update_ledger(versions: DataFrame, path: str, started: bool, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Scan what the ledger at path lacks of versions, append it, and return the ledger. started: a ledger is there."""
+    spark = versions.sparkSession
+    known = spark.read.parquet(path) if started else None
+    scan_increment(versions, known, rules, text_col).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _known(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans): what the ledger has under these rule versions, sorted."""
+    known = ledger.where(F.arrays_overlap(F.split("rules", ","), F.array(*(F.lit(r.key) for r in rules)))).select("blob", "spans")
+    known = known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return known.select("blob", F.filter("spans", lambda x: x["kind"].isin(*(r.kind for r in rules))).alias("spans"))
+
+
+def _to_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """paths(blob, ...) with the spans of their blobs. Blobs of more than HOT paths are split in parts."""
+    hot = paths.groupBy("blob").count().where(F.col("count") > HOT).select("blob", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    hot = materialize(hot, "hot-blobs")  # a path in HOT at most
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    salted = paths.join(hot, "blob", "left").withColumn("part", F.pmod(F.xxhash64(*(c for c in paths.columns if c != "blob")), parts).cast("int")).drop("parts")
+    spread = known.join(hot, "blob", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return salted.join(spread, ["blob", "part"], "left").drop("part")
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """versions with `spans`, the sorted findings of its content under these rules."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rank = {r.kind: i for i, r in enumerate(rules)}
-    known = ledger.where(F.arrays_overlap(F.split("rules", ","), F.array(*(F.lit(r.key) for r in rules)))).select("blob", "spans")
-    known = known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
-    known = known.select(F.col("blob").alias("__blob"), F.filter("__spans", lambda x: x["kind"].isin(*rank)).alias("spans"))
-    return versions.drop("spans").withColumn("__blob", F.sha2(text, 256)).join(known, "__blob", "left").drop("__blob")
+    own = [c for c in versions.columns if c != "spans"]
+    found = _to_paths(versions.select(blob_of(F.col(text_col).cast("string")).alias("blob"), F.struct(*own).alias("own")), _known(ledger, rules))
+    return found.select("own.*", "spans")
 
 
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs: one increment
-    on an empty ledger, joined back to the documents."""
-    own = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    ledger = scan_increment(own, None, rules).select("blob", "spans")
-    paths = own.select(id_col, blob_of(F.col("text")).alias("blob"))
-    found = paths.join(ledger, "blob")
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs. The rows come as
+    INCREMENTS parts, by a hash of the id; each scans what the ledger (at path, or a new folder of the shared
+    one) lacks, and the findings of the whole ledger are joined back to all rows."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    path, started = (path, True) if path else (f"{shared_folder(docs.sparkSession)}/ledger-{uuid.uuid4().hex}", False)
+    for i in range(INCREMENTS):
+        ledger = update_ledger(own.where(F.pmod(F.xxhash64("id"), F.lit(INCREMENTS)) == i), path, started, rules)
+        started = True
+    found = _to_paths(own.select("id", blob_of(F.col("text")).alias("blob")), _known(ledger, rules))
     base = F.filter("spans", lambda x: x["kind"].isin(*(r.kind for r in BASE_RULES)))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    return found.select(id_col, *(count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias(id_col), *(count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every finding in its text replaced by mark; overlapping findings are one.
-    A null text stays null."""
-    ledger = scan_increment(docs, None, rules, text_col)
-    found = docs.withColumn("__blob", blob_of(F.col(text_col))).join(ledger.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob")
-    text = F.col(text_col)
+    A null text stays null. Few blobs with findings, counted, are broadcast, so that no text is moved
+    for them; more are joined by shuffling."""
+    known = materialize(scan_increment(docs.select(F.col(text_col).cast("string").alias("text")), None, rules).where(F.size("spans") > 0).select("blob", "spans"), "found-blobs")
+    rows = docs.select(blob_of(F.col(text_col).cast("string")).alias("blob"), F.struct(*docs.columns).alias("own"))
+    found = rows.join(F.broadcast(known), "blob", "left") if known.count() <= BROADCAST_ROWS // 10 else _to_paths(rows, known)
+    text = F.col("own")[text_col]
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.when(x["start"] > acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).when(x["start"] == acc["at"], F.concat(acc["out"], F.lit(mark))).otherwise(acc["out"])
         return F.struct(gap.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("__spans") == 0, text).otherwise(done)
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.when(F.col("spans").isNull() | text.isNull(), text).otherwise(done)
+    return found.select(*(clean.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns))

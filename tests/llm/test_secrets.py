@@ -57,9 +57,26 @@ def test_ledger_is_incremental(spark):
         assert [(s["start"], s["end"], s["kind"]) for s in r.spans if s["rank"] < 3] == [(s, e, k) for s, _, e, k in base(r.text)]
 
 
+def test_scan_takes_only_what_the_ledger_lacks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(secrets, "HOT", 3)
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(40)] + [(None, TEXTS[3])] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"file://{tmp_path}/ledger"
+    secrets.empty_ledger(spark).write.parquet(path)
+    got = secrets.scan(df, path=path).collect()
+    ledger = spark.read.parquet(path)
+    assert ledger.count() == ledger.select("blob").distinct().count() == len({t or "" for t in TEXTS})  # the second part scanned no blob of the first
+    assert sorted(map(str, got)) == sorted(map(str, secrets.scan(df).collect())) and len(got) == len(rows)
+    secrets.scan(df.unionByName(spark.createDataFrame([(99, "new")], df.schema)), path=path).collect()
+    assert spark.read.parquet(path).count() == len({t or "" for t in TEXTS}) + 1
+
+
 def test_redact(spark):
-    df = spark.createDataFrame([(1, TEXTS[3], 5), (2, None, 0), (3, "plain", 5)], "doc_id long, text string, n long")
-    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    df = spark.createDataFrame([(1, TEXTS[3], 5, "a"), (2, None, 0, "b"), (3, "plain", 5, "c"), (4, "ghp_" + "a1B2" * 100 + " x", 1, "d")], "doc_id long, text string, blob long, spans string")
+    rows = secrets.redact(df)
+    assert rows.columns == df.columns and {(r.doc_id, r.blob, r.spans) for r in rows.collect()} == {(1, 5, "a"), (2, 0, "b"), (3, 5, "c"), (4, 1, "d")}
+    got = {r.doc_id: r.text for r in rows.collect()}
+    assert got[4] == "[SECRET] x"
     assert got[2] is None and got[3] == "plain"
     assert "abcdefghijkl" not in got[1] and "AKIAABC" not in got[1] and "PASSWORD:short" in got[1]
 
