@@ -8,10 +8,10 @@ probability. Because largest values are all that counts, a gradient reaches one
 a filter and chunk, which makes training cheap.
 
 Training uses a sample of labelled rows of at most about SAMPLE a class (chosen by a
-hash of the id) and at most TRAIN_CHUNKS evenly spaced chunks of each; scoring uses
-every chunk. It runs on the driver, on this bounded sample, from a fixed seed.
+hash of the id, among texts of TRAIN_BYTES at most) and, as scoring, every chunk of them. It runs on the
+driver, on this bounded sample, from a fixed seed.
 
-Null and empty texts are one chunk of zero bytes and get the score that the network
+A null id is in no sample and stays null in its own row. Null and empty texts are one chunk of zero bytes and get the score that the network
 gives it. Repeated rows get equal scores. Long texts are scored in pieces of
 bounded size. Only the named columns are read. An empty table gives an empty
 result; without labels of both classes every score is the share of label 1, or 0.5."""
@@ -29,7 +29,7 @@ from .langid import held_out
 from .textops import slices, utf8
 
 CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 256, 192, 6, 16, 12
-SAMPLE, TRAIN_CHUNKS, EPOCHS = 1200, 8, 14
+SAMPLE, TRAIN_BYTES, EPOCHS = 1200, 1 << 15, 14
 _PIECE_CHUNKS = 2048
 
 Model = dict[str, np.ndarray]
@@ -61,6 +61,16 @@ def pool(m: Model, chunks: np.ndarray) -> np.ndarray:
     return np.concatenate([_respond(m["filters"], chunks[i : i + 64]).max(axis=1) for i in range(0, len(chunks), 64)])
 
 
+def peaks(filters: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each filter responds most in each chunk, and how much."""
+    where, most = [], []
+    for i in range(0, len(chunks), 64):
+        raw = _respond(filters, chunks[i : i + 64])
+        where.append(raw.argmax(axis=1))
+        most.append(np.take_along_axis(raw, where[-1][:, None, :], axis=1)[:, 0])
+    return np.concatenate(where), np.concatenate(most)
+
+
 def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     m: Model = {
@@ -72,10 +82,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed
         "b2": np.zeros(1, np.float32),
     }
     first, second = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
-    parts = []
-    for t in texts:
-        c = chunks_of(t)
-        parts.append(c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).round().astype(int))])
+    parts = [chunks_of(t) for t in texts]
     step = 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(parts))
@@ -83,9 +90,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed
             pick = order[at : at + 48]
             bound = np.cumsum([0] + [len(parts[i]) for i in pick])
             chunks = np.concatenate([parts[i] for i in pick])
-            raw = _respond(m["filters"], chunks)
-            where = raw.argmax(axis=1)  # (chunk, filter)
-            p0 = np.take_along_axis(raw, where[:, None, :], axis=1)[:, 0] + m["fb"]
+            where, most = peaks(m["filters"], chunks)
+            p0 = most + m["fb"]
             p = np.maximum(p0, 0)
             h0 = p @ m["w1"] + m["b1"]
             h = np.maximum(h0, 0)
@@ -127,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("label") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
     texts_of = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt")).join(F.broadcast(chosen), "id")
-    got = texts_of.select("id", "label", "txt").mapInArrow(_train_bytes, "id long, label int, bytes binary").collect()
+    got = texts_of.select("id", "label", F.coalesce("txt", F.lit("")).cast("binary").alias("bytes")).where(F.length("bytes") <= TRAIN_BYTES).collect()
     got.sort(key=lambda r: (r["id"], r["bytes"]))
     labels_of = np.array([r["label"] for r in got], np.float32)
     if not 0 < labels_of.sum() < len(got):
@@ -141,21 +147,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(texts, labels_of, weights / weights.mean())
 
 
-def _train_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with more chunks than training uses are reduced to those chunks, side by side."""
-    for batch in batches:
-        data, offs = utf8(batch.column(2))
-        out = []
-        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-            c = chunks_of(data[a:b])
-            if len(c) > TRAIN_CHUNKS:
-                c = c[np.linspace(0, len(c) - 1, TRAIN_CHUNKS).round().astype(int)]
-                out.append(np.concatenate([x[:STRIDE] for x in c[:-1]] + [c[-1]]).tobytes())
-            else:
-                out.append(data[a:b].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "bytes"])
-
-
 def scores(m: Model, texts: list[np.ndarray]) -> np.ndarray:
     parts = [chunks_of(t) for t in texts]
     out = np.zeros((len(texts), HIDDEN), np.float32)
@@ -222,4 +213,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Fit on labelled rows outside the held-out fold; (doc_id, held_out, score, predicted) of all rows."""
     model = fit(docs, labels, id_col, text_col, label_col, folds, fold)
     out = score(docs, model, id_col, text_col)
-    return out.select(id_col, held_out(id_col, folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(id_col, F.coalesce(held_out(id_col, folds, fold), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
