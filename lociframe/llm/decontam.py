@@ -6,9 +6,11 @@ to S shingles every document, however long, is covered by windows of 2 S
 consecutive shingles that begin every S: a passage of S shingles lies whole in
 one of them, so the Jaccard similarity of item and window stays high although
 that of item and document may be tiny. Each of `bands` MinHash values is a band of
-one row: item and window are candidates if one value agrees. Even an item of
+one row: item and window are candidates if one value agrees. An item of more than EXACT shingles of
 which only the required share is there, in the least favourable size, is found
-with probability 1 - 0.81^bands (more than 0.9999 for 48). Candidates are then
+with probability 1 - 0.81^bands (more than 0.9999 for 48). The partition of items up to EXACT
+shingles has windows of one shingle: any n - need + 1 of an item's n shingles hold one that
+every document with need of them has, so the least of its hashes are its values, and none is missed. Candidates are then
 verified by exact shingle containment over the whole document.
 
 Values of the windows are looked up in a table of fixed size (2^20 slots of one
@@ -17,8 +19,9 @@ joined with the items' values in Spark. More items make that table let more
 pass, never less.
 
 Null and empty texts match nothing. An item or document of fewer than k words has
-its whole word sequence as one shingle. Repeated document ids give one row per
-(document, item). Only the id and text columns are read. Empty tables give an
+its whole word sequence as one shingle. Rows that repeat a document or item id, or have a null one, are compared
+each by itself; of the rows of one (doc_id, item_id) the one with the largest containment, then
+the largest item, is returned. Long texts are searched in one piece. Only the id and text columns are read. Empty tables give an
 empty result."""
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,11 @@ from .textops import Words, grams, mix, shingle_sets, slices, utf8
 
 _SLOTS = 1 << 20
 _SMALL = 16
-_ITEM = "item long, n long, level int, toks array<long>, keys array<long>"
-_HIT = "doc long, keys array<long>, toks array<long>"
+#: Items of so many shingles are found by their shingles themselves.
+EXACT = 8
+_EXACT_LEVEL = 63
+_ITEM = "ref long, item long, n long, level int, toks array<long>, keys array<long>"
+_HIT = "row long, doc long, keys array<long>, toks array<long>"
 
 
 def _factors(bands: int) -> np.ndarray:
@@ -51,20 +58,27 @@ def _as_list(values: np.ndarray, bound: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _items(k: int, bands: int):
+def _items(k: int, bands: int, percent: int):
     factors = _factors(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in slices(batch.column(1)):
-                toks, bound = shingle_sets(Words(*utf8(batch.column(1).slice(s, e - s))), k)
+            for s, e in slices(batch.column(2)):
+                toks, bound = shingle_sets(Words(*utf8(batch.column(2).slice(s, e - s))), k)
                 n = np.diff(bound)
                 level = np.ceil(np.log2(np.maximum(n, _SMALL) / _SMALL)).astype(np.int32)
-                keys = np.zeros((len(n), bands), np.uint64)
-                for i in np.flatnonzero(n):
-                    least = (toks[bound[i] : bound[i + 1], None] * factors).min(axis=0)
-                    keys[i] = [_keys(least[j : j + 1], int(level[i]), j)[0] for j in range(bands)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s).cast(pa.int64()), pa.array(n), pa.array(level), _as_list(toks, bound), _as_list(keys.ravel(), np.arange(len(n) + 1) * bands)], names=["item", "n", "level", "toks", "keys"])
+                level[n <= EXACT] = _EXACT_LEVEL
+                keys = [np.zeros(0, np.uint64)]
+                for i in range(len(n)):
+                    own = toks[bound[i] : bound[i + 1]]
+                    if 0 < n[i] <= EXACT:
+                        keys.append(_keys(own[: n[i] - (percent * n[i] + 99) // 100 + 1], _EXACT_LEVEL, 0))
+                    elif n[i]:
+                        least = (own[:, None] * factors).min(axis=0)
+                        keys.append(np.concatenate([_keys(least[j : j + 1], int(level[i]), j) for j in range(bands)]))
+                    else:
+                        keys.append(np.zeros(0, np.uint64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), pa.array(n), pa.array(level), _as_list(toks, bound), _as_list(np.concatenate(keys), np.cumsum([len(x) for x in keys]))], names=["ref", "item", "n", "level", "toks", "keys"])
 
     return run
 
@@ -93,10 +107,11 @@ def _search(k: int, bands: int, levels: list[int], key_table, tok_table):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyt, tokt = key_table.value, tok_table.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             for s, e in slices(batch.column(1)):
                 words = Words(*utf8(batch.column(1).slice(s, e - s)))
+                begun, row = row, row + e - s
                 h = words.hashes()
                 z, count = grams(h, words.bound, k)
                 short = (words.count > 0) & (words.count < k)
@@ -111,8 +126,13 @@ def _search(k: int, bands: int, levels: list[int], key_table, tok_table):
                 within = np.arange(first[-1]) - np.repeat(first[:-1], segs)
                 seg_at = np.repeat(bound[:-1], segs) + within * _SMALL
                 found_doc, found_key = [], []
+                if _EXACT_LEVEL in levels:
+                    keys = _keys(z, _EXACT_LEVEL, 0)
+                    hit = _may_be_in(keys, keyt)
+                    found_doc.append(np.searchsorted(bound, hit, side="right") - 1)
+                    found_key.append(keys[hit])
                 steps = []
-                for level in range(max(levels) + 1):
+                for level in range(max((x for x in levels if x != _EXACT_LEVEL), default=-1) + 1):
                     n_seg = -(-segs // (1 << level))
                     begin = np.concatenate([[0], np.cumsum(n_seg)])
                     doc = np.repeat(np.arange(len(count)), n_seg)
@@ -124,7 +144,7 @@ def _search(k: int, bands: int, levels: list[int], key_table, tok_table):
                         at = None
                     alone = np.append(doc[1:] != doc[:-1], True)
                     steps.append((at, alone, begin, doc))
-                for band in range(bands):
+                for band in range(bands if steps else 0):
                     least = np.minimum.reduceat(z * factors[band], seg_at)
                     for level, (at, alone, _, doc) in enumerate(steps):
                         if level:
@@ -146,11 +166,13 @@ def _search(k: int, bands: int, levels: list[int], key_table, tok_table):
                 new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
                 doc, key = doc[new], key[new]
                 which, per = np.unique(doc, return_counts=True)
+                if not len(which):
+                    continue
                 toks = []
                 for d in which:
                     own = np.unique(z[bound[d] : bound[d + 1]])
                     toks.append(own[_may_be_in(own, tokt)])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][which]), _as_list(key, np.concatenate([[0], np.cumsum(per)])), _as_list(np.concatenate(toks), np.concatenate([[0], np.cumsum([len(t) for t in toks])]))], names=["doc", "keys", "toks"])
+                yield pa.RecordBatch.from_arrays([pa.array(begun + which), batch.column(0).slice(s, e - s).take(pa.array(which)), _as_list(key, np.concatenate([[0], np.cumsum(per)])), _as_list(np.concatenate(toks), np.concatenate([[0], np.cumsum([len(t) for t in toks])]))], names=["row", "doc", "keys", "toks"])
 
     return run
 
@@ -173,8 +195,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     the document holds percent / 100 or more of the item's distinct k-word shingles."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("txt"))
-    ref = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("txt"))
-    ref = materialize(ref.mapInArrow(_items(k, bands), _ITEM).where("n > 0"), "items")
+    ref = items.select(F.monotonically_increasing_id().alias("ref"), F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("txt"))
+    ref = materialize(ref.mapInArrow(_items(k, bands, percent), _ITEM).where("n > 0"), "items")
     levels = sorted(r[0] for r in ref.select("level").distinct().collect())  # powers of two: a few dozen at most
     if not levels:
         hits = spark.createDataFrame([], _HIT)
@@ -182,9 +204,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         key_table = spark.sparkContext.broadcast(_slot_table(ref.select(F.explode("keys").alias("v"))))
         tok_table = spark.sparkContext.broadcast(_slot_table(ref.select(F.explode("toks").alias("v"))))
         hits = materialize(own.mapInArrow(_search(k, bands, levels, key_table, tok_table), _HIT), "hits")
-    keys = ref.select("item", F.explode("keys").alias("key"))
-    pairs = hits.select("doc", F.explode("keys").alias("key")).join(keys, "key").select("doc", "item").distinct()
-    both = pairs.join(hits.select("doc", F.col("toks").alias("have")), "doc").join(ref.select("item", "n", "toks"), "item")
+    keys = ref.select("ref", F.explode("keys").alias("key"))
+    pairs = hits.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "ref").distinct()
+    both = pairs.join(hits.select("row", "doc", F.col("toks").alias("have")), "row").join(ref.select("ref", "item", "n", "toks"), "ref")
     both = both.select("doc", "item", "n", F.size(F.array_intersect("toks", "have")).cast("long").alias("shared")).where(f"100 * shared >= {percent} * n")
-    both = both.groupBy("doc", "item").agg(F.max("n").alias("n_item"), F.max("shared").alias("n_shared"))
-    return both.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    both = both.groupBy("doc", "item").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "n", "shared")).alias("best"))
+    return both.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), F.col("best.n").alias("n_item"), F.col("best.shared").alias("n_shared"), F.col("best.containment").alias("containment"))
