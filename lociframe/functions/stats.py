@@ -117,6 +117,23 @@ def johnson_su_pdf(x: Column, mu: float, sigma: float, gamma: float, delta: floa
     return delta / (sigma * F.sqrt(F.lit(6.283185307179586) * (1 + y * y))) * F.exp(-u * u / 2)
 
 
+def looked_up_p(z: Column) -> Column:
+    """two_sided_normal_p as a table of 5,000 entries a unit gives it: z is held within 37.65, and the
+    entry is the one at or under it."""
+    held = F.greatest(F.lit(-37.65), F.least(F.lit(37.65), z))
+    return two_sided_normal_p(F.floor((held + 37.65) * 5000) / 5000 - 37.65)
+
+
+def rounded_r(r: Column) -> Column:
+    """A correlation to three decimals, halves away from 0."""
+    return F.floor(F.abs(r) * 1000 + 0.5) / 1000 * F.signum(r)
+
+
+def binned_r(r: Column, bins: int) -> Column:
+    """The middle of a correlation's bin, of so many between -1 and 1."""
+    return (F.floor((r + 1) / 2 * bins) + 0.5) / bins * 2 - 1
+
+
 #: The polynomial as SQL text with {z} for the value, for engines that have no such function.
 NORMAL_P_SQL = (
     "greatest(2e-323, 2 * exp(-abs({z}) * abs({z}) / 2) * 0.3989422804014327 * (1 / (1 + 0.2316419 * abs({z}))) * (0.319381530 + (1 / (1 + 0.2316419 * abs({z}))) * (-0.356563782"

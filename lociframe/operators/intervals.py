@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import carried
+
+#: Positions in one block of an ordered pass over a chromosome.
+BLOCK = 1 << 20
+
 
 def _bin(x: Column, width: int) -> Column:
     return F.floor(x / width).cast("long")
@@ -64,32 +69,43 @@ def anti_band_pairs(left: DataFrame, right: DataFrame, on: list[str], left_pos:
     return pairs.join(near, [left_key, right_key], "left_anti")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_pos: str, right_pos: str, columns: list[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_pos: str, right_pos: str, columns: list[str], width: int = BLOCK) -> DataFrame:
     """left with `columns` of the right row of the same keys with the largest position up to
-    left's; null without one. Both sides are sorted together once, nothing is multiplied.
-    Of right rows at one position the one with the largest columns counts."""
+    left's; null without one. Both sides are sorted together once, in blocks of width positions, to which the last
+    right row of the blocks before is carried. Of right rows at one position the one with the largest columns counts."""
     held = F.struct(*columns)
     a = left.withColumn("__pos", F.col(left_pos)).withColumn("__side", F.lit(1)).withColumn("__held", F.lit(None).cast(right.select(held.alias("x")).schema["x"].dataType)).withColumn("__row", F.struct(*left.columns))
     b = right.select(*on, F.col(right_pos).alias("__pos"), F.lit(0).alias("__side"), held.alias("__held"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
-    w = Window.partitionBy(*on).orderBy("__pos", "__side", "__held").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.select(*on, "__pos", "__side", "__held", "__row").unionByName(b).withColumn("__got", F.last("__held", ignorenulls=True).over(w))
+    both = a.select(*on, "__pos", "__side", "__held", "__row").unionByName(b).withColumn("__block", _bin(F.col("__pos"), width))
+    last = F.max_by("__held", F.when(F.col("__side") == 0, F.struct("__pos", "__held")))
+    both = carried(both, on, "__block", {"__last": last}, {"__before": F.last("__last", ignorenulls=True)})
+    w = Window.partitionBy(*on, "__block").orderBy("__pos", "__side", "__held").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__got", F.coalesce(F.last("__held", ignorenulls=True).over(w), "__before"))
     return both.where("__side = 1").select("__row.*", *(F.col(f"__got.{c}").alias(c) for c in columns))
 
 
-def merge_spans(spans: DataFrame, on: list[str], start: str, stop: str, gap: int = 0) -> DataFrame:
-    """(keys, start, stop, n): spans joined where they overlap, or are up to gap apart."""
-    w = Window.partitionBy(*on).orderBy(start, stop)
-    reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("__new", (reach.isNull() | (F.col(start) > reach + gap)).cast("int"))
-    marked = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def _reach(spans: DataFrame, on: list[str], start: str, stop: str, order: list[Column], width: int) -> DataFrame:
+    """spans with __block and __reach, the largest stop of those before in order; null for the first."""
+    s = carried(spans.withColumn("__block", _bin(F.col(start), width)), on, "__block", {"__most": F.max(stop)}, {"__before": F.max("__most")})
+    w = Window.partitionBy(*on, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return s.withColumn("__reach", F.greatest(F.max(stop).over(w), "__before")).drop("__before")
+
+
+def merge_spans(spans: DataFrame, on: list[str], start: str, stop: str, gap: int = 0, width: int = BLOCK) -> DataFrame:
+    """(keys, start, stop, n): spans joined where they overlap, or are up to gap apart; in blocks of width positions."""
+    order = [F.col(start), F.col(stop)]
+    marked = _reach(spans.select(*on, start, stop), on, start, stop, order, width)
+    marked = marked.withColumn("__new", (F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + gap)).cast("int"))
+    marked = carried(marked, on, "__block", {"__news": F.sum("__new")}, {"__base": F.sum("__news")})
+    w = Window.partitionBy(*on, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("__island", F.sum("__new").over(w) + F.coalesce("__base", F.lit(0)))
     return marked.groupBy(*on, "__island").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n")).drop("__island")
 
 
-def drop_contained(spans: DataFrame, on: list[str], start: str, stop: str) -> DataFrame:
-    """Spans that no other span of their keys holds; of equal spans one stays."""
-    w = Window.partitionBy(*on).orderBy(start, F.desc(stop)).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(stop).over(w)
-    return spans.dropDuplicates([*on, start, stop]).withColumn("__reach", reach).where(F.col("__reach").isNull() | (F.col(stop) > F.col("__reach"))).drop("__reach")
+def drop_contained(spans: DataFrame, on: list[str], start: str, stop: str, width: int = BLOCK) -> DataFrame:
+    """Spans that no other span of their keys holds; of equal spans one stays. In blocks of width positions."""
+    marked = _reach(spans.dropDuplicates([*on, start, stop]), on, start, stop, [F.col(start), F.desc(stop)], width)
+    return marked.where(F.col("__reach").isNull() | (F.col(stop) > F.col("__reach"))).select(*spans.columns)
 
 
 def first_match(matches: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
@@ -98,12 +114,21 @@ def first_match(matches: DataFrame, by: list[str], order: list[Column | str]) ->
     return matches.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def neighbours(rows: DataFrame, on: list[str], pos: str, value: str, flank: int, out: str) -> DataFrame:
-    """rows with the values of up to flank rows before and after, in order of position."""
-    w = Window.partitionBy(*on).orderBy(pos)
-    before = F.collect_list(value).over(w.rowsBetween(-flank, -1))
-    after = F.collect_list(value).over(w.rowsBetween(1, flank))
-    return rows.withColumn(out, F.concat(before, after))
+def neighbours(rows: DataFrame, on: list[str], pos: str, value: str, flank: int, out: str, width: int = BLOCK) -> DataFrame:
+    """rows with the values of up to flank rows before and after, in order of position; in blocks of width
+    positions, to which the nearest values of the others are carried."""
+    r = rows.withColumn("__block", _bin(F.col(pos), width))
+    ends = r.groupBy(*on, "__block").agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda x: x[value]).alias("v"))
+    ends = ends.select(*on, "__block", F.slice("v", F.greatest(F.lit(1), F.size("v") - flank + 1), flank).alias("last"), F.slice("v", 1, flank).alias("first"))
+    w = Window.partitionBy(*on).orderBy("__block")  # one row a block
+    earlier = F.flatten(F.collect_list("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    later = F.flatten(F.collect_list("first").over(w.rowsBetween(1, Window.unboundedFollowing)))
+    ends = ends.select(*on, "__block", F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - flank + 1), flank).alias("__earlier"), F.slice(later, 1, flank).alias("__later"))
+    own = Window.partitionBy(*on, "__block").orderBy(pos)
+    before = F.concat("__earlier", F.collect_list(value).over(own.rowsBetween(-flank, -1)))
+    after = F.concat(F.collect_list(value).over(own.rowsBetween(1, flank)), "__later")
+    r = r.join(ends, [*on, "__block"]).withColumn("__b", before).withColumn("__a", after)
+    return r.withColumn(out, F.concat(F.slice("__b", F.greatest(F.lit(1), F.size("__b") - flank + 1), flank), F.slice("__a", 1, flank))).select(*rows.columns, out)
 
 
 def contact_join(pairs: DataFrame, contacts: DataFrame, chrom: str, pos_a: str, pos_b: str, resolution: int) -> DataFrame:

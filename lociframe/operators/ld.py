@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .intervals import band_join
 from .ordered import settled
@@ -90,32 +89,25 @@ def proxies(variants: DataFrame, genotypes: DataFrame, variant: str, chrom: str,
 
 def clump(hits: DataFrame, chrom: str, pos: str, p: str, key: str, window: int) -> DataFrame:
     """hits with `locus`, the key of the hit each belongs to: in order of p, a hit founds a locus or
-    joins the first founded one within window of it.
-
-    Sequential by nature, so done per region: hits of a chromosome further apart than window
-    from any other cannot meet, and each such region is a group of its own, never a
-    whole chromosome at 100 TB."""
-    w = Window.partitionBy(chrom).orderBy(pos, key)
-    r = hits.where(F.col(p).isNotNull()).withColumn("__gap", (F.col(pos) - F.lag(pos).over(w) > window).cast("int"))
-    r = r.withColumn("__region", F.sum(F.coalesce("__gap", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([p, key], kind="stable")
-        where: list[int] = []
-        names: list = []
-        out = []
-        for x, k in zip(pdf[pos].to_numpy(), pdf[key].to_numpy()):
-            near = np.flatnonzero(np.abs(np.array(where, dtype=np.int64) - x) <= window) if where else []
-            if len(near):
-                out.append(names[near[0]])
-            else:
-                where.append(int(x))
-                names.append(k)
-                out.append(k)
-        return pdf.assign(locus=out).drop(columns="__region")
-
-    schema = hits.schema.add("locus", hits.schema[key].dataType)
-    return r.groupBy(chrom, "__region").applyInPandas(run, schema)
+    joins the first founded one within window of it. Hits without p are left out.
+
+    Decided in rounds of joins over near pairs, so no chromosome and no region is one task."""
+    h = hits.where(F.col(p).isNotNull())
+    side = lambda x: h.select(chrom, F.col(key).alias(x), F.col(pos).alias(f"__{x}"))
+    near = band_join(side("a"), side("b"), [chrom], "__a", "__b", window + 1).where("a < b").select("a", "b")
+    return greedy_clumps(h, near, key, p)
+
+
+def greedy_clumps(hits: DataFrame, links: DataFrame, key: str, p: str) -> DataFrame:
+    """hits with `locus`: in order of p, a hit founds a locus unless it is linked to one that does; the others join
+    the linked founder of the least p. links has (a, b) of pairs in LD, or near each other."""
+    links = settled(links.select("a", "b"))
+    founders = settled(prune(hits.select(key, p), links, key, p))
+    both = links.union(links.select("b", "a")).toDF(key, "__f")
+    joined = both.join(founders.select(F.col(key).alias("__f"), F.col(p).alias("__p")), "__f").groupBy(key).agg(F.min(F.struct("__p", "__f"))["__f"].alias("__f"))
+    own = founders.select(key, F.col(key).alias("__f"))
+    locus = joined.join(own, key, "left_anti").select(key, "__f").unionByName(own)
+    return hits.join(locus, key).withColumnRenamed("__f", "locus").select(*hits.columns, "locus")
 
 
 def prune(variants: DataFrame, links: DataFrame, key: str, order: str) -> DataFrame:
@@ -139,23 +131,20 @@ def prune(variants: DataFrame, links: DataFrame, key: str, order: str) -> DataFr
     return variants.join(state.where("kept").select(F.col("k").alias(key)), key, "left_semi")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (a, b) reach. Labels spread along links and
-    through the labels themselves, so rounds grow with the logarithm of the longest path."""
-    e = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct()
-    label = e.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
-    before = None
-    for _ in range(rounds):
+    through the labels themselves, so rounds grow with the logarithm of the longest path; they go on until
+    nothing changes, and each is written out."""
+    e = settled(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct())
+    label = settled(e.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
+    while True:
         near = e.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        label = label.join(near, "node").select("node", F.least("component", "c").alias("component"))
-        jump = label.select(F.col("node").alias("component"), F.col("component").alias("c2"))
-        label = label.join(jump, "component").select("node", F.least("component", "c2").alias("component"))
-        label = label.checkpoint() if label.sparkSession.sparkContext.getCheckpointDir() else label.persist()
-        now = label.agg(F.sum("component").cast("string"), F.count("*")).first()
-        if now == before:
-            break
-        before = now
-    return label
+        new = label.join(near, "node").select("node", F.least("component", "c").alias("new"), F.col("component").alias("old"))
+        jump = new.select(F.col("node").alias("new"), F.col("new").alias("c2"))
+        new = settled(new.join(jump, "new").select("node", F.least("new", "c2").alias("component"), "old"))
+        label = new.drop("old")
+        if new.where("component != old").isEmpty():
+            return label
 
 
 def risk_scores(genotypes: DataFrame, weights: DataFrame, variant: str, sample: str, dosage: str, weight: str, least_call_rate: float = 0.75) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import settled
+
 
 def transpose(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
     return cells.select(F.col(column).alias(row), F.col(row).alias(column), value)
@@ -69,11 +71,8 @@ def per_million(counts: DataFrame, sample: str, value: str) -> DataFrame:
     return counts.join(total, sample).withColumn("per_million", F.when(F.col("__total") > 0, 1e6 * F.col(value) / F.col("__total"))).drop("__total")
 
 
-def gram(rows: DataFrame, values: str, centre: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-    """(means, covariance, n) of array rows, from partial sums of each task.
-
-    What comes to the driver is columns squared, never rows; for matrices whose number
-    of columns is bounded (samples, cohorts)."""
+def _moments(rows: DataFrame, values: str) -> DataFrame:
+    """(i, j, s): sums of products of columns i and j of array rows; j -1: sums of column i; i -1: the number of rows."""
 
     def partial(batches):
         total, outer, n = None, None, 0
@@ -91,7 +90,25 @@ def gram(rows: DataFrame, values: str, centre: bool = True) -> tuple[np.ndarray,
             i = np.repeat(np.arange(k), k)
             yield pd.DataFrame({"i": np.concatenate([i, np.arange(k), [-1]]), "j": np.concatenate([np.tile(np.arange(k), k), np.full(k, -1), [-1]]), "s": np.concatenate([outer.ravel(), total, [n]])})
 
-    got = rows.where(F.col(values).isNotNull()).select(F.col(values).cast("array<double>").alias("v")).mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    return rows.where(F.col(values).isNotNull()).select(F.col(values).cast("array<double>").alias("v")).mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def covariances(rows: DataFrame, values: str) -> DataFrame:
+    """(i, j, covariance) of all columns of array rows, numbered from 1, from partial sums of each task; nothing
+    comes to the driver."""
+    m = settled(_moments(rows, values))
+    n = m.where("i = -1").select(F.col("s").alias("n"))  # one row
+    mean = m.where("i >= 0 and j = -1").join(F.broadcast(n)).select(F.col("i"), (F.col("s") / F.col("n")).alias("m"), "n")
+    both = m.where("i >= 0 and j >= 0").join(mean, "i").join(mean.select(F.col("i").alias("j"), F.col("m").alias("m2")), "j")
+    return both.where("n > 1").select((F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j"), ((F.col("s") - F.col("n") * F.col("m") * F.col("m2")) / (F.col("n") - 1)).alias("covariance"))
+
+
+def gram(rows: DataFrame, values: str, centre: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+    """(means, covariance, n) of array rows, from partial sums of each task.
+
+    What comes to the driver is columns squared, never rows; for matrices whose number
+    of columns is bounded (samples, cohorts)."""
+    got = _moments(rows, values).toPandas()
     if got.empty:
         return np.zeros(0), np.zeros((0, 0)), 0
     k = int(got["i"].max()) + 1

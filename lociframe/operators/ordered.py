@@ -8,21 +8,31 @@ block."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCKS = 64
 
 
+def _tree(key: Column, cuts: list, low: int) -> Column:
+    """The number of cuts under key, plus low: a search by halves, so generated code tests a few."""
+    if not cuts:
+        return F.lit(low)
+    half = len(cuts) // 2
+    return F.when(key > F.lit(cuts[half]), _tree(key, cuts[half + 1 :], low + half + 1)).otherwise(_tree(key, cuts[:half], low))
+
+
 def blocked(rows: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
-    """rows with __block, the number of quantiles of key under it; null keys are block -1."""
+    """rows with __block, the number of quantiles of key under it; null keys are block -1. Rows that have
+    blocks keep them."""
+    if "__block" in rows.columns:
+        return rows
     cuts = rows.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 1000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    of = F.aggregate(F.array(*(F.lit(c) for c in cuts)), F.lit(0), lambda n, c: n + (F.col(key) > c).cast("int")) if cuts else F.lit(0)
-    return rows.withColumn("__block", F.when(F.col(key).isNull(), -1).otherwise(of))
+    return rows.withColumn("__block", F.when(F.col(key).isNull(), -1).otherwise(_tree(F.col(key), sorted(set(cuts)), 0)))
 
 
 def running_sums(rows: DataFrame, key: str, order: list[Column | str], sums: dict[str, Column], descending: bool = False) -> DataFrame:
@@ -53,7 +63,30 @@ def running_min_from_end(rows: DataFrame, key: str, order: list[Column | str], v
     return r.join(F.broadcast(offsets), "__block").withColumn(out, F.least(F.min("__v").over(w), "__o")).select(*rows.columns, out)
 
 
+def carried(rows: DataFrame, on: list[str], block: str, totals: dict[str, Column], over: dict[str, Column]) -> DataFrame:
+    """rows joined with what the blocks of their keys before theirs come to. totals: one value a key and block,
+    by aggregation; over: from these, aggregations over the blocks before (null for the first). Windows run
+    over one row a block only, and the join has the keys that windows inside blocks need."""
+    sums = rows.groupBy(*on, block).agg(*(c.alias(n) for n, c in totals.items()))
+    before = Window.partitionBy(*on).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(sums.select(*on, block, *(c.over(before).alias(n) for n, c in over.items())), [*on, block])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a new temporary folder on one machine;
+    on a cluster that is an error, as executors could not read each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that the plan of a loop of rounds stays short. Without
-    a folder, kept on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df written to the shared folder and read back, so that the plan of a loop of rounds stays short and
+    a lost executor costs one round at most."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

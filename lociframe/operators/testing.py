@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import running_min_from_end, running_sums
+from .ordered import blocked, running_min_from_end, running_sums, settled
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, tie: str, out: str = "q") -> DataFrame:
-    """tests (null p left out) with min(1, least of p n / rank over this and larger p)."""
-    t = tests.where(F.col(p).isNotNull()).persist()  # read for the count, the blocks and their totals
-    n = t.count()
-    t = running_sums(t, p, [p, tie], {"__rank": F.lit(1)})
-    t = running_min_from_end(t, p, [p, tie], F.col(p) * n / F.col("__rank"), out)
-    return t.withColumn(out, F.least(F.lit(1.0), out)).drop("__rank")
+    """tests (null p left out) with min(1, least of p n / rank over this and larger p).
+
+    Equal p share the least, that of the last of them, so only distinct p with their numbers are put in order,
+    in one set of blocks. tie is not needed for the result."""
+    t = tests.where(F.col(p).isNotNull())
+    c = settled(t.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k")))
+    n = c.agg(F.sum("__k")).first()[0] or 0
+    c = running_sums(blocked(c, "__p"), "__p", ["__p"], {"__upto": F.col("__k")})
+    c = running_min_from_end(c, "__p", ["__p"], F.col("__p") * n / F.col("__upto"), out)
+    return t.join(c.select("__p", F.least(F.lit(1.0), out).alias(out)), F.col(p) == F.col("__p")).drop("__p")
 
 
 def benjamini_hochberg_by(tests: DataFrame, by: list[str], p: str, tie: str, out: str = "q") -> DataFrame:
@@ -66,7 +70,8 @@ def permutation_fdr(real: DataFrame, permuted: DataFrame, p: str, permutations:
     Both sides are counted by p before they are put in order."""
     a = real.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("nr"), F.lit(0).cast("long").alias("np"))
     b = permuted.where(F.col(p).isNotNull()).groupBy(p).agg(F.lit(0).cast("long").alias("nr"), F.count("*").alias("np"))
-    c = a.unionByName(b).groupBy(p).agg(F.sum("nr").alias("nr"), F.sum("np").alias("np")).persist()
+    c = a.unionByName(b).groupBy(p).agg(F.sum("nr").alias("nr"), F.sum("np").alias("np"))
+    c = settled(c)
     r = running_sums(c, p, [p], {"n_real": F.col("nr"), "n_permuted": F.col("np")}).where("nr > 0")
     return r.select(p, "n_real", "n_permuted", F.least(F.lit(1.0), F.col("n_permuted") / permutations / F.col("n_real")).alias("fdr"))
 
@@ -83,8 +88,6 @@ def apply_thresholds(tests: DataFrame, thresholds: DataFrame, p: str, fdr: str =
     t = thresholds.groupBy(F.col(p).alias("__p")).agg(F.max(fdr).alias("__f"))
     both = tests.withColumn("__p", F.col(p)).withColumn("__f", F.lit(None).cast("double")).withColumn("__side", F.lit(1)).withColumn("__row", F.struct(*tests.columns)).select("__p", "__f", "__side", "__row")
     both = both.unionByName(t.select("__p", "__f", F.lit(0).alias("__side"), F.lit(None).cast(both.schema["__row"].dataType).alias("__row")))
-    from .ordered import blocked
-
     b = blocked(both, "__p")
     last = b.where("__side = 0").groupBy("__block").agg(F.max_by("__f", "__p").alias("__f"))
     every = b.select("__block").distinct().join(last, "__block", "left")

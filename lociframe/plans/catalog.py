@@ -935,10 +935,9 @@ def regress_out_covariates(v):
     return x.select("vec_id", F.round(F.aggregate("residual", F.lit(0.0), lambda s, y: s + y * y), 4).alias("power"))
 
 
-@query("column_covariance", (), "select i, j, round(covar_samp(a, b), 6) as covariance from (select x.i, y.i as j, x.v as a, y.v as b from (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings) x join (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings) y on x.vec_id = y.vec_id and x.i <= 4 and y.i <= 4) t group by i, j")
+@query("column_covariance", (), "select i, j, round(covar_samp(a, b), 6) as covariance from (select x.i, y.i as j, x.v as a, y.v as b from (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings) x join (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings) y on x.vec_id = y.vec_id) t group by i, j")
 def column_covariance(v):
-    _, cov, _ = matrix.gram(v.embeddings.select(F.slice("embedding", 1, 4).alias("e")), "e")
-    return v.spark.createDataFrame([(i + 1, j + 1, round(float(cov[i, j]), 6)) for i in range(len(cov)) for j in range(len(cov))], "i long, j long, covariance double")
+    return rounded(matrix.covariances(v.embeddings, "embedding"))
 
 
 @query("deconvolve_cells", ("genotypes",))
@@ -1002,7 +1001,7 @@ def top_with_beta(v):
 def conditional_mapping(v):
     pairs = intervals.band_join(v.variants, v.genes, ["chrom"], "pos", "mid", 5000)
     t = _traits(v).groupBy("gene", "sample").agg(F.avg("value").alias("value"))
-    return rounded(flow.conditional_mapping(pairs, _calls(v), t, 0.01, 2).select("round", "variant", "gene", "n", "z"), 5)
+    return rounded(flow.conditional_mapping(pairs, _calls(v), t, 0.01).select("round", "variant", "gene", "n", "z"), 5)
 
 
 @query("mediation", ("genotypes",), """, v as (select variant, dosage * 1e0 as x, quantity as m, expression as y from genotypes where dosage is not null), a as (select variant, count(*) as n, regr_slope(y, x) as total, regr_slope(y, m) as b, regr_intercept(y, m) as a from v group by variant), d as (select v.variant, regr_slope(y - a.a - a.b * m, x) as direct from v join a on v.variant = a.variant group by v.variant)

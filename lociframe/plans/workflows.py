@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import alleles, special, stats
 from ..operators import aggregates as agg
 from ..operators import filters, intervals, ld, meta, models, ranks, testing
+from ..operators.ordered import settled
 
 
 def shuffled_samples(samples: DataFrame, sample: str, rounds: int, seed: int) -> DataFrame:
@@ -59,7 +60,7 @@ def cis_mapping(variants: DataFrame, genes: DataFrame, genotypes: DataFrame, tra
     joint = meta.weighted_z(one, ["variant", "gene", "perm"], "z", "n", least=least_datasets)
     if not permutations:
         return joint.drop("perm")
-    joint = joint.persist()
+    joint = settled(joint)
     real, null = joint.where("perm = 0").drop("perm"), joint.where("perm > 0")
     fdr = testing.permutation_fdr(real, null, "p", permutations).select("p", "fdr")
     return real.join(fdr, "p").select("variant", "gene", "datasets", "n", "z", "p", "fdr")
@@ -82,22 +83,26 @@ def residual_values(values: DataFrame, hits: DataFrame, genotypes: DataFrame, fe
     return values.join(out, [feature, sample], "left").withColumn(value, F.coalesce("__res", value)).drop("__res")
 
 
-def conditional_mapping(pairs: DataFrame, genotypes: DataFrame, values: DataFrame, cutoff: float, rounds: int = 5) -> DataFrame:
+def conditional_mapping(pairs: DataFrame, genotypes: DataFrame, values: DataFrame, cutoff: float, rounds: int | None = None) -> DataFrame:
     """(round, variant, gene, n, r, z, p): the top hit of each gene, then again without its effect, while
-    any gene has one up to cutoff. Columns as for cis_mapping, without datasets.
+    any gene has one up to cutoff that is new (or for so many rounds). A variant is a gene's hit once, so rounds
+    end. Columns as for cis_mapping, without datasets.
 
     The driver loops over rounds only; what a round leaves is written before the next."""
     found = None
     left = values.select("gene", "sample", "value")
-    for i in range(1, rounds + 1):
-        res = associate(pairs, genotypes, left, [], "variant", "gene", "sample", "dosage", "value")
-        top = testing.strongest(res.where(F.col("p") <= cutoff), ["gene"], ["p", F.desc(F.abs("z")), "variant"])
-        top = top.checkpoint() if top.sparkSession.sparkContext.getCheckpointDir() else top.persist()
+    i = 0
+    while rounds is None or i < rounds:
+        i += 1
+        res = associate(pairs, genotypes, left, [], "variant", "gene", "sample", "dosage", "value").where(F.col("p") <= cutoff)
+        if found is not None:
+            res = res.join(found.select("variant", "gene"), ["variant", "gene"], "left_anti")
+        top = settled(testing.strongest(res, ["gene"], ["p", F.desc(F.abs("z")), "variant"]))
         if top.isEmpty():
             break
         step = top.withColumn("round", F.lit(i))
         found = step if found is None else found.unionByName(step)
-        left = residual_values(left.join(top.select("gene"), "gene", "left_semi"), top, genotypes, "gene", "variant", "sample", "dosage", "value")
+        left = settled(residual_values(left.join(top.select("gene"), "gene", "left_semi"), top, genotypes, "gene", "variant", "sample", "dosage", "value"))
     if found is None:
         return associate(pairs, genotypes, values.limit(0), [], "variant", "gene", "sample", "dosage", "value").withColumn("round", F.lit(0))
     return found
