@@ -1,21 +1,25 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Tasks split texts into words and gather them in blocks of a few MB: each block
-   has its list of distinct words and, per text, the words' numbers in it.
-2. The lists of all blocks meet, dealt by word hash: every distinct word of the
+1. Spark splits texts into words. Tasks gather blocks of about BLOCK_BYTES and send
+   each block's distinct words, with the block's name, to buckets dealt by word hash.
+2. A bucket is its part of the table of distinct words: every distinct word of the
    corpus is encoded once, and each block gets the ids back in the order of its list.
    A very frequent word is in each block's list once, so no key is hot.
-3. A block's ids are joined to its texts by position; ids are decoded through a
-   join with the fixed table of pieces, and the texts' results come out.
+3. Texts are split a second time, which is cheaper than moving them twice; a block's
+   texts, as word numbers, meet its ids, which are joined to them by position.
+4. The distinct ids of each block are joined with the fixed table from id to piece
+   in Spark; texts are decoded from what the join returns.
 
 A word is a maximal run of characters other than ASCII white space, cut as well
 between an ASCII letter and one of . , ; : ! ? on either side. No token of a
 tokenizer whose pre-tokenizer separates white space, letters and punctuation
 reaches over such a cut, so the ids of a text are its words' ids one after another.
 
-Null is the empty text: no tokens. Repeated rows are results of their own. Long
-texts are a block of their own. Columns other than those named are not read. An
-empty table gives an empty result."""
+Null is the empty text: no tokens. A null doc_id stays null in its row and touches no
+other. Repeated rows are results of their own. Long texts are a block of their own.
+Columns other than those named are not read. An empty table gives an empty result.
+docs is read twice and has to hold the same rows in the same order both times, as files
+do; if a block's words differ between the two, the job fails instead of giving a wrong result."""
 
 from __future__ import annotations
 
@@ -26,47 +30,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .textops import Words, slices, utf8
-
-BLOCK_BYTES = 6 << 20
-#: Bytes of word lists, packed, that one bucket is to hold, about.
-BUCKET_BYTES = 4 << 20
-
-_PIECES = "dest long, source long, kind int, payload binary"
-
-_KIND = np.full(256, 3, np.uint8)
-_KIND[[32, 9, 10, 11, 12, 13]] = 0
-_KIND[65:91] = _KIND[97:123] = 1
-_KIND[[ord(c) for c in ".,;:!?"]] = 2
-
-
-class _Pieces(Words):
-    """Words as this module cuts them, case kept."""
-
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
-        self.data = data
-        kind = _KIND[data]
-        first = kind != 0
-        before = kind[:-1]
-        cut = (before == 0) | ((before == 1) & (kind[1:] == 2)) | ((before == 2) & (kind[1:] == 1))
-        inner = offs[1:-1]
-        inner = inner[(inner > 0) & (inner < len(data))]
-        cut[inner - 1] = True
-        first[1:] &= cut
-        self.start = np.flatnonzero(first)
-        ends = np.zeros(len(data) + 1, bool)  # a word ends where another begins or white space follows
-        ends[1:-1] = (kind[:-1] != 0) & ((kind[1:] == 0) | first[1:])
-        ends[-1:] = len(data) > 0 and kind[-1] != 0
-        ends[inner] |= kind[inner - 1] != 0
-        self.end = np.flatnonzero(ends)
-        self.bound = np.searchsorted(self.start, offs)
-        self.count = np.diff(self.bound)
+from .textops import byte_hashes, slices
+
+BLOCK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+#: Bytes of text for one bucket of words, about.
+BUCKET_TEXT = 128 << 20
+#: Ids of texts that are decoded at a time, about.
+DECODE_IDS = 200_000
+
+#: Between words: white space, and the borders of letters and punctuation.
+BORDERS = r"[\x09-\x0D\x20]+|(?<=[A-Za-z])(?=[.,;:!?])|(?<=[.,;:!?])(?=[A-Za-z])"
+
+TEXTS, LIST, IDS = range(3)  # kinds of pieces
+_PIECES = "dest long, source long, kind int, payload binary, docs array<long>"
+_PLACED = "block long, token_id int, known int, docs array<long>, sizes array<int>, tokens array<int>"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, in order, with blanks between them."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), BORDERS, " ")
 
 
 def _shrink(values: np.ndarray) -> bytes:
@@ -94,45 +83,74 @@ def _part(data: bytes) -> list[bytes]:
     return [data[s:e] for s, e in zip(ends[:-1], ends[1:])]
 
 
-def _split(buckets: int):
-    """kind 0: a block's texts as word numbers, for the block (dest 0 or more). kind 1: part of a
-    block's word list, for a bucket of words (dest under 0). The words that are most frequent
-    in the block have the smallest numbers; a list keeps their order."""
+def _pieces(rows: list[tuple[int, int, int, bytes]], docs: list | None = None) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.table([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), pa.array(docs or [None] * len(rows), pa.list_(pa.int64()))], names=["dest", "source", "kind", "payload", "docs"])
+
+
+def _split(buckets: int, kind: int):
+    """Blocks of (id, words). LIST: parts of a block's list of distinct words, for buckets (dest under 0).
+    TEXTS: the block's texts as word numbers, for the block. The words that are most frequent in
+    the block have the smallest numbers; a list keeps their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for s, e in slices(batch.column(1), BLOCK_BYTES):
-                ids = batch.column(0).slice(s, e - s).cast(pa.int64()).to_numpy(zero_copy_only=False)
-                words = _Pieces(*utf8(batch.column(1).slice(s, e - s)))
-                block = (part << 24) + seq
-                seq += 1
-                hashes, at, number, times = np.unique(words.hashes(), return_index=True, return_inverse=True, return_counts=True)
-                order = np.argsort(-times, kind="stable")
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray, list]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal seq
+            block = (part << 24) + seq
+            seq += 1
+            coded = pa.concat_arrays([h[0] for h in held]).dictionary_encode()
+            words, new = coded.dictionary, coded.indices.to_numpy()
+            starts = np.cumsum([0] + [len(h[0]) for h in held])
+            number = np.concatenate([new[h[1] + s] for h, s in zip(held, starts)])
+            offs = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+            data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] else np.zeros(0, np.uint8)
+            hashes = byte_hashes(data, offs[:-1], offs[1:])
+            order = np.argsort(-np.bincount(number, minlength=len(words)), kind="stable")
+            bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
+            check = np.array([len(words), len(number), np.bitwise_xor.reduce(hashes, initial=np.uint64(0)).view(np.int64)]).tobytes()
+            if kind == TEXTS:
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
-                bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
-                rows = [(block, block, 0, _join([ids.tobytes(), _shrink(words.count), _shrink(bucket), _shrink(rank[number])]))]
-                raw = words.data.tobytes()
+                docs = [x for h in held for x in h[3]]
+                yield from _pieces([(block, block, TEXTS, _join([_shrink(np.concatenate([h[2] for h in held])), _shrink(bucket), _shrink(rank[number]), check]))], [docs]).to_batches()
+            else:
+                raw = data.tobytes()
                 listed = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[listed], np.arange(buckets + 1))
-                b, n = words.start[at][order][listed].tolist(), words.end[at][order][listed].tolist()
-                for x in range(buckets):
-                    if cut[x] < cut[x + 1]:
-                        own = b" ".join([raw[b[i] : n[i]] for i in range(cut[x], cut[x + 1])])
-                        rows.append((-1 - x, block, 1, zstandard.compress(own, 3)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["dest", "source", "kind", "payload"])
+                b, n = offs[order[listed]].tolist(), offs[order[listed] + 1].tolist()
+                for x in np.flatnonzero(np.diff(cut)).tolist():
+                    own = b" ".join([raw[b[i] : n[i]] for i in range(cut[x], cut[x + 1])])
+                    yield from _pieces([(-1 - x, block, LIST, _join([zstandard.compress(own, 3), check]))]).to_batches()
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for s, e in slices(batch.column(1), SLICE_BYTES):
+                lists = pc.split_pattern(batch.column(1).slice(s, e - s).cast(pa.large_string()), " ")
+                words = lists.flatten()
+                some = pc.not_equal(words, "")
+                sums = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+                coded = words.filter(some).dictionary_encode()
+                held.append((coded.dictionary, coded.indices.to_numpy(), np.diff(sums[ends]), batch.column(0).slice(s, e - s).to_pylist()))
+                size += int(pc.sum(pc.binary_length(batch.column(1).slice(s, e - s))).as_py() or 0)
+                if size >= BLOCK_BYTES:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
 
     return run
 
 
 def _encode(tokenizer):
     """All blocks' lists of one bucket of words: the bucket's table of distinct words, each encoded
-    once, and its ids for each block in the order of the block's list. Texts pass by."""
+    once, and its ids for each block in the order of the block's list."""
 
     def run(group: pa.Table) -> pa.Table:
-        if group["dest"][0].as_py() >= 0:
-            return group
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -140,10 +158,12 @@ def _encode(tokenizer):
         bpe.no_truncation()
         bpe.no_padding()
         number: dict[bytes, int] = {}
-        lists = []
+        lists, checks = [], []
         for payload in group["payload"]:
-            listed = zstandard.decompress(payload.as_py()).split(b" ")
+            packed, check = _part(payload.as_py())
+            listed = zstandard.decompress(packed).split(b" ")
             lists.append(np.fromiter((number.setdefault(w, len(number)) for w in listed), np.int32, len(listed)))
+            checks.append(check)
         distinct = list(number)
         del number
         sizes = np.zeros(len(distinct), np.int64)
@@ -154,57 +174,94 @@ def _encode(tokenizer):
             flat.append(np.fromiter((y for x in got for y in x), np.int32))
         del distinct
         ids, start = np.concatenate(flat), np.concatenate([[0], np.cumsum(sizes)])
+        bucket = group["dest"][0].as_py()
         out = []
-        for x in lists:
+        for source, x, check in zip(group["source"].to_pylist(), lists, checks):
             n = sizes[x]
             at = np.repeat(start[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(_join([_shrink(n), _shrink(ids[at])]))
-        return pa.table({"dest": group["source"].cast(pa.int64()), "source": group["dest"].cast(pa.int64()), "kind": pa.array([2] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
+            out.append((source, bucket, IDS, _join([_shrink(n), _shrink(ids[at]), check])))
+        return _pieces(out)
 
     return run
 
 
-def _assemble(pieces, keep_ids: bool, keep_text: bool):
-    """A block's texts again, with the ids of their words in place."""
+def _place(group: pa.Table) -> pa.Table:
+    """A block's distinct ids, one a row, and after them its texts with the ids of their words in place."""
+    kinds, source = group["kind"].to_numpy(), group["source"].to_numpy()
+    texts = np.flatnonzero(kinds == TEXTS)
+    if len(texts) != 1:
+        raise RuntimeError("the texts changed between two readings")
+    docs = group["docs"][int(texts[0])].as_py()
+    count, bucket, number, check = _part(group["payload"][int(texts[0])].as_py())
+    count, bucket, number = _grow(count), _grow(bucket), _grow(number)
+    where = np.argsort(bucket, kind="stable")  # the place in all lists, one after another, of each
+    place = np.empty(len(where), np.int64)
+    place[where] = np.arange(len(where))
+    sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    parts = np.flatnonzero(kinds == IDS)
+    for i in parts[np.argsort(-source[parts], kind="stable")]:
+        x = _part(group["payload"][int(i)].as_py())
+        if x[2] != check:
+            raise RuntimeError("the texts changed between two readings")
+        sizes.append(_grow(x[0]))
+        ids.append(_grow(x[1]).astype(np.int32))
+    size, ids = np.concatenate(sizes), np.concatenate(ids)
+    if len(size) != len(bucket):
+        raise RuntimeError("the texts changed between two readings")
+    start = np.concatenate([[0], np.cumsum(size)])
+    bound = np.concatenate([[0], np.cumsum(count)])
+    tokens = np.concatenate([[0], np.cumsum(size[place[number]])])[bound]  # tokens before each text
+    known = np.unique(ids)
+    block = group["dest"][0].as_py()
+    rows: list[tuple] = []
+    s = 0
+    while s < len(docs):
+        e = max(s + 1, int(np.searchsorted(tokens, tokens[s] + DECODE_IDS, side="right")) - 1)
+        x = place[number[bound[s] : bound[e]]]
+        m = size[x]
+        rows.append((docs[s:e], np.diff(tokens[s : e + 1]), ids[np.repeat(start[x] - (np.cumsum(m) - m), m) + np.arange(m.sum())]))
+        s = e
+    none = [None] * len(known)
+    return pa.table(
+        [
+            pa.array([block] * (len(known) + len(rows)), pa.int64()),
+            pa.array([*known.tolist(), *[None] * len(rows)], pa.int32()),
+            pa.array([*none, *[len(known)] * len(rows)], pa.int32()),
+            *(pa.array([*none, *[r[i] for r in rows]], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))),
+        ],
+        names=["block", "token_id", "known", "docs", "sizes", "tokens"],
+    )
+
+
+def _decode(keep_ids: bool, keep_text: bool):
+    """Results of texts, whose rows follow those of their block's ids, in order, and joined pieces."""
 
-    def run(group: pa.Table) -> pa.Table:
-        table = pieces.value
-        decimals = [str(i) for i in range(len(table))]
-        kinds, source = group["kind"].to_numpy(), group["source"].to_numpy()
-        own = _part(group["payload"][int(np.flatnonzero(kinds == 0)[0])].as_py())
-        docs, count, bucket, number = np.frombuffer(own[0], np.int64), _grow(own[1]), _grow(own[2]), _grow(own[3])
-        where = np.argsort(bucket, kind="stable")  # the place in all lists, one after another, of each
-        place = np.empty(len(where), np.int64)
-        place[where] = np.arange(len(where))
-        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        parts = np.flatnonzero(kinds == 2)
-        for i in parts[np.argsort(-source[parts], kind="stable")]:
-            x = _part(group["payload"][int(i)].as_py())
-            sizes.append(_grow(x[0]))
-            ids.append(_grow(x[1]).astype(np.int32))
-        size, ids = np.concatenate(sizes), np.concatenate(ids).astype(np.int32)
-        start = np.concatenate([[0], np.cumsum(size)])
-        bound = np.concatenate([[0], np.cumsum(count)])
-        out_n, out_ids, out_text, sha_ids, sha_text = [], [], [], [], []
-        for s, e in zip(bound[:-1].tolist(), bound[1:].tolist()):
-            x = place[number[s:e]]
-            m = size[x]
-            doc = ids[np.repeat(start[x] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-            listed = doc.tolist()
-            text = " ".join([table[i] for i in listed])
-            out_n.append(len(doc))
-            sha_ids.append(hashlib.sha256(" ".join([decimals[i] for i in listed]).encode()).hexdigest())
-            sha_text.append(hashlib.sha256(text.encode()).hexdigest())
-            if keep_ids:
-                out_ids.append(doc)
-            if keep_text:
-                out_text.append(text)
-        cols = {"id": pa.array(docs), "n_tokens": pa.array(out_n, pa.int64()), "ids_sha256": pa.array(sha_ids, pa.string()), "decoded_sha256": pa.array(sha_text, pa.string())}
-        if keep_ids:
-            cols["ids"] = pa.array(out_ids, pa.list_(pa.int32()))
-        if keep_text:
-            cols["decoded"] = pa.array(out_text, pa.string())
-        return pa.table(cols)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, pieces, table = None, [], [], None
+        for batch in batches:
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            for i, (own, token, known) in enumerate(zip(cols["block"].to_pylist(), cols["token_id"].to_pylist(), cols["known"].to_pylist())):
+                if own != block:
+                    block, ids, pieces, table = own, [], [], None
+                if token is not None:
+                    ids.append(token)
+                    pieces.append(cols["piece"][i].as_py() or "")
+                    continue
+                if len(ids) != known:
+                    raise RuntimeError("a block's pieces are not before its texts")
+                if table is None:
+                    table = np.array(ids, np.int32), pa.array(pieces, pa.large_string()), pa.array(map(str, ids), pa.large_string())
+                tokens, sizes = cols["tokens"][i].values, cols["sizes"][i].values.to_numpy()
+                place = pa.array(np.searchsorted(table[0], tokens.to_numpy()))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+                text, decimals = (pc.binary_join(pa.LargeListArray.from_arrays(ends, x.take(place)), " ") for x in table[1:])
+                sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
+                out = {"id": pa.array(cols["docs"][i].as_py(), pa.int64()), "n_tokens": pa.array(sizes.astype(np.int64)), "ids_sha256": sha(decimals), "decoded_sha256": sha(text)}
+                if keep_ids:
+                    out["ids"] = pa.ListArray.from_arrays(ends.cast(pa.int32()), tokens)
+                if keep_text:
+                    out["decoded"] = text.cast(pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
@@ -230,30 +287,29 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: s
     """encoded with the text of its ids: positions are exploded, joined with the pieces (a
     fixed vocabulary, so that side is small for any input) and put together in order.
 
-    Null or empty ids decode to the empty text; ids outside the vocabulary are left out."""
+    Null or empty ids decode to the empty text; ids outside the vocabulary are left out. A column
+    of the name out_col is replaced, all others stay."""
     spark = encoded.sparkSession
-    keyed = materialize(encoded.withColumn("__row", F.monotonically_increasing_id()), "ids")
-    long = keyed.select("__row", F.posexplode(ids_col).alias("pos", "token_id"))
+    rest = [c for c in encoded.columns if c != out_col]
+    keyed = materialize(encoded.select(F.monotonically_increasing_id().alias("row"), F.struct(*rest).alias("own"), F.col(ids_col).alias("ids")), "ids")
+    long = keyed.select("row", F.posexplode("ids").alias("pos", "token_id"))
     pieces = long.join(F.broadcast(piece_table(spark, vocabulary)), "token_id")
-    text = pieces.groupBy("__row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("__text"))
-    return keyed.join(text, "__row", "left").withColumn(out_col, F.coalesce("__text", F.lit(""))).drop("__row", "__text")
+    text = pieces.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    return keyed.join(text, "row", "left").select(*(F.col("own")[c].alias(c) for c in rest), F.coalesce("text", F.lit("")).alias(out_col))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) of every row of docs."""
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
     vocabulary = vocabulary or load_vocabulary()
-    bpe = Tokenizer.from_str(vocabulary)
-    sc = spark.sparkContext
-    tokenizer = sc.broadcast(vocabulary)
-    pieces = sc.broadcast([bpe.id_to_token(i) for i in range(bpe.get_vocab_size(with_added_tokens=True))])
+    tokenizer = spark.sparkContext.broadcast(vocabulary)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt"))
     volume = own.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
-    buckets = max(16, volume // (16 * BUCKET_BYTES))
-    split = own.mapInArrow(_split(buckets), _PIECES)
-    ids = split.groupBy("dest").applyInArrow(_encode(tokenizer), _PIECES)
+    buckets = max(16, volume // BUCKET_TEXT)
+    split = own.select("id", words_of(F.col("txt")).alias("words"))
+    ids = split.mapInArrow(_split(buckets, LIST), _PIECES).groupBy("dest").applyInArrow(_encode(tokenizer), _PIECES)
+    texts = split.mapInArrow(_split(buckets, TEXTS), _PIECES)
+    placed = texts.unionByName(ids).groupBy("dest").applyInArrow(_place, _PLACED)
+    known = placed.join(F.broadcast(piece_table(spark, vocabulary)), "token_id", "left")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    out = ids.groupBy("dest").applyInArrow(_assemble(pieces, keep_ids, keep_text), schema)
-    return out.withColumnRenamed("id", id_col)
+    return known.mapInArrow(_decode(keep_ids, keep_text), schema).withColumnRenamed("id", id_col)

@@ -115,6 +115,14 @@ class Words:
         return self.prefix_hashes(self.start, self.end)
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from start to end, case kept; equal bytes have equal hashes."""
+    powers, inverse = _power_tables(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start])
+
+
 def grams(word_hash: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words inside one text, and how many each text has."""
     count = np.maximum(np.diff(bound) - (k - 1), 0)
