@@ -1,32 +1,35 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of words, one of toxic and one of ordinary text, predict each byte of a word
-from all bytes before it in the word, or after the first DEPTH bytes from the NEAR bytes
-before it; a marker ends a word, and every byte of it counts. Counts of a class are discounted, and what that leaves goes to a model that both
-classes share: a 4-gram model of continuation counts, with Kneser-Ney backoff down to
-single bytes. A form that one class alone has by chance thus leans on the shared counts,
-while stems and words that are regular in one class stand out. A word is what
-stands between white space, A-Z lower-cased.
-
-A document's log-likelihoods are sums over its words divided by their number, over the whole
-document and over every run of WINDOW words. The toxic less the ordinary
-one, of the whole and of the run where that is largest, are combined by a logistic
-function fitted on labelled rows that the models have not seen (a quarter of the
-training rows), from counts in bins.
-
-Nothing that is counted is left out, and no table comes to the driver or is broadcast. Tasks
-gather texts in blocks; the blocks' lists of distinct words meet, dealt by word hash, in
-buckets, which hold every distinct word of the corpus once, with its counts in the
-labelled texts. Beginnings, contexts, lower orders and log ratios follow by grouping and
-joining. A bucket asks for its distinct beginnings in the table of log ratios, dealt by key, adds
-them up for its words, and gives each block its words' sums in the order of the
-block's list. There they meet the block's texts, which are split a second time
-for that, as word numbers.
-
-Null, empty and blank texts have no words and the score of differences of 0. Whole
-texts are scored, in pieces of bounded size. Repeated rows get equal scores. Only the
+Two models, one of toxic and one of ordinary texts, predict each byte of a word from
+all bytes before it in the word, and the word's end. Counts are numbers of texts, so
+that a text that repeats a word, or a long one, does not speak louder. A class's counts
+are discounted, the more the larger they are up to three (the modified Kneser-Ney
+discounts); what that leaves goes to a model that both classes share: of the same beginning, counted
+by the different words that begin so, and below that by the different beginnings that
+a byte follows. A rare form thus leans on the shared counts, and says little; stems
+and words that are regular in one class stand out. A word is what stands between white
+space, A-Z lower-cased; one of more than PART bytes is read in parts of PART bytes, so
+every byte counts.
+
+A text's log-likelihoods are sums over its words. The toxic less the ordinary one, per word over the whole
+text (d) and of the two words where it is largest (top, next), and the logarithm of the number of words, which
+says how large these get by chance, are combined by a logistic function. It is fitted,
+by Newton steps whose sums Spark forms, on labelled rows that the models have
+not seen (a quarter of the training rows).
+
+Nothing that is counted is left out, and no table of words comes to the driver or is
+broadcast. Tasks gather texts in blocks; the blocks' distinct words meet in buckets, which are ranges of
+words in their order. All words with one beginning are thus neighbours, and a bucket can
+count its beginnings by itself, but for those few that a border of its range cuts: these, at most
+KEY a border, are summed over buckets by grouping and joined back. A bucket gives each block its words' sums in the
+order of the block's list; there they meet the block's texts as word numbers. The
+borders are quantiles of a sample of texts and say only which words a bucket gets.
+
+Null, empty and blank texts have no words and all measures 0. A null id stays null in its own row.
+Repeated rows get equal scores. Long texts are a block of their own. Only the
 named columns are read. An empty table gives an empty result; without labels
-of both classes all scores are the share of label 1, or 0.5."""
+of both classes all scores are the share of label 1, or 0.5. Texts are read twice, and
+have to be the same in the same order both times, as files are; otherwise the job fails."""
 
 from __future__ import annotations
 
@@ -39,79 +42,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _grow, _join, _part, _shrink
+from .bpe import _PIECES, _grow, _join, _part, _pieces, _shrink
 from .langid import held_out
-from .shared import BROADCAST_ROWS, materialize, with_labels
+from .shared import materialize, with_labels
 from .textops import Words, slices, utf8
 
 BLOCK_BYTES = 32 << 20
-#: Bytes of text for one bucket of words, and beginnings in one range of keys, about.
-BUCKET_TEXT = 64 << 20
-RANGE_ROWS = 400_000
-DISCOUNT = 0.75
-DEPTH = 12
-NEAR = 5  # two characters of three bytes with the next byte
-SEGMENT = 1 << 18  # bytes of a word taken at a time
-START, END = 1, 2
-WINDOW = 3
-BINS = (100, 20)  # bins a unit of the two differences
-
-_PIECES = "dest long, source long, kind int, payload binary"
-TEXTS, LIST, WORDS, NUMBERS, ASKED, TOLD, SUMS = range(7)  # kinds of pieces
-_ROOT = np.uint64(0x1B873593CC9E2D51)
-_INNER, _INNER_END, _INNER_CONTEXT = np.uint64(0x7F4A7C15D1B54A33), np.uint64(0x94D049BB133111EB), np.uint64(0x2545F4914F6CDD1D)
-
-
-def _beginnings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, context key, last four bytes, how many each word has) of the word beginnings, and of the
-    last bytes of those over DEPTH."""
-    start, size = words.start, words.end - words.start
-    n = size + 1
-    total = int(n.sum())
-    first = np.cumsum(n) - n
-    at = np.arange(total) - np.repeat(first, n)
-    src = np.repeat(start, n) + at
-    ends = at == np.repeat(size, n)
-    cur = np.where(ends, END, words.data[np.minimum(src, max(len(words.data) - 1, 0))] if total else 0).astype(np.int64)
-    last4 = cur.copy()
-    for back in range(1, 4):
-        prev = np.full(total, START, np.int64)
-        if back < total:
-            prev[back:] = cur[:-back]
-        prev[at < back] = START
-        last4 |= prev << (8 * back)
-    key = np.where(ends, words.prefix_hashes(np.repeat(start, n), src) ^ _ROOT, words.prefix_hashes(np.repeat(start, n), np.minimum(src + 1, len(words.data)))) if total else np.zeros(0, np.uint64)
-    context = np.empty_like(key)
-    context[1:] = key[:-1]
-    context[at == 0] = _ROOT
-    inner = np.flatnonzero(at >= DEPTH)
-    if len(inner):
-        before = words.prefix_hashes(src[inner] - NEAR, src[inner])
-        with_own = words.prefix_hashes(src[inner] - NEAR, np.minimum(src[inner] + 1, len(words.data)))
-        key[inner] = np.where(ends[inner], before ^ _INNER_END, with_own ^ _INNER)
-        context[inner] = before ^ _INNER_CONTEXT
-    return key.view(np.int64), context.view(np.int64), last4, n
-
-
-def _pieces(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["dest", "source", "kind", "payload"])
-
-
-def _texts_of(text: pa.Array, *others: pa.Array) -> Iterator[tuple]:
-    for s, e in slices(text, 1 << 20):
-        yield Words(*utf8(text.slice(s, e - s))), *(x.slice(s, e - s).to_numpy(zero_copy_only=False) for x in others)
-
-
-def _split(buckets: int, kind: int, labelled: bool = False):
+#: Bytes of text for one bucket of words, and texts in the sample for its borders, about.
+BUCKET_TEXT, BORDER_TEXTS = 64 << 20, 4000
+PART = 12
+KEY = 7  # bytes by which words are dealt
+END = 2
+CLASS_DISCOUNTS = np.array([0, 1, 2, 2.8])
+SHARED_DISCOUNTS = np.array([0, 0.9, 1.3, 1.6])
+MEASURES = ("d", "top", "next", "size")
+
+TEXTS, LIST, WORDS, NUMBERS, SUMS = range(5)  # kinds of pieces
+_EDGES = "h binary, b int, t long, o long, n long, bucket long"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+class _Parts:
+    """The parts of the words of every text of a batch."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        words = Words(data, offs)
+        words.data = np.maximum(words.data, 1)  # 0 pads
+        size = words.end - words.start
+        n = -(-size // PART)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.data = words.data
+        self.start = np.repeat(words.start, n) + at * PART
+        self.last = at == np.repeat(n - 1, n)
+        self.end = np.where(self.last, np.repeat(words.end, n), self.start + PART)
+        sums = np.concatenate([[0], np.cumsum(n)])
+        self.count = np.diff(sums[words.bound])
+        self.hashes = words.prefix_hashes(self.start, self.end) ^ self.last.astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
+
+    def keys(self, i: np.ndarray) -> np.ndarray:
+        """The first KEY bytes, end marker included, as one number."""
+        out = np.zeros(len(i), np.uint64)
+        start, size, last = self.start[i], self.end[i] - self.start[i], self.last[i]
+        for j in range(KEY):
+            byte = np.where(j < size, self.data[np.minimum(start + j, max(len(self.data) - 1, 0))], np.where((j == size) & last, END, 0)) if len(i) else out
+            out = out << np.uint64(8) | byte.astype(np.uint64)
+        return out
+
+    def strings(self, i: np.ndarray) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[b:e] + (b"\x02" if x else b"") for b, e, x in zip(self.start[i].tolist(), self.end[i].tolist(), self.last[i].tolist())]
+
+
+def _split(bounds: np.ndarray, kind: int, labelled: bool = False):
     """Blocks of (id, text[, label]). LIST: part of a block's list of distinct words, for a bucket,
-    with the counts in toxic and ordinary texts if labelled (source -1: nothing goes back). TEXTS: the block's
-    texts as word numbers, for the block. Frequent words have small numbers; a list keeps their order."""
+    with the numbers of toxic and ordinary texts that have them if labelled (source -1: nothing goes back). TEXTS:
+    the block's texts as word numbers, for the block. Frequent words have small numbers; a list keeps their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
-        def flush():
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq
             block = (part << 24) + seq
             seq += 1
@@ -119,40 +110,41 @@ def _split(buckets: int, kind: int, labelled: bool = False):
             hashes, first, inverse = np.unique(found, return_index=True, return_inverse=True)
             total = lambda i: np.bincount(inverse, np.concatenate([h[i] for h in held]), len(hashes)).astype(np.int64)
             order = np.argsort(-total(1), kind="stable")
-            bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
+            bucket = np.searchsorted(bounds, np.concatenate([h[2] for h in held])[first[order]], side="right")
             check = np.array([len(hashes), np.bitwise_xor.reduce(hashes, initial=np.uint64(0)).view(np.int64)]).tobytes()
             if kind == TEXTS:
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
                 starts = np.cumsum([0] + [len(h[0]) for h in held])
-                number = np.concatenate([rank[inverse[s + h[2]]] for s, h in zip(starts, held)])
-                rows = [(block, block, TEXTS, _join([np.concatenate([h[3] for h in held]).tobytes(), _shrink(np.concatenate([h[4] for h in held])), _shrink(bucket), _shrink(number), check]))]
+                number = np.concatenate([rank[inverse[s + h[3]]] for s, h in zip(starts, held)])
+                docs = [x for h in held for x in h[4]]
+                yield from _pieces([(block, block, TEXTS, _join([_shrink(np.concatenate([h[5] for h in held])), _shrink(bucket), _shrink(number), check]))], [docs]).to_batches()
             else:
-                rows = []
-                words = [w for h in held for w in h[2]]
+                words = [w for h in held for w in h[3]]
                 listed = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[listed], np.arange(buckets + 1))
-                counts = [total(3)[order], total(4)[order]] if labelled else []
-                for x in range(buckets):
+                cut = np.searchsorted(bucket[listed], np.arange(len(bounds) + 2))
+                counts = [total(4)[order], total(5)[order]] if labelled else []
+                for x in np.flatnonzero(np.diff(cut)).tolist():
                     own = listed[cut[x] : cut[x + 1]]
-                    if len(own):
-                        rows.append((x, -1 if labelled else block, LIST, _join([zstandard.compress(b" ".join([words[i] for i in first[order[own]]]), 3), check, *(_shrink(c[own]) for c in counts)])))
+                    yield from _pieces([(x, -1 if labelled else block, LIST, _join([zstandard.compress(b" ".join([words[i] for i in first[order[own]]]), 3), check, *(_shrink(c[own]) for c in counts)]))]).to_batches()
             held.clear()
-            for row in rows:
-                yield from _pieces([row]).to_batches()
 
         size = 0
         for batch in batches:
-            for words, ids, *label in _texts_of(batch.column(1), batch.column(0), *batch.columns[2:]):
-                hashes, at, inverse, times = np.unique(words.hashes(), return_index=True, return_inverse=True, return_counts=True)
+            for s, e in slices(batch.column(1), 1 << 20):
+                parts = _Parts(*utf8(batch.column(1).slice(s, e - s)))
+                hashes, at, inverse, times = np.unique(parts.hashes, return_index=True, return_inverse=True, return_counts=True)
                 if kind == TEXTS:
-                    held.append((hashes, times, inverse.astype(np.int32), ids.astype(np.int64), words.count))
+                    held.append((hashes, times, parts.keys(at), inverse.astype(np.int32), batch.column(0).slice(s, e - s).to_pylist(), parts.count))
                 else:
-                    raw = words.data.tobytes()
-                    listed = [raw[b:e] for b, e in zip(words.start[at].tolist(), words.end[at].tolist())]
-                    toxic = np.bincount(inverse, np.repeat(label[0], words.count), len(at)) if labelled else None
-                    held.append((hashes, times, listed, toxic, times - toxic if labelled else None))
-                size += len(words.data)
+                    by = None, None
+                    if labelled:
+                        label = np.asarray(batch.column(2).slice(s, e - s).to_numpy(zero_copy_only=False), np.int64)
+                        pairs = np.unique(np.repeat(np.arange(e - s), parts.count) * max(len(at), 1) + inverse)
+                        word, toxic = pairs % max(len(at), 1), label[pairs // max(len(at), 1)]
+                        by = np.bincount(word, toxic, len(at)), np.bincount(word, 1 - toxic, len(at))
+                    held.append((hashes, times, parts.keys(at), parts.strings(at), *by))
+                size += len(parts.data)
                 if size >= BLOCK_BYTES:
                     yield from flush()
                     size = 0
@@ -163,118 +155,153 @@ def _split(buckets: int, kind: int, labelled: bool = False):
 
 
 def _merge(group: pa.Table) -> pa.Table:
-    """All lists of a bucket: WORDS, the bucket's distinct words and their counts, and NUMBERS, of each
-    block's list in them."""
+    """All lists of a bucket: WORDS, its distinct words in order and how many toxic and ordinary texts have
+    each, and NUMBERS, each block's list in them."""
     bucket = group["dest"][0].as_py()
     number: dict[bytes, int] = {}
-    out, counted = [], []
+    lists, counted = [], []
     for source, payload in zip(group["source"].to_pylist(), group["payload"]):
-        listed, check, *counts = _part(payload.as_py())
-        own = zstandard.decompress(listed).split(b" ")
+        packed, check, *counts = _part(payload.as_py())
+        own = zstandard.decompress(packed).split(b" ")
         x = np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own))
         if source < 0:
             counted.append((x, *map(_grow, counts)))
         else:
-            out.append((bucket, source, NUMBERS, _join([_shrink(x), check])))
+            lists.append((source, x, check))
     t, o = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     for x, toxic, ordinary in counted:
         t[x] += toxic
         o[x] += ordinary
-    return _pieces([(bucket, -1, WORDS, _join([zstandard.compress(b" ".join(number), 3), _shrink(t), _shrink(o)])), *out])
-
-
-def _beginnings_of(listed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """_beginnings of a list of words, some at a time, and the places in the list of what n counts. Long words come
-    in several parts, which overlap by what the last bytes need."""
-    sizes = np.array([len(w) + 1 for w in listed])
-    ends = np.cumsum(sizes)
-    start = 0
-    while start < len(listed):
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + SEGMENT, side="right")))
-        word = listed[start]
-        if len(word) <= SEGMENT:
-            data = np.frombuffer(b" ".join(listed[start:stop]), np.uint8)
-            yield *_beginnings(Words(data, np.array([0, len(data)]))), np.arange(start, stop)
-        else:
-            for s in range(0, len(word), SEGMENT):
-                skip = min(s, DEPTH + NEAR)
-                data = np.frombuffer(word[s - skip : s + SEGMENT], np.uint8)
-                key, context, last4, _ = _beginnings(Words(data, np.array([0, len(data)])))
-                own = slice(skip, len(key) - (s + SEGMENT < len(word)))
-                yield key[own], context[own], last4[own], np.array([len(key[own])]), np.array([start])
-        start = stop
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Summed (key, context, last4, toxic, ordinary) of each bucket's labelled words."""
-    for batch in batches:
-        for payload in batch.column(0):
-            packed, t, o = _part(payload.as_py())
-            t, o = _grow(t), _grow(o)
-            some = np.flatnonzero(t + o)
-            listed = zstandard.decompress(packed).split(b" ")
-            held = []
-            for key, context, last4, n, at in _beginnings_of([listed[i] for i in some]):
-                own = some[at]
-                key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-                held.append((key, context[first], last4[first], *(np.bincount(inverse, np.repeat(c[own], n), len(key)).astype(np.int64) for c in (t, o))))
-            if held:
-                cols = [np.concatenate([h[i] for h in held]) for i in range(5)]
-                key, first, inverse = np.unique(cols[0], return_index=True, return_inverse=True)
-                sums = [np.bincount(inverse, c, len(key)).astype(np.int64) for c in cols[3:]]
-                for s in range(0, len(key), 1 << 16):
-                    e = s + (1 << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[s:e]) for x in (key, cols[1][first], cols[2][first], *sums)], names=["key", "context", "last4", "t", "o"])
-
-
-def fit_models(words: DataFrame) -> DataFrame:
-    """(key, what, value): the log ratio of every beginning (what 0), and of every context what it
-    leaves to bytes not seen after it (what 1), from the WORDS."""
-    D = DISCOUNT
-    nodes = words.select("payload").mapInArrow(_count, "key long, context long, last4 long, t long, o long").groupBy("key").agg(F.min("context").alias("context"), F.min("last4").alias("last4"), F.sum("t").alias("t"), F.sum("o").alias("o"))
-    nodes = materialize(nodes, "beginnings")
-    low = lambda col, n: F.col(col).bitwiseAND((1 << (8 * n)) - 1)
-    above = lambda col: F.shiftright(col, 8)
-
-    # the shared model: in how many different contexts an n-gram continues a word
-    e4 = materialize(nodes.groupBy(F.col("last4").alias("g4")).agg(F.count("*").alias("n")), "grams")
-    e3 = e4.groupBy(low("g4", 3).alias("g3")).agg(F.count("*").alias("n"))
-    e2 = e3.groupBy(low("g3", 2).alias("g2")).agg(F.count("*").alias("n"))
-    e1 = e2.groupBy(low("g2", 1).alias("g1")).agg(F.count("*").alias("n"))
-    total = e1.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
-    shared = e1.select("g1", ((F.greatest(F.col("n") - D, F.lit(0.0)) + D * (total["kinds"] or 0) / 256) / (total["total"] or 1)).alias("p1"))
-    for n, e in ((2, e2), (3, e3), (4, e4)):
-        g, h = f"g{n}", f"g{n - 1}"
-        context = e.groupBy(above(g).alias("c")).agg(F.sum("n").alias("s"), F.count("*").alias("k"))
-        shared = e.withColumn("c", above(g)).withColumn(h, low(g, n - 1)).join(context, "c").join(shared, h).select(g, ((F.greatest(F.col("n") - D, F.lit(0.0)) + D * F.col("k") * F.col(f"p{n - 1}")) / F.col("s")).alias(f"p{n}"))
-
-    shared = materialize(shared.withColumnRenamed("g4", "last4"), "shared")
-    if shared.count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
-
-    has = lambda c: F.count_if(F.col(c) > 0)
-    left = lambda s, k: F.when(F.col(s) > 0, D * F.col(k) / F.col(s)).otherwise(1.0)
-    share = lambda n, s: F.when(F.col(s) > 0, F.greatest(F.col(n) - D, F.lit(0.0)) / F.col(s)).otherwise(0.0)
-    contexts = nodes.groupBy("context").agg(F.sum("t").alias("st"), F.sum("o").alias("so"), has("t").alias("kt"), has("o").alias("ko"))
-    contexts = contexts.select("context", "st", "so", left("st", "kt").alias("lt"), left("so", "ko").alias("lo"))
-    contexts = materialize(contexts, "contexts")
-    known = nodes.join(contexts, "context").join(shared, "last4")
-    ratio = F.log((share("t", "st") + F.col("lt") * F.col("p4")) / (share("o", "so") + F.col("lo") * F.col("p4")))
-    known = known.select("key", F.lit(0).alias("what"), ratio.cast("float").alias("value"))
-    rest = contexts.select(F.col("context").alias("key"), F.lit(1).alias("what"), F.log(F.col("lt") / F.col("lo")).cast("float").alias("value"))
-    return materialize(known.union(rest), "ratios")
-
-
-def _ask(bits: int):
-    """ASKED: the distinct beginnings and contexts of a bucket's words, for each range of keys."""
+    words = sorted(number)
+    old = np.fromiter((number[w] for w in words), np.int64, len(words))
+    new = np.empty_like(old)
+    new[old] = np.arange(len(old))
+    return _pieces([(bucket, -1, WORDS, _join([zstandard.compress(b" ".join(words), 3), _shrink(t[old]), _shrink(o[old])])), *((bucket, source, NUMBERS, _join([_shrink(new[x]), check])) for source, x, check in lists)])
+
+
+class _Trie:
+    """Words in order, as rows of bytes; those with one beginning are neighbours."""
+
+    def __init__(self, words: list[bytes]):
+        width = PART + 1
+        self.bytes = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        same = (self.bytes[1:] == self.bytes[:-1]).cumprod(axis=1).sum(axis=1)
+        self.shared = np.concatenate([[-1], np.minimum(same, np.minimum(self.size[1:], self.size[:-1]))])[: len(words)]
+
+    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(j, rows that have byte j, first row of each beginning of j + 1 bytes, its parent, beginning of each row)."""
+        parent = np.zeros(len(self.size), np.int64)
+        for j in range(self.bytes.shape[1]):
+            has = self.size > j
+            first = np.flatnonzero(has & (self.shared <= j))
+            if not len(first):
+                return
+            flags = np.zeros(len(has), np.int64)
+            flags[first] = 1
+            own = np.cumsum(flags) - 1
+            yield j, has, first, parent[first], own
+            parent = own
+
+
+def _cut(bounds: np.ndarray, bucket: int) -> set[bytes]:
+    """The beginnings that words of other buckets may have as well."""
+    borders = [int(bounds[i]).to_bytes(KEY, "big") for i in (bucket - 1, bucket) if 0 <= i < len(bounds)]
+    return {b""} | {b[:n] for b in borders for n in range(KEY + 1)}
+
+
+def _edges(bounds: np.ndarray):
+    """Of each bucket's labelled words: what follows the beginnings that borders cut (h, b: next byte,
+    t and o: texts, n: words), the beginnings needed (b -1), and how many other beginnings each byte ends (h null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys = _asked(zstandard.decompress(_part(payload.as_py())[0]).split(b" "))
-                cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for x in np.flatnonzero(np.diff(cut)).tolist():
-                    yield from _pieces([(x, bucket, ASKED, _planes(keys[cut[x] : cut[x + 1]]))]).to_batches()
+                packed, t, o = _part(payload.as_py())
+                t, o = _grow(t), _grow(o)
+                some = np.flatnonzero(t + o)
+                words = zstandard.decompress(packed).split(b" ")
+                t, o, trie = t[some], o[some], _Trie([words[i] for i in some])
+                cut = _cut(bounds, bucket)
+                ends = np.zeros(256, np.int64)
+                rows = [(h, -1, 0, 0, 0) for h in cut]
+                before = np.zeros(1, np.int64)
+                for j, has, first, parent, _ in trie.levels():
+                    byte = trie.bytes[first, j]
+                    open_ = np.isin(parent, _find(trie, before, j, cut))
+                    sums = [np.add.reduceat(np.where(has, x, 0), first) for x in (t, o, np.ones(len(t), np.int64))]
+                    for i in np.flatnonzero(open_).tolist():
+                        rows.append((trie.bytes[first[i], :j].tobytes(), int(byte[i]), *(int(x[i]) for x in sums)))
+                    ends += np.bincount(byte[~open_], minlength=256)
+                    before = first
+                rows += [(None, b, 0, 0, int(n)) for b, n in enumerate(ends) if n]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))] + [pa.array([bucket] * len(rows), pa.int64())], names=["h", "b", "t", "o", "n", "bucket"])
+
+    return run
+
+
+def _find(trie: _Trie, before: np.ndarray, j: int, cut: set[bytes]) -> list[int]:
+    """Which of the beginnings of j bytes, whose first rows are `before`, are cut by borders."""
+    if j == 0:
+        return [0]
+    own = trie.bytes[before, :j]
+    return [int(i) for h in cut if len(h) == j for i in np.flatnonzero((own == np.frombuffer(h, np.uint8)).all(axis=1))]
+
+
+def _steps(n: np.ndarray) -> np.ndarray:
+    """1, 2 or 3 in columns: which discount a count has."""
+    return np.stack([n == 1, n == 2, n >= 3])
+
+
+def log_ratios(trie: _Trie, t: np.ndarray, o: np.ndarray, edges: dict[bytes, np.ndarray], single: np.ndarray) -> np.ndarray:
+    """log p(toxic) - log p(ordinary) of each word. edges: of beginnings that are cut, (256, 3) sums over
+    all buckets; single: how likely each byte is by the beginnings that it ends."""
+    out = np.zeros(len(t))
+    known = (t + o > 0).astype(np.int64)
+    before = np.zeros(1, np.int64)
+    for j, has, first, parent, own in trie.levels():
+        byte = trie.bytes[first, j]
+        child = np.stack([np.add.reduceat(np.where(has, x, 0), first) for x in (t, o, known)])
+        n_parents = int(parent.max()) + 1
+        for i in _find(trie, before, j, set(edges)):
+            mine = parent == i
+            child[:, mine] = edges[trie.bytes[before[i], :j].tobytes()][byte[mine]].T
+        sums, left = [], []
+        for x, discounts in zip(child, (CLASS_DISCOUNTS, CLASS_DISCOUNTS, SHARED_DISCOUNTS)):
+            sums.append(np.bincount(parent, x, n_parents))
+            left.append(sum(d * np.bincount(parent, s, n_parents) for d, s in zip(discounts[1:], _steps(x))))
+        for i in _find(trie, before, j, set(edges)):
+            if i < n_parents:
+                every = edges[trie.bytes[before[i], :j].tobytes()]
+                for k, discounts in enumerate((CLASS_DISCOUNTS, CLASS_DISCOUNTS, SHARED_DISCOUNTS)):
+                    sums[k][i], left[k][i] = every[:, k].sum(), (discounts[1:, None] * _steps(every[:, k])).sum()
+        (st, so, sn), (lt, lo, ln) = ([x[parent] for x in y] for y in (sums, left))
+        ct, co, cn = child
+        taken = lambda c, d: c - d[np.minimum(c, 3)]
+        shared = np.where(cn > 0, (taken(cn, SHARED_DISCOUNTS) + ln * single[byte]) / np.maximum(sn, 1), 1.0)
+        p = [np.where(s > 0, (taken(c, CLASS_DISCOUNTS) + rest * shared) / np.maximum(s, 1), shared) for c, s, rest in ((ct, st, lt), (co, so, lo))]
+        value = np.log(p[0]) - np.log(p[1])
+        out[has] += value[own[has]]
+        before = first
+    return out
+
+
+def _add(single: np.ndarray):
+    """SUMS: the log ratios of a bucket's words, for each block in the order of its list."""
+
+    def run(group: pa.Table, edges: pa.Table) -> pa.Table:
+        kinds, payload = group["kind"].to_numpy(), group["payload"]
+        source, bucket = group["source"].to_numpy(), group["dest"][0].as_py()
+        packed, t, o = _part(payload[int(np.flatnonzero(kinds == WORDS)[0])].as_py())
+        cut: dict[bytes, np.ndarray] = {}
+        for h, b, *counts in zip(*(edges[c].to_pylist() for c in ("h", "b", "t", "o", "n"))):
+            cut.setdefault(h, np.zeros((256, 3), np.int64))[b] = counts
+        each = log_ratios(_Trie(zstandard.decompress(packed).split(b" ")), _grow(t), _grow(o), cut, single).astype(np.float32)
+        rows = []
+        for i in np.flatnonzero(kinds == NUMBERS):
+            number, check = _part(payload[int(i)].as_py())
+            rows.append((int(source[i]), bucket, SUMS, _join([_planes(each[_grow(number)]), check])))
+        return _pieces(rows)
 
     return run
 
@@ -289,138 +316,108 @@ def _of_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _asked(listed: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(np.concatenate([key, context])) for key, context, *_ in _beginnings_of(listed)]).view(np.uint64))
-
-
-def _tell(ratios: pa.Table, asked: pa.Table) -> pa.Table:
-    """TOLD: for what each bucket asked of a range of keys, the log ratios (not a number where none
-    is known) and what contexts leave (0 where none is known)."""
-    rows = []
-    key, what, value = (ratios[c].to_numpy() for c in ("key", "what", "value"))
-    tables = []
-    for x in (0, 1):
-        own = np.flatnonzero(what == x)
-        own = own[np.argsort(key[own])]
-        tables.append((key[own], value[own]))
-    for dest, source, payload in zip(asked["dest"].to_pylist(), asked["source"].to_pylist(), asked["payload"]):
-        want = _of_planes(payload.as_py(), np.int64)
-        told = []
-        for (keys, values), none in zip(tables, (np.nan, 0)):
-            at = np.searchsorted(keys, want)
-            out = np.full(len(want), none, np.float32)
-            has = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == want) if len(keys) else []
-            out[has] = values[at[has]] if len(keys) else 0
-            told.append(_planes(out))
-        rows.append((source, dest, TOLD, _join(told)))
-    return _pieces(rows)
-
-
-def log_ratios(asked: np.ndarray, told: np.ndarray, left: np.ndarray, key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """log p(toxic) - log p(ordinary) of the last byte of each word beginning given those before."""
-    out = told[np.searchsorted(asked, key.view(np.uint64))]
-    rest = np.flatnonzero(np.isnan(out))
-    out[rest] = left[np.searchsorted(asked, context[rest].view(np.uint64))]
-    return out
-
-
-def _add(group: pa.Table) -> pa.Table:
-    """SUMS: of a bucket's words, for each block in the order of its list."""
-    kinds, payload = group["kind"].to_numpy(), group["payload"]
-    source = group["source"].to_numpy()
-    listed = zstandard.decompress(_part(payload[int(np.flatnonzero(kinds == WORDS)[0])].as_py())[0]).split(b" ")
-    asked = _asked(listed)
-    parts = np.flatnonzero(kinds == TOLD)
-    answers = [_part(payload[int(i)].as_py()) for i in parts[np.argsort(source[parts])]]
-    told, left = (np.concatenate([_of_planes(x[i], np.float32) for x in answers]) for i in (0, 1))
-    if len(told) != len(asked):
-        raise RuntimeError("beginnings without an answer")
-    each = np.zeros(len(listed))
-    for key, context, _, n, at in _beginnings_of(listed):
-        each[at] += np.add.reduceat(log_ratios(asked, told, left, key, context).astype(np.float64), np.cumsum(n) - n)
-    each = each.astype(np.float32)
-    rows = []
-    for i in np.flatnonzero(kinds == NUMBERS):
-        number, check = _part(payload[int(i)].as_py())
-        rows.append((int(source[i]), group["dest"][0].as_py(), SUMS, _join([_planes(each[_grow(number)]), check])))
-    return _pieces(rows)
-
-
 def _score(group: pa.Table) -> pa.Table:
-    """(id, d, top) of a block's texts."""
+    """(id, measures) of a block's texts."""
     kinds, source = group["kind"].to_numpy(), group["source"].to_numpy()
     own = np.flatnonzero(kinds == TEXTS)
     if len(own) != 1:
         raise RuntimeError("the texts changed between two readings")
-    own = _part(group["payload"][int(own[0])].as_py())
-    docs, count, bucket, number = np.frombuffer(own[0], np.int64), _grow(own[1]), _grow(own[2]), _grow(own[3])
+    docs = group["docs"][int(own[0])].as_py()
+    count, bucket, number, check = _part(group["payload"][int(own[0])].as_py())
+    count, bucket, number = _grow(count), _grow(bucket), _grow(number)
     place = np.empty(len(bucket), np.int64)
     place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
     parts = np.flatnonzero(kinds == SUMS)
     lists = [_part(group["payload"][int(i)].as_py()) for i in parts[np.argsort(source[parts])]]
     each = np.concatenate([np.zeros(0, np.float32), *(_of_planes(x[0], np.float32) for x in lists)])
-    if len(each) != len(bucket) or any(x[1] != own[4] for x in lists):
+    if len(each) != len(bucket) or any(x[1] != check for x in lists):
         raise RuntimeError("the texts changed between two readings")
-    sums = np.concatenate([[0], np.cumsum(each[place[number]].astype(np.float64))])
-    bound = np.concatenate([[0], np.cumsum(count)])
-    d = (sums[bound[1:]] - sums[bound[:-1]]) / np.maximum(count, 1)
-    top = d.copy()
-    long = np.flatnonzero(count >= WINDOW)
-    if len(long):
-        n = count[long] - WINDOW + 1
-        begin = np.repeat(bound[:-1][long] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        top[long] = np.maximum.reduceat(sums[begin + WINDOW] - sums[begin], np.cumsum(n) - n) / WINDOW
-    return pa.table({"id": pa.array(docs), "d": pa.array(d), "top": pa.array(top)})
-
-
-def differences(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, d, top) of every row of docs, by models of labelled (id, txt, label): the length-normalised
-    log-likelihood under the toxic less that under the ordinary model, of the whole text and of
-    the run of words where it is largest. Shuffle files go as soon as what they lead to is written."""
+    value = each[place[number]]
+    out = np.zeros((3, len(docs)))
+    some = np.flatnonzero(count)
+    if len(some):
+        at = (np.cumsum(count) - count)[some]
+        n = count[some]
+        out[0, some] = np.add.reduceat(value.astype(np.float64), at) / n
+        top = np.maximum.reduceat(value, at)
+        out[1, some] = top
+        text = np.repeat(np.arange(len(some)), n)
+        where = np.flatnonzero(value == top[text])
+        once = where[np.unique(text[where], return_index=True)[1]]
+        value[once] = -np.inf
+        out[2, some] = np.where(n > 1, np.maximum.reduceat(value, at), top)
+    return pa.table({"id": pa.array(docs, pa.int64()), **{m: pa.array(x) for m, x in zip(MEASURES, out)}, "size": pa.array(np.log1p(count))})
+
+
+def borders(texts: DataFrame, rows: int, buckets: int) -> np.ndarray:
+    """buckets - 1 keys that deal the distinct words of a sample of texts evenly."""
+    share = min(1.0, max(BORDER_TEXTS, 20 * buckets) / max(rows, 1))
+    chosen = texts.where(F.pmod(F.xxhash64("txt"), F.lit(1 << 30)) < share * (1 << 30))
+    words = chosen.select(F.explode(F.split(F.translate("txt", _UPPER, _LOWER), r"[\x09-\x0D\x20]+", -1)).alias("w")).where("w != ''").distinct()
+    key = F.conv(F.rpad(F.hex(F.substring(F.col("w").cast("binary"), 1, KEY)), 2 * KEY, "0"), 16, 10).cast("long")
+    found = words.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0]
+    return np.unique(np.array(found or [], np.uint64))
+
+
+def measures(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, buckets: int | None = None) -> DataFrame:
+    """(id, d, top, next, size) of every row of docs, by models of labelled (id, txt, label).
+    Shuffle files go as soon as what they lead to is written."""
     conf, name = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(name, "false")
     conf.set(name, "true")
     try:
-        return _differences(docs, labelled, id_col, text_col)
+        return _measures(docs, labelled, id_col, text_col, buckets)
     finally:
         conf.set(name, before)
 
 
-def _differences(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _measures(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, buckets: int | None) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt"))
-    volume = own.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
-    buckets = max(16, volume // BUCKET_TEXT)
+    rows, volume = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("txt")), F.lit(0))).first()
+    bounds = borders(own, rows, buckets or max(16, volume // BUCKET_TEXT))
     known = labelled.select(F.col("id").cast("long"), F.col("txt").cast("string"), "label").where("label in (0, 1)")
-    lists = own.mapInArrow(_split(buckets, LIST), _PIECES).union(known.mapInArrow(_split(buckets, LIST, True), _PIECES))
+    lists = own.mapInArrow(_split(bounds, LIST), _PIECES).union(known.mapInArrow(_split(bounds, LIST, True), _PIECES))
     merged = materialize(lists.groupBy("dest").applyInArrow(_merge, _PIECES), "words")
-    words = merged.where(F.col("kind") == WORDS)
-    ratios = fit_models(words)
-    bits = max(4, (ratios.count() // RANGE_ROWS).bit_length())
-    asked = words.select("dest", "payload").mapInArrow(_ask(bits), _PIECES)
-    dealt = ratios.withColumn("dest", F.shiftrightunsigned("key", 64 - bits))
-    told = dealt.groupBy("dest").cogroup(asked.groupBy("dest")).applyInArrow(_tell, _PIECES)
-    sums = materialize(merged.union(told).groupBy("dest").applyInArrow(_add, _PIECES), "sums")
-    texts = own.mapInArrow(_split(buckets, TEXTS), _PIECES)
-    return materialize(texts.union(sums).groupBy("dest").applyInArrow(_score, "id long, d double, top double"), "differences")
-
-
-def fit_logistic(bins: list[tuple[float, ...]]) -> np.ndarray:
-    """Weights of the features and an offset, of label 1, from (features..., zeros, ones); by Newton
-    steps with a small penalty."""
-    data = np.array(bins, float)
-    x, n0, n1 = data[:, :-2], data[:, -2], data[:, -1]
-    scale = np.maximum(1e-9, np.sqrt((x * x * (n0 + n1)[:, None]).sum(axis=0) / (n0 + n1).sum()))
-    z = np.concatenate([x / scale, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(z.shape[1])
-    for _ in range(80):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        grad = z.T @ (n1 - p * (n0 + n1)) - 0.02 * w
-        hess = (z * (p * (1 - p) * (n0 + n1))[:, None]).T @ z + 0.02 * np.eye(len(w))
+    edges = materialize(merged.where(F.col("kind") == WORDS).select("dest", "payload").mapInArrow(_edges(bounds), _EDGES), "edges")
+    sums = edges.where("h is not null and b >= 0").groupBy("h", "b").agg(*(F.sum(c).alias(c) for c in ("t", "o", "n")))
+    ends = np.zeros(256)
+    for r in edges.where("h is null").select("b", "n").union(sums.select("b", F.lit(1))).groupBy("b").agg(F.sum("n").alias("n")).collect():  # 256 rows at most
+        ends[r["b"]] = r["n"]
+    taken = np.maximum(ends - SHARED_DISCOUNTS[1], 0)
+    single = (taken + (ends.sum() - taken.sum()) / 256) / ends.sum() if ends.sum() else np.full(256, 1 / 256)
+    told = edges.where("b = -1").select("h", F.col("bucket").alias("dest")).join(sums, "h")
+    added = merged.groupBy("dest").cogroup(told.groupBy("dest")).applyInArrow(_add(single), _PIECES)
+    texts = own.mapInArrow(_split(bounds, TEXTS), _PIECES)
+    return materialize(texts.union(added).groupBy("dest").applyInArrow(_score, "id long, d double, top double, next double, size double"), "measures")
+
+
+def fit_logistic(rows: DataFrame, columns: tuple[str, ...], label: str, penalty: float = 0.02) -> np.ndarray | None:
+    """Weights of the columns and an offset, of label 1, by Newton steps with a small penalty; None
+    without both labels. Each step's sums are one aggregation."""
+    first = rows.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1), *(f(c) for c in columns for f in (F.avg, F.stddev_pop))).first()
+    if not first[0] or not first[1]:
+        return None
+    middle, scale = np.array(first[2::2], float), np.array(first[3::2], float)
+    scale[scale < 1e-9] = 1.0
+    z = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(columns, middle, scale)] + [F.lit(1.0)]
+    k = len(z)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    w = np.zeros(k)
+    for _ in range(40):
+        dot = sum((x * float(v) for x, v in zip(z[1:], w[1:])), z[0] * float(w[0]))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(dot, F.lit(40.0)), F.lit(-40.0))))
+        got = rows.select(*(x.alias(f"z{i}") for i, x in enumerate(z)), (F.col(label) - p).alias("g"), (p * (1 - p)).alias("h"))
+        got = got.agg(*(F.sum(F.col("g") * F.col(f"z{i}")) for i in range(k)), *(F.sum(F.col("h") * F.col(f"z{i}") * F.col(f"z{j}")) for i, j in pairs)).first()
+        grad, hess = np.array(got[:k]) - penalty * w, penalty * np.eye(k)
+        for (i, j), v in zip(pairs, got[k:]):
+            hess[i, j] += v
+            hess[j, i] = hess[i, j]
         step = np.linalg.solve(hess, grad)
         w = w + step * min(1.0, 8 / max(1e-9, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:
             break
-    return np.append(w[:-1] / scale, w[-1])
+    slope = w[:-1] / scale
+    return np.append(slope, w[-1] - slope @ middle)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, threshold: float = 0.5) -> DataFrame:
@@ -428,14 +425,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = with_labels(docs.select(id_col, text_col).where(~held_out(id_col, folds, fold)), labels, id_col, label_col, "__label")
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt"), "__label", held_out(id_col, folds, (fold + 1) % folds).alias("own"))
     sizes = {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}
-    out = F.col("id").alias(id_col), held_out("id", folds, fold).alias("held_out")
+    out = F.col("id").alias(id_col), F.coalesce(held_out("id", folds, fold), F.lit(False)).alias("held_out")
     if len(sizes) < 2:
         p = float(next(iter(sizes), 0.5))
         return docs.select(F.col(id_col).alias("id")).select(*out, F.lit(p).alias("score"), F.lit(int(p >= threshold)).alias("predicted"))
-    found = differences(docs, rows.where("not own").withColumnRenamed("__label", "label"), id_col, text_col)
-    seen = found.join(rows.where("own").select("id", "__label").distinct(), "id")
-    bin_of = lambda c, n: F.round(F.least(F.greatest(F.col(c), F.lit(-8.0)), F.lit(8.0)) * n)
-    bins = seen.groupBy(bin_of("d", BINS[0]).alias("d"), bin_of("top", BINS[1]).alias("top")).agg(F.count_if(F.col("__label") == 0).alias("n0"), F.count_if(F.col("__label") == 1).alias("n1")).collect()
-    a, b, c = fit_logistic([(r["d"] / BINS[0], r["top"] / BINS[1], r["n0"], r["n1"]) for r in bins]).tolist() if bins else (1.0, 0.0, 0.0)
-    scored = found.withColumn("score", 1 / (1 + F.exp(-(F.col("d") * a + F.col("top") * b + c))))
+    found = measures(docs, rows.where("not own").withColumnRenamed("__label", "label"), id_col, text_col)
+    seen = materialize(found.join(rows.where("own").select("id", F.col("__label").alias("label")).distinct(), "id").select(*MEASURES, "label"), "calibration")
+    w = fit_logistic(seen, MEASURES, "label")
+    w = np.array([1.0, 0, 0, 0, 0]) if w is None else w
+    dot = sum((F.col(c) * float(v) for c, v in zip(MEASURES, w)), F.lit(float(w[-1])))
+    scored = found.withColumn("score", 1 / (1 + F.exp(-dot)))
     return scored.select(*out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lociframe.llm import langid, quality_cnn, toxicity
 
+LOWER = {i: i + 32 for i in range(65, 91)}
 SF = os.environ.get("TEST_LLM_SF_DIR", "/root/testdata/sf0.1")
 
 
@@ -75,6 +76,46 @@ def test_quality_gradient_learns(spark):
     assert quality_cnn.scores(m, [long])[0] == pytest.approx(quality_cnn.scores(m, [long, good[1]])[0])
 
 
+def test_long_texts_have_no_seams(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab c.\u00e9\u03a3 ") for _ in range(n)) for n in (0, 1, 2, 5, 50, 700)] + [None, "   ", "." * 30]
+    whole = langid.counts(texts)
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        assert (langid.counts(texts) == whole).all()
+
+
+def test_language_equals_plain_cosine(spark):
+    rng = random.Random(6)
+    words = {"xx": ["lorem", "ipsum", "dolor"], "yy": ["kala", "moja", "tuli"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for i in range(40) for lang in [("xx", "yy")[i % 2]]]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    idf, langs, centres = langid.fit(train)
+    df = collections.Counter()
+    for _, t, _ in rows:
+        df.update(np.flatnonzero(langid.counts([t])[0]).tolist())
+    assert idf == pytest.approx([math.log(41 / (1 + df[d])) + 1 for d in range(langid.DIMS)], rel=1e-5)
+    assert np.linalg.norm(centres, axis=1) == pytest.approx(np.ones(len(centres)), abs=1e-5)
+    for r in langid.predict(train, (idf, langs, centres)).join(train, "doc_id").collect():
+        n = langid.counts([r.text])[0].astype(float)
+        v = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0) * idf
+        cos = centres @ v / np.linalg.norm(v)
+        assert r.score == pytest.approx(cos.max(), abs=1e-4) and r.lang_pred == langs[int(cos.argmax())]
+
+
+def test_quality_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 123, 600).astype(np.uint8) for _ in range(6)]
+    y = np.array([1, 0, 1, 0, 1, 0], np.float32)
+    m = quality_cnn.train(texts, y, np.ones(6))
+    plain = []
+    for t in texts:
+        pooled = np.array([[max(sum(m["filters"][j][c[p + j]][f] for j in range(quality_cnn.WIDTH)) for p in range(quality_cnn.CHUNK - quality_cnn.WIDTH + 1)) for f in range(quality_cnn.FILTERS)] for c in quality_cnn.chunks_of(t)])
+        hidden = np.maximum(np.maximum(pooled + m["fb"], 0) @ m["w1"] + m["b1"], 0).max(axis=0)
+        plain.append(1 / (1 + np.exp(-(hidden @ m["w2"] + m["b2"][0]))))
+    assert quality_cnn.scores(m, texts) == pytest.approx(np.array(plain), abs=1e-4)
+
+
 def test_chunks_cover_everything():
     for n in (0, 1, 255, 256, 257, 448, 449, 5000):
         c = quality_cnn.chunks_of(np.ones(n, np.uint8))
@@ -91,7 +132,8 @@ def test_held_out_accuracy(spark):
     q = [(r.score, truth[r.doc_id].quality) for r in quality_cnn.classify(docs, labels).where("held_out").collect() if r.doc_id in truth]
     assert auc(q) > 0.97
     t = [(r.score, truth[r.doc_id].toxic) for r in toxicity.classify(docs, labels).where("held_out").collect() if r.doc_id in truth]
-    assert auc(t) > 0.85  # some 400 toxic texts to learn from; over 0.99 with 2,000
+    found = sum(s >= 0.5 for s, y in t if y)
+    assert found >= 0.9 * sum(y for _, y in t) and found >= 0.9 * sum(s >= 0.5 for s, _ in t)
 
 
 def test_keep_good_keeps_columns_and_clean_rows(spark):
@@ -100,72 +142,75 @@ def test_keep_good_keeps_columns_and_clean_rows(spark):
     assert kept.schema == docs.schema and kept.count() > 0
 
 
-def beginnings(word):
-    """(beginning, context, last four bytes) of each byte of a word and its end, plainly."""
-    w = [*word, toxicity.END]
-    for i in range(len(w)):
-        s = 0 if i < toxicity.DEPTH else i - toxicity.NEAR
-        yield (s > 0, *w[s : i + 1]), (s > 0, *w[s:i]), tuple(([toxicity.START] * 3 + w[: i + 1])[-4:])
+def plain_parts(text):
+    out = []
+    for w in (text or "").translate(LOWER).encode().split():
+        w = [w[i : i + toxicity.PART] for i in range(0, len(w), toxicity.PART)]
+        out += [*w[:-1], w[-1] + bytes([toxicity.END])]
+    return out
 
 
-def plain_differences(docs, train):
-    """d of each text by Kneser-Ney with plain dictionaries, nothing left out."""
-    D = toxicity.DISCOUNT
-    count, context_of, last = collections.defaultdict(lambda: [0, 0]), {}, {}
+def plain_measures(docs, train):
+    """d, top and next of each text by modified Kneser-Ney with plain dictionaries, nothing left out."""
+    texts = collections.defaultdict(lambda: [0, 0])
     for text, label in train:
-        for w in text.lower().encode().split():
-            for key, context, last4 in beginnings(w):
-                count[key][label] += 1
-                context_of[key], last[key] = context, last4
-    grams = {4: collections.Counter(last[k] for k in count)}
-    for n in (3, 2, 1):
-        grams[n] = collections.Counter(g[1:] for g in grams[n + 1])
-
-    def p(g):
-        n = len(g)
-        if n == 1:
-            return (max(grams[1][g] - D, 0) + D * len(grams[1]) / 256) / sum(grams[1].values())
-        same = [c for h, c in grams[n].items() if h[:-1] == g[:-1]]
-        return (max(grams[n][g] - D, 0) + D * len(same) * p(g[1:])) / sum(same)
-
-    sums, kinds = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
-    for key, c in count.items():
-        for y in (0, 1):
-            sums[context_of[key]][y] += c[y]
-            kinds[context_of[key]][y] += c[y] > 0
-
-    def left(context, y):
-        return D * kinds[context][y] / sums[context][y] if sums[context][y] else 1.0
-
-    def ratio(key, context, last4):
-        if key not in count:
-            return math.log(left(context, 1) / left(context, 0))
-        q = [(max(count[key][y] - D, 0) / sums[context][y] if sums[context][y] else 0) + left(context, y) * p(last4) for y in (0, 1)]
-        return math.log(q[1] / q[0])
-
-    return [sum(ratio(*x) for w in t for x in beginnings(w)) / max(1, len(t)) for t in (text.lower().encode().split() for text in docs)]
-
-
-def check_differences(spark, docs, train):
+        for x in set(plain_parts(text)):
+            texts[x][label] += 1
+    count = collections.defaultdict(lambda: [0, 0, 0])  # ordinary texts, toxic texts, words
+    for x, c in texts.items():
+        for n in range(1, len(x) + 1):
+            count[x[:n]] = [count[x[:n]][0] + c[0], count[x[:n]][1] + c[1], count[x[:n]][2] + 1]
+    after = collections.defaultdict(list)
+    for h in count:
+        after[h[:-1]].append(h)
+    ends = collections.Counter(h[-1] for h in count)
+    D = [toxicity.CLASS_DISCOUNTS, toxicity.CLASS_DISCOUNTS, toxicity.SHARED_DISCOUNTS]
+    taken = sum(max(n - D[2][1], 0) for n in ends.values())
+
+    def p(hb, k):
+        known = hb in count
+        if k == 3:
+            return (max(ends[hb[-1]] - D[2][1], 0) + (sum(ends.values()) - taken) / 256) / sum(ends.values())
+        same = [count[x][k] for x in after[hb[:-1]]]
+        lower = p(hb, 3) if k == 2 else p(hb, 2)
+        if not sum(same):
+            return lower if k < 2 else 1.0
+        if k == 2 and not known:
+            return 1.0
+        own = count[hb][k] if known else 0
+        return (own - D[k][min(own, 3)] + sum(D[k][min(c, 3)] for c in same) * lower) / sum(same)
+
+    def value(x):
+        return sum(math.log(p(x[:n], 1) / p(x[:n], 0)) for n in range(1, len(x) + 1))
+
+    out = []
+    for t in docs:
+        v = sorted((value(x) for x in plain_parts(t)), reverse=True)
+        out.append((sum(v) / max(1, len(v)), v[0] if v else 0, v[min(1, len(v) - 1)] if v else 0, math.log1p(len(v))))
+    return out
+
+
+@pytest.mark.parametrize("buckets", [2, 9])
+def test_toxicity_models_equal_plain_ones(spark, buckets):
+    train = [("the house and the tree", 0), ("a green tree walks", 0), ("the rotten knave", 1), ("a vile zug zug", 1), ("The trees", 0), ("knave and knaves", 1), (None, 1)]
+    train += [("a-long-and-hyphenated-house", 0), ("the river-and-the-little-tree", 0), ("a-long-and-hyphenated-knave", 1), ("\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u6563\u6b65", 0)]
+    docs = ["zug", "the zug of the house", "knaves", "", None, " \n ", "tree Rotter zu", "qqq", "a-long-and-hyphenated-knave", "\u6211\u4eec\u4eca\u5929\u53bb\u574f\u86cb", "x" * 300 + "-knave " + "y" * 70, "nul\0 \x01byte", "word " * 5000 + "knave"]
+    docs = [*docs, *docs]
     labelled = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(train)], "id long, txt string, label int")
-    got = toxicity.differences(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), labelled, "doc_id", "text").orderBy("id").collect()
-    assert [r.d for r in got] == pytest.approx(plain_differences(docs, train), abs=1e-5)
-
-
-def test_toxicity_keeps_what_is_seen_once(spark):
-    train = [("the house and the tree", 0), ("a green tree walks", 0), ("the rotten knave", 1), ("a vile zug", 1)]
-    check_differences(spark, ["zug", "the zug of the house", "knaves", "", "tree Rotter zu", "qqq"], train)
-
-
-def test_toxicity_reads_words_to_their_end(spark, monkeypatch):
-    train = [("a-long-and-hyphenated-house", 0), ("the river-and-the-little-tree", 0), ("a-long-and-hyphenated-knave", 1), ("我们今天去公园散步", 0), ("我们今天去坏蛋散步", 1)]
-    docs = ["a-long-and-hyphenated-knave", "a-long-and-hyphenated-house", "他们明天也去坏蛋散步", "twelve-bytes", "eleven-byte", "x" * 300 + "-knave " + "y" * 70]
-    assert plain_differences(docs[:1], train)[0] > plain_differences(docs[1:2], train)[0]
-    check_differences(spark, docs, train)
-    words = [d.encode() for d in docs[:2]] + [b"k" * 50 + bytes(range(97, 123)) * 3, b"end"]
-    whole = [x.tolist() for x in toxicity._beginnings(toxicity.Words(np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))])))]
-    monkeypatch.setattr(toxicity, "SEGMENT", 20)
-    parts = list(toxicity._beginnings_of(words))
-    assert len(parts) > 6
-    assert [np.concatenate([x[i] for x in parts]).tolist() for i in range(3)] == whole[:3]
-    assert np.bincount(np.concatenate([x[4] for x in parts]), np.concatenate([x[3] for x in parts])).tolist() == whole[3]
+    rows = spark.createDataFrame([(None if i == 3 else i, t, 5) for i, t in enumerate(docs)], "doc_id long, text string, size int")
+    got = toxicity.measures(rows, labelled, "doc_id", "text", buckets).collect()
+    want = dict(enumerate(plain_measures([d.replace("\0", "\x01") if d else d for d in docs], train)))
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.d, r.top, r.next, r.size) == pytest.approx(want[3 if r.id is None else r.id], abs=1e-5)
+
+
+def test_logistic_equals_plain_newton(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2)) * [3, 0.1] + [1, 5]
+    y = (rng.random(200) < 1 / (1 + np.exp(-(x[:, 0] - 1 + 8 * (x[:, 1] - 5))))).astype(int)
+    got = toxicity.fit_logistic(spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, label int"), ("a", "b"), "label", 1e-9)
+    z = np.c_[x, np.ones(200)]
+    p = 1 / (1 + np.exp(-z @ got))
+    assert np.abs(z.T @ (y - p)).max() < 1e-3  # the likelihood's gradient is 0
+    assert toxicity.fit_logistic(spark.createDataFrame([(1.0, 1.0, 1)], "a double, b double, label int"), ("a", "b"), "label") is None
