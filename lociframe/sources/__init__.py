@@ -5,11 +5,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import annotation, matrices, oxford, plink, vcf
+from . import annotation, bgen, matrices, oxford, plink, trityper, vcf
 
 #: Suffixes in the order they are tried.
-_SUFFIXES = ((".vcf", "vcf"), (".vcf.gz", "vcf"), (".vcf.bgz", "vcf"), (".ped", "ped_map"), (".map", "ped_map"), (".bed", "plink_bed"), (".bim", "plink_bed"), (".fam", "plink_bed"), (".haps", "haps"), (".haps.gz", "haps"), (".gen", "gen"), (".gen.gz", "gen"), (".parquet", "parquet"))
+_SUFFIXES = ((".vcf", "vcf"), (".vcf.gz", "vcf"), (".vcf.bgz", "vcf"), (".ped", "ped_map"), (".map", "ped_map"), (".bed", "plink_bed"), (".bim", "plink_bed"), (".fam", "plink_bed"), (".haps", "haps"), (".haps.gz", "haps"), (".gen", "gen"), (".gen.gz", "gen"), (".parquet", "parquet"), (".bgen", "bgen"), ("GenotypeMatrix.dat", "trityper"))
 
 
 def sniff(path: str) -> str:
@@ -35,13 +36,23 @@ def read_genotypes(spark: SparkSession, path: str, kind: str | None = None) -> D
         return oxford.read_gen(spark, path)
     if kind == "haps":
         return oxford.read_haps(spark, path)
+    if kind == "bgen":
+        return bgen.read(spark, path)
+    if kind == "trityper":
+        return trityper.read(spark, path.removesuffix("/GenotypeMatrix.dat"))
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(kind)
 
 
+def _numbered(variants: DataFrame) -> list[str]:
+    first = variants.select(F.size("dosages").alias("n")).first()
+    return [f"s{i + 1}" for i in range(first["n"] if first else 0)]
+
+
 def write_genotypes(variants: DataFrame, path: str, kind: str | None = None, samples: list[str] | None = None) -> None:
-    """Variants with (chrom, pos, id, ref, alt, dosages) in a format; text formats write a folder of parts."""
+    """Variants with (chrom, pos, id, ref, alt, dosages) in a format: a folder of parts, in order of place for VCF and
+    the binary formats, of which each part is a complete fileset."""
     kind = kind or sniff(path)
     if kind == "vcf":
         vcf.write(variants, path, samples)
@@ -49,6 +60,12 @@ def write_genotypes(variants: DataFrame, path: str, kind: str | None = None, sam
         oxford.write_gen(variants, path)
     elif kind == "haps":
         oxford.write_haps(variants, path)
+    elif kind == "plink_bed":
+        plink.write_bed(variants, path, samples or _numbered(variants))
+    elif kind == "bgen":
+        bgen.write(variants, path, samples or _numbered(variants))
+    elif kind == "trityper":
+        trityper.write(variants, path, samples or _numbered(variants))
     elif kind == "parquet":
         variants.write.partitionBy("chrom").parquet(path)
     elif kind == "ped_map":
@@ -57,4 +74,4 @@ def write_genotypes(variants: DataFrame, path: str, kind: str | None = None, sam
         raise ValueError(kind)
 
 
-__all__ = ["annotation", "matrices", "oxford", "plink", "read_genotypes", "sniff", "vcf", "write_genotypes"]
+__all__ = ["annotation", "bgen", "matrices", "oxford", "plink", "read_genotypes", "sniff", "trityper", "vcf", "write_genotypes"]

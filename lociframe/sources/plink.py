@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .parts import local, write_parts
+
 MAGIC = b"\x6c\x1b\x01"  # fixed value: BED, one variant after another
 
 
@@ -76,6 +78,22 @@ def bed_blocks(variants: DataFrame) -> DataFrame:
     return variants.select("chrom", "pos", "id", "ref", "alt", run("dosages").alias("bed"))
 
 
+def write_bed(variants: DataFrame, folder: str, samples: list[str]) -> list[str]:
+    """Stems folder/part-xxxxx, each a PLINK fileset (.bed, .bim, .fam) of its variants and all samples; alt is
+    the first allele of the .bim. No variant passes through the driver."""
+
+    def put(stem: str, rows: list[dict]) -> None:
+        with open(f"{stem}.bed", "wb") as bed, open(f"{stem}.bim", "w") as bim, open(f"{stem}.fam", "w") as fam:
+            bed.write(MAGIC)
+            for r in rows:
+                bed.write(encode(np.array([[np.nan if x is None else x for x in r["dosages"]]], float)))
+                alt = r["alt"][0] if isinstance(r["alt"], list) else r["alt"]
+                bim.write(f"{r['chrom']}\t{r['id'] or '.'}\t0\t{r['pos']}\t{alt or 0}\t{r['ref'] or 0}\n")
+            fam.writelines(f"{s} {s} 0 0 0 -9\n" for s in samples)
+
+    return [f"{local(folder)}/{name}" for name, _ in write_parts(variants, folder, put)]
+
+
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("index", "line"))
     x = F.split(F.trim("line"), r"\s+")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.alleles import chromosome_order
+
 COLUMNS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
 
@@ -32,9 +34,11 @@ def dosage_of_call(gt: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str, least_probability: float = 0.4) -> DataFrame:
-    """(chrom, pos, id, ref, alt array, qual, filter, info map, calls, phased, dosages).
+    """(chrom, pos, id, ref, alt array, qual, filter, info map, calls, phased, dosages, depths, qualities).
 
-    Dosages count alternate alleles: DS if given, else GP's mean, else the call."""
+    Calls are GT, or, without it, the genotype of the largest GP that is least_probability or more. Dosages count
+    alternate alleles: DS if given, else GP's mean if one GP is least_probability or more, else the call. Depths and
+    qualities are DP and GQ. Haploid calls (one allele) count as they stand."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
     parts = F.split("value", "\t")
     v = lines.select(*(F.try_element_at(parts, F.lit(i + 1)).alias(c) for i, c in enumerate(COLUMNS)), F.slice(parts, 10, F.greatest(F.size(parts) - 9, F.lit(0))).alias("entries"))
@@ -44,7 +48,13 @@ def read(spark: SparkSession, path: str, least_probability: float = 0.4) -> Data
         ds = field(e, fmt, "DS").try_cast("double")
         gp = F.transform(F.split(field(e, fmt, "GP"), ","), lambda x: x.try_cast("double"))
         total = F.get(gp, F.lit(0)) + F.get(gp, F.lit(1)) + F.get(gp, F.lit(2))
-        return F.coalesce(ds, F.when(total > 0, (F.get(gp, F.lit(1)) + 2 * F.get(gp, F.lit(2))) / total), dosage_of_call(field(e, fmt, "GT")))
+        sure = (total > 0) & (F.array_max(gp) >= least_probability)
+        return F.coalesce(ds, F.when(sure, (F.get(gp, F.lit(1)) + 2 * F.get(gp, F.lit(2))) / total), dosage_of_call(field(e, fmt, "GT")))
+
+    def call(e: Column) -> Column:
+        gp = F.transform(F.split(field(e, fmt, "GP"), ","), lambda x: x.try_cast("double"))
+        best = F.array_position(gp, F.array_max(gp)).cast("int")
+        return F.coalesce(field(e, fmt, "GT"), F.when(F.array_max(gp) >= least_probability, F.get(F.array(*map(F.lit, ("0/0", "0/1", "1/1"))), best - 1)))
 
     return v.select(
         "chrom",
@@ -55,23 +65,28 @@ def read(spark: SparkSession, path: str, least_probability: float = 0.4) -> Data
         F.col("qual").try_cast("double").alias("qual"),
         F.col("filter"),
         info_map(F.col("info")).alias("info"),
-        F.transform("entries", lambda e: field(e, fmt, "GT")).alias("calls"),
+        F.transform("entries", call).alias("calls"),
         F.transform("entries", lambda e: F.contains(field(e, fmt, "GT"), F.lit("|"))).alias("phased"),
         F.transform("entries", dosage).alias("dosages"),
+        F.transform("entries", lambda e: field(e, fmt, "DP").try_cast("int")).alias("depths"),
+        F.transform("entries", lambda e: field(e, fmt, "GQ").try_cast("double")).alias("qualities"),
     )
 
 
 def write(variants: DataFrame, path: str, names: list[str] | None = None) -> None:
-    """A folder of VCF parts of (chrom, pos, id, ref, alt, dosages); each begins with the header lines
-    only if it is the first: the header is a part of its own, sorted before the rest."""
+    """A folder of VCF parts of (chrom, pos, id, ref, alt, dosages), ordered by chromosome and position; joined in
+    the order of their names they are one VCF. With names the first row of the first part is the header."""
     alt = F.array_join("alt", ",") if variants.schema["alt"].dataType.typeName() == "array" else F.col("alt")
     call = lambda d: F.when(d.isNull(), "./.:.").otherwise(F.concat(F.when(d < 0.5, "0/0").when(d < 1.5, "0/1").otherwise("1/1"), F.lit(":"), F.round(d, 4).cast("string")))
     entries = F.array_join(F.transform("dosages", call), "\t")
-    rows = variants.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(".")), "ref", alt, F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:DS"), entries).alias("value"))
-    rows.write.text(path)
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(".")), "ref", alt, F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:DS"), entries)
+    rows = variants.select(chromosome_order(F.col("chrom").cast("string")).alias("o"), "chrom", F.col("pos").cast("long").alias("pos"), line.alias("value"))
     if names is not None:
         head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=DS,Number=1,Type=Float,Description="Dosage">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
-        variants.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("append").text(path)
+        first = variants.sparkSession.range(1).select(F.lit(None).cast(rows.schema["o"].dataType).alias("o"), F.lit(None).cast(rows.schema["chrom"].dataType).alias("chrom"), F.lit(-1).cast("long").alias("pos"), F.lit("\n".join(head)).alias("value"))
+        rows = first.unionByName(rows)
+    # nulls come first, so the header leads the first range; ranges become files in their order
+    rows.orderBy(F.asc_nulls_first("o"), F.asc_nulls_first("chrom"), "pos").select("value").write.text(path)
 
 
 def effects(info_ann: Column) -> Column:

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from lociframe import sources
 from lociframe.sources import annotation, matrices, oxford, plink, vcf
@@ -82,3 +83,65 @@ def test_matrices(spark, tmp_path):
     matrices.write_results(res, str(tmp_path / "res"))
     back = matrices.read_results(spark, str(tmp_path / "res")).orderBy("p").collect()
     assert [(r.snp, r.z) for r in back] == [("rs2", 2.6), ("rs1", -0.7)]
+
+
+def panel(spark):
+    rows = [("2", 50, "c", "A", "G", [0.0, 1.0, None, 2.0]), ("1", 300, "b", "T", "C", [2.0, 2.0, 1.0, 0.0]), ("1", 20, None, "C", "G", [None, 0.0, 0.0, 1.0]), ("X", 9, "d", "A", "T", [1.0, 1.0, 0.0, 2.0])]
+    return spark.createDataFrame(rows, "chrom string, pos long, id string, ref string, alt string, dosages array<double>"), rows
+
+
+def test_written_vcf_parts_join_to_one_file(spark, tmp_path):
+    import glob
+
+    v, _ = panel(spark)
+    vcf.write(v, f"file://{tmp_path}/o", ["a", "b", "c", "d"])
+    text = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/o/part-*")))
+    assert text.startswith("##fileformat=VCF")
+    body = [x.split("\t")[:2] for x in text.splitlines() if not x.startswith("#")]
+    assert body == [["1", "20"], ["1", "300"], ["2", "50"], ["X", "9"]]
+
+
+def test_vcf_posterior_rule(spark, tmp_path):
+    text = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\n1\t1\t.\tA\tG\t.\t.\t.\tGP:DP:GQ\t0.1,0.8,0.1:7:30\t0.34,0.33,0.33:.:.\t.\n"
+    r = vcf.read(spark, put(tmp_path, "p.vcf", text), 0.4).first()
+    assert r.calls == ["0/1", None, None] and r.dosages == [1.0, None, None] and r.depths == [7, None, None] and r.qualities == [30.0, None, None]
+    assert vcf.read(spark, str(tmp_path / "p.vcf"), 0.3).first().dosages[1] is not None
+
+
+def test_bed_filesets_round_trip(spark, tmp_path):
+    v, rows = panel(spark)
+    stems = plink.write_bed(v, f"file://{tmp_path}/bed", ["a", "b", "c", "d"])
+    got = [r for s in stems for r in plink.read_bed(spark, s).collect()]
+    assert {(r.chrom, r.pos): (r.id, r.ref, r.alt, r.dosages) for r in got} == {r[:2]: tuple(r[2:]) for r in rows}
+
+
+def test_trityper_round_trip(spark, tmp_path):
+    v, rows = panel(spark)
+    folders = sources.trityper.write(v, str(tmp_path / "tt"), ["a", "b", "c", "d"])
+    got = [r for f in folders for r in sources.trityper.read(spark, f).collect()]
+    assert len(got) == 4
+    for r in got:
+        want = next(x for x in rows if x[:2] == (r.chrom, r.pos))
+        assert (r.ref, r.alt) == tuple(sorted(want[3:5]))
+        assert r.dosages == [x if x is None or (r.ref == want[3]) else 2 - x for x in want[5]]
+    samples = sources.trityper.read_samples(spark, folders[0]).orderBy("index").collect()
+    assert [r.sample for r in samples] == ["a", "b", "c", "d"] and all(r.included for r in samples)
+    with open(f"{folders[0]}/PhenotypeInformation.txt", "w") as f:
+        f.write("a\tunknown\texclude\tunknown\n")
+    assert {len(r.dosages) for r in sources.trityper.read(spark, folders[0]).collect()} == {3}
+
+
+def test_bgen_round_trip_and_region(spark, tmp_path):
+    v, rows = panel(spark)
+    v = v.withColumn("dosages", F.transform("dosages", lambda d: F.when(d == 1, 0.75).otherwise(d)))
+    files = sources.bgen.write(v, str(tmp_path / "bg"), ["a", "b", "c", "d"])
+    got = sources.read_genotypes(spark, f"file://{tmp_path}/bg/*.bgen", "bgen").collect()
+    assert {(r.chrom, r.pos, r.ref, r.alt) for r in got} == {(r[0], r[1], r[3], r[4]) for r in rows}
+    for r in got:
+        want = next(x for x in rows if x[:2] == (r.chrom, r.pos))[5]
+        assert all((a is None) == (b is None) and (a is None or abs(a - (0.75 if b == 1 else b)) < 1e-4) for a, b in zip(r.dosages, want))
+    assert sources.bgen.header(open(files[0], "rb").read())[4] == ["a", "b", "c", "d"]
+    near = [r for f in files for r in sources.bgen.read(spark, f"file://{f}", ("1", 100, 400)).collect()]
+    assert [(r.chrom, r.pos) for r in near] == [("1", 300)]
+    block = b"\x01\x00\x00\x00\x02\x00\x02\x02" + bytes([2]) + bytes([1, 8]) + bytes([255, 0])
+    assert sources.bgen.probabilities(block, 1, 2).tolist() == [[0.0, 1.0, 0.0]]
