@@ -1016,9 +1016,7 @@ def sample_mixups(v):
     calls = _calls(v)
     eff = v.variants.selectExpr("variant", "variant % 100 + 1 as gene")
     t = _traits(v).groupBy("gene", "sample").agg(F.avg("value").alias("value"))
-    s = v.genotypes.select("sample").distinct()
-    links = s.selectExpr("sample as genotyped", "explode(array(sample, sample % 100 + 1)) as measured").distinct()
-    return rounded(flow.mixups(eff, calls, t, links), 4)
+    return rounded(flow.mixups(eff, calls, t), 4)
 
 
 @query("harmonise_panels", ("variants", "peaks"))

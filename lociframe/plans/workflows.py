@@ -124,8 +124,9 @@ def mediation(values: DataFrame, by: list[str], x: str, mediator: str, y: str) -
     return total.join(direct, by).withColumn("ratio", F.when(F.col("total") != 0, F.col("direct") / F.col("total")))
 
 
-def mixups(effects: DataFrame, genotypes: DataFrame, values: DataFrame, links: DataFrame) -> DataFrame:
-    """(genotyped, measured, score, n): for each listed pair of a genotyped and a measured sample, how far
+def mixups(effects: DataFrame, genotypes: DataFrame, values: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(genotyped, measured, score, n): for each pair of a genotyped and a measured sample that share an effect, or
+    each listed pair, how far
     the values are, on average in standard deviations, from those of its genotype's group.
 
     effects has (variant, gene); links has the pairs to score (genotyped, measured); linked
@@ -134,7 +135,7 @@ def mixups(effects: DataFrame, genotypes: DataFrame, values: DataFrame, links: D
     x = values.where("value is not null").select("gene", F.col("sample").alias("measured"), "value")
     own = effects.join(g, "variant").join(x.withColumn("genotyped", F.col("measured")), ["gene", "genotyped"])
     groups = own.groupBy("variant", "gene", "dosage").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("*").alias("k")).where("k >= 3 and s > 0")
-    scored = links.join(g, "genotyped").join(groups, ["variant", "dosage"]).join(x, ["gene", "measured"])
+    scored = (g if links is None else links.join(g, "genotyped")).join(groups, ["variant", "dosage"]).join(x, "gene" if links is None else ["gene", "measured"])
     return scored.groupBy("genotyped", "measured").agg(F.avg(F.abs((F.col("value") - F.col("m")) / F.col("s"))).alias("score"), F.count("*").alias("n"))
 
 
@@ -162,7 +163,7 @@ def harmonise(study: DataFrame, reference: DataFrame, flank_r: DataFrame | None
     by_maf = F.when((F.abs(F.col("m") - F.col("mr")) <= most_maf_gap) & (F.col("m") < 0.4), "keep").otherwise("exclude")
     unclear = F.when(F.col("r") > 0, "keep").when(F.col("r") < 0, "swap").otherwise(by_maf)
     action = F.when((F.col("k") > 1) | ~F.col("fits"), "exclude").when(alleles.is_ambiguous(F.col("a")), unclear).when(same, "keep").otherwise("swap")
-    return j.select("variant", "ref_id", action.alias("action")).dropDuplicates(["variant", "action"])
+    return j.select("variant", "ref_id", action.alias("action")).groupBy("variant", "action").agg(F.min("ref_id").alias("ref_id")).select("variant", "ref_id", "action")
 
 
 def gene_scores(results: DataFrame, variants: DataFrame, genes: DataFrame, flank: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-from lociframe.plans import catalog_screens  # noqa: E402, F401
+from lociframe.plans import catalog_screens, oracles  # noqa: E402, F401
 from lociframe.plans.catalog import QUERIES, SQL  # noqa: E402
 
 
