@@ -948,7 +948,7 @@ def deconvolve_cells(v):
 
 @query("beta_adjusted_p", ("effects",))
 def beta_adjusted_p(v):
-    least = v.effects.groupBy("gene", F.expr("id % 21").alias("perm")).agg(F.min("p").alias("p"))
+    least = v.effects.groupBy("gene", F.expr("cast(floor(id / 7) as bigint) % 21").alias("perm")).agg(F.min("p").alias("p"))
     return rounded(models.beta_adjusted(least, "gene", "perm", "p"), 8)
 
 
@@ -993,7 +993,7 @@ def cis_mapping_with_fdr(v):
 
 @query("top_with_beta", ("effects",))
 def top_with_beta(v):
-    e = v.effects.selectExpr("gene", "snp as variant", "id % 21 as perm", "p", "z")
+    e = v.effects.selectExpr("gene", "snp as variant", "cast(floor(id / 7) as bigint) % 21 as perm", "p", "z")
     return rounded(flow.top_with_beta(e, "gene", "variant", "perm", "p", "z").select("gene", "variant", "p", "adjusted"), 8)
 
 

@@ -18,7 +18,7 @@ def shuffled_samples(samples: DataFrame, sample: str, rounds: int, seed: int) ->
     s = samples.select(sample).distinct()
     each = s.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     place = F.row_number().over(Window.partitionBy("perm").orderBy(sample))
-    mixed = F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", sample), sample))
+    mixed = F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "perm", sample).cast("binary")), sample))
     a, b = each.select("perm", sample, place.alias("__k")), each.select("perm", F.col(sample).alias("shuffled"), mixed.alias("__k"))
     real = s.select(F.lit(0).alias("perm"), sample, F.col(sample).alias("shuffled"))
     return real.unionByName(a.join(b, ["perm", "__k"]).drop("__k"))
