@@ -131,6 +131,15 @@ def binomial_two_sided_p(k: Column, n: Column) -> Column:
     return _udf(lambda k, n: np.where(n > 0, p(k, np.maximum(n, 1)), np.nan), k, n)
 
 
+def _each(one, columns: tuple[np.ndarray, ...]) -> np.ndarray:
+    """one(row) of every row, worked out once for rows alike: counts repeat within a batch."""
+    rows = np.stack([np.asarray(c, float) for c in columns], axis=1)
+    if not len(rows):
+        return np.zeros(0)
+    known, inverse = np.unique(rows, axis=0, return_inverse=True)
+    return np.array([one(*x) for x in known])[inverse.ravel()]
+
+
 def fisher_exact_p(a: Column, b: Column, c: Column, d: Column, side: str = "two") -> Column:
     """p of a 2x2 table by its hypergeometric distribution; side is two, left or right."""
 
@@ -144,7 +153,7 @@ def fisher_exact_p(a: Column, b: Column, c: Column, d: Column, side: str = "two"
         picked = p[x <= a] if side == "left" else p[x >= a] if side == "right" else p[p <= own * (1 + 1e-7)]
         return min(1.0, float(picked.sum()))
 
-    return _udf(lambda *v: np.array([one(*x) for x in zip(*v)]), a, b, c, d)
+    return _udf(lambda *v: _each(one, v), a, b, c, d)
 
 
 def hwe_exact_p(hets: Column, hom1: Column, hom2: Column) -> Column:
@@ -162,4 +171,4 @@ def hwe_exact_p(hets: Column, hom1: Column, hom2: Column) -> Column:
         p /= p.sum()
         return min(1.0, float(p[p <= p[int((h - rare % 2) // 2)] * (1 + 1e-9)].sum()))
 
-    return _udf(lambda *v: np.array([one(*x) for x in zip(*v)]), hets, hom1, hom2)
+    return _udf(lambda *v: _each(one, v), hets, hom1, hom2)

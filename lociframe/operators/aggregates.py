@@ -81,16 +81,16 @@ def interaction_regression(values: DataFrame, by: list[str], x: str, c: str, y:
             i, j = names.index(a), names.index(b)
             m[:, i, j] = m[:, j, i] = s.to_numpy(float)
         out = np.full((len(n), 5), np.nan)
-        for k in range(len(n)):
-            g, r = m[k, :4, :4], m[k, :4, 4]
-            scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
-            h = g / scale[:, None] / scale[None, :]
-            if n[k] > 4 and np.linalg.cond(h) < 1e10:
-                inv = np.linalg.inv(h) / scale[:, None] / scale[None, :]
-                b = inv @ r
-                rss = max(0.0, m[k, 4, 4] - b @ r)
-                se = (rss / (n[k] - 4) * inv[3, 3]) ** 0.5
-                out[k] = [*b, b[3] / se if se > 0 else np.nan]
+        g, r = m[:, :4, :4], m[:, :4, 4]
+        scale = np.sqrt(np.maximum(np.einsum("kii->ki", g), 1e-300))
+        both = scale[:, :, None] * scale[:, None, :]
+        ok = np.flatnonzero((n > 4) & (np.linalg.cond(g / both) < 1e10))
+        inv = np.linalg.inv(g[ok] / both[ok]) / both[ok]  # the whole stack at once
+        b = np.einsum("kij,kj->ki", inv, r[ok])
+        rss = np.maximum(0.0, m[ok, 4, 4] - (b * r[ok]).sum(axis=1))
+        se = np.sqrt(np.maximum(0.0, rss / (n[ok] - 4) * inv[:, 3, 3]))
+        out[ok, :4] = b
+        out[ok, 4] = np.divide(b[:, 3], se, out=np.full(len(ok), np.nan), where=se > 0)
         return pd.DataFrame(out, columns=["b0", "b1", "b2", "b3", "t3"])
 
     return sums.withColumn("fit", solve("n", *(f"s{i}" for i in range(len(prods))))).select(*by, "n", "fit.*")

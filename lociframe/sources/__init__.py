@@ -45,6 +45,17 @@ def read_genotypes(spark: SparkSession, path: str, kind: str | None = None) -> D
     raise ValueError(kind)
 
 
+def store(variants: DataFrame, path: str) -> None:
+    """Variants as Parquet, partitioned by chromosome and sorted by position, so that read_region prunes: folders by
+    chromosome, row groups by the least and largest position they hold."""
+    variants.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").parquet(path)
+
+
+def read_region(spark: SparkSession, path: str, chrom: str, first: int, last: int) -> DataFrame:
+    """The variants of a region of what store has written."""
+    return spark.read.option("basePath", path).parquet(path).where((F.col("chrom").cast("string") == chrom) & F.col("pos").between(first, last))
+
+
 def _numbered(variants: DataFrame) -> list[str]:
     first = variants.select(F.size("dosages").alias("n")).first()
     return [f"s{i + 1}" for i in range(first["n"] if first else 0)]
@@ -67,7 +78,7 @@ def write_genotypes(variants: DataFrame, path: str, kind: str | None = None, sam
     elif kind == "trityper":
         trityper.write(variants, path, samples or _numbered(variants))
     elif kind == "parquet":
-        variants.write.partitionBy("chrom").parquet(path)
+        store(variants, path)
     elif kind == "ped_map":
         plink.write_transposed(variants, path)
     else:

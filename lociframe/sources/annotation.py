@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _fields(spark: SparkSession, path: str, skip: str = r"^(#|track|browser)") -> DataFrame:
@@ -89,3 +90,46 @@ def read_pileup(spark: SparkSession, path: str, least_quality: int = 0) -> DataF
     seen = F.transform(kept, lambda z: F.when(z["b"].isin(".", ","), F.col("ref")).otherwise(F.upper(z["b"])))
     count = lambda base: F.size(F.filter(seen, lambda s: s == base))
     return x.select("chrom", "pos", "ref", *(count(base).alias(base.lower()) for base in "ACGT"))
+
+
+def read_regulome(spark: SparkSession, path: str) -> DataFrame:
+    """RegulomeDB lines: (chrom, pos, id, data, score), positions from 1; data as an array of what supports the entry."""
+    f = _fields(spark, path)
+    return f.select(_chrom(True).alias("chrom"), (F.get("x", F.lit(1)).cast("long") + 1).alias("pos"), _text(2).alias("id"), F.filter(F.split(_text(3), r",\s*"), lambda y: y != "").alias("data"), _text(4).alias("score"))
+
+
+def read_wig(spark: SparkSession, path: str) -> DataFrame:
+    """UCSC wig files, fixedStep and variableStep: (chrom, start, stop, value), closed, from 1. A file is one task: give
+    one a chromosome, as they are published."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where("trim(line) != ''")
+    lines = lines.where(~F.col("line").rlike(r"^(#|track|browser)"))
+    head = F.col("line").rlike("^(fixedStep|variableStep)")
+    w = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("head", F.last(F.when(head, F.struct("i", "line")), ignorenulls=True).over(w)).where(~head)
+    item = lambda name: F.nullif(F.regexp_extract("head.line", rf"\b{name}=(\S+)", 1), F.lit(""))
+    span = F.coalesce(item("span").cast("long"), F.lit(1))
+    fixed = F.startswith("head.line", F.lit("fixedStep"))
+    x = F.split(F.trim("line"), r"\s+")
+    place = F.row_number().over(Window.partitionBy("file", "head.i").orderBy("i")) - 1
+    start = F.when(fixed, item("start").cast("long") + place * F.coalesce(item("step").cast("long"), F.lit(1))).otherwise(F.get(x, F.lit(0)).try_cast("long"))
+    value = F.when(fixed, F.get(x, F.lit(0))).otherwise(F.get(x, F.lit(1))).try_cast("double")
+    return marked.select(F.regexp_replace(item("chrom"), "^chr", "").alias("chrom"), start.alias("start"), value.alias("value"), span.alias("span")).select("chrom", "start", (F.col("start") + F.col("span") - 1).alias("stop"), "value")
+
+
+def read_soft(spark: SparkSession, path: str, table: str = "platform") -> DataFrame:
+    """Rows of the tables of a SOFT family file: (entity, row) with each row a map from column to text. table is
+    platform, sample or series. A file is one task, as its sections depend on the lines before."""
+    section = F.regexp_extract_all("value", F.lit(rf"(?s)!{table}_table_begin\r?\n(.*?)!{table}_table_end"), F.lit(1))
+    names = F.regexp_extract_all("value", F.lit(rf"(?im)^\^{table}\s*=\s*(\S+)"), F.lit(1))
+    pairs = spark.read.text(path, wholetext=True).select(F.explode(F.arrays_zip(names.alias("entity"), section.alias("body"))).alias("s")).where("s.body is not null")
+    rows = F.filter(F.split("s.body", r"\r?\n"), lambda y: y != "")
+    each = pairs.select("s.entity", F.split(F.get(rows, F.lit(0)), "\t").alias("head"), F.explode(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))).alias("line"))
+    cells = F.split("line", "\t")
+    return each.select("entity", F.map_from_entries(F.filter(F.arrays_zip(F.col("head").alias("k"), cells.alias("v")), lambda y: y["k"].isNotNull())).alias("row"))
+
+
+def read_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """Hi-C contacts of text lines: (bin_a, bin_b, value) with the lesser bin first, in order of both."""
+    f = _fields(spark, path)
+    a, b = F.get("x", F.lit(0)).try_cast("long"), F.get("x", F.lit(1)).try_cast("long")
+    return f.select(F.least(a, b).alias("bin_a"), F.greatest(a, b).alias("bin_b"), F.get("x", F.lit(2)).try_cast("double").alias("value")).orderBy("bin_a", "bin_b")

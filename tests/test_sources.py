@@ -145,3 +145,24 @@ def test_bgen_round_trip_and_region(spark, tmp_path):
     assert [(r.chrom, r.pos) for r in near] == [("1", 300)]
     block = b"\x01\x00\x00\x00\x02\x00\x02\x02" + bytes([2]) + bytes([1, 8]) + bytes([255, 0])
     assert sources.bgen.probabilities(block, 1, 2).tolist() == [[0.0, 1.0, 0.0]]
+
+
+def test_region_scan_prunes(spark, tmp_path, capsys):
+    v, rows = panel(spark)
+    sources.store(v, f"file://{tmp_path}/v")
+    got = sources.read_region(spark, f"file://{tmp_path}/v", "1", 1, 100)
+    assert [(str(r.chrom), r.pos) for r in got.collect()] == [("1", 20)]
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(chrom" in plan and "GreaterThanOrEqual(pos,1)" in plan
+
+
+def test_small_annotation_readers(spark, tmp_path):
+    r = annotation.read_regulome(spark, put(tmp_path, "r.txt", "chr1\t9\trs1\tMotifs|A, ChIP|B\t2a\n")).first()
+    assert (r.chrom, r.pos, r.id, r.data, r.score) == ("1", 10, "rs1", ["Motifs|A", "ChIP|B"], "2a")
+    w = annotation.read_wig(spark, put(tmp_path, "w.wig", "track x\nfixedStep chrom=chr2 start=5 step=10 span=2\n1\n2.5\nvariableStep chrom=chr3\n7 9\n")).orderBy("chrom", "start").collect()
+    assert [tuple(x) for x in w] == [("2", 5, 6, 1.0), ("2", 15, 16, 2.5), ("3", 7, 7, 9.0)]
+    s = annotation.read_soft(spark, put(tmp_path, "s.soft", "^DATABASE = G\n^PLATFORM = GPL1\n!x = y\n!platform_table_begin\nID\tSYMBOL\n1\tA\n2\tB\n!platform_table_end\n")).collect()
+    assert [(x.entity, x.row) for x in s] == [("GPL1", {"ID": "1", "SYMBOL": "A"}), ("GPL1", {"ID": "2", "SYMBOL": "B"})]
+    c = annotation.read_contacts(spark, put(tmp_path, "c.txt", "30\t10\t2.5\n10\t20\t1\n")).collect()
+    assert [tuple(x) for x in c] == [(10, 20, 1.0), (10, 30, 2.5)]
