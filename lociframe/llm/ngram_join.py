@@ -3,30 +3,33 @@
 A document is its set of distinct five-word shingles. Two sets of sizes m and n
 with Jaccard similarity t or more miss at most n - ceil(t n) of each other's
 tokens, so under *any* total order of the tokens they share one of their first
-n - ceil(t n) + 1. Three orders are used, all rare tokens first: by the exact
-number of sets that hold a token, by its logarithm to base 2, and to base 4,
-each with a tie order of its own. A pair is a candidate only if it shares a
-prefix token under all three.
+n - ceil(t n) + 1. Three orders are used, in all of which tokens of one set only come first: by the
+number of sets that hold a token, by a hash alone, and by the logarithm to base 2 of that number with ties by
+another hash. A pair is a candidate only if it shares a
+prefix token under all three; only then are its sets fetched and compared.
 
 How it runs:
 
 1. One pass hashes every text to (set size, 128-bit set fingerprint). Equal sets
-   are one class from here on, however many documents hold them.
-2. A second pass deals all shingles, packed, to buckets by hash; a bucket counts
+   are one class from here on, however many documents hold them; the class's smallest id stands for it.
+2. A second pass, over the documents that stand for a class, deals all shingles, packed, to buckets by hash. It
+   goes block by block: a piece of a block has the block's name, the shingles and, as small
+   differences, the classes' numbers in the block, so pieces do not weigh more where buckets are many. A bucket counts
    in how many classes a shingle occurs. Shingles of one class only never link
-   anything: they are counted, not kept. A class with more of them than it may
+   anything: they are counted, not kept. What is kept goes back to the block. A class with more of them than it may
    miss has no partner and is dropped, exactly. A shingle in a large part of one
-   task's classes travels as one count instead of as its rows ("very common",
-   last in every order), so no bucket grows with a hot passage.
+   block's classes travels as one count instead of as its rows ("very common",
+   last in order), so no bucket grows with a hot passage.
 3. Candidates of a prefix token are first only its classes against one hub (a star),
    twice; verified links are merged into components. Then all pairs of different
    components that can still link are compared; how few these are in a group of near
    copies, _remaining says. A group thus costs a few comparisons per member, not all
    pairs, and no link between components is lost.
 
-Nulls and empty texts have no shingle, component_id is their own doc_id. Repeated
-rows of one doc_id are one document each and get the same result. Only the id and
-text columns are read, so other columns, whatever their names, do not matter.
+Nulls and empty texts have no shingle, component_id is their own doc_id. A row without doc_id has no
+name to be linked by: its n_shingles is given, its component_id and class_id are null, and it links nothing. Repeated
+rows of one doc_id are one document each; of different texts under one id each is compared. Long texts are
+hashed in one piece. Only the id and text columns are read, so other columns, whatever their names, do not matter.
 An empty table gives an empty result."""
 
 from __future__ import annotations
@@ -36,11 +39,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import _grow, _join, _part, _shrink
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, without
 from .textops import Words, mix, shingle_sets, slices, utf8
 
 #: Tokens that one bucket task sorts at a time, about.
@@ -52,8 +57,9 @@ COMMON_LEAST, COMMON_SHARE = 256, 1 / 32
 COMMON = np.int32(2**31 - 1)
 
 _PROFILE = "id long, n_shingles long, fp1 long, fp2 long"
-_BLOCK = "bucket int, kind int, payload binary"
-_CLASS = "fp1 long, fp2 long, n long, toks array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
+_PIECE = "dest long, source long, kind int, payload binary"
+TOKENS, COMMONS, OF_COMMON, CLASSES = range(4)  # kinds of pieces
+_CLASS = "block long, row int, fp1 long, fp2 long, n long, toks array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
 
 
 def _sets(column: pa.Array, k: int):
@@ -79,73 +85,60 @@ def _profile(k: int):
     return run
 
 
-def _pack(fp: np.ndarray, n: np.ndarray, cnt: np.ndarray, toks: np.ndarray, v: np.ndarray | None = None) -> bytes:
-    parts = [np.array([len(n)], np.int64), fp[0], fp[1], n.astype(np.int64), cnt.astype(np.int32), toks]
-    return b"".join(x.tobytes() for x in ([*parts, v.astype(np.int32)] if v is not None else parts))
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["dest", "source", "kind", "payload"])
 
 
-def _unpack(payload: bytes, with_v: bool):
-    nd = int(np.frombuffer(payload, np.int64, 1)[0])
-    at = 8
-    fp = np.frombuffer(payload, np.uint64, 2 * nd, at).reshape(2, nd)
-    n = np.frombuffer(payload, np.int64, nd, at + 16 * nd)
-    cnt = np.frombuffer(payload, np.int32, nd, at + 24 * nd)
-    at += 28 * nd
-    total = int(cnt.sum())
-    toks = np.frombuffer(payload[at : at + 8 * total], np.uint64)
-    return fp, n, cnt, toks, np.frombuffer(payload[at + 8 * total :], np.int32) if with_v else None
+def _pack(row: np.ndarray, toks: np.ndarray, *more: np.ndarray) -> bytes:
+    """Tokens and their classes' numbers in the block, which do not fall."""
+    return _join([_shrink(np.diff(row, prepend=0)), toks.tobytes(), *map(_shrink, more)])
 
 
-def _runs(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of n_rows classes have tokens, and how many, from each token's (sorted) class."""
-    cnt = np.bincount(row, minlength=n_rows)
-    has = np.flatnonzero(cnt)
-    return has, cnt[has]
+def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
+    row, toks, *more = _part(payload)
+    return np.cumsum(_grow(row)), np.frombuffer(toks, np.uint64), *map(_grow, more)
 
 
 def _deal(k: int, buckets: int):
-    """Rows (bucket, kind, payload). Kind 0: packed classes and tokens; 1: tokens that
-    are very common in a task; 2: classes and their very common tokens."""
+    """Pieces (bucket, block, kind, payload). TOKENS: classes and tokens; COMMONS: tokens that
+    are very common in a block; OF_COMMON: classes and their very common tokens; CLASSES: the
+    fingerprints and sizes of a block's classes. The last two only pass through a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
         seen: set[tuple[int, int]] = set()
         held: list = []
         size = 0
-        salt = 0
 
         def flush():
-            nonlocal held, size, salt
-            if not held:
-                return
+            nonlocal held, size, seq
+            block = (part << 24) + seq
+            seq += 1
             toks = np.concatenate([h[0] for h in held])
             cnt = np.concatenate([h[1] for h in held])
             fp = np.concatenate([h[2] for h in held], axis=1)
             held, size = [], 0
             row = np.repeat(np.arange(len(cnt)), cnt)
-            rows = []
+            by = int(mix(np.array([block], np.uint64))[0] % np.uint64(buckets))
+            rows = [(by, block, CLASSES, _join([fp.tobytes(), _shrink(cnt)]))]
             srt = np.sort(toks)
             least = max(COMMON_LEAST, int(len(cnt) * COMMON_SHARE))
             if len(srt) >= least:  # equal values least - 1 apart: at least so many copies
                 common = np.unique(srt[least - 1 :][srt[least - 1 :] == srt[: len(srt) - least + 1]])
                 if len(common):
                     is_common = np.isin(toks, common)
-                    has, c = _runs(row[is_common], len(cnt))
-                    salt += 1
-                    rows.append((int(mix(np.array([salt], np.uint64) + fp[0, :1])[0] % np.uint64(buckets)), 2, _pack(fp[:, has], cnt[has], c, toks[is_common])))
+                    rows.append((by, block, OF_COMMON, _pack(row[is_common], toks[is_common])))
                     b = (common % np.uint64(buckets)).astype(np.int64)
-                    rows += [(int(x), 1, common[b == x].tobytes()) for x in np.unique(b)]
+                    rows += [(int(x), block, COMMONS, common[b == x].tobytes()) for x in np.unique(b)]
                     toks, row = toks[~is_common], row[~is_common]
-            b = (toks % np.uint64(buckets)).astype(np.int32)
+            b = (toks % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             cut = np.searchsorted(b[order], np.arange(buckets + 1))
-            for x in range(buckets):
+            for x in np.flatnonzero(np.diff(cut)).tolist():
                 at = order[cut[x] : cut[x + 1]]
-                if len(at):
-                    has, c = _runs(row[at], len(cnt))
-                    rows.append((x, 0, _pack(fp[:, has], cnt[has], c, toks[at])))
+                rows.append((x, block, TOKENS, _pack(row[at], toks[at])))
             for i in range(0, len(rows), 64):
-                part = rows[i : i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], names=["bucket", "kind", "payload"])
+                yield from _rows(rows[i : i + 64]).to_batches()
 
         for batch in batches:
             for s, e in slices(batch.column(0)):
@@ -159,78 +152,44 @@ def _deal(k: int, buckets: int):
                 size += int(n[new].sum())
                 if size >= FLUSH_TOKENS:
                     yield from flush()
-        yield from flush()
+        if size:
+            yield from flush()
 
     return run
 
 
-def _first_of(fp: np.ndarray) -> np.ndarray:
-    """The index, among distinct classes, of each run; classes sorted by fingerprint."""
-    order = np.lexsort((fp[1], fp[0]))
-    new = np.ones(len(order), bool)
-    new[1:] = (fp[:, order[1:]] != fp[:, order[:-1]]).any(axis=0)
-    index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
-    return index
-
-
-def _count(buckets: int):
-    def run(group: pa.Table) -> pa.Table:
-        kinds, payloads = group["kind"].to_numpy(), group["payload"]
-        out: list[tuple[int, int, bytes]] = []
-
-        def send(fp, n, cnt, toks, v):
-            row = np.repeat(np.arange(len(n)), cnt)
-            to = (fp[0] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to[row], kind="stable")
-            cut = np.searchsorted(to[row][order], np.arange(buckets + 1))
-            for x in range(buckets):
-                at = order[cut[x] : cut[x + 1]]
-                if len(at):
-                    has, c = _runs(row[at], len(n))
-                    out.append((x, 0, _pack(fp[:, has], n[has], c, toks[at], v[at])))
-
-        blocks = [_unpack(payloads[int(i)].as_py(), False) for i in np.flatnonzero(kinds == 0)]
-        if blocks:
-            fp, n, cnt = np.concatenate([b[0] for b in blocks], axis=1), np.concatenate([b[1] for b in blocks]), np.concatenate([b[2] for b in blocks])
-            toks = np.concatenate([b[3] for b in blocks])
-            del blocks
-            index = _first_of(fp)
-            first = np.zeros(len(index), bool)
-            first[np.unique(index, return_index=True)[1]] = True  # a class that several tasks have sent counts once
-            if not first.all():
-                toks = toks[np.repeat(first, cnt)]
-                fp, n, cnt = fp[:, first], n[first], cnt[first]
-            row = np.repeat(np.arange(len(n), dtype=np.int32), cnt)
-            common = [np.frombuffer(payloads[int(i)].as_py(), np.uint64) for i in np.flatnonzero(kinds == 1)]
-            common = np.unique(np.concatenate(common)) if common else np.zeros(0, np.uint64)
-            part = (toks >> np.uint64(61)).astype(np.int8)
-            kept: list[tuple[np.ndarray, np.ndarray]] = []
-            for x in range(8):  # an eighth of the tokens at a time
-                mine = np.flatnonzero(part == x)
-                own = toks[mine]
-                order = np.argsort(own, kind="stable")
-                srt = own[order]
-                start = np.flatnonzero(np.concatenate([[True], srt[1:] != srt[:-1]])) if len(srt) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([start, [len(srt)]]))
-                df = times.copy()
-                if len(common):
-                    df[np.isin(srt[start], common)] = COMMON
-                each = np.repeat(df, times)
-                kept.append((mine[order[each > 1]], each[each > 1].astype(np.int32)))
-            at, v = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
-            back = np.argsort(at)
-            at, v = at[back], v[back]
-            if len(at):
-                has, c = _runs(row[at], len(n))
-                send(fp[:, has], n[has], c, toks[at], v)
-            del toks, row, part, kept
-        for i in np.flatnonzero(kinds == 2):
-            fp, n, cnt, toks, _ = _unpack(payloads[int(i)].as_py(), False)
-            send(fp, n, cnt, toks, np.full(len(toks), COMMON, np.int32))
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()), "kind": pa.array([r[1] for r in out], pa.int32()), "payload": pa.array([r[2] for r in out], pa.binary())})
-
-    return run
+def _count(group: pa.Table) -> pa.Table:
+    """A bucket's tokens of more than one class, with their counts, for each block."""
+    bucket = group["dest"][0].as_py()
+    kinds, sources, payloads = group["kind"].to_numpy(), group["source"].to_numpy(), group["payload"]
+    out = [(int(sources[i]), bucket, int(kinds[i]), payloads[int(i)].as_py()) for i in np.flatnonzero(kinds >= OF_COMMON)]
+    which = np.flatnonzero(kinds == TOKENS)
+    if len(which):
+        pieces = [_unpack(payloads[int(i)].as_py()) for i in which]
+        toks = np.concatenate([x[1] for x in pieces])
+        common = [np.frombuffer(payloads[int(i)].as_py(), np.uint64) for i in np.flatnonzero(kinds == COMMONS)]
+        common = np.unique(np.concatenate(common)) if common else np.zeros(0, np.uint64)
+        times = np.zeros(len(toks), np.int32)
+        part = (toks >> np.uint64(61)).astype(np.int8)
+        for x in range(8):  # an eighth of the tokens at a time
+            mine = np.flatnonzero(part == x)
+            own = toks[mine]
+            order = np.argsort(own, kind="stable")
+            srt = own[order]
+            start = np.flatnonzero(np.concatenate([[True], srt[1:] != srt[:-1]])) if len(srt) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([start, [len(srt)]]))
+            df = n.copy()
+            if len(common):
+                df[np.isin(srt[start], common)] = COMMON
+            times[mine[order]] = np.repeat(df, n)
+        at = 0
+        for i, (row, own) in zip(which, pieces):
+            v = times[at : at + len(own)]
+            at += len(own)
+            keep = v > 1
+            if keep.any():
+                out.append((int(sources[i]), bucket, TOKENS, _pack(row[keep], own[keep], v[keep])))
+    return _rows(out)
 
 
 def _lists(values: np.ndarray, bound: np.ndarray) -> pa.Array:
@@ -239,28 +198,18 @@ def _lists(values: np.ndarray, bound: np.ndarray) -> pa.Array:
 
 def _survivors(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        blocks = [_unpack(x.as_py(), True) for x in group["payload"]]
-        fp, n, cnt = np.concatenate([b[0] for b in blocks], axis=1), np.concatenate([b[1] for b in blocks]), np.concatenate([b[2] for b in blocks])
-        toks, v = np.concatenate([b[3] for b in blocks]), np.concatenate([b[4] for b in blocks])
-        del blocks
-        index = _first_of(fp)
-        size = np.zeros(index.max() + 1, np.int64)
-        size[index] = n
-        keys = np.zeros((2, len(size)), np.uint64)
-        keys[:, index] = fp
-        row = np.repeat(index, cnt)
+        kinds, payloads = group["kind"].to_numpy(), group["payload"]
+        keys, size = _part(payloads[int(np.flatnonzero(kinds == CLASSES)[0])].as_py())
+        keys, size = np.frombuffer(keys, np.uint64).reshape(2, -1), _grow(size)
+        pieces = [_unpack(payloads[int(i)].as_py()) for i in np.flatnonzero(kinds == TOKENS)]
+        pieces += [(*x, np.full(len(x[0]), COMMON)) for x in (_unpack(payloads[int(i)].as_py()) for i in np.flatnonzero(kinds == OF_COMMON))]
+        row, toks, v = (np.concatenate([np.zeros(0, t), *(x[i] for x in pieces)]) for i, t in enumerate((np.int64, np.uint64, np.int64)))
+        del pieces
         need = (size * percent + 99) // 100
-        worth = np.bincount(row, minlength=len(size)) >= need  # counts a token twice at times: dropped below
-        pick = worth[row]
-        row, toks, v = row[pick], toks[pick], v[pick]
-        order = np.lexsort((-v, toks, row))
-        row, toks, v = row[order], toks[order], v[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (toks[1:] != toks[:-1])
-        row, toks, v = row[new], toks[new], v[new]
         shared = np.bincount(row, minlength=len(size))
         ok = (shared >= need) & (need > 0)
-        pick = ok[row]
+        pick = np.flatnonzero(ok[row])
+        pick = pick[np.lexsort((toks[pick], row[pick]))]
         row, toks, v = row[pick], toks[pick], v[pick]
         which = np.flatnonzero(ok)
         bound = np.concatenate([[0], np.cumsum(shared[which])])
@@ -268,28 +217,32 @@ def _survivors(percent: int):
         prefix = size[which] - need[which] + 1 - (size[which] - shared[which])
         level = np.frexp(v.astype(np.float64))[1]
         pres = []
-        for first, tie in ((v, toks), (level, mix(toks, 0x2545F491)), (level // 2, mix(toks, 0x6C62272E))):
+        for first, tie in ((v, toks), (np.zeros_like(v), mix(toks, 0x2545F491)), (level, mix(toks, 0x6C62272E))):
             order = np.lexsort((tie, first, row))
             place = np.arange(len(row)) - np.repeat(bound[:-1], shared[which])
             chosen = order[place < np.repeat(prefix, shared[which])]
             pres.append(_lists(toks[chosen], np.concatenate([[0], np.cumsum(prefix)])))
-        return pa.table({"fp1": pa.array(keys[0, which].view(np.int64)), "fp2": pa.array(keys[1, which].view(np.int64)), "n": pa.array(size[which]), "toks": _lists(toks, bound), "pre1": pres[0], "pre2": pres[1], "pre3": pres[2]})
+        block = np.full(len(which), group["dest"][0].as_py(), np.int64)
+        return pa.table({"block": pa.array(block), "row": pa.array(which.astype(np.int32)), "fp1": pa.array(keys[0, which].view(np.int64)), "fp2": pa.array(keys[1, which].view(np.int64)), "n": pa.array(size[which]), "toks": _lists(toks, bound), "pre1": pres[0], "pre2": pres[1], "pre3": pres[2]})
 
     return run
 
 
-def _tested(pairs: DataFrame, classes: DataFrame, percent: int, all_filters: bool) -> DataFrame:
+def _tested(pairs: DataFrame, classes: DataFrame, percent: int, name: str, every: bool) -> DataFrame:
     """Pairs (a, b) with the sizes of both, of what they share, and whether they are linked.
 
-    With all_filters only pairs that share prefix tokens under the other orders too are
-    looked at; without, all are, as what a hub shares with a class is of use even if little."""
-    side = lambda x: classes.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "toks", "pre2", "pre3")))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    filters = "arrays_overlap(pre2_a, pre2_b) and arrays_overlap(pre3_a, pre3_b)"
-    if all_filters:
-        both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {filters}")
-    both = both.select("a", "b", "n_a", "n_b", F.expr(filters).alias("near"), F.size(F.array_intersect("toks_a", "toks_b")).cast("long").alias("shared"))
-    return both.withColumn("linked", F.expr(f"near and 100 * shared >= {percent} * (n_a + n_b - shared)")).drop("near")
+    Only pairs of like sizes that share prefix tokens under the other orders too have their sets fetched and compared.
+    With every, the others are returned as well, with the most they can share as they are not linked."""
+    side = lambda x, *cols: classes.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+    like = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    both = pairs.select("a", "b").join(side("b", "n", "pre2", "pre3"), "b").join(side("a", "n", "pre2", "pre3"), "a")
+    both = both.select("a", "b", "n_a", "n_b", (like & F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b")).alias("near"))
+    both = materialize(both if every else both.where("near"), f"filtered-{name}")
+    found = both.where("near").join(side("b", "toks"), "b").join(side("a", "toks"), "a")
+    found = found.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("toks_a", "toks_b")).cast("long").alias("shared"))
+    found = found.withColumn("linked", F.expr(f"100 * shared >= {percent} * (n_a + n_b - shared)"))
+    most = F.expr(f"least(n_a, n_b, ({percent} * (n_a + n_b) - 1) div {100 + percent})")
+    return found.unionByName(both.where("not near").select("a", "b", "n_a", "n_b", most.alias("shared"), F.lit(False).alias("linked"))) if every else found
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, extra: str = "true") -> DataFrame:
@@ -344,27 +297,41 @@ def _remaining(posts: DataFrame, classes: DataFrame, stars: DataFrame, percent:
     return first.unionByName(second).unionByName(third)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of docs.
 
     Documents whose k-word shingle sets have a Jaccard similarity of percent / 100
     or more are linked; component_id is the smallest id reachable by links and
     class_id the smallest id with the very same set. See the module for nulls,
     empty texts, repeated rows and empty tables."""
+    conf, name = docs.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(name)
+    conf.set(name, "-1")  # some sixty small joins: as broadcasts each would pass through the driver
+    try:
+        return _components(docs, id_col, text_col, k, percent, buckets)
+    finally:
+        conf.set(name, before)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, buckets: int | None) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt"))
     profile = materialize(own.mapInArrow(_profile(k), _PROFILE), "profile")
-    classes = profile.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("cid"))
-    total = profile.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = int(max(16, -(-total // BUCKET_TOKENS)))
-
-    dealt = own.select("txt").mapInArrow(_deal(k, buckets), _BLOCK)
-    counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), _BLOCK)
-    sets = counted.groupBy("bucket").applyInArrow(_survivors(percent), _CLASS)
-    sets = materialize(materialize(sets, "sets").join(classes, ["fp1", "fp2"]).drop("fp1", "fp2"), "classes")
+    named = profile.where("n_shingles > 0 and id is not null")
+    classes = named.groupBy("fp1", "fp2").agg(F.min("id").alias("cid"))
+    stands = materialize(classes, "stands")
+    total = named.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = buckets or int(max(16, -(-total // BUCKET_TOKENS)))
+
+    others = profile.where("id is not null").select("id").distinct().join(stands.select(F.col("cid").alias("id")), "id", "left_anti")
+    dealt = without(own.where("id is not null"), others, "id").select("txt").mapInArrow(_deal(k, buckets), _PIECE)
+    counted = dealt.groupBy("dest").applyInArrow(_count, _PIECE)
+    sets = materialize(counted.groupBy("dest").applyInArrow(_survivors(percent), _CLASS), "sets")
+    first = sets.groupBy("fp1", "fp2").agg(F.min(F.struct("block", "row")).alias("x")).join(stands, ["fp1", "fp2"]).select("x.block", "x.row", "cid")
+    sets = materialize(sets.drop("fp1", "fp2").join(first, ["block", "row"]).drop("block", "row"), "classes")
 
     tokens = sets.select("cid", "n", F.struct(((F.col("n") - F.size("toks")) / F.col("n")).alias("alone"), "cid").alias("key"), F.explode("pre1").alias("tok"))
     comps = None
-    tested, links, stars = [], [], []
+    tested, stars = [], []
     for step in ("first", "second", "rest"):
         if comps is None:
             posts = tokens.withColumn("comp", F.col("cid"))
@@ -383,15 +350,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pairs-{step}")
-        found = materialize(_tested(pairs.select("a", "b"), sets, percent, step == "rest"), f"tested-{step}")
+        found = materialize(_tested(pairs, sets, percent, step, step != "rest"), f"tested-{step}")
         tested.append(pairs.select("a", "b"))
         stars.append(found.join(pairs, ["a", "b"])) if step != "rest" else None
         new = found.where("linked").select("a", "b")
         if comps is None or not new.isEmpty():
-            links.append(new)
-            comps = connected_components(reduce(DataFrame.unionByName, links))
-
-    byset = classes.join(comps, classes.cid == comps.node, "left").select("fp1", "fp2", F.col("cid").alias("class_id"), F.coalesce("component", "cid").alias("component_id"))
-    out = profile.where("n_shingles > 0").join(byset, ["fp1", "fp2"]).select(F.col("id").alias(id_col), "n_shingles", "component_id", "class_id")
-    none = profile.where("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"), F.col("id").alias("class_id"))
+            # what is linked already is a star of each component, so only new links are worked through
+            known = [] if comps is None else [comps.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            comps = materialize(connected_components(reduce(DataFrame.unionByName, [new, *known])), f"components-{step}")
+
+    byset = stands.join(comps, stands.cid == comps.node, "left").select("fp1", "fp2", F.col("cid").alias("class_id"), F.coalesce("component", "cid").alias("component_id"))
+    byset = materialize(byset, "by-set")
+    out = named.join(byset, ["fp1", "fp2"]).select(F.col("id").alias(id_col), "n_shingles", "component_id", "class_id")
+    none = profile.where("n_shingles = 0 or id is null").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"), F.col("id").alias("class_id"))
     return out.unionByName(none)

@@ -1,9 +1,13 @@
 import collections
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lociframe.llm import ngram_join
 from lociframe.llm.components import connected_components
 from lociframe.llm.ngram_join import jaccard_components
 
@@ -66,6 +70,26 @@ def test_against_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_many_buckets_and_blocks(spark, monkeypatch):
+    rows = make(7, 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, buckets=500).collect()}
+    assert got == brute(rows)
+
+
+def test_pieces_do_not_grow_with_the_number_of_buckets(monkeypatch):
+    """The first exchange at 1,250 buckets, about what 30 GB have."""
+    rng = np.random.default_rng(1)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 11, 50_000)]
+    texts = [" ".join(vocabulary[i] for i in rng.integers(0, 50_000, n)) for n in rng.integers(50, 900, 3400)]
+    monkeypatch.setattr(ngram_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    sizes = {}
+    for buckets in (16, 1250):
+        batches = ngram_join._deal(5, buckets)(iter(pa.record_batch([pa.array(texts)], names=["txt"]).slice(i, 500) for i in range(0, len(texts), 500)))
+        sizes[buckets] = sum(len(p.as_py()) + 28 for b in batches for p in b.column(3))
+    assert sizes[1250] <= 1.4 * sum(map(len, texts)) and sizes[1250] <= 1.15 * sizes[16]
+
+
 def test_one_large_family(spark):
     """Near copies of one text, each with edits of its own, many of them not similar to each other."""
     rng = random.Random(5)
@@ -89,6 +113,11 @@ def test_empty_and_repeated(spark):
     assert jaccard_components(e).collect() == []
     d = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in jaccard_components(d).collect()) == [(3, 3), (7, 3), (7, 3)]
+    base = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(base), " ".join([*base, "x"]), " ".join(f"q{i}" for i in range(9))
+    d = spark.createDataFrame([(1, a), (2, a), (2, c), (5, b), (5, c), (9, c), (None, b), (None, None), (4, " ".join(base * 3000))], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(d).collect()), key=str)
+    assert got == sorted([(1, 36, 1), (2, 36, 1), (2, 5, 2), (5, 37, 1), (5, 5, 2), (9, 5, 2), (None, 37, None), (None, 0, None), (4, 40, 1)], key=str)
 
 
 def test_components(spark):
