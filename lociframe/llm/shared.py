@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests on one machine), a fresh temporary folder."""
+    that is unset on one machine (as in tests), a fresh temporary folder. On a cluster an unset folder is an
+    error, as executors could not read each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,7 +26,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage like checkpoint(), but stays columnar and compressed, and the
-    files outlive any executor."""
+    files outlive any executor. As with checkpoint(), the folder is for its owner to empty."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -39,8 +42,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """docs less the rows whose id is in ids. Few ids, counted, are broadcast, so that no text is
-    moved; more are joined by shuffling."""
+    """docs less the rows whose id is in ids; rows without an id stay. Few ids, counted, are broadcast, so that
+    no text is moved; more are joined by shuffling."""
     drop = materialize(ids.select(id_col).distinct(), "ids")
     return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, id_col, "left_anti").select(*docs.columns)
 
