@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import alleles
 from ..functions.special import log_gamma
-from .aggregates import correlate
+from .aggregates import correlate, interaction_regression
 from .ordered import running_sums
 
 
@@ -274,3 +274,21 @@ def beta_binomial(reads: DataFrame, by: list[str], ref: str, alt: str, grid: tup
     none = half.groupBy(*by).agg(F.max("l0").alias("l0"))
     rho: Column = F.element_at(F.array(*map(F.lit, grid)), (1 - F.col("x.i")).cast("int"))
     return best.join(none, by).select(*by, "n", "p", rho.alias("rho"), F.col("x.l").alias("log_likelihood"), F.greatest(F.lit(0.0), 2 * (F.col("x.l") - F.col("l0"))).alias("chi2"))
+
+
+def covariate_screen(values: DataFrame, by: list[str], x: str, covariates: list[str], y: str) -> DataFrame:
+    """(keys, covariate, n, b0..b3, t3): the interaction regression of y on x with each covariate in turn, in one pass:
+    rows are repeated once a covariate, and only sums by key and covariate are shuffled."""
+    entries = F.array(*(F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("__c")) for c in covariates))
+    long = values.select(*by, x, y, F.explode(entries).alias("__e")).select(*by, x, y, "__e.*")
+    return interaction_regression(long, [*by, "covariate"], x, "__c", y)
+
+
+def matched_background(items: DataFrame, item: str, hit: str, bin_: str, per: int, seed: int = 1) -> DataFrame:
+    """Hits, and for each bin per times as many others of the same bin, or all there are, by the order of a digest of the
+    seed and the item: a background like the hits in what the bin stands for."""
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(item)).cast("binary"))
+    w = Window.partitionBy(bin_, hit).orderBy(order, item)
+    hits = items.where(F.col(hit)).groupBy(bin_).agg(F.count("*").alias("__hits"))
+    placed = items.withColumn("__place", F.row_number().over(w)).join(hits, bin_)
+    return placed.where(F.col(hit) | (F.col("__place") <= per * F.col("__hits"))).select(*items.columns)

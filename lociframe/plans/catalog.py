@@ -1029,7 +1029,7 @@ def harmonise_panels(v):
 @query("gene_scores", ("effects", "variants", "genes"), ", b as (select snp as variant, max(z) as z from effects group by snp) select g.gene, count(b.z) as n, round(sum(b.z * b.z), 5) as chi2 from b join variants v on b.variant = v.variant join genes g on v.chrom = g.chrom and v.pos between g.start - 2000 and g.stop + 2000 group by g.gene")
 def gene_scores(v):
     best = v.effects.groupBy(F.col("snp").alias("variant")).agg(F.max("z").alias("z"))
-    return flow.gene_scores(best, v.variants, v.genes, 2000).select("gene", "n", r("chi2", 5))
+    return flow.gene_scores(best, v.variants, v.genes, 2000).select("gene", "n", r("chi2", 5), r("p"))
 
 
 @query("clumped_risk_scores", ())

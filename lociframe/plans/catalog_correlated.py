@@ -67,3 +67,14 @@ def ld_greedy_clumps(v):
 @query("sample_permutations", ("genotypes",), ", s as (select distinct sample from genotypes), p as (select sample, unnest([1, 2, 3]) as perm from s), o as (select perm, sample, row_number() over (partition by perm order by sample) as k from p), m as (select perm, sample, row_number() over (partition by perm order by md5('7:' || perm || ':' || sample), sample) as k from p) select o.perm, o.sample, m.sample as shuffled from o join m on o.perm = m.perm and o.k = m.k union all select 0, sample, sample from s")
 def sample_permutations(v):
     return flow.shuffled_samples(v.genotypes.select("sample"), "sample", 3, 7).select("perm", "sample", "shuffled")
+
+
+@query("gene_scores_ld", ("effects", "genotypes", "variants", "genes"))
+def gene_scores_ld(v):
+    """Summed squared z of the variants around each gene against what their LD makes of it."""
+    best = v.effects.groupBy(F.col("snp").alias("variant")).agg(F.max("z").alias("z"))
+    g = v.genes.selectExpr("gene", "chrom", "start - 2000 as lo", "stop + 2000 as hi")
+    j = intervals.point_join(v.variants.join(best, "variant"), g, ["chrom"], "pos", "lo", "hi", 5000).select("gene", "variant", "z")
+    near = ld.genotype_r2(ld.pair_counts(_calls(v), ld.nearby_pairs(v.variants, "variant", "chrom", "pos", 3000), "variant", "sample", "dosage")).where("r2 is not null and n >= 8")
+    links = near.join(j.select("gene", F.col("variant").alias("a")), "a").join(j.select("gene", F.col("variant").alias("b")), ["gene", "b"]).select("gene", "a", "b", F.sqrt("r2").alias("r"))
+    return rounded(correlated.gene_p(j, links, "gene", "variant"), 5)

@@ -281,3 +281,26 @@ _BB = "lgamma(k + m + 1) - lgamma(k + 1) - lgamma(m + 1) + lgamma(k + {a}) + lga
 def beta_binomial(v):
     s = v.reads.groupBy("variant", "sample").agg(F.sum("ref_reads").alias("k"), F.sum("alt_reads").alias("m"))
     return screens.beta_binomial(s, ["variant"], "k", "m", _GRID).select("variant", "n", r("p"), r("log_likelihood", 4), r("chi2", 3))
+
+
+@query("trans_correlation_qtl", ("genotypes",))
+def trans_correlation_qtl(v):
+    """Whether a variant changes how one measure follows another: the interaction of dosage and the other measure."""
+    return rounded(agg.interaction_regression(v.genotypes, ["variant"], "dosage", "quantity", "expression"), 5)
+
+
+@query("covariate_interaction_screen", ("genotypes",))
+def covariate_interaction_screen(v):
+    return rounded(screens.covariate_screen(v.genotypes, ["variant"], "dosage", ["depth", "quantity"], "expression"), 5)
+
+
+@query("prepared_permutations", ("effects",), "select snp, gene, round(sum(z) filter (where perm = 0), 5) as p0, round(sum(z) filter (where perm = 1), 5) as p1, round(sum(z) filter (where perm = 2), 5) as p2, round(sum(z) filter (where perm = 3), 5) as p3, round(sum(z) filter (where perm = 4), 5) as p4 from effects group by snp, gene")
+def prepared_permutations(v):
+    wide = v.effects.groupBy("snp", "gene").pivot("perm", [0, 1, 2, 3, 4]).agg(F.sum("z"))
+    return wide.select("snp", "gene", *(F.round(F.col(str(i)), 5).alias(f"p{i}") for i in range(5)))
+
+
+@query("matched_background", ("variants",), ", i as (select variant, score > 1000 as hit, pos % 7 as bin from variants), h as (select bin, count(*) as hits from i where hit group by bin), p as (select *, row_number() over (partition by bin, hit order by md5('1:' || variant), variant) as place from i) select variant, hit from p join h on p.bin = h.bin where hit or place <= 2 * hits")
+def matched_background(v):
+    i = v.variants.selectExpr("variant", "score > 1200 as hit", "pos % 7 as bin")
+    return screens.matched_background(i, "variant", "hit", "bin", 2).select("variant", "hit")

@@ -114,12 +114,27 @@ put(
  k as (select *, case when cast(variant as varchar) = cast(ref_id as varchar) then 0 when same then 1 when turned then 2 end as rank from j), b as (select *, min(rank) over (partition by variant) as best from k where rank is not null), c as (select *, count(*) over (partition by variant) as k from b where rank = best),
  d as (select variant, ref_id, case when k > 1 or not (same or turned) then 'exclude' when ref || alt in ('AT', 'TA', 'CG', 'GC') then case when abs(m - mr) <= 0.1 and m < 0.4 then 'keep' else 'exclude' end when same then 'keep' else 'swap' end as action from c) select variant, min(ref_id) as ref_id, action from d group by variant, action""",
 )
+def _interaction(source: str, keys: str) -> str:
+    """The interaction regression of source(keys, x, c, i, y): the covariate is taken out of x, i and y, then x out of i and y."""
+    on = lambda a, b: " and ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    of = lambda a: ", ".join(f"{a}.{k.strip()}" for k in keys.split(","))
+    return f""", v as ({source}), g as (select {keys}, count(*) as n, avg(x) as mx, avg(c) as mc, avg(i) as mi, avg(y) as my, case when min(c) < max(c) then regr_slope(x, c) end as xc, case when min(c) < max(c) then regr_slope(i, c) end as ic, case when min(c) < max(c) then regr_slope(y, c) end as yc from v group by {keys}),
+ w as (select {of("v")}, n, (x - mx) - xc * (c - mc) as rx, (i - mi) - ic * (c - mc) as ri, (y - my) - yc * (c - mc) as ry, i, x from v join g on {on("v", "g")}), h as (select {keys}, sum(rx * ri) / nullif(sum(rx * rx), 0) as ix, sum(rx * ry) / nullif(sum(rx * rx), 0) as yx, sum(rx * rx) as sxx, sum(x * x) as x2 from w group by {keys}),
+ q as (select {of("w")}, n, ri - ix * rx as ti, ry - yx * rx as ty, i, sxx, x2 from w join h on {on("w", "h")}), f as (select {keys}, n, sum(ti * ty) / nullif(sum(ti * ti), 0) as b3, sum(ti * ti) as sii, sum(ty * ty) as syy, sum(ti * ty) as siy, sum(i * i) as i2, min(sxx) as sxx, min(x2) as x2 from q group by {keys}, n),
+ k as (select {of("g")}, g.n, case when g.n > 4 and sii > 1e-7 * i2 and f.sxx > 1e-7 * f.x2 and xc is not null then b3 end as b3, yx, ix, xc, ic, yc, mx, mc, mi, my, sii, greatest(0, syy - siy * siy / nullif(sii, 0)) as rss from g join h on {on("g", "h")} join f on {on("g", "f")})
+ select {keys}, n, round(my - (yx - b3 * ix) * mx - (yc - (yx - b3 * ix) * xc - b3 * ic) * mc - b3 * mi, 5) as b0, round(yx - b3 * ix, 5) as b1, round(yc - (yx - b3 * ix) * xc - b3 * ic, 5) as b2, round(b3, 5) as b3, round(case when rss > 0 then b3 / sqrt(rss / (n - 4) / sii) end, 5) as t3 from k"""
+
+
+def _one(covariate: str, keys: str = "variant") -> str:
+    return f"select {keys}, dosage * 1e0 as x, {covariate} * 1e0 as c, dosage * {covariate} * 1e0 as i, expression as y from genotypes where dosage is not null"
+
+
+put("interaction_regression", ("genotypes",), _interaction(_one("depth"), "variant"))
+put("trans_correlation_qtl", ("genotypes",), _interaction(_one("quantity"), "variant"))
+put("covariate_interaction_screen", ("genotypes",), _interaction(" union all ".join(_one(c, f"variant, '{c}' as covariate") for c in ("depth", "quantity")), "variant, covariate"))
 put(
-    "interaction_regression",
-    ("genotypes",),
-    """, v as (select variant, dosage * 1e0 as x, depth * 1e0 as c, dosage * depth * 1e0 as i, expression as y from genotypes where dosage is not null), g as (select variant, count(*) as n, avg(x) as mx, avg(c) as mc, avg(i) as mi, avg(y) as my, case when min(c) < max(c) then regr_slope(x, c) end as xc, case when min(c) < max(c) then regr_slope(i, c) end as ic, case when min(c) < max(c) then regr_slope(y, c) end as yc from v group by variant),
- w as (select v.variant, n, (x - mx) - xc * (c - mc) as rx, (i - mi) - ic * (c - mc) as ri, (y - my) - yc * (c - mc) as ry, i, x from v join g on v.variant = g.variant), h as (select variant, sum(rx * ri) / nullif(sum(rx * rx), 0) as ix, sum(rx * ry) / nullif(sum(rx * rx), 0) as yx, sum(rx * rx) as sxx, sum(x * x) as x2 from w group by variant),
- q as (select w.variant, n, ri - ix * rx as ti, ry - yx * rx as ty, i, sxx, x2 from w join h on w.variant = h.variant), f as (select variant, n, sum(ti * ty) / nullif(sum(ti * ti), 0) as b3, sum(ti * ti) as sii, sum(ty * ty) as syy, sum(ti * ty) as siy, sum(i * i) as i2, min(sxx) as sxx, min(x2) as x2 from q group by variant, n),
- k as (select g.variant, g.n, case when g.n > 4 and sii > 1e-7 * i2 and f.sxx > 1e-7 * f.x2 and xc is not null then b3 end as b3, yx, ix, xc, ic, yc, mx, mc, mi, my, sii, greatest(0, syy - siy * siy / nullif(sii, 0)) as rss from g join h on g.variant = h.variant join f on g.variant = f.variant)
- select variant, n, round(my - (yx - b3 * ix) * mx - (yc - (yx - b3 * ix) * xc - b3 * ic) * mc - b3 * mi, 5) as b0, round(yx - b3 * ix, 5) as b1, round(yc - (yx - b3 * ix) * xc - b3 * ic, 5) as b2, round(b3, 5) as b3, round(case when rss > 0 then b3 / sqrt(rss / (n - 4) / sii) end, 5) as t3 from k""",
+    "gene_scores",
+    ("effects", "variants", "genes"),
+    """, b as (select snp as variant, max(z) as z from effects group by snp), k as (select g.gene, count(b.z) as n, sum(b.z * b.z) as q from b join variants v on b.variant = v.variant join genes g on v.chrom = g.chrom and v.pos between g.start - 2000 and g.stop + 2000 group by g.gene),
+ s as (select *, unnest(range(0, 1001)) as i, sqrt(q) / 1000 as h from k), t as (select gene, n, q, sum(case when i in (0, 1000) then 1 when i % 2 = 1 then 4 else 2 end * h / 3 * 2 * pow(i * h, n - 1) * exp(-i * h * i * h / 2 - n / 2e0 * ln(2) - lgamma(n / 2e0))) as p from s group by 1, 2, 3) select gene, n, round(q, 5) as chi2, round(1 - p, 6) as p from t""",
 )

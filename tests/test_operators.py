@@ -232,3 +232,54 @@ def test_rounds_go_on_to_the_end(spark):
     up = enrichment.roll_up(spark.createDataFrame([(0,)], "term int"), deep, spark.createDataFrame([(32,)], "term int"), "term", "parent")
     assert rows(up) == [(0, 32)]
     assert enrichment.descendants(deep, "term", "parent").count() == 32 * 33 // 2
+
+
+def test_weighted_chi2_tails():
+    from lociframe.functions.special import gammaincc
+    from lociframe.operators.correlated import mixture_upper_p
+
+    for n, q in ((1, 3.84), (5, 30.0), (12, 8.0)):
+        assert mixture_upper_p(2.5 * q, np.full(n, 2.5)) == pytest.approx(float(gammaincc(np.array([n / 2]), np.array([q / 2]))[0]), rel=1e-9)
+    rng = np.random.default_rng(4)
+    w = np.array([3.0, 1.0, 0.4, 0.05])
+    draws = (rng.standard_normal((400_000, 4)) ** 2) @ w
+    for q in (1.0, 5.0, 15.0):
+        assert mixture_upper_p(q, w) == pytest.approx((draws > q).mean(), abs=0.003)
+    assert mixture_upper_p(0.0, w) == 1.0 and mixture_upper_p(1.0, np.zeros(0)) == 0.0
+
+
+def test_gene_p_with_ld(spark):
+    from lociframe.operators.correlated import gene_p, mixture_upper_p
+
+    z = spark.createDataFrame([("g", 1, 2.0), ("g", 2, 1.0), ("h", 1, 2.0), ("h", 3, -1.0), ("k", 4, 0.5)], "gene string, variant long, z double")
+    pairs = spark.createDataFrame([("g", 1, 2, 0.8), ("h", 9, 1, 0.5)], "gene string, a long, b long, r double")
+    got = {r.gene: (r.n, r.q, r.p) for r in gene_p(z, pairs, "gene", "variant").collect()}
+    assert got["g"] == (2, 5.0, pytest.approx(mixture_upper_p(5.0, np.array([1.8, 0.2]))))
+    assert got["h"] == (2, 5.0, pytest.approx(math.exp(-2.5))) and got["k"][0] == 1
+
+
+def test_cube_round_trip(spark, tmp_path):
+    from lociframe.operators import screens
+
+    rows = [(v, g, c, float(v * g + c), 10) for v in range(5) for g in range(3) for c in range(2)]
+    cube = spark.createDataFrame(rows, "variant long, gene long, covariate long, z double, n long")
+    screens.write_cube(cube, f"file://{tmp_path}/cube")
+    back = spark.read.parquet(f"file://{tmp_path}/cube")
+    assert back.count() == len(rows)
+    assert screens.cube_slice(back, gene=2, covariate=None, variant=[1, 3]).count() == 4
+
+
+def test_ordered_blocks_equal_one_pass(spark):
+    """Blocks much smaller than the data: carried values, ends and neighbours."""
+    rng = random.Random(2)
+    spans = [("a" if i % 5 else "b", s, s + rng.choice([0, 3, 40])) for i in range(150) for s in [rng.randrange(600)]]
+    df = spark.createDataFrame(spans, "k string, start long, stop long")
+    for fn in (intervals.merge_spans, intervals.drop_contained):
+        small = sorted(map(tuple, fn(df, ["k"], "start", "stop", width=16).collect()))
+        assert small == sorted(map(tuple, fn(df, ["k"], "start", "stop", width=10_000).collect())) and small
+    points = spark.createDataFrame([("a" if i % 3 else "b", rng.randrange(600), i) for i in range(80)], "k string, pos long, v long").dropDuplicates(["k", "pos"])
+    near = lambda w: sorted((r.v, tuple(r.n)) for r in intervals.neighbours(points, ["k"], "pos", "v", 3, "n", width=w).collect())
+    assert near(8) == near(10_000)
+    right = spark.createDataFrame([("a", p, p * 10) for p in range(0, 600, 97)], "k string, at long, x long")
+    asof = lambda w: sorted((r.v, str(r.x)) for r in intervals.as_of_join(points, right, ["k"], "pos", "at", ["x"], width=w).collect())
+    assert asof(8) == asof(10_000)

@@ -65,7 +65,7 @@ def plain_beta(spark, got):
 #: Queries that SQL cannot say, with what tests them.
 PLAIN = {"principal_components": plain_components, "remove_components": plain_residuals, "top_with_beta": plain_beta, "beta_adjusted_p": plain_beta}
 #: Queries whose operators have tests of their own against plain computations.
-ELSEWHERE = {"deconvolve_cells": "test_interaction_regression_and_nnls", "conditional_mapping": "test_conditional_mapping_finds_two_effects", "cis_mapping_with_fdr": "test_bounded_cis_mapping_runs"}
+ELSEWHERE = {"gene_scores_ld": "test_gene_p_with_ld", "deconvolve_cells": "test_interaction_regression_and_nnls", "conditional_mapping": "test_conditional_mapping_finds_two_effects", "cis_mapping_with_fdr": "test_bounded_cis_mapping_runs"}
 
 
 @pytest.fixture(scope="module")
