@@ -7,10 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annotation, bgen, matrices, oxford, plink, trityper, vcf
+from . import annotation, bgen, dosage_folder, matrices, oxford, plink, vcf
 
 #: Suffixes in the order they are tried.
-_SUFFIXES = ((".vcf", "vcf"), (".vcf.gz", "vcf"), (".vcf.bgz", "vcf"), (".ped", "ped_map"), (".map", "ped_map"), (".bed", "plink_bed"), (".bim", "plink_bed"), (".fam", "plink_bed"), (".haps", "haps"), (".haps.gz", "haps"), (".gen", "gen"), (".gen.gz", "gen"), (".parquet", "parquet"), (".bgen", "bgen"), ("GenotypeMatrix.dat", "trityper"))
+_SUFFIXES = ((".vcf", "vcf"), (".vcf.gz", "vcf"), (".vcf.bgz", "vcf"), (".ped", "ped_map"), (".map", "ped_map"), (".bed", "plink_bed"), (".bim", "plink_bed"), (".fam", "plink_bed"), (".haps", "haps"), (".haps.gz", "haps"), (".gen", "gen"), (".gen.gz", "gen"), (".parquet", "parquet"), (".bgen", "bgen"), ("GenotypeMatrix.dat", "dosage_folder"))
 
 
 def sniff(path: str) -> str:
@@ -38,8 +38,8 @@ def read_genotypes(spark: SparkSession, path: str, kind: str | None = None) -> D
         return oxford.read_haps(spark, path)
     if kind == "bgen":
         return bgen.read(spark, path)
-    if kind == "trityper":
-        return trityper.read(spark, path.removesuffix("/GenotypeMatrix.dat"))
+    if kind == "dosage_folder":
+        return dosage_folder.read(spark, path.removesuffix("/GenotypeMatrix.dat"))
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(kind)
@@ -75,8 +75,8 @@ def write_genotypes(variants: DataFrame, path: str, kind: str | None = None, sam
         plink.write_bed(variants, path, samples or _numbered(variants))
     elif kind == "bgen":
         bgen.write(variants, path, samples or _numbered(variants))
-    elif kind == "trityper":
-        trityper.write(variants, path, samples or _numbered(variants))
+    elif kind == "dosage_folder":
+        dosage_folder.write(variants, path, samples or _numbered(variants))
     elif kind == "parquet":
         store(variants, path)
     elif kind == "ped_map":
@@ -85,4 +85,4 @@ def write_genotypes(variants: DataFrame, path: str, kind: str | None = None, sam
         raise ValueError(kind)
 
 
-__all__ = ["annotation", "bgen", "matrices", "oxford", "plink", "read_genotypes", "sniff", "trityper", "vcf", "write_genotypes"]
+__all__ = ["annotation", "bgen", "dosage_folder", "matrices", "oxford", "plink", "read_genotypes", "sniff", "vcf", "write_genotypes"]

@@ -1,4 +1,4 @@
-"""TriTyper folders: allele and dosage matrices of fixed width, with lists of variants and individuals.
+"""Folders of allele and dosage matrices of fixed width, with lists of variants and individuals.
 
 The matrices are read by records of fixed length, so a large file is split between tasks."""
 
@@ -75,7 +75,7 @@ def read(spark: SparkSession, folder: str, only_included: bool = True) -> DataFr
 
 
 def write(variants: DataFrame, folder: str, samples: list[str]) -> list[str]:
-    """Folders folder/part-xxxxx, each a TriTyper folder of its variants, with one-base alleles, and all samples."""
+    """Folders folder/part-xxxxx, each a folder of this format with its variants, with one-base alleles, and all samples."""
 
     def put(stem: str, rows: list[dict]) -> None:
         os.makedirs(stem)

@@ -115,20 +115,20 @@ def test_bed_filesets_round_trip(spark, tmp_path):
     assert {(r.chrom, r.pos): (r.id, r.ref, r.alt, r.dosages) for r in got} == {r[:2]: tuple(r[2:]) for r in rows}
 
 
-def test_trityper_round_trip(spark, tmp_path):
+def test_dosage_folder_round_trip(spark, tmp_path):
     v, rows = panel(spark)
-    folders = sources.trityper.write(v, str(tmp_path / "tt"), ["a", "b", "c", "d"])
-    got = [r for f in folders for r in sources.trityper.read(spark, f).collect()]
+    folders = sources.dosage_folder.write(v, str(tmp_path / "tt"), ["a", "b", "c", "d"])
+    got = [r for f in folders for r in sources.dosage_folder.read(spark, f).collect()]
     assert len(got) == 4
     for r in got:
         want = next(x for x in rows if x[:2] == (r.chrom, r.pos))
         assert (r.ref, r.alt) == tuple(sorted(want[3:5]))
         assert r.dosages == [x if x is None or (r.ref == want[3]) else 2 - x for x in want[5]]
-    samples = sources.trityper.read_samples(spark, folders[0]).orderBy("index").collect()
+    samples = sources.dosage_folder.read_samples(spark, folders[0]).orderBy("index").collect()
     assert [r.sample for r in samples] == ["a", "b", "c", "d"] and all(r.included for r in samples)
     with open(f"{folders[0]}/PhenotypeInformation.txt", "w") as f:
         f.write("a\tunknown\texclude\tunknown\n")
-    assert {len(r.dosages) for r in sources.trityper.read(spark, folders[0]).collect()} == {3}
+    assert {len(r.dosages) for r in sources.dosage_folder.read(spark, folders[0]).collect()} == {3}
 
 
 def test_bgen_round_trip_and_region(spark, tmp_path):
