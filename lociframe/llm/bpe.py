@@ -254,7 +254,7 @@ def _decode(keep_ids: bool, keep_text: bool):
                 tokens, sizes = cols["tokens"][i].values, cols["sizes"][i].values.to_numpy()
                 place = pa.array(np.searchsorted(table[0], tokens.to_numpy()))
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-                text, decimals = (pc.binary_join(pa.LargeListArray.from_arrays(ends, x.take(place)), " ") for x in table[1:])
+                text, decimals = (pc.binary_join(pa.LargeListArray.from_arrays(ends, x.take(place)), pa.scalar(" ", pa.large_string())) for x in table[1:])
                 sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
                 out = {"id": pa.array(cols["docs"][i].as_py(), pa.int64()), "n_tokens": pa.array(sizes.astype(np.int64)), "ids_sha256": sha(decimals), "decoded_sha256": sha(text)}
                 if keep_ids:
