@@ -5,7 +5,7 @@ refresh redirects), counted, and kinship: a host and its parent domain, as m.sit
 and site.example, lead to each other with KIN. Personalised PageRank spreads trust from hosts
 with allowed pages along edges, and distrust from hosts with blocked pages against them
 (who links to a blocked host is suspect). Ranks restart at the seeds, as does what hosts
-without a way out hold; rounds go on until a round moves less than TOLERANCE of all. Pages that
+without a way out hold; rounds go on until ROUNDS of them move less than TOLERANCE of all. Pages that
 no rule decides get the verdict of their host: block if distrust is more than
 `threshold` of the host's trust and distrust together; an even tie, and a host
 that neither reaches, is allowed.
@@ -50,6 +50,7 @@ RULES = (
 )
 DAMPING = 0.75
 TOLERANCE = 1e-3
+ROUNDS = 4
 KIN = 1.0
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,22 +95,24 @@ def kin_edges(hosts: DataFrame, weight: float = KIN) -> DataFrame:
 
 def personalised_ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, rank) of every host that a kind's seeds(kind, host, weight) reach over its
-    edges(kind, src, dst, weight). Ranks of a kind sum to 1, begin and restart at its seeds."""
+    edges(kind, src, dst, weight). Ranks of a kind sum to 1, begin and restart at its seeds.
+
+    What hosts without a way out hold restarts as well; as all restarts are at the seeds, that only scales
+    the ranks, so they are iterated without it and scaled at the end. ROUNDS rounds are one plan."""
     start = materialize(_shares(seeds, "kind").select("kind", "host", F.col("share").alias("seed")), "start")
     steps = materialize(_shares(edges, "kind", "src").select("kind", "src", "dst", "share"), "steps")
     rank = start.select("kind", "host", F.col("seed").alias("rank"))
     change = 1.0 if not steps.isEmpty() else 0.0
-    while change > tolerance:  # each round's change is at most damping times that of the round before
-        sent = steps.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-        moved = materialize(sent.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "moved")
-        kept = {r["kind"]: r["s"] for r in moved.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}  # a row a kind
-        rest = F.lit(1.0) - sum((F.when(F.col("kind") == k, F.lit(s)).otherwise(0.0) for k, s in kept.items()), F.lit(0.0))
-        after = moved.unionByName(start.select("kind", "host", (F.col("seed") * rest).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+    while change > tolerance:
+        after = rank
+        for _ in range(ROUNDS):
+            moved = steps.join(after.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
+            after = moved.unionByName(start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         both = after.withColumn("d", F.col("rank")).unionByName(rank.select("kind", "host", F.lit(0.0).alias("rank"), (-F.col("rank")).alias("d")))
         both = materialize(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.abs(F.sum("d")).alias("d")), "ranks")
-        change = max(r["s"] for r in both.groupBy("kind").agg(F.sum("d").alias("s")).collect())
+        change = both.groupBy("kind").agg((F.sum("d") / F.sum("rank")).alias("s")).agg(F.max("s")).first()[0] or 0.0
         rank = both.drop("d")
-    return rank
+    return rank.join(rank.groupBy("kind").agg(F.sum("rank").alias("all")), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
 
 
 def _shares(rows: DataFrame, *keys: str) -> DataFrame:
