@@ -92,14 +92,22 @@ def _reach(spans: DataFrame, on: list[str], start: str, stop: str, order: list[C
 
 
 def merge_spans(spans: DataFrame, on: list[str], start: str, stop: str, gap: int = 0, width: int = BLOCK) -> DataFrame:
-    """(keys, start, stop, n): spans joined where they overlap, or are up to gap apart; in blocks of width positions."""
-    order = [F.col(start), F.col(stop)]
-    marked = _reach(spans.select(*on, start, stop), on, start, stop, order, width)
-    marked = marked.withColumn("__new", (F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + gap)).cast("int"))
-    marked = carried(marked, on, "__block", {"__news": F.sum("__new")}, {"__base": F.sum("__news")})
-    w = Window.partitionBy(*on, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("__island", F.sum("__new").over(w) + F.coalesce("__base", F.lit(0)))
-    return marked.groupBy(*on, "__island").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n")).drop("__island")
+    """(keys, start, stop, n): spans joined where they overlap, or are up to gap apart.
+
+    Spans become islands inside blocks of width positions; only one row a block is carried on, and islands that
+    a span of an earlier block reaches join the last island before. Of equal spans the one that opens an island comes first."""
+    w = Window.partitionBy(*on, "__block")
+    s = spans.select(*on, start, stop).withColumn("__block", _bin(F.col(start), width))
+    reach = F.max(stop).over(w.orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("__new", F.when(F.col(start) <= reach + gap, 0).otherwise(1))
+    s = s.withColumn("__island", F.sum("__new").over(w.orderBy(start, stop, F.desc("__new")).rowsBetween(Window.unboundedPreceding, 0)))
+    islands = s.groupBy(*on, "__block", "__island").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n"))
+    before = Window.partitionBy(*on).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = islands.groupBy(*on, "__block").agg(F.max(stop).alias("__most"), F.max(start).alias("__last")).withColumn("__reach", F.max("__most").over(before))
+    blocks = blocks.withColumn("__own", F.when(F.col("__last") <= F.col("__reach") + gap, None).otherwise(F.col("__last"))).withColumn("__open", F.max("__own").over(before))
+    j = islands.join(blocks.select(*on, "__block", "__reach", "__open"), [*on, "__block"])
+    founder = F.when(F.col(start) <= F.col("__reach") + gap, F.col("__open")).otherwise(F.col(start))
+    return j.groupBy(*on, founder.alias("__founder")).agg(F.min(start).alias(start), F.max(stop).alias(stop), F.sum("n").alias("n")).drop("__founder")
 
 
 def drop_contained(spans: DataFrame, on: list[str], start: str, stop: str, width: int = BLOCK) -> DataFrame:

@@ -99,8 +99,10 @@ def dosage_agreement(first: DataFrame, second: DataFrame, variant: str, sample:
     a = first.select(variant, sample, F.col(dosage).cast("double").alias("x"))
     b = second.select(variant, sample, F.col(dosage).cast("double").alias("y"))
     j = a.join(b, [variant, sample]).where("x is not null and y is not null")
-    same = j.groupBy(variant).agg(F.avg((F.round("x") == F.round("y")).cast("double")).alias("same"))
-    return correlate(j, [variant], "x", "y").select(variant, "n", (F.col("r") ** 2).alias("r2")).join(same, variant)
+    n, sx, sy = F.count("*"), F.sum("x"), F.sum("y")
+    vx, vy, cov = n * F.sum(F.col("x") * F.col("x")) - sx * sx, n * F.sum(F.col("y") * F.col("y")) - sy * sy, n * F.sum(F.col("x") * F.col("y")) - sx * sy
+    r2 = F.when((vx > 0) & (vy > 0), cov * cov / (vx * vy))  # one quotient of sums: exact sums where dosages are whole
+    return j.groupBy(variant).agg(n.alias("n"), r2.alias("r2"), F.avg((F.round("x") == F.round("y")).cast("double")).alias("same"))
 
 
 def z_ld(pairs: DataFrame, results: DataFrame, variant: str, feature: str, z: str, least: int = 3) -> DataFrame:

@@ -100,11 +100,11 @@ def imputation_presence(v):
 
 
 @query("imputation_agreement", ("genotypes",), """, a as (select variant, sample, min(dosage) as x from genotypes where dosage is not null and line <= 3 group by 1, 2), b as (select variant, sample, max(dosage) as y from genotypes where dosage is not null group by 1, 2)
- select a.variant, count(*) as n, round(case when min(x) < max(x) and min(y) < max(y) then pow(corr(x, y), 2) end, 5) as r2, round(avg(case when x = y then 1e0 else 0 end), 6) as same from a join b on a.variant = b.variant and a.sample = b.sample group by a.variant""")
+ select a.variant, count(*) as n, round(case when min(x) < max(x) and min(y) < max(y) then pow(1e0 * count(*) * sum(x * y) - 1e0 * sum(x) * sum(y), 2) / ((1e0 * count(*) * sum(x * x) - 1e0 * sum(x) * sum(x)) * (1e0 * count(*) * sum(y * y) - 1e0 * sum(y) * sum(y))) end, 6) as r2, round(avg(case when x = y then 1e0 else 0 end), 6) as same from a join b on a.variant = b.variant and a.sample = b.sample group by a.variant""")
 def imputation_agreement(v):
     g = v.genotypes.where("dosage is not null")
     a, b = g.where("line <= 3").groupBy("variant", "sample").agg(F.min("dosage").alias("d")), g.groupBy("variant", "sample").agg(F.max("dosage").alias("d"))
-    return screens.dosage_agreement(a, b, "variant", "sample", "d").select("variant", "n", r("r2", 5), r("same"))
+    return screens.dosage_agreement(a, b, "variant", "sample", "d").select("variant", "n", r("r2"), r("same"))
 
 
 @query("dosage_matrix", ("genotypes",), ", c as (select variant, sample, min(dosage) as dosage from genotypes where dosage is not null group by 1, 2) select variant, list(sample order by sample) as samples, list(dosage order by sample) as dosages from c group by variant")

@@ -283,3 +283,22 @@ def test_ordered_blocks_equal_one_pass(spark):
     right = spark.createDataFrame([("a", p, p * 10) for p in range(0, 600, 97)], "k string, at long, x long")
     asof = lambda w: sorted((r.v, str(r.x)) for r in intervals.as_of_join(points, right, ["k"], "pos", "at", ["x"], width=w).collect())
     assert asof(8) == asof(10_000)
+
+
+def test_merged_spans_do_not_depend_on_the_order_of_equal_ones(spark):
+    import random
+
+    rng = random.Random(5)
+    spans = [("x", a, a + rng.choice([0, 3, 90]), i % 2) for i, a in enumerate(rng.choices(range(0, 900, 30), k=300))] + [("x", 120, 700, 1), ("x", 120, 700, 0)] * 4 + [("y", 5, 5, 0)] * 9
+    for gap in (0, 4):
+        want = []
+        for c, a, b, _ in sorted(spans):
+            if want and want[-1][0] == c and a <= want[-1][2] + gap:
+                want[-1] = (c, want[-1][1], max(b, want[-1][2]), want[-1][3] + 1)
+            else:
+                want.append((c, a, b, 1))
+        for parts in (1, 3, 8):
+            rng.shuffle(spans)
+            s = spark.createDataFrame(spans, "c string, s int, e int, tag int").repartition(parts)
+            for width in (1 << 20, 50):
+                assert rows(intervals.merge_spans(s, ["c"], "s", "e", gap, width)) == want
