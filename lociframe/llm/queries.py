@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .merkle import manifest_sql
 from .shared import table
 
 
@@ -67,6 +68,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import tamper_check
+
+    return tamper_check(table(spark, sf_dir, "documents"))
+
+
+def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import fresh_path
+    from .warc import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_secrets": op2_secrets,
@@ -78,6 +98,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_warc_bundles": op12_warc_bundles,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 
@@ -127,5 +150,10 @@ _CONTAINMENT_SQL = (
     + ", p as (select doc_id, item_id, count(*) as n_shared from d_s join i_s on d_s.s = i_s.s group by 1, 2) select doc_id, p.item_id, n as n_item, n_shared, n_shared * 1e0 / n as containment from p join i_n on p.item_id = i_n.item_id where 100 * n_shared >= 80 * n"
 )
 
+_ARCHIVE_SQL = (
+    "with p as (select page_id, encode(coalesce(html, '')) as x from pages), q as (select page_id, octet_length(x) as k, sha256(x) as d from p), f as (select *, case when k >= 100 then min(page_id) over (partition by d) end as first from q)"
+    " select page_id, cast(k as bigint) as payload_bytes, d as payload_digest, case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to, 'urn:x-record:' || page_id || ':' || d[1:32] as record_id from f"
+)
+
 #: The others rank, train, tokenise or encode; tests compare them with brute force.
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": _JACCARD_SQL, "op2_secrets": _secrets_sql(), "op10_decontamination": _CONTAINMENT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": _JACCARD_SQL, "op2_secrets": _secrets_sql(), "op10_decontamination": _CONTAINMENT_SQL, "op11_merkle_manifest": manifest_sql(), "op12_warc_bundles": _ARCHIVE_SQL}

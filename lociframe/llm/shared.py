@@ -22,13 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage like checkpoint(), but stays columnar and compressed, and the
     files outlive any executor. As with checkpoint(), the folder is for its owner to empty."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,3 +58,20 @@ def with_labels(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str,
     that no text is moved; more are joined by shuffling. Of several labels of an id the least counts."""
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias(out)).where(F.col(out).isin(0, 1)).groupBy(id_col).agg(F.min(out).alias(out))
     return docs.join(F.broadcast(known) if labels.count() <= BROADCAST_ROWS else known, id_col)
+
+
+#: Rows of one key that go into one group of a join, about.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, most: int = BROADCAST_ROWS // 10) -> DataFrame:
+    """rows with the columns of values, one row a key, of their key; null without one. Few values, counted, are broadcast, so
+    that no row is moved; else keys of more than HOT rows are split into parts of about that many."""
+    values = materialize(values, "values")
+    if values.count() <= most:
+        return rows.join(F.broadcast(values), key, "left")
+    hot = materialize(rows.groupBy(key).count().where(F.col("count") > HOT).select(key, F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot")  # a key in HOT at most
+    parts = F.coalesce("parts", F.lit(1))
+    salted = rows.join(hot, key, "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("parts")
+    spread = values.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return salted.join(spread, [key, "part"], "left").drop("part")
