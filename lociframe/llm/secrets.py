@@ -1,10 +1,11 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its content (its blob).
-The ledger, a Parquet folder, lists the (blob, rule version) pairs that were scanned, with what was
-found. A scan reads only the pairs that the ledger lacks, each blob once however
-many paths hold it, appends them, and findings are joined back to all paths and versions. A blob
-that very many paths hold is split for that join (HOT).
+The ledger, a Parquet folder, has for each blob what each rule version that scanned it has found. A scan
+reads only the (blob, rule version) pairs that the ledger lacks, each blob once however
+many paths hold it, and writes them as an increment of its own name, which a second try replaces. Findings are
+taken from the ledger by exact rule version, a pair once even if several increments have it, and
+joined back to all paths and versions. A blob that very many paths hold is split for that join (HOT).
 
 A null text is the empty text, and stays null in redacted rows. Empty texts, repeated rows, null ids and empty tables need no
 care: they are blobs (or none) like others. Matches of a kind are leftmost and do
@@ -16,10 +17,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, materialize, shared_folder
+from .shared import BROADCAST_ROWS, fresh_path, materialize
 
 
 @dataclass(frozen=True)
@@ -59,69 +60,78 @@ HOT = 1000
 #: Increments in which scan takes the versions.
 INCREMENTS = 2
 
-FINDING = "struct<start:int,rank:int,end:int,kind:string>"
+PLACES = "array<struct<start:int,end:int>>"
+LEDGER = f"blob string, scans array<struct<rule:string,spans:{PLACES}>>, increment string"
+#: Bytes of findings that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Array of findings of one rule. The pieces between matches and the matches, both in
+def _spans(text: Column, rule: Rule) -> Column:
+    """Array of places of one rule. The pieces between matches and the matches, both in
     order, give each match its place; only texts with a match pay for that."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     part = F.regexp_extract_all(text, pattern, F.lit(rule.part)) if rule.part else whole
     gaps = F.split(text, rule.pattern, -1)
     steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(part, F.length).alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FINDING}>").alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.coalesce(x["len"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
+        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.coalesce(x["part"], F.lit(-1)) >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
     found = F.aggregate(steps, start, step, lambda acc: acc["found"])
     may = text.rlike(rule.pattern)
-    return F.when(F.contains(text, F.lit(rule.hint)) & may if rule.hint else may, found).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return F.when(F.contains(text, F.lit(rule.hint)) & may if rule.hint else may, found).otherwise(F.array().cast(PLACES))
 
 
 def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, rules string, spans array<{FINDING}>")
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at path (blob, scans(rule, spans), increment); a new one is begun there if there is none."""
+    spark.createDataFrame([], LEDGER).drop("increment").write.mode("ignore").parquet(f"{path}/increment=start")
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def scan_increment(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The ledger rows (blob, rules, spans) that versions adds: one row per blob that the ledger
-    lacks at all or lacks under some of these rule versions, scanned for those alone.
-
-    rules names what was scanned, comma-joined kind@version. Appending the result to the
-    ledger makes the next scan skip these pairs."""
+    """The ledger rows (blob, scans) that versions adds: one row per blob that the ledger
+    lacks at all or lacks under some of these rule versions, scanned for those alone."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     blobs = versions.select(text.alias("txt")).select(F.sha2("txt", 256).alias("blob"), "txt").groupBy("blob").agg(F.first("txt").alias("txt"))
+    one = lambda r: F.struct(F.lit(r.key).alias("rule"), _spans(F.col("txt"), r).alias("spans"))
     if ledger is None:
-        every = [_spans(F.col("txt"), r, i) for i, r in enumerate(rules)]
-        return blobs.select("blob", F.lit(",".join(r.key for r in rules)).alias("rules"), F.sort_array(F.concat(*every)).alias("spans"))
-    done = ledger.select("blob", F.explode(F.split("rules", ",")).alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+        return blobs.select("blob", F.array(*map(one, rules)).alias("scans"))
+    done = ledger.select("blob", F.explode("scans.rule").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
     todo = blobs.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-    todo = todo.withColumn("todo", F.array_except(F.array(*(F.lit(r.key) for r in rules)), "done")).where(F.size("todo") > 0)
-    every = [F.when(F.array_contains("todo", r.key), _spans(F.col("txt"), r, i)).otherwise(F.array().cast(f"array<{FINDING}>")) for i, r in enumerate(rules)]
-    return todo.select("blob", F.array_join("todo", ",").alias("rules"), F.sort_array(F.concat(*every)).alias("spans"))
+    todo = todo.where(F.size(F.array_except(F.array(*(F.lit(r.key) for r in rules)), "done")) > 0)
+    every = F.array(*(F.when(~F.array_contains("done", r.key), one(r)) for r in rules))
+    return todo.select("blob", F.filter(every, lambda x: x.isNotNull()).alias("scans"))
 
 
-def update_ledger(versions: DataFrame, path: str, started: bool, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """Scan what the ledger at path lacks of versions, append it, and return the ledger. started: a ledger is there."""
-    spark = versions.sparkSession
-    known = spark.read.parquet(path) if started else None
-    scan_increment(versions, known, rules, text_col).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+def update_ledger(versions: DataFrame, path: str, increment: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Scan what the ledger at path lacks of versions, write it as this increment, and return the ledger. An increment of
+    the same name is replaced, so a scan that broke off can be repeated."""
+    others = open_ledger(versions.sparkSession, path).where(F.col("increment") != increment)
+    scan_increment(versions, others, rules, text_col).write.mode("overwrite").parquet(f"{path}/increment={increment}")
+    return open_ledger(versions.sparkSession, path)
 
 
 def _known(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, spans): what the ledger has under these rule versions, sorted."""
-    known = ledger.where(F.arrays_overlap(F.split("rules", ","), F.array(*(F.lit(r.key) for r in rules)))).select("blob", "spans")
-    known = known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return known.select("blob", F.filter("spans", lambda x: x["kind"].isin(*(r.kind for r in rules))).alias("spans"))
+    """(blob, spans(start, rank, end, kind)): what the ledger has under exactly these rule versions, sorted; a pair that several
+    increments have counts once."""
+    keys, kinds = F.array(*(F.lit(r.key) for r in rules)), F.array(*(F.lit(r.kind) for r in rules))
+    own = ledger.select("blob", F.filter("scans", lambda s: F.array_contains(keys, s["rule"])).alias("scans")).where(F.size("scans") > 0)
+    own = own.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("scans"))).alias("scans"))
+
+    def placed(s: Column) -> Column:
+        rank = F.array_position(keys, s["rule"]).cast("int") - 1
+        return F.transform(s["spans"], lambda x: F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end"), F.get(kinds, rank).alias("kind")))
+
+    return own.select("blob", F.array_sort(F.flatten(F.transform("scans", placed))).alias("spans"))
 
 
 def _to_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
@@ -147,28 +157,37 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _in_increments(versions: DataFrame, by: str, path: str | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """The ledger at path (or a new folder of the shared one) after versions, taken as INCREMENTS parts by a hash of a column."""
+    path = path or fresh_path(versions.sparkSession, "ledger")
+    run = uuid.uuid4().hex
+    for i in range(INCREMENTS):
+        ledger = update_ledger(versions.where(F.pmod(F.xxhash64(by), F.lit(INCREMENTS)) == i), path, f"{run}-{i}", rules)
+    return ledger
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs. The rows come as
     INCREMENTS parts, by a hash of the id; each scans what the ledger (at path, or a new folder of the shared
     one) lacks, and the findings of the whole ledger are joined back to all rows."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    path, started = (path, True) if path else (f"{shared_folder(docs.sparkSession)}/ledger-{uuid.uuid4().hex}", False)
-    for i in range(INCREMENTS):
-        ledger = update_ledger(own.where(F.pmod(F.xxhash64("id"), F.lit(INCREMENTS)) == i), path, started, rules)
-        started = True
+    ledger = _in_increments(own, "id", path, rules)
     found = _to_paths(own.select("id", blob_of(F.col("text")).alias("blob")), _known(ledger, rules))
     base = F.filter("spans", lambda x: x["kind"].isin(*(r.kind for r in BASE_RULES)))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(F.col("id").alias(id_col), *(count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
     """docs with every finding in its text replaced by mark; overlapping findings are one.
-    A null text stays null. Few blobs with findings, counted, are broadcast, so that no text is moved
-    for them; more are joined by shuffling."""
-    known = materialize(scan_increment(docs.select(F.col(text_col).cast("string").alias("text")), None, rules).where(F.size("spans") > 0).select("blob", "spans"), "found-blobs")
+    A null text stays null. The ledger (at path, or a new folder of the shared one) tells the findings. Blobs with findings are
+    broadcast if they are of few bytes, so that no text is moved for them; more are joined by shuffling."""
+    path = path or fresh_path(docs.sparkSession, "ledger")
+    ledger = update_ledger(docs.select(F.col(text_col).cast("string").alias("text")), path, uuid.uuid4().hex, rules)
+    known = materialize(_known(ledger, rules).where(F.size("spans") > 0), "found-blobs")
     rows = docs.select(blob_of(F.col(text_col).cast("string")).alias("blob"), F.struct(*docs.columns).alias("own"))
-    found = rows.join(F.broadcast(known), "blob", "left") if known.count() <= BROADCAST_ROWS // 10 else _to_paths(rows, known)
+    size = known.agg(F.sum(200 + 60 * F.size("spans"))).first()[0] or 0
+    found = rows.join(F.broadcast(known), "blob", "left") if size <= BROADCAST_BYTES else _to_paths(rows, known)
     text = F.col("own")[text_col]
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

@@ -42,33 +42,66 @@ def test_base_spans(spark):
     assert "jwt:" in kinds and "private_key:" in kinds and "forge_token:" in kinds
 
 
+def scanned(ledger):
+    """Each (blob, rule) of ledger rows, as often as it was scanned."""
+    return sorted((r.blob, s.rule) for r in ledger.select("blob", "scans").collect() for s in r.scans)
+
+
 def test_ledger_is_incremental(spark):
     first = spark.createDataFrame([("a", 1, TEXTS[3]), ("b", 1, TEXTS[3]), ("c", 1, "plain")], "path string, version int, text string")
-    ledger = secrets.scan_increment(first, secrets.empty_ledger(spark), secrets.BASE_RULES)
+    ledger = secrets.scan_increment(first, spark.createDataFrame([], secrets.LEDGER).drop("increment"), secrets.BASE_RULES)
     assert ledger.count() == 2
     later = first.unionByName(spark.createDataFrame([("a", 2, TEXTS[5])], "path string, version int, text string"))
     added = secrets.scan_increment(later, ledger, secrets.BASE_RULES)
     assert added.count() == 1  # only the unseen blob
     more = secrets.scan_increment(later, ledger.unionByName(added), secrets.RULES)
-    assert {r.rules for r in more.collect()} == {",".join(r.key for r in secrets.MORE_RULES)}  # only the unseen rules
+    assert {rule for _, rule in scanned(more)} == {r.key for r in secrets.MORE_RULES}  # only the unseen rules
     full = secrets.findings(later, ledger.unionByName(added).unionByName(more)).collect()
     assert len(full) == 4
     for r in full:
         assert [(s["start"], s["end"], s["kind"]) for s in r.spans if s["rank"] < 3] == [(s, e, k) for s, _, e, k in base(r.text)]
 
 
+def test_a_new_rule_version_replaces_the_old(spark, tmp_path):
+    """Another version is another pair: it is scanned anew, and what only the old one found is not reported."""
+    wide = secrets.Rule("assign", r"[a-z]+=[a-z0-9]+", version="1")
+    narrow = secrets.Rule("assign", r"key=[a-z0-9]+", version="2")
+    other = secrets.Rule("hex", r"[0-9a-f]{16,}")
+    df = spark.createDataFrame([(1, "key=abc name=0123456789abcdef0"), (2, "name=x"), (3, None)], "doc_id long, text string")
+    path = f"file://{tmp_path}/ledger"
+    spans = lambda rules: {r.doc_id: r.spans for r in secrets.scan(df, rules=rules, path=path).collect()}
+    assert spans((wide, other)) == {1: "assign:0:7,assign:8:30,hex:13:30", 2: "assign:0:6", 3: ""}
+    assert spans((narrow, other)) == {1: "assign:0:7,hex:13:30", 2: "", 3: ""}
+    assert spans((other, wide)) == {1: "assign:0:7,assign:8:30,hex:13:30", 2: "assign:0:6", 3: ""}  # both versions are still known
+    assert sorted({rule for _, rule in scanned(secrets.open_ledger(spark, path))}) == ["assign@1", "assign@2", "hex@1"]
+    assert len(scanned(secrets.open_ledger(spark, path))) == 9  # three blobs under three rule versions, each pair once
+
+
+def test_repeated_increments_count_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    path = f"file://{tmp_path}/ledger"
+    secrets.update_ledger(df, path, "a")
+    once = scanned(secrets.open_ledger(spark, path))
+    secrets.update_ledger(df, path, "a")  # a scan that is tried again replaces its increment
+    assert scanned(secrets.open_ledger(spark, path)) == once
+    secrets.open_ledger(spark, path).where("increment = 'a'").drop("increment").write.parquet(f"{path}/increment=b")  # two scans at once
+    assert len(scanned(secrets.open_ledger(spark, path))) == 2 * len(once)
+    assert sorted(map(str, secrets.scan(df, path=path).collect())) == sorted(map(str, secrets.scan(df).collect()))
+
+
 def test_scan_takes_only_what_the_ledger_lacks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(secrets, "HOT", 3)
     rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(40)] + [(None, TEXTS[3])] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    path = f"file://{tmp_path}/ledger"
-    secrets.empty_ledger(spark).write.parquet(path)
+    path = f"file://{tmp_path}/new/ledger"  # begun where there is none
     got = secrets.scan(df, path=path).collect()
-    ledger = spark.read.parquet(path)
+    ledger = secrets.open_ledger(spark, path)
     assert ledger.count() == ledger.select("blob").distinct().count() == len({t or "" for t in TEXTS})  # the second part scanned no blob of the first
     assert sorted(map(str, got)) == sorted(map(str, secrets.scan(df).collect())) and len(got) == len(rows)
     secrets.scan(df.unionByName(spark.createDataFrame([(99, "new")], df.schema)), path=path).collect()
-    assert spark.read.parquet(path).count() == len({t or "" for t in TEXTS}) + 1
+    assert secrets.open_ledger(spark, path).count() == len({t or "" for t in TEXTS}) + 1
+    secrets.redact(df, path=path).collect()
+    assert secrets.open_ledger(spark, path).count() == len({t or "" for t in TEXTS}) + 1  # redaction scans nothing that is known
 
 
 def test_redact(spark):
