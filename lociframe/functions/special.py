@@ -28,6 +28,30 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 _lgamma = log_gamma
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of log_gamma, for positive numbers: the asymptotic series, after small ones are raised."""
+    x = np.asarray(x, float)
+    out = np.zeros_like(x)
+    for _ in range(10):
+        low = x < 10
+        out = np.where(low, out - 1 / x, out)
+        x = np.where(low, x + 1, x)
+    s = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
+
+
+def trigamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of digamma."""
+    x = np.asarray(x, float)
+    out = np.zeros_like(x)
+    for _ in range(10):
+        low = x < 10
+        out = np.where(low, out + 1 / (x * x), out)
+        x = np.where(low, x + 1, x)
+    s = 1 / (x * x)
+    return out + (1 + 0.5 / x + s * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s * (1 / 30 - s * 5 / 66))))) / x
+
+
 def ln_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
     return _lgamma(n + 1.0) - _lgamma(k + 1.0) - _lgamma(n - k + 1.0)
 

@@ -10,7 +10,7 @@ import pytest
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-from lociframe.plans import catalog_correlated, catalog_screens, oracles  # noqa: E402, F401
+from lociframe.plans import catalog_correlated, catalog_models, catalog_screens, oracles  # noqa: E402, F401
 from lociframe.plans.catalog import QUERIES, SQL  # noqa: E402
 
 
@@ -62,8 +62,69 @@ def plain_beta(spark, got):
         assert r.p == pytest.approx(least[r.gene][0], abs=1e-7) and r.adjusted == pytest.approx(cdf, rel=0.02, abs=1e-6)
 
 
+def reads_by(spark, key):
+    """(ref, alt, proportion, sample) of each key, as arrays."""
+    con = duckdb.connect()
+    rows = con.sql(f"select {key} as key, cast(l_quantity as int) as k, (cast(l_quantity as int) * 7 + l_linenumber * 5) % 43 as m, (s_acctbal + 1000e0) / 11000e0 as c, l_suppkey as sample from '{SF}/lineitem.parquet' join '{SF}/supplier.parquet' on l_suppkey = s_suppkey").df()
+    return {k: g for k, g in rows[rows.k + rows.m > 0].groupby("key")}
+
+
+def plain_terms(q, k, m, s):
+    """The logarithm of one ordering's probability under a beta-binomial; s is infinite for a binomial."""
+    lg = np.vectorize(math.lgamma)
+    if not np.isfinite(s).all():
+        return k * np.log(q) + m * np.log1p(-q)
+    return lg(k + q * s) + lg(m + (1 - q) * s) - lg(k + m + s) - lg(q * s) - lg((1 - q) * s) + lg(s)
+
+
+def plain_dispersion(spark, got):
+    own = reads_by(spark, "l_suppkey")
+    assert len(got) == len(own)
+    for r in got:
+        k, m = own[r.sample].k.to_numpy(float), own[r.sample].m.to_numpy(float)
+        ll = lambda sigma: plain_terms(0.5, k, m, np.full(len(k), 1 / sigma**2 - 1)).sum()
+        assert r.settled and r.log_likelihood == pytest.approx(ll(r.sigma), abs=1e-5) and all(r.log_likelihood >= ll(s) - 1e-7 for s in np.linspace(0.02, 0.98, 25))
+
+
+def plain_allelic(spread):
+    def check(spark, got):
+        own = reads_by(spark, "l_partkey")
+        assert len(got) == len(own)
+        spreads = {r.sample: 1 / r.sigma**2 - 1 for r in QUERIES["sample_dispersion"](spark, SF).collect()} if spread else {}
+        grid = [(a, b) for a in np.linspace(0.05, 0.95, 7) for b in np.linspace(0.05, 0.95, 7)]
+        for r in got:
+            g = own[r.variant]
+            k, m, c = g.k.to_numpy(float), g.m.to_numpy(float), g.c.to_numpy(float)
+            s = np.array([spreads.get(x, np.inf) for x in g["sample"]])
+            ll = lambda q: plain_terms(np.clip(q, 1e-6, 1 - 1e-6), k, m, s).sum()
+            assert r.settled and r.n == len(k) and r.null_ll == pytest.approx(ll(np.full(len(k), r.ratio)), abs=1e-4)
+            assert all(r.null_ll >= ll(np.full(len(k), q)) - 1e-6 for q in np.linspace(0.05, 0.95, 10))
+            if c.min() == c.max():
+                assert r.slope is None
+                continue
+            assert r.alt_ll == pytest.approx(ll(r.base + r.slope * c), abs=1e-4) and r.chi2 == pytest.approx(max(0, 2 * (r.alt_ll - r.null_ll)), abs=1e-6)
+            if r.variant % 5 == 0:
+                u = (c - c.min()) / (c.max() - c.min())
+                assert all(r.alt_ll >= ll(a + (b - a) * u) - 1e-6 for a, b in grid)
+
+    return check
+
+
+def plain_overdispersed(spark, got):
+    own = reads_by(spark, "l_partkey")
+    assert len(got) == len(own)
+    lg = np.vectorize(math.lgamma)
+    for r in got:
+        k, m = own[r.variant].k.to_numpy(float), own[r.variant].m.to_numpy(float)
+        ways = (lg(k + m + 1) - lg(k + 1) - lg(m + 1)).sum()
+        ll = lambda q, t: ways + plain_terms(q, k, m, np.full(len(k), t)).sum()
+        assert r.settled and r.log_likelihood == pytest.approx(ll(r.ratio, r.theta), abs=1e-4) and r.null_ll == pytest.approx(ll(0.5, r.theta), abs=1e-4)
+        if r.variant % 5 == 0:
+            assert all(r.log_likelihood >= ll(q, t) - 1e-6 for q in np.linspace(0.1, 0.9, 9) for t in np.exp(np.linspace(-1, 5, 7)))
+
+
 #: Queries that SQL cannot say, with what tests them.
-PLAIN = {"principal_components": plain_components, "remove_components": plain_residuals, "top_with_beta": plain_beta, "beta_adjusted_p": plain_beta}
+PLAIN = {"sample_dispersion": plain_dispersion, "cell_type_allelic": plain_allelic(True), "cell_type_binomial": plain_allelic(False), "beta_binomial_maximum": plain_overdispersed, "principal_components": plain_components, "remove_components": plain_residuals, "top_with_beta": plain_beta, "beta_adjusted_p": plain_beta}
 #: Queries whose operators have tests of their own against plain computations.
 ELSEWHERE = {"gene_scores_ld": "test_gene_p_with_ld", "deconvolve_cells": "test_interaction_regression_and_nnls", "conditional_mapping": "test_conditional_mapping_finds_two_effects", "cis_mapping_with_fdr": "test_bounded_cis_mapping_runs"}
 
