@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import likelihood
+from ..operators import decompose, elastic, likelihood
 from .catalog import query, r
 
 
@@ -50,3 +50,34 @@ def beta_binomial_maximum(v):
 @query("negative_binomial", ("reads",), ", s as (select variant, count(*) as n, sum(ref_reads) * 1e0 as k, sum(alt_reads) * 1e0 as m, sum(lgamma(ref_reads + alt_reads) - lgamma(ref_reads + 1) - lgamma(alt_reads)) as w from reads where alt_reads > 0 group by variant), g as (select *, k * ln(k / (k + m)) + m * ln(m / (k + m)) as gain from s) select variant, n, round(k / (k + m), 6) as ratio, round(w + gain, 4) as log_likelihood, round(greatest(0, 2 * (gain + (k + m) * ln(2e0))), 4) as chi2 from g")
 def negative_binomial(v):
     return likelihood.negative_binomial(v.reads, ["variant"], "ref_reads", "alt_reads").select("variant", "n", r("ratio"), r("log_likelihood", 4), r("chi2", 4))
+
+
+# --- models of many features and decompositions ----------------------------------------------
+
+
+def _shares(v):
+    """Embeddings with a share that their label gives."""
+    return v.embeddings.select("vec_id", "embedding", (F.col("label") / 10).alias("share"))
+
+
+@query("elastic_net_models", ("embeddings",))
+def elastic_net_models(v):
+    return elastic.elastic_net(_shares(v), "vec_id", "embedding", "share", folds=5, repetitions=3, steps=40)
+
+
+@query("marker_features", ("embeddings",))
+def marker_features(v):
+    return elastic.marker_features(elastic.elastic_net(_shares(v), "vec_id", "embedding", "share", folds=5, repetitions=3, steps=40))
+
+
+@query("singular_scores", ("embeddings",))
+def singular_scores(v):
+    svd = decompose.singular_values(v.embeddings, "embedding", 6)
+    return decompose.project(v.embeddings, "embedding", svd["means"], svd["vectors"]).select("vec_id", "scores")
+
+
+@query("independent_sources", ("embeddings",))
+def independent_sources(v):
+    ica = decompose.independent_components(v.embeddings, "embedding", 3, restarts=3, within=1e-6)
+    out = decompose.project(v.embeddings, "embedding", ica["means"], ica["loadings"], "sources")
+    return out.select("vec_id", "sources", F.lit(bool(ica["settled"].all())).alias("settled"), F.lit(float(ica["stability"].min())).alias("stability"))

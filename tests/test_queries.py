@@ -123,8 +123,70 @@ def plain_overdispersed(spark, got):
             assert all(r.log_likelihood >= ll(q, t) - 1e-6 for q in np.linspace(0.1, 0.9, 9) for t in np.exp(np.linspace(-1, 5, 7)))
 
 
+def plain_elastic(spark, got):
+    """The conditions of a minimum, on the rows themselves."""
+    rows = duckdb.sql(f"select embedding, label / 10e0 as share from '{SF}/embeddings.parquet'").fetchall()
+    x, y = np.array([r[0] for r in rows], np.float32).astype(float), np.array([r[1] for r in rows])
+    xs, ys = (x - x.mean(axis=0)) / x.std(axis=0), (y - y.mean()) / y.std()
+    assert len(got) == 3 * 65 and all(r.settled for r in got)
+    for k in range(3):
+        own = sorted((r for r in got if r.repetition == k), key=lambda r: r.feature)
+        b = np.array([r.coefficient for r in own[1:]]) * x.std(axis=0) / y.std()
+        mix, penalty = own[0].mix, own[0].penalty / y.std()
+        slope = xs.T @ (ys - xs @ b) / len(y) - penalty * (1 - mix) * b
+        assert own[0].coefficient == pytest.approx(y.mean() - x.mean(axis=0) @ np.array([r.coefficient for r in own[1:]]), abs=1e-6)
+        assert np.abs(slope[b == 0]).max(initial=0) <= penalty * mix + 1e-6 and slope[b != 0] == pytest.approx(penalty * mix * np.sign(b[b != 0]), abs=1e-6)
+
+
+def plain_markers(spark, got):
+    models = QUERIES["elastic_net_models"](spark, SF).where("feature > 0 and coefficient != 0").collect()
+    want = {}
+    for r in models:
+        want.setdefault(r.feature, []).append(r.coefficient)
+    want = {f: c for f, c in want.items() if len(c) >= 3}  # 0.7 of three models, rounded up
+    assert {r.feature: r.models for r in got} == {f: len(c) for f, c in want.items()} and all(r["mean"] == pytest.approx(np.mean(want[r.feature])) for r in got)
+
+
+def plain_svd(spark, got):
+    ids, x, _ = embeddings(spark)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    vt = vt[:6] * np.sign(vt[range(6), np.abs(vt[:6]).argmax(axis=1)])[:, None]
+    want = dict(zip(ids, x @ vt.T))
+    assert len(got) == len(ids) and all(r.scores == pytest.approx(want[r.vec_id].tolist(), abs=1e-5) for r in got)
+    assert np.linalg.norm([r.scores for r in got], axis=0) == pytest.approx(s[:6], rel=1e-9)
+
+
+def plain_ica(spark, got):
+    """The same fixed points by plain rounds over the whole matrix, each restart on its own."""
+    ids, x, _ = embeddings(spark)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    turn = np.sign(vt[range(3), np.abs(vt[:3]).argmax(axis=1)])
+    z = u[:, :3] * turn * np.sqrt(len(x))
+    runs = []
+    for k in range(3):
+        p, _, q = np.linalg.svd(np.random.default_rng([1, k]).standard_normal((3, 3)))
+        w = p @ q
+        for _ in range(2000):
+            g = np.tanh(z @ w.T)
+            p, _, q = np.linalg.svd(g.T @ z / len(z) - (1 - g * g).mean(axis=0)[:, None] * w)
+            last, w = w, p @ q
+            if np.abs(np.abs((w * last).sum(axis=1)) - 1).max() < 1e-6:
+                break
+        runs.append(w)
+    total = np.zeros((3, 3))
+    for w in runs:
+        c = runs[0] @ w.T
+        total += w[np.abs(c).argmax(axis=1)] * np.sign(c[range(3), np.abs(c).argmax(axis=1)])[:, None]
+    total /= np.linalg.norm(total, axis=1, keepdims=True)
+    want = z @ total.T
+    mine = np.array([r.sources for r in sorted(got, key=lambda r: ids.index(r.vec_id))])
+    assert all(r.settled for r in got)
+    c = np.abs(np.corrcoef(np.concatenate([mine, want], axis=1).T)[:3, 3:])
+    assert sorted(c.argmax(axis=0)) == [0, 1, 2] and c.max(axis=0).min() > 0.999
+
+
 #: Queries that SQL cannot say, with what tests them.
-PLAIN = {"sample_dispersion": plain_dispersion, "cell_type_allelic": plain_allelic(True), "cell_type_binomial": plain_allelic(False), "beta_binomial_maximum": plain_overdispersed, "principal_components": plain_components, "remove_components": plain_residuals, "top_with_beta": plain_beta, "beta_adjusted_p": plain_beta}
+PLAIN = {"elastic_net_models": plain_elastic, "marker_features": plain_markers, "singular_scores": plain_svd, "independent_sources": plain_ica, "sample_dispersion": plain_dispersion, "cell_type_allelic": plain_allelic(True), "cell_type_binomial": plain_allelic(False), "beta_binomial_maximum": plain_overdispersed, "principal_components": plain_components, "remove_components": plain_residuals, "top_with_beta": plain_beta, "beta_adjusted_p": plain_beta}
 #: Queries whose operators have tests of their own against plain computations.
 ELSEWHERE = {"gene_scores_ld": "test_gene_p_with_ld", "deconvolve_cells": "test_interaction_regression_and_nnls", "conditional_mapping": "test_conditional_mapping_finds_two_effects", "cis_mapping_with_fdr": "test_bounded_cis_mapping_runs"}
 
