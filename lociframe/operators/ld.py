@@ -5,14 +5,20 @@ haplotype frequencies an EM on those counts, a batch of pairs at a time."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .intervals import band_join
 from .ordered import settled
 
+#: Variants that one task decides in order.
+TILE = 4096
+
 
 def pair_counts(genotypes: DataFrame, pairs: DataFrame, variant: str, sample: str, call: str) -> DataFrame:
     """pairs (a, b) of variants with n00 .. n22, the samples that have i copies at a and j at b."""
@@ -95,14 +101,14 @@ def clump(hits: DataFrame, chrom: str, pos: str, p: str, key: str, window: int)
     h = hits.where(F.col(p).isNotNull())
     side = lambda x: h.select(chrom, F.col(key).alias(x), F.col(pos).alias(f"__{x}"))
     near = band_join(side("a"), side("b"), [chrom], "__a", "__b", window + 1).where("a < b").select("a", "b")
-    return greedy_clumps(h, near, key, p)
+    return greedy_clumps(h, near, key, p, [chrom, pos])
 
 
-def greedy_clumps(hits: DataFrame, links: DataFrame, key: str, p: str) -> DataFrame:
+def greedy_clumps(hits: DataFrame, links: DataFrame, key: str, p: str, near: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """hits with `locus`: in order of p, a hit founds a locus unless it is linked to one that does; the others join
-    the linked founder of the least p. links has (a, b) of pairs in LD, or near each other."""
+    the linked founder of the least p. links has (a, b) of pairs in LD, or near each other; near and tile are as for prune."""
     links = settled(links.select("a", "b"))
-    founders = settled(prune(hits.select(key, p), links, key, p))
+    founders = settled(prune(hits.select(*{key, p, *(near or [])}), links, key, p, near, tile))
     both = links.union(links.select("b", "a")).toDF(key, "__f")
     joined = both.join(founders.select(F.col(key).alias("__f"), F.col(p).alias("__p")), "__f").groupBy(key).agg(F.min(F.struct("__p", "__f"))["__f"].alias("__f"))
     own = founders.select(key, F.col(key).alias("__f"))
@@ -110,25 +116,59 @@ def greedy_clumps(hits: DataFrame, links: DataFrame, key: str, p: str) -> DataFr
     return hits.join(locus, key).withColumnRenamed("__f", "locus").select(*hits.columns, "locus")
 
 
-def prune(variants: DataFrame, links: DataFrame, key: str, order: str) -> DataFrame:
+def prune(variants: DataFrame, links: DataFrame, key: str, order: str, near: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """Variants kept when, in order, each is dropped that is linked to a kept earlier one.
 
-    links has (a, b) of pairs in LD. Decided in rounds of joins: a variant whose earlier
-    neighbours are all dropped is kept, one with a kept earlier neighbour is dropped;
-    each round decides at least the earliest open variant of every linked group, and rounds
-    go on until none is open."""
-    rank = F.struct(order, key)
-    v = variants.select(F.col(key).alias("k"), rank.alias("r"))
+    links has (a, b) of pairs in LD. near names columns by which linked variants stand together (chromosome and position;
+    else the key). Variants are cut into tiles of up to tile rows along near, and a task decides a tile's variants in order, as far as
+    the earlier neighbours in other tiles are decided; what a round decides is carried to the tiles that wait for it. Rounds thus
+    grow with the tiles that a chain of links runs through, not with its variants, and each writes open variants only. Each round decides at
+    least the earliest open variant, so rounds go on until none is open."""
+    spark = variants.sparkSession
+    near = near or [key]
+    v = variants.select(F.col(key).alias("k"), F.struct(order, key).alias("r"), F.struct(*near, key).alias("__near"))
+    v = v.repartitionByRange("__near").sortWithinPartitions("__near").select("k", "r", F.floor(F.monotonically_increasing_id() / tile).alias("tile"))
+    v = settled(v)
     e = links.select("a", "b").union(links.select("b", "a")).toDF("k", "other").distinct()
-    e = settled(e.join(v, "k").join(v.select(F.col("k").alias("other"), F.col("r").alias("ro")), "other").where("ro < r").select("k", "other"))
-    state = v.select("k", F.lit(None).cast("boolean").alias("kept"))
+    e = e.join(v, "k").join(v.select(F.col("k").alias("other"), F.col("r").alias("ro"), F.col("tile").alias("to")), "other").where("ro < r")
+    e = settled(e.select("k", "other", (F.col("tile") == F.col("to")).alias("inside")))
+    waiting = e.where("not inside").select("k", "other")
+    place = F.row_number().over(Window.partitionBy("tile").orderBy("r"))  # a tile's rows
+    inside = e.where("inside").groupBy("k").agg(F.collect_list("other").alias("inside"))
+    open_ = settled(v.join(inside, "k", "left").select("tile", "k", place.alias("i"), "inside", F.lit(False).alias("hit")))
+    kind = open_.schema["k"].dataType.simpleString()
+    parts = []
     while True:
-        s = e.join(state.select(F.col("k").alias("other"), F.col("kept").alias("ok")), "other").groupBy("k").agg(F.max(F.coalesce("ok", F.lit(False))).alias("has_kept"), F.max(F.col("ok").isNull()).alias("has_open"))
-        new = state.join(s, "k", "left").select("k", F.coalesce("kept", F.when(F.coalesce("has_kept", F.lit(False)), False).when(~F.coalesce("has_open", F.lit(False)), True)).alias("kept"))
-        state = settled(new)
-        if state.where("kept is null").isEmpty():
+        blocked = waiting.groupBy("k").agg(F.count("*").alias("blocked"))
+        state = settled(open_.join(blocked, "k", "left").groupBy("tile").applyInPandas(_decide_tile, f"tile long, k {kind}, i int, inside array<{kind}>, kept boolean"))
+        decided = state.where("kept is not null").select("k", "kept")
+        parts.append(decided)
+        left = state.where("kept is null").drop("kept")
+        if left.isEmpty():
             break
-    return variants.join(state.where("kept").select(F.col("k").alias(key)), key, "left_semi")
+        known = waiting.join(left.select("k"), "k", "left_semi").join(decided.select(F.col("k").alias("other"), "kept"), "other", "left").select("k", "other", "kept")
+        known = settled(known)
+        hit = known.where("kept").select("k").distinct().withColumn("hit", F.lit(True))
+        open_ = left.join(hit, "k", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        waiting = known.where("kept is null").select("k", "other")
+    kept = reduce(DataFrame.unionByName, parts).where("kept").select(F.col("k").alias(key)) if parts else spark.createDataFrame([], variants.select(key).schema)
+    return variants.join(kept, key, "left_semi")
+
+
+def _decide_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One pass in order over a tile's open variants. hit: a kept earlier neighbour in another tile; blocked: neighbours there that are still
+    open. A neighbour in the tile that is no more open was dropped, else this variant would not be open."""
+    pdf = pdf.sort_values("i")
+    state: dict = {}
+    for k, near, hit, blocked in zip(pdf["k"], pdf["inside"], pdf["hit"], pdf["blocked"]):
+        own = [state[o] for o in near if o in state] if near is not None else []
+        if hit or True in own:
+            state[k] = False
+        elif blocked > 0 or None in own:
+            state[k] = None
+        else:
+            state[k] = True
+    return pd.DataFrame({"tile": pdf["tile"], "k": pdf["k"], "i": pdf["i"], "inside": pdf["inside"], "kept": pd.Series([state[k] for k in pdf["k"]], dtype=object, index=pdf.index)})
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -286,7 +286,7 @@ def test_ordered_blocks_equal_one_pass(spark):
 
 
 def test_merged_spans_do_not_depend_on_the_order_of_equal_ones(spark):
-    import random
+
 
     rng = random.Random(5)
     spans = [("x", a, a + rng.choice([0, 3, 90]), i % 2) for i, a in enumerate(rng.choices(range(0, 900, 30), k=300))] + [("x", 120, 700, 1), ("x", 120, 700, 0)] * 4 + [("y", 5, 5, 0)] * 9
@@ -302,3 +302,34 @@ def test_merged_spans_do_not_depend_on_the_order_of_equal_ones(spark):
             s = spark.createDataFrame(spans, "c string, s int, e int, tag int").repartition(parts)
             for width in (1 << 20, 50):
                 assert rows(intervals.merge_spans(s, ["c"], "s", "e", gap, width)) == want
+
+
+@pytest.mark.parametrize("by", ["position", "p"])
+def test_pruning_in_tiles(spark, by, monkeypatch):
+    """A chain of 2,000 links in order of position is decided in few rounds, and clumps and pruned variants equal a plain pass."""
+
+
+    from lociframe.operators import ld
+
+    rng = random.Random(11)
+    n = 2000
+    links = [(i, i + 1) for i in range(n - 1)] + [(i, i + 2) for i in range(0, n - 2, 3)] + [(i, i + rng.randrange(3, 400)) for i in range(0, n - 400, 17)]
+    rank = {i: i if by == "position" else rng.random() for i in range(n)}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    kept = set()
+    for i in sorted(range(n), key=lambda i: (rank[i], i)):
+        if not kept & near.get(i, set()):
+            kept.add(i)
+    rounds = []
+    write = ld.settled
+    monkeypatch.setattr(ld, "settled", lambda df: rounds.append("kept" in df.columns and "inside" in df.columns) or write(df))
+    v = spark.createDataFrame([(i, float(rank[i]), 1, i * 10) for i in range(n)], "k int, p double, chrom int, pos int")
+    e = spark.createDataFrame(links, "a int, b int")
+    got = {r.k for r in ld.prune(v, e, "k", "p", ["chrom", "pos"], tile=200).collect()}
+    assert got == kept and sum(rounds) < 20
+    clumps = {r.k: r.locus for r in ld.greedy_clumps(v, e, "k", "p", ["chrom", "pos"], tile=300).collect()}
+    assert clumps == {i: i if i in kept else min(near[i] & kept, key=lambda f: (rank[f], f)) for i in range(n)}
+    assert ld.prune(v.limit(0), e, "k", "p").collect() == [] and ld.prune(v.limit(3), e.limit(0), "k", "p").count() == 3
