@@ -49,9 +49,9 @@ from .shared import materialize, without
 from .textops import Words, mix, shingle_sets, slices, utf8
 
 #: Tokens that one bucket task sorts at a time, about.
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 #: Tokens a task gathers before it deals them out.
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 750_000
 #: A token in so many classes of one task's gathering, and this share of them, is very common.
 COMMON_LEAST, COMMON_SHARE = 256, 1 / 32
 COMMON = np.int32(2**31 - 1)
@@ -118,6 +118,7 @@ def _deal(k: int, buckets: int):
             cnt = np.concatenate([h[1] for h in held])
             fp = np.concatenate([h[2] for h in held], axis=1)
             held, size = [], 0
+            seen.clear()  # equal sets of one block are one; of several blocks they meet as one class anyway
             row = np.repeat(np.arange(len(cnt)), cnt)
             by = int(mix(np.array([block], np.uint64))[0] % np.uint64(buckets))
             rows = [(by, block, CLASSES, _join([fp.tobytes(), _shrink(cnt)]))]
