@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annotation, bgen, dosage_folder, matrices, oxford, plink, vcf
+from . import annotation, bgen, dosage_folder, matrices, oxford, plink, ranges, vcf
 
 #: Suffixes in the order they are tried.
 _SUFFIXES = ((".vcf", "vcf"), (".vcf.gz", "vcf"), (".vcf.bgz", "vcf"), (".ped", "ped_map"), (".map", "ped_map"), (".bed", "plink_bed"), (".bim", "plink_bed"), (".fam", "plink_bed"), (".haps", "haps"), (".haps.gz", "haps"), (".gen", "gen"), (".gen.gz", "gen"), (".parquet", "parquet"), (".bgen", "bgen"), ("GenotypeMatrix.dat", "dosage_folder"))
@@ -85,4 +85,4 @@ def write_genotypes(variants: DataFrame, path: str, kind: str | None = None, sam
         raise ValueError(kind)
 
 
-__all__ = ["annotation", "bgen", "dosage_folder", "matrices", "oxford", "plink", "read_genotypes", "sniff", "vcf", "write_genotypes"]
+__all__ = ["annotation", "bgen", "dosage_folder", "matrices", "oxford", "plink", "ranges", "read_genotypes", "sniff", "vcf", "write_genotypes"]

@@ -1,7 +1,7 @@
 """BGEN 1.1 and 1.2 with BGI indexes.
 
-A file is one row of Spark's binary reader, of at most 2 GB, so large sets come as several files, as they are written
-here; an index lets a task unpack only the variants of a region."""
+Variants are read in runs of bytes: an index, or, without one, a pass over the variants' heads, tells where each
+begins, and tasks read the runs that they are dealt."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .parts import local, write_parts
+from .ranges import CHUNK, open_file, plain_name, sizes, spread
 
 _INDEX = "file string, chrom string, pos long, id string, alleles int, ref string, alt string, start long, size long"
 
@@ -117,38 +118,100 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _INDEX)
 
 
-def read(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
+def skim(spark: SparkSession, path: str) -> DataFrame:
+    """The same as read_index of files without an index: a task steps through each file from variant to variant and reads their heads only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size in zip(*(c.to_pylist() for c in batch.columns)):
+                with open_file(file) as f:
+                    at, n, compression, layout = _start(f)
+                    rows: list[tuple] = []
+                    while at < size or rows:
+                        if at >= size or len(rows) == 4096:
+                            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["file", "chrom", "pos", "id", "alleles", "ref", "alt", "start", "size"])
+                            rows = []
+                            continue
+                        chrom, pos, rsid, alleles, body = _head_at(f, at, layout)
+                        end = body + 6 * n
+                        if layout == 2 or compression:
+                            f.seek(body)
+                            end = body + 4 + struct.unpack("<I", f.read(4))[0]
+                        rows.append((file, chrom, pos, rsid, len(alleles), alleles[0], alleles[1] if len(alleles) > 1 else None, at, end - at))
+                        at = end
+
+    return spread(sizes(spark, path)).mapInArrow(run, _INDEX)
+
+
+def _start(f) -> tuple[int, int, int, int]:
+    """(offset of the first variant, samples, compression, layout), without the list of samples."""
+    head = f.read(24)
+    f.seek(0)
+    head = f.read(4 + struct.unpack_from("<I", head, 4)[0])
+    offset, length, _, n, magic = struct.unpack_from("<IIII4s", head)
+    if magic not in (b"bgen", b"\0\0\0\0"):
+        raise ValueError("not a BGEN file")
+    flags = struct.unpack_from("<I", head, length)[0]
+    return offset + 4, n, flags & 3, (flags >> 2) & 15
+
+
+def _head_at(f, at: int, layout: int) -> tuple[str, int, str, list[str], int]:
+    """variant_head of a file, from as few bytes as it takes."""
+    size = 512
+    while True:
+        f.seek(at)
+        data = f.read(size)
+        try:
+            chrom, pos, rsid, alleles, end = variant_head(data, 0, layout)
+            if end <= len(data):
+                return chrom, pos, rsid, alleles, at + end
+        except (struct.error, UnicodeDecodeError):  # cut short: more is read
+            pass
+        if len(data) < size:
+            raise ValueError("a BGEN file ends within a variant")
+        size *= 4
+
+
+def variant_runs(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(file, start, stop, starts): the variants of an index in runs of about chunk bytes."""
+    runs = entries.groupBy("file", F.floor(F.col("start") / chunk).alias("run")).agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("stop"), F.sort_array(F.collect_list("start")).alias("starts"))
+    return runs.select("file", F.col("first").alias("start"), "stop", "starts")
+
+
+def read(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None, chunk: int = CHUNK) -> DataFrame:
     """(chrom, pos, id, ref, alt, probabilities, dosages) of BGEN files at a path or glob; dosages count the second
-    allele. With a region (chromosome, first, last) only what the indexes beside the files (path.bgi) list in it is unpacked."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    allele. Tasks read runs of variants by their bytes, of files of any size. With a region (chromosome, first, last) the indexes beside the
+    files (path.bgi) tell the variants, and no other bytes are read; without one the files are skimmed."""
     if region:
         chrom, first, last = region
-        inside = read_index(spark, f"{path}.bgi").where((F.col("chrom") == chrom) & F.col("pos").between(first, last))
-        files = files.join(inside.groupBy("file").agg(F.sort_array(F.collect_list("start")).alias("starts")), "file")
+        entries = read_index(spark, f"{path}.bgi").withColumn("file", plain_name(F.col("file"))).where((F.col("chrom") == chrom) & F.col("pos").between(first, last))
     else:
-        files = files.withColumn("starts", F.lit(None).cast("array<long>"))
+        entries = skim(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["chrom", "pos", "id", "ref", "alt", "probabilities", "dosages"]
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()))
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
         for batch in batches:
-            for data, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, n, compression, layout, _ = header(data)
-                queue = list(starts) if starts is not None else None
-                rows: list[tuple] = []
-                while queue if queue is not None else at < len(data):
-                    at = queue.pop(0) if queue is not None else at
-                    chrom, pos, rsid, alleles, at = variant_head(data, at, layout)
-                    block, at = _unpack(data, at, n, compression, layout)
-                    p = probabilities(block, n, layout)
-                    d = p[:, 1] + 2 * p[:, 2]
-                    rows.append((chrom, pos, rsid, alleles[0], alleles[1], [None if np.isnan(x[0]) else x.tolist() for x in p], [None if np.isnan(x) else float(x) for x in d]))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-                        rows = []
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-
-    return files.select("content", "starts").mapInArrow(run, "chrom string, pos long, id string, ref string, alt string, probabilities array<array<double>>, dosages array<double>")
+            for file, start, stop, starts in zip(*(c.to_pylist() for c in batch.columns)):
+                with open_file(file) as f:
+                    _, n, compression, layout = _start(f)
+                    rows: list[tuple] = []
+                    for at, end in zip(starts, [*starts[1:], stop]):
+                        f.seek(at)
+                        data = f.read(end - at)
+                        chrom, pos, rsid, alleles, body = variant_head(data, 0, layout)
+                        p = probabilities(_unpack(data, body, n, compression, layout)[0], n, layout)
+                        d = p[:, 1] + 2 * p[:, 2]
+                        rows.append((chrom, pos, rsid, alleles[0], alleles[1], [None if np.isnan(x[0]) else x.tolist() for x in p], [None if np.isnan(x) else float(x) for x in d]))
+                        if len(rows) * n >= 1 << 18:
+                            yield pack(rows)
+                            rows = []
+                    if rows:
+                        yield pack(rows)
+
+    return spread(variant_runs(entries, chunk)).mapInArrow(run, "chrom string, pos long, id string, ref string, alt string, probabilities array<array<double>>, dosages array<double>")
 
 
 def _three(d: np.ndarray) -> np.ndarray:
@@ -165,11 +228,11 @@ def _three(d: np.ndarray) -> np.ndarray:
 def write(variants: DataFrame, folder: str, samples: list[str], bits: int = 16) -> list[str]:
     """folder/part-xxxxx.bgen, each a BGEN 1.2 file (zlib) of its variants and all samples, with its index .bgen.bgi."""
 
-    def put(stem: str, rows: list[dict]) -> None:
+    def put(stem: str, rows: Iterator[dict]) -> None:
         names = [s.encode() for s in samples]
         listed = b"".join(struct.pack("<H", len(s)) + s for s in names)
         block = struct.pack("<II", 8 + len(listed), len(names)) + listed
-        head = struct.pack("<III4sI", 20, len(rows), len(names), b"bgen", 1 | 2 << 2 | 1 << 31)
+        head = struct.pack("<III4sI", 20, 0, len(names), b"bgen", 1 | 2 << 2 | 1 << 31)
         index = []
         with open(f"{stem}.bgen", "wb") as f:
             f.write(struct.pack("<I", len(head) + len(block)) + head + block)
@@ -188,6 +251,8 @@ def write(variants: DataFrame, folder: str, samples: list[str], bits: int = 16)
                 f.write(b"".join(struct.pack("<I", len(a.encode())) + a.encode() for a in alleles))
                 f.write(struct.pack("<II", len(packed) + 4, len(raw)) + packed)
                 index.append((r["chrom"], r["pos"], rsid.decode(), 2, *alleles, start, f.tell() - start))
+            f.seek(8)
+            f.write(struct.pack("<I", len(index)))  # the number of variants is known at the end
         db = sqlite3.connect(f"{stem}.bgen.bgi")
         db.execute("CREATE TABLE Variant (chromosome TEXT NOT NULL, position INT NOT NULL, rsid TEXT NOT NULL, number_of_alleles INT NOT NULL, allele1 TEXT NOT NULL, allele2 TEXT NULL, file_start_position INT NOT NULL, size_in_bytes INT NOT NULL, PRIMARY KEY (chromosome, position, rsid, allele1, allele2, file_start_position)) WITHOUT ROWID")
         db.executemany("INSERT INTO Variant VALUES (?, ?, ?, ?, ?, ?, ?, ?)", index)

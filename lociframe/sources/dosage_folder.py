@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .parts import local, write_parts
+from .ranges import CHUNK, numbered_lines, open_file, sizes, spread
 
 
 def read_samples(spark: SparkSession, folder: str) -> DataFrame:
     """(index, sample, status, included, sex) in file order; individuals without a line of phenotypes count as included."""
-    lines = spark.sparkContext.textFile(f"{folder}/Individuals.txt").map(str.strip).filter(bool).zipWithIndex()
-    one = lines.map(lambda x: (x[1], x[0])).toDF("index long, sample string")
+    one = numbered_lines(spark, f"{folder}/Individuals.txt").select("index", F.trim("line").alias("sample"))
     x = F.split("value", "\t")
     about = spark.read.text(f"{folder}/PhenotypeInformation.txt").where(F.trim("value") != "").select(F.get(x, F.lit(0)).alias("sample"), F.get(x, F.lit(1)).alias("status"), (F.lower(F.get(x, F.lit(2))) == "include").alias("included"), F.lower(F.get(x, F.lit(3))).alias("sex"))
     return one.join(about.dropDuplicates(["sample"]), "sample", "left").select("index", "sample", "status", F.coalesce("included", F.lit(True)).alias("included"), "sex")
@@ -26,15 +26,30 @@ def read_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_variants(spark: SparkSession, folder: str) -> DataFrame:
     """(index, id, chrom, pos) in file order; variants without a mapping have null places."""
-    ids = spark.sparkContext.textFile(f"{folder}/SNPs.txt").map(str.strip).filter(bool).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("index long, id string")
+    ids = numbered_lines(spark, f"{folder}/SNPs.txt").select("index", F.trim("line").alias("id"))
     x = F.split("value", "\t")
     places = spark.read.text(f"{folder}/SNPMappings.txt").where(F.trim("value") != "").select(F.get(x, F.lit(2)).alias("id"), F.get(x, F.lit(0)).alias("chrom"), F.get(x, F.lit(1)).try_cast("long").alias("pos"))
     return ids.join(places.dropDuplicates(["id"]), "id", "left").select("index", "id", "chrom", "pos")
 
 
-def _records(spark: SparkSession, path: str, width: int, name: str) -> DataFrame:
-    rows = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-    return rows.toDF(f"index long, {name} binary")
+def _records(spark: SparkSession, path: str, width: int, name: str, chunk: int = CHUNK) -> DataFrame:
+    """(index, name): the records of width bytes of a file, read by ranges."""
+    each, all_ = max(1, chunk // max(1, width)), F.floor(F.col("length") / width)
+    runs = sizes(spark, path).where(F.col("length") >= width).withColumn("first", F.explode(F.sequence(F.lit(0), all_ - 1, F.lit(each))))
+    runs = spread(runs.select("file", "first", F.least(F.lit(each), all_ - F.col("first")).alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+                with open_file(file) as f:
+                    for s in range(0, n, step := max(1, (1 << 20) // width)):
+                        k = min(step, n - s)
+                        f.seek((first + s) * width)
+                        data = pa.py_buffer(f.read(k * width))
+                        rows = pa.Array.from_buffers(pa.binary(width), k, [None, data]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + s, first + s + k)), rows], names=["index", name])
+
+    return runs.mapInArrow(run, f"index long, {name} binary")
 
 
 def read(spark: SparkSession, folder: str, only_included: bool = True) -> DataFrame:
@@ -77,7 +92,7 @@ def read(spark: SparkSession, folder: str, only_included: bool = True) -> DataFr
 def write(variants: DataFrame, folder: str, samples: list[str]) -> list[str]:
     """Folders folder/part-xxxxx, each a folder of this format with its variants, with one-base alleles, and all samples."""
 
-    def put(stem: str, rows: list[dict]) -> None:
+    def put(stem: str, rows: Iterator[dict]) -> None:
         os.makedirs(stem)
         with open(f"{stem}/GenotypeMatrix.dat", "wb") as g, open(f"{stem}/ImputedDosageMatrix.dat", "wb") as m, open(f"{stem}/SNPs.txt", "w") as ids, open(f"{stem}/SNPMappings.txt", "w") as places:
             for r in rows:
