@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annotation, bgen, dosage_folder, matrices, oxford, plink, ranges, vcf
+from . import annotation, bgen, dosage_folder, matrices, oxford, plink, ranges, tabix, vcf
 
 #: Suffixes in the order they are tried.
 _SUFFIXES = ((".vcf", "vcf"), (".vcf.gz", "vcf"), (".vcf.bgz", "vcf"), (".ped", "ped_map"), (".map", "ped_map"), (".bed", "plink_bed"), (".bim", "plink_bed"), (".fam", "plink_bed"), (".haps", "haps"), (".haps.gz", "haps"), (".gen", "gen"), (".gen.gz", "gen"), (".parquet", "parquet"), (".bgen", "bgen"), ("GenotypeMatrix.dat", "dosage_folder"))
@@ -52,7 +52,15 @@ def store(variants: DataFrame, path: str) -> None:
 
 
 def read_region(spark: SparkSession, path: str, chrom: str, first: int, last: int) -> DataFrame:
-    """The variants of a region of what store has written."""
+    """The variants of a region of what store has written, of bgzipped VCF files with an index beside each, of BED filesets, or of BGEN files
+    with indexes: only what may hold the region is read."""
+    kind = next((name for suffix, name in _SUFFIXES if path.endswith(suffix)), None)
+    if kind == "vcf":
+        return tabix.read_vcf(spark, path, [(chrom, first, last)])
+    if kind == "plink_bed":
+        return plink.read_bed(spark, path.rsplit(".", 1)[0], (chrom, first, last))
+    if kind == "bgen":
+        return bgen.read(spark, path, (chrom, first, last))
     return spark.read.option("basePath", path).parquet(path).where((F.col("chrom").cast("string") == chrom) & F.col("pos").between(first, last))
 
 
@@ -85,4 +93,4 @@ def write_genotypes(variants: DataFrame, path: str, kind: str | None = None, sam
         raise ValueError(kind)
 
 
-__all__ = ["annotation", "bgen", "dosage_folder", "matrices", "oxford", "plink", "ranges", "read_genotypes", "sniff", "vcf", "write_genotypes"]
+__all__ = ["annotation", "bgen", "dosage_folder", "matrices", "oxford", "plink", "ranges", "read_genotypes", "sniff", "tabix", "vcf", "write_genotypes"]

@@ -39,7 +39,12 @@ def read(spark: SparkSession, path: str, least_probability: float = 0.4) -> Data
     Calls are GT, or, without it, the genotype of the largest GP that is least_probability or more. Dosages count
     alternate alleles: DS if given, else GP's mean if one GP is least_probability or more, else the call. Depths and
     qualities are DP and GQ. Haploid calls (one allele) count as they stand."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+    return parse(spark.read.text(path), least_probability)
+
+
+def parse(lines: DataFrame, least_probability: float = 0.4) -> DataFrame:
+    """The same of lines in a column value."""
+    lines = lines.where(~F.col("value").startswith("#"))
     parts = F.split("value", "\t")
     v = lines.select(*(F.try_element_at(parts, F.lit(i + 1)).alias(c) for i, c in enumerate(COLUMNS)), F.slice(parts, 10, F.greatest(F.size(parts) - 9, F.lit(0))).alias("entries"))
     fmt = F.col("format")
