@@ -6,42 +6,58 @@ added up in Spark."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..functions.special import gammaincc
 
 
-def mixture_upper_p(q: float, weights: np.ndarray, terms: int = 4000) -> float:
-    """P(sum of weights times chi-squares of one degree of freedom > q), by Ruben's series: a mixture of chi-squares
-    of n, n + 2, ... degrees of freedom at q over the least weight, all of positive shares. Weights under a
-    thousandth of the largest are left out; what the series has not reached after so many terms counts as above q."""
+def mixture_upper_p(q: float, weights: np.ndarray) -> float:
+    """P(sum of weights times chi-squares of one degree of freedom > q), all weights taken; relative errors are some 1e-12.
+
+    The Laplace transform of the tail is inverted along a parabola around its cut, that begins at -1/2 over the largest weight; for few weights
+    and a q far under the mean, that of the distribution along one around 0. Either crosses the axis where the integrand is least, so next to nothing
+    is cancelled however small the result; steps are a part of the distance to the nearest singularity and of the saddle's
+    width, so that the error is near rounding (trapezoid rules on deformed contours, as of Weideman and Trefethen)."""
     w = np.asarray(weights, float)
-    w = np.sort(w[w > 0])
+    w = w[w > 0]
     if not len(w):
-        return 1.0 if q <= 0 else 0.0
-    w = w[w >= w[-1] / 1000]
+        return 1.0 if q < 0 else 0.0
     if q <= 0:
         return 1.0
-    b = w[0]
-    ratio = 1 - b / w
-    a = np.zeros(terms)
-    a[0] = np.exp(0.5 * np.log(b / w).sum())
-    g = np.zeros(terms)
-    power = np.ones_like(w)
-    left, n = 1 - a[0], 1
-    while n < terms and left > 1e-13:
-        power = power * ratio
-        g[n] = power.sum()
-        a[n] = (g[1 : n + 1][::-1] * a[:n]).sum() / (2 * n)
-        left -= a[n]
-        n += 1
-    x = q / b / 2
-    tails = gammaincc((len(w) + 2 * np.arange(n)) / 2, np.full(n, x))
-    return float(min(1.0, max(0.0, (a[:n] * tails).sum() + max(0.0, left))))
+    q, w = q / w.max(), w / w.max()
+    upper = q >= 0.2 * w.sum() or len(w) > 30
+    slope = lambda s: q - (w / (1 + 2 * w * s)).sum() - 1 / s
+    low, high = (-0.5, 0.0) if upper else (0.0, (1 + w.sum()) / q + 1)
+    while not upper and slope(high) < 0:
+        high *= 2
+    for _ in range(80):
+        at = (low + high) / 2
+        low, high = (low, at) if at != 0 and slope(at) > 0 else (at, high)
+    at = (low + high) / 2
+    edge = -0.5 if upper else 0.0
+    mu = at - edge
+    bend = (2 * w * w / (1 + 2 * w * at) ** 2).sum() + 1 / at**2
+    step = min(2 * np.pi * 0.9 * min(1.0, np.sqrt(0.5 / mu) - 1 if upper else 1.0) / 36, 0.3 / (mu * np.sqrt(bend)))
+    logs = lambda t: (s := edge + mu * (1 + 1j * t) ** 2, -0.5 * np.log(1 + 2 * s[:, None] * w[None, :]).sum(axis=1) + s * q)
+    top = logs(np.zeros(1))[1][0].real
+    far = 8 * step
+    while logs(np.array([far]))[1][0].real > top - 42:
+        far *= 1.3
+    total = 0.0
+    count = int(far / step) + 2
+    for first in range(0, count, part := max(1, (1 << 20) // len(w))):
+        t = np.arange(first, min(count, first + part)) * step
+        s, m = logs(t)
+        f = (np.exp(m - top) * (1 + 1j * t) / s).real
+        total += f.sum() - (f[0] / 2 if first == 0 else 0.0)
+    with np.errstate(under="ignore"):
+        p = abs(2 * mu / np.pi * step * total) * np.exp(top)
+    return float(min(1.0, p if upper else 1.0 - p))
 
 
 def weighted_chi2_p(values: DataFrame, by: list[str], q: Column, weight: str) -> DataFrame:
@@ -65,11 +81,7 @@ def gene_p(z: DataFrame, pairs: DataFrame, gene: str, variant: str) -> DataFrame
     def run(items: pd.Series, links: pd.Series) -> pd.DataFrame:
         out = []
         for own, near in zip(items, links):
-            at = {x["v"]: i for i, x in enumerate(own)}
-            m = np.eye(len(own))
-            for x in near if near is not None else ():
-                if x["a"] in at and x["b"] in at:
-                    m[at[x["a"]], at[x["b"]]] = m[at[x["b"]], at[x["a"]]] = x["r"]
+            m = _correlations(own, near)
             q = sum(x["z"] ** 2 for x in own)
             out.append((len(own), q, mixture_upper_p(q, np.maximum(np.linalg.eigvalsh(m), 0))))
         return pd.DataFrame(out, columns=["n", "q", "p"])
@@ -77,8 +89,89 @@ def gene_p(z: DataFrame, pairs: DataFrame, gene: str, variant: str) -> DataFrame
     return v.join(r, gene, "left").select(gene, run("items", "r").alias("x")).select(gene, "x.*")
 
 
-def _inverse(rows: pd.DataFrame, loadings: str) -> np.ndarray:
-    r = np.stack(rows[loadings].to_numpy()).astype(float)
+def gene_p_by_draws(z: DataFrame, pairs: DataFrame, gene: str, variant: str, enough: int = 20, most: int = 100_000, step: int = 10_000, rescue: int = 0, floor: float = 1e-12, seed: int = 1) -> DataFrame:
+    """(gene, n, q, p, draws, over, how): gene_p by rounds of draws of the weighted chi-squares, until `enough` of them exceed q or `most` are
+    made; then p is (over + 1/2) / (draws + 1), how "draws". A gene with fewer takes the exact tail, how "tail", not under floor;
+    with rescue it goes on drawing up to so many, until five exceed, and only then takes the tail. A gene of one variant has its normal p, how "one".
+
+    Draws come from the seed and the gene, not from how genes are dealt to tasks. A round's memory is bounded, whatever the gene's variants."""
+    v = z.groupBy(gene).agg(F.sort_array(F.collect_list(F.struct(F.col(variant).alias("v"), F.col("z").cast("double").alias("z")))).alias("items"))
+    r = pairs.groupBy(gene).agg(F.collect_list(F.struct("a", "b", F.col("r").cast("double").alias("r"))).alias("r"))
+
+    @F.pandas_udf("struct<n:long,q:double,p:double,draws:long,over:long,how:string>")
+    def run(items: pd.Series, links: pd.Series, key: pd.Series) -> pd.DataFrame:
+        out = []
+        for own, near, k in zip(items, links, key):
+            q = sum(x["z"] ** 2 for x in own)
+            if len(own) == 1:
+                out.append((1, q, max(floor, math.erfc(math.sqrt(q / 2))), 0, 0, "one"))
+                continue
+            w = np.maximum(np.linalg.eigvalsh(_correlations(own, near)), 0)
+            rng, draws, over, need = np.random.default_rng([seed, k & (2**63 - 1)]), 0, 0, enough
+            while over < need and draws < max(most, rescue):
+                if draws >= most:
+                    need = min(enough, 5)
+                    if over >= need:
+                        break
+                for s in range(0, step, part := max(1, min(step, 2_000_000 // len(w)))):
+                    over += int((rng.standard_normal((min(part, step - s), len(w))) ** 2 @ w > q).sum())
+                draws += step
+            if over >= need:
+                out.append((len(own), q, (over + 0.5) / (draws + 1), draws, over, "draws"))
+            else:
+                out.append((len(own), q, max(floor, mixture_upper_p(q, w)), draws, over, "tail"))
+        return pd.DataFrame(out, columns=["n", "q", "p", "draws", "over", "how"])
+
+    return v.join(r, gene, "left").select(gene, run("items", "r", F.xxhash64(gene)).alias("x")).select(gene, "x.*")
+
+
+def _correlations(own, near) -> np.ndarray:
+    """The matrix of a gene's variants; pairs not listed are 0."""
+    at = {x["v"]: i for i, x in enumerate(own)}
+    m = np.eye(len(own))
+    for x in near if near is not None else ():
+        if x["a"] in at and x["b"] in at:
+            m[at[x["a"]], at[x["b"]]] = m[at[x["b"]], at[x["a"]]] = x["r"]
+    return m
+
+
+def _matrix(rows: pd.DataFrame, loadings: str) -> np.ndarray:
+    return np.stack(rows[loadings].to_numpy()).astype(float)
+
+
+def merged_items(r: np.ndarray, least: float) -> np.ndarray:
+    """The group of each item: items that correlate by least or more in absolute value, directly or over others, are one. Groups count from 0 in order of
+    their first items."""
+    group = np.arange(len(r))
+    for i, j in zip(*np.nonzero(np.triu(np.abs(r) >= least, 1))):
+        a, b = group[i], group[j]
+        group[group == max(a, b)] = min(a, b)
+    return np.unique(group, return_inverse=True)[1]
+
+
+def _merged(r: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(groups by items, the correlations of the means of groups)."""
+    a = (group[None, :] == np.arange(group.max() + 1)[:, None]).astype(float)
+    a /= a.sum(axis=1, keepdims=True)
+    c = a @ r @ a.T
+    d = np.sqrt(np.maximum(np.diag(c), 1e-300))
+    return a, c / d[:, None] / d[None, :]
+
+
+def meta_items(rows: DataFrame, block: str, item: str, loadings: str, least: float) -> DataFrame:
+    """(block, item, meta, size): the first item of each item's group of merged ones, inside its block, and how many it has."""
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(item)
+        g, names = merged_items(_matrix(pdf, loadings), least), pdf[item].to_numpy()
+        first = np.array([np.flatnonzero(g == k)[0] for k in range(g.max() + 1)])
+        return pd.DataFrame({block: pdf[block].iloc[0], item: names, "meta": names[first[g]], "size": np.bincount(g)[g]})
+
+    return rows.select(block, item, loadings).groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, {item} {kinds[item]}, meta {kinds[item]}, size int")
+
+
+def _inverse(r: np.ndarray) -> np.ndarray:
     w, v = np.linalg.eigh((r + r.T) / 2)
     ok = w > 1e-8
     return (v[:, ok] / w[ok]) @ v[:, ok].T
@@ -91,28 +184,35 @@ def inverse_blocks(rows: DataFrame, block: str, item: str, loadings: str) -> Dat
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
-        m, names = _inverse(pdf, loadings), pdf[item].to_numpy()
+        m, names = _inverse(_matrix(pdf, loadings)), pdf[item].to_numpy()
         return pd.DataFrame({block: pdf[block].iloc[0], "a": np.repeat(names, len(names)), "b": np.tile(names, len(names)), "value": m.ravel()})
 
     return rows.select(block, item, loadings).groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, a {kinds[item]}, b {kinds[item]}, value double")
 
 
-def set_regression(rows: DataFrame, members: DataFrame, block: str, item: str, group: str, y: str, loadings: str, least: int = 2) -> DataFrame:
+def set_regression(rows: DataFrame, members: DataFrame, block: str, item: str, group: str, y: str, loadings: str, least: int = 2, merge: float | None = None) -> DataFrame:
     """(group, n, beta, se, t, p) of each set: generalised least squares of y on membership and an intercept, where errors
-    of a block's items correlate as loadings tell. Blocks come to sums by set, which Spark adds up; a set's items
+    of a block's items correlate as loadings tell. With merge, items of a block that correlate by so much (merged_items) are one item first, of
+    their mean y, which is in a set if one of them is and counts there once. Blocks come to sums by set, which Spark adds up; a set's items
     are never gathered."""
     m = members.select(item, group).distinct().groupBy(item).agg(F.collect_list(group).alias("__sets"))
     kind = dict(members.dtypes)[group]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
-        w = _inverse(pdf, loadings)
-        v = pdf[y].to_numpy(float)
+        r, v = _matrix(pdf, loadings), pdf[y].to_numpy(float)
+        group_of = np.arange(len(v))
+        if merge is not None:
+            group_of = merged_items(r, merge)
+            means, r = _merged(r, group_of)
+            v = means @ v
+        w = _inverse(r)
         wy, w1 = w @ v, w.sum(axis=1)
         inside: dict = {}
-        for i, sets in enumerate(pdf["__sets"]):
+        for i, sets in zip(group_of.tolist(), pdf["__sets"]):
             for s in sets if sets is not None else ():
-                inside.setdefault(s, []).append(i)
+                if i not in (own := inside.setdefault(s, [])):
+                    own.append(i)
         out = [(None, len(v), w1.sum(), wy.sum(), v @ wy, 0.0, 0.0)]
         out += [(s, len(i), 0.0, 0.0, w[np.ix_(i, i)].sum(), w1[i].sum(), wy[i].sum()) for s, i in inside.items()]
         return pd.DataFrame(out, columns=[group, "n", "s11", "s1y", "sq", "s1x", "sxy"])
