@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .textops import byte_hashes, slices
+from .textops import byte_hashes, slices, tidy, tidy_group
 
 BLOCK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
 #: Bytes of text for one bucket of words, about.
@@ -307,9 +307,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     volume = own.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
     buckets = max(16, volume // BUCKET_TEXT)
     split = own.select("id", words_of(F.col("txt")).alias("words"))
-    ids = split.mapInArrow(_split(buckets, LIST), _PIECES).groupBy("dest").applyInArrow(_encode(tokenizer), _PIECES)
-    texts = split.mapInArrow(_split(buckets, TEXTS), _PIECES)
-    placed = texts.unionByName(ids).groupBy("dest").applyInArrow(_place, _PLACED)
+    ids = split.mapInArrow(tidy(_split(buckets, LIST)), _PIECES).groupBy("dest").applyInArrow(tidy_group(_encode(tokenizer)), _PIECES)
+    texts = split.mapInArrow(tidy(_split(buckets, TEXTS)), _PIECES)
+    placed = texts.unionByName(ids).groupBy("dest").applyInArrow(tidy_group(_place), _PLACED)
     known = placed.join(F.broadcast(piece_table(spark, vocabulary)), "token_id", "left")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return known.mapInArrow(_decode(keep_ids, keep_text), schema).withColumnRenamed("id", id_col)
+    return known.mapInArrow(tidy(_decode(keep_ids, keep_text)), schema).withColumnRenamed("id", id_col)

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .bpe import _grow, _join, _part, _shrink
 from .components import connected_components
 from .shared import materialize, without
-from .textops import Words, mix, shingle_sets, slices, utf8
+from .textops import Words, mix, shingle_sets, slices, tidy, tidy_group, utf8
 
 #: Tokens that one bucket task sorts at a time, about.
 BUCKET_TOKENS = 2_000_000
@@ -316,7 +316,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, buckets: int | None) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt"))
-    profile = materialize(own.mapInArrow(_profile(k), _PROFILE), "profile")
+    profile = materialize(own.mapInArrow(tidy(_profile(k)), _PROFILE), "profile")
     named = profile.where("n_shingles > 0 and id is not null")
     classes = named.groupBy("fp1", "fp2").agg(F.min("id").alias("cid"))
     stands = materialize(classes, "stands")
@@ -324,9 +324,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     buckets = buckets or int(max(16, -(-total // BUCKET_TOKENS)))
 
     others = profile.where("id is not null").select("id").distinct().join(stands.select(F.col("cid").alias("id")), "id", "left_anti")
-    dealt = without(own.where("id is not null"), others, "id").select("txt").mapInArrow(_deal(k, buckets), _PIECE)
-    counted = dealt.groupBy("dest").applyInArrow(_count, _PIECE)
-    sets = materialize(counted.groupBy("dest").applyInArrow(_survivors(percent), _CLASS), "sets")
+    dealt = without(own.where("id is not null"), others, "id").select("txt").mapInArrow(tidy(_deal(k, buckets)), _PIECE)
+    counted = dealt.groupBy("dest").applyInArrow(tidy_group(_count), _PIECE)
+    sets = materialize(counted.groupBy("dest").applyInArrow(tidy_group(_survivors(percent)), _CLASS), "sets")
     first = sets.groupBy("fp1", "fp2").agg(F.min(F.struct("block", "row")).alias("x")).join(stands, ["fp1", "fp2"]).select("x.block", "x.row", "cid")
     sets = materialize(sets.drop("fp1", "fp2").join(first, ["block", "row"]).drop("block", "row"), "classes")
 

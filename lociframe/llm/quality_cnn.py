@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import held_out
-from .textops import slices, utf8
+from .textops import slices, tidy, utf8
 
 CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 256, 192, 6, 16, 12
 SAMPLE, TRAIN_BYTES, EPOCHS = 1200, 1 << 15, 14
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
                 got = scores(m, [data[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s).cast(pa.int64()), pa.array(got)], names=["id", "score"])
 
-    return own.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return own.mapInArrow(tidy(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
@@ -206,7 +206,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 good = scores(m, [data[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]) >= threshold
                 yield batch.slice(s, e - s).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:

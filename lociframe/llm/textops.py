@@ -6,6 +6,9 @@ rolling hash from one pair of prefix sums."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,6 +32,38 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+def release() -> None:
+    """Give freed memory back to the machine: workers live on between stages, and what their allocators keep adds up beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches, that releases what it has freed at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same function over a group."""
+
+    def tidied(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            release()
+
+    return tidied
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ np.uint64(salt)
