@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,16 +30,27 @@ def pair_counts(genotypes: DataFrame, pairs: DataFrame, variant: str, sample: st
     return j.groupBy("a", "b").agg(*cells)
 
 
+def genotype_r(counts: DataFrame) -> DataFrame:
+    """(a, b, n, r): the correlation of the genotypes themselves, from the nine counts; null without variation."""
+    n, sx, sy, sxy, vx, vy = _moments()
+    return counts.select("a", "b", n.cast("long").alias("n"), F.when((vx > 0) & (vy > 0), (n * sxy - sx * sy) / F.sqrt(vx * vy)).alias("r"))
+
+
 def genotype_r2(counts: DataFrame) -> DataFrame:
     """Squared correlation of the genotypes themselves, from the nine counts; null without variation."""
+    n, sx, sy, sxy, vx, vy = _moments()
+    return counts.select("a", "b", n.cast("long").alias("n"), F.when((vx > 0) & (vy > 0), (n * sxy - sx * sy) ** 2 / (vx * vy)).alias("r2"))
+
+
+def _moments() -> tuple[Column, ...]:
+    """n, sums of both sides and of their products, and n squared times the variances, of the nine counts."""
     n = sum((F.col(f"n{i}{k}") for i in range(3) for k in range(3)), F.lit(0)).cast("double")
     sx = sum((i * F.col(f"n{i}{k}") for i in (1, 2) for k in range(3)), F.lit(0))
     sy = sum((k * F.col(f"n{i}{k}") for i in range(3) for k in (1, 2)), F.lit(0))
     sxx = sum((i * i * F.col(f"n{i}{k}") for i in (1, 2) for k in range(3)), F.lit(0))
     syy = sum((k * k * F.col(f"n{i}{k}") for i in range(3) for k in (1, 2)), F.lit(0))
     sxy = sum((i * k * F.col(f"n{i}{k}") for i in (1, 2) for k in (1, 2)), F.lit(0))
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    return counts.select("a", "b", n.cast("long").alias("n"), F.when((vx > 0) & (vy > 0), (n * sxy - sx * sy) ** 2 / (vx * vy)).alias("r2"))
+    return n, sx, sy, sxy, n * sxx - sx * sx, n * syy - sy * sy
 
 
 def haplotypes(tables: np.ndarray, rounds: int = 25) -> np.ndarray:

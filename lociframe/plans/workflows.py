@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import alleles, special, stats
 from ..operators import aggregates as agg
-from ..operators import filters, intervals, ld, meta, models, ranks, testing
+from ..operators import decompose, filters, intervals, ld, matrix, meta, models, ranks, testing
 from ..operators.ordered import settled
 
 
@@ -166,6 +166,67 @@ def harmonise(study: DataFrame, reference: DataFrame, flank_r: DataFrame | None
     return j.select("variant", "ref_id", action.alias("action")).groupBy("variant", "action").agg(F.min("ref_id").alias("ref_id")).select("variant", "ref_id", "action")
 
 
+def harmonise_by_ld(study: DataFrame, reference: DataFrame, study_genotypes: DataFrame, reference_genotypes: DataFrame, window: int, least_r2: float = 0.3, least_votes: int = 3, most_maf_gap: float = 0.1) -> DataFrame:
+    """(variant, ref_id, action, agree, against): harmonise, with A/T and C/G decided by linkage in both panels.
+
+    study (variant, chrom, pos, ref, alt, maf) and reference (ref_id, ...) have genotypes (variant or ref_id, sample, dosage), dosages of alt. An unclear
+    variant and each settled one less than window away, whose genotypes correlate with it in both panels (squared,
+    by least_r2), give a vote: whether the correlations have one sign once alleles are named alike. Majorities of at least least_votes
+    settle a variant, which then votes for others in the next pass; passes go on until none settles another. What stays unclear is decided by
+    allele frequencies, as harmonise does, or excluded."""
+    every = settled(harmonise(study, reference, study.select("variant", F.lit(1.0).alias("r"))).where("action != 'exclude'"))
+    m = every.join(study.select("variant", "chrom", "pos", "ref", "alt"), "variant").join(reference.select("ref_id", F.col("ref").alias("rr"), F.col("alt").alias("ra")), "ref_id")
+    unclear = alleles.is_ambiguous(F.array("ref", "alt"))
+    like = (F.col("alt") == F.col("ra")) | (~unclear & (alleles.complement(F.col("alt")) == F.col("ra")))
+    m = settled(m.select("variant", "ref_id", "chrom", "pos", unclear.alias("unclear"), F.when(like, 1).otherwise(-1).alias("way")))
+    known, open_, votes = m.where("not unclear").drop("unclear"), m.where("unclear").drop("unclear"), None
+    while True:
+        near = intervals.band_join(open_.select("chrom", F.col("variant").alias("a"), F.col("ref_id").alias("xa"), F.col("way").alias("wa"), F.col("pos").alias("pa")), known.select("chrom", F.col("variant").alias("b"), F.col("ref_id").alias("xb"), F.col("way").alias("wb"), F.col("pos").alias("pb")), ["chrom"], "pa", "pb", window)
+        near = settled(near.select("a", "b", "xa", "xb", (F.col("wa") * F.col("wb")).alias("way")))
+        here = ld.genotype_r(ld.pair_counts(study_genotypes, near.select("a", "b"), "variant", "sample", "dosage")).select("a", "b", F.col("r").alias("r1"))
+        there = ld.genotype_r(ld.pair_counts(reference_genotypes, near.select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct(), "ref_id", "sample", "dosage")).select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("r").alias("r2"))
+        both = near.join(here, ["a", "b"]).join(there, ["xa", "xb"]).where((F.col("r1") ** 2 >= least_r2) & (F.col("r2") ** 2 >= least_r2))
+        sign = F.signum("r1") * F.signum("r2") * F.col("way")
+        got = both.groupBy(F.col("a").alias("variant")).agg(F.count_if(sign > 0).alias("agree"), F.count_if(sign < 0).alias("against"))
+        got = settled(got.where((F.col("agree") + F.col("against") >= least_votes) & (F.col("agree") != F.col("against"))))
+        if got.isEmpty():
+            break
+        votes = got if votes is None else votes.unionByName(got)
+        turned = F.when(F.col("agree") > F.col("against"), F.col("way")).otherwise(-F.col("way"))
+        known = settled(known.unionByName(open_.join(got, "variant").withColumn("way", turned).select(*open_.columns)))
+        open_ = settled(open_.join(got, "variant", "left_anti"))
+    if votes is None:
+        votes = study.select("variant", F.lit(0).cast("long").alias("agree"), F.lit(0).cast("long").alias("against")).limit(0)
+    flank = votes.select("variant", F.when(F.col("agree") > F.col("against"), 1.0).otherwise(-1.0).alias("r"))
+    return harmonise(study, reference, flank, most_maf_gap).join(votes, "variant", "left").select("variant", "ref_id", "action", F.coalesce("agree", F.lit(0)).alias("agree"), F.coalesce("against", F.lit(0)).alias("against"))
+
+
+def component_search(values: DataFrame, samples: list, pairs: DataFrame, genotypes: DataFrame, cutoff: float, step: int = 5, most: int = 50, patience: int = 2) -> DataFrame:
+    """(components, hits, genes, best): how many pairs (and genes with one) have p up to cutoff after 0, step, 2 step, ... components are taken out
+    of the values, and which number gives the most hits (of equal ones the least).
+
+    values has (gene, values), an array in order of samples. The components are those of samples over all genes, decomposed once; the mapping is
+    repeated on residuals until hits have not risen for so many steps. The driver loops over steps only."""
+    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
+    rows = settled(values.where(F.forall("values", lambda x: x.isNotNull())).select("gene", F.transform("values", lambda x: x.cast("double")).alias("values")).select("gene", F.transform("values", lambda x: x - mean).alias("values")))
+    svd = decompose.singular_values(rows, "values", min(most, len(samples)), centre=False)
+    names = F.array(*(F.lit(s) for s in samples))
+    found, best, since, k = [], -1, 0, 0
+    while k <= min(most, len(svd["values"])):
+        left = matrix.remove_components(rows, "values", svd["means"], svd["vectors"][:k].T) if k else rows.withColumn("residual", F.col("values"))
+        long = left.select("gene", F.posexplode("residual").alias("i", "value")).select("gene", F.get(names, F.col("i")).alias("sample"), "value")
+        hits = associate(pairs, genotypes, long, [], "variant", "gene", "sample", "dosage", "value").where(F.col("p") <= cutoff)
+        one = hits.agg(F.count("*").alias("hits"), F.count_distinct("gene").alias("genes")).first()
+        found.append((k, one["hits"], one["genes"]))
+        since = 0 if one["hits"] > best else since + 1
+        best = max(best, one["hits"])
+        if since >= patience:
+            break
+        k += step
+    top = min(k for k, hits, _ in found if hits == best)
+    return values.sparkSession.createDataFrame([(k, h, g, k == top) for k, h, g in found], "components int, hits long, genes long, best boolean")
+
+
 def gene_scores(results: DataFrame, variants: DataFrame, genes: DataFrame, flank: int) -> DataFrame:
     """(gene, n, chi2, p): the sum of squared z of the variants in and around each gene, and its p with
     one degree of freedom a variant (independent variants: prune first)."""
