@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import correlated, intervals, ld, models, testing
 from . import workflows as flow
-from .catalog import CALLS_SQL, MEMBERS_SQL, _calls, _sets, query, r, rounded
+from .catalog import CALLS_SQL, MEMBERS_SQL, _calls, _sets, _traits, query, r, rounded
 
 
 def _blocks(v):
@@ -69,12 +69,60 @@ def sample_permutations(v):
     return flow.shuffled_samples(v.genotypes.select("sample"), "sample", 3, 7).select("perm", "sample", "shuffled")
 
 
-@query("gene_scores_ld", ("effects", "genotypes", "variants", "genes"))
-def gene_scores_ld(v):
-    """Summed squared z of the variants around each gene against what their LD makes of it."""
+def _gene_links(v):
+    """(gene, variant, z) of the variants around each gene, and (gene, a, b, r) of their pairs in linkage."""
     best = v.effects.groupBy(F.col("snp").alias("variant")).agg(F.max("z").alias("z"))
     g = v.genes.selectExpr("gene", "chrom", "start - 2000 as lo", "stop + 2000 as hi")
     j = intervals.point_join(v.variants.join(best, "variant"), g, ["chrom"], "pos", "lo", "hi", 5000).select("gene", "variant", "z")
     near = ld.genotype_r2(ld.pair_counts(_calls(v), ld.nearby_pairs(v.variants, "variant", "chrom", "pos", 3000), "variant", "sample", "dosage")).where("r2 is not null and n >= 8")
-    links = near.join(j.select("gene", F.col("variant").alias("a")), "a").join(j.select("gene", F.col("variant").alias("b")), ["gene", "b"]).select("gene", "a", "b", F.sqrt("r2").alias("r"))
-    return rounded(correlated.gene_p(j, links, "gene", "variant"), 5)
+    return j, near.join(j.select("gene", F.col("variant").alias("a")), "a").join(j.select("gene", F.col("variant").alias("b")), ["gene", "b"]).select("gene", "a", "b", F.sqrt("r2").alias("r"))
+
+
+@query("gene_scores_ld", ("effects", "genotypes", "variants", "genes"))
+def gene_scores_ld(v):
+    """Summed squared z of the variants around each gene against what their LD makes of it."""
+    return rounded(correlated.gene_p(*_gene_links(v), "gene", "variant"), 5)
+
+
+@query("gene_scores_by_draws", ("effects", "genotypes", "variants", "genes"))
+def gene_scores_by_draws(v):
+    return correlated.gene_p_by_draws(*_gene_links(v), "gene", "variant")
+
+
+@query("meta_items", ("variants",), ", b as (select variant // 10 as block, variant as item from variants), k as (select *, row_number() over (partition by block order by item) as i from b) select block, item, min(item) over (partition by block) as meta, cast(count(*) over (partition by block) as int) as size from k")
+def meta_items(v):
+    """Neighbours correlate by one half, so a block is one chain of links and one item."""
+    return correlated.meta_items(_blocks(v), "block", "item", "loadings", 0.5).select("block", "item", "meta", "size")
+
+
+@query("set_regression_merged", ("variants",))
+def set_regression_merged(v):
+    """Items 0 and 1, 2 and 3, ... of a block are nearly one: they count once in a set."""
+    members, _ = _sets(v)
+    pair = lambda j: F.floor((j - 1) / 2)
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("block")
+    b = _blocks(v).withColumn("i", F.row_number().over(w.orderBy("item"))).withColumn("k", F.count("*").over(w))
+    b = b.withColumn("loadings", F.transform(F.sequence(F.lit(1), F.col("k").cast("int")), lambda j: F.when(j == F.col("i"), 1.0).when(pair(j) == pair(F.col("i")), 0.97).otherwise(F.pow(F.lit(0.5), 1 + F.abs(pair(j) - pair(F.col("i")))))))
+    return correlated.set_regression(b, members, "block", "item", "grp", "y", "loadings", merge=0.9)
+
+
+@query("harmonise_with_ld", ("genotypes", "variants"))
+def harmonise_with_ld(v):
+    """A second panel of the largest calls, whose alleles stand the other way round for every third variant."""
+    study = v.variants.selectExpr("variant", "chrom", "pos", "ref", "alt", "0.05 + variant % 9 * 0.05 as maf").where("ref != alt")
+    turn = "variant % 3 = 0"
+    ref = study.selectExpr("concat('r', variant) as ref_id", "chrom", "pos", f"if({turn}, alt, ref) as ref", f"if({turn}, ref, alt) as alt", "maf")
+    there = v.genotypes.where("dosage is not null").groupBy("variant", "sample").agg(F.max("dosage").alias("d")).selectExpr("concat('r', variant) as ref_id", "sample", f"if({turn}, 2 - d, d) as dosage")
+    return flow.harmonise_by_ld(study, ref, _calls(v), there, 3000, 0.01)
+
+
+@query("component_search", ("genotypes", "variants", "genes"))
+def component_search(v):
+    cells = _traits(v).groupBy("gene", "sample").agg(F.avg("value").alias("value"))
+    samples = [x["sample"] for x in cells.select("sample").distinct().orderBy("sample").collect()]  # a study's samples
+    row = cells.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("sample", "value"))).alias("m"), F.avg("value").alias("mean"))
+    values = row.select("gene", F.transform(F.array(*map(F.lit, samples)), lambda s: F.coalesce(F.try_element_at("m", s), "mean")).alias("values"))
+    pairs = intervals.band_join(v.variants, v.genes, ["chrom"], "pos", "mid", 20000)
+    return flow.component_search(values, samples, pairs, _calls(v), 0.05, step=2, most=6)

@@ -185,10 +185,156 @@ def plain_ica(spark, got):
     assert sorted(c.argmax(axis=0)) == [0, 1, 2] and c.max(axis=0).min() > 0.999
 
 
+def plain_table(sql, *views):
+    from lociframe.plans.views import with_views
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con.sql(f"{with_views(*views)} {sql}").df()
+
+
+def plain_genes(spark, got, rows=None):
+    """Each gene's sum and its exact tail, from the calls themselves."""
+    from lociframe.operators.correlated import mixture_upper_p
+    from lociframe.plans.catalog import CALLS_SQL
+
+    z = plain_table(", b as (select snp as variant, max(z) as z from effects group by snp) select g.gene, b.variant, b.z from b join variants v on b.variant = v.variant join genes g on v.chrom = g.chrom and v.pos between g.start - 2000 and g.stop + 2000", "effects", "variants", "genes")
+    pairs = plain_table(f", {CALLS_SQL} select a, b, abs(corr(x, y)) as r from j group by a, b having count(*) >= 8 and min(x) < max(x) and min(y) < max(y)", "genotypes", "variants")
+    r = {(a, b): c for a, b, c in pairs.itertuples(index=False)}
+    want = {}
+    for gene, g in z.groupby("gene"):
+        ids = sorted(g.variant)
+        m = np.array([[1.0 if a == b else r.get((min(a, b), max(a, b)), 0.0) for b in ids] for a in ids])
+        want[gene] = (len(ids), (g.z**2).sum(), mixture_upper_p(float((g.z**2).sum()), np.maximum(np.linalg.eigvalsh(m), 0)))
+    assert {x.gene for x in got} == set(want)
+    for x in got:
+        n, q, p = want[x.gene]
+        assert x.n == n and x.q == pytest.approx(q, abs=1e-4)
+        if "how" not in x:
+            assert x.p == pytest.approx(p, abs=2e-5)
+        elif x.how == "draws":
+            assert x.over >= 20 and abs(x.p - p) < 6 * math.sqrt(p / x.draws)
+        else:
+            assert x.p == pytest.approx(max(p, 1e-12), rel=1e-6)
+
+
+def plain_merged_sets(spark, got):
+    """Pairs of items merged by hand, one matrix, one solve a set."""
+    from lociframe.plans.catalog import _sets
+    from lociframe.plans.views import Views
+
+    items = sorted(plain_table("select variant from variants", "variants").variant)
+    members = {}
+    for m in _sets(Views(spark, SF))[0].collect():
+        members.setdefault(m.grp, set()).add(m.item)
+    blocks = {}
+    for i in items:
+        blocks.setdefault(i // 10, []).append(i)
+    place, y, mats = {}, [], []
+    for own in blocks.values():
+        pairs = [own[k : k + 2] for k in range(0, len(own), 2)]
+        a = np.array([[1 / len(p) if i in p else 0 for i in own] for p in pairs])
+        r = np.array([[1.0 if i == j else 0.97 if i // 2 == j // 2 else 0.5 ** (1 + abs(i // 2 - j // 2)) for j in range(len(own))] for i in range(len(own))])
+        c = a @ r @ a.T
+        mats.append(np.linalg.inv(c / np.sqrt(np.outer(np.diag(c), np.diag(c)))))
+        for k, p in enumerate(pairs):
+            place |= {i: len(y) + k for i in p}
+        y += (a @ [i * 7919 % 101 / 10 for i in own]).tolist()
+    w, at = np.zeros((len(y), len(y))), 0
+    for m in mats:
+        w[at : at + len(m), at : at + len(m)] = m
+        at += len(m)
+    y = np.array(y)
+    seen = 0
+    for x in got:
+        d = np.column_stack([np.ones(len(y)), np.zeros(len(y))])
+        d[sorted({place[i] for i in members[x.grp] if i in place}), 1] = 1
+        cov = np.linalg.inv(d.T @ w @ d)
+        b = cov @ d.T @ w @ y
+        e = y - d @ b
+        assert x.n == d[:, 1].sum() and x.beta == pytest.approx(b[1], rel=1e-6, abs=1e-9) and x.se == pytest.approx(math.sqrt(e @ w @ e / (len(y) - 2) * cov[1, 1]), rel=1e-6)
+        seen += 1
+    assert seen > 3
+
+
+def plain_linkage(spark, got):
+    """Votes of near variants in passes, from correlations that SQL gives."""
+    v = plain_table("select variant, chrom, pos, ref, alt, 0.05 + variant % 9 * 0.05 as maf from variants where ref <> alt", "variants").set_index("variant")
+    calls = ", c as (select variant, sample, min(dosage) as x, max(dosage) as y from genotypes where dosage is not null group by 1, 2), n as (select a.variant as a, b.variant as b from variants a join variants b on a.chrom = b.chrom and a.variant <> b.variant and abs(a.pos - b.pos) < 3000)"
+    r = plain_table(calls + " select a, b, case when min(p.x) < max(p.x) and min(q.x) < max(q.x) then corr(p.x, q.x) end as r1, case when min(p.y) < max(p.y) and min(q.y) < max(q.y) then corr(p.y, q.y) end as r2 from n join c p on p.variant = a join c q on q.variant = b and q.sample = p.sample group by a, b", "genotypes", "variants").dropna()
+    sign = lambda i: -1 if i % 3 == 0 else 1  # noqa: E731  the second panel's dosages are turned
+    near = {}
+    for a, b, r1, r2 in r.itertuples(index=False):
+        if a in v.index and b in v.index and r1 * r1 >= 0.01 and r2 * r2 >= 0.01:
+            near.setdefault(a, []).append((b, np.sign(r1 * r2) * sign(a) * sign(b)))
+    unclear = {i for i in v.index if {v.ref[i], v.alt[i]} in ({"A", "T"}, {"C", "G"})}
+    way = {i: sign(i) for i in v.index if i not in unclear}  # whether alt is the other panel's alt
+    votes = {}
+    while True:
+        new = {}
+        for i in unclear - set(votes):
+            heard = [s * sign(i) * way[b] for b, s in near.get(i, []) if b in way]
+            agree, against = sum(h > 0 for h in heard), sum(h < 0 for h in heard)
+            if agree + against >= 3 and agree != against:
+                new[i] = (agree, against)
+        if not new:
+            break
+        votes |= new
+        way |= {i: sign(i) * (1 if a > b else -1) for i, (a, b) in new.items()}
+    rows = {x.variant: x for x in got}
+    assert set(rows) == set(v.index)
+    for i, x in rows.items():
+        assert (x.agree, x.against) == votes.get(i, (0, 0)), i
+        if i not in unclear:
+            assert x.action == "keep"
+        elif i in votes:
+            assert x.action == ("keep" if votes[i][0] > votes[i][1] else "swap")
+        else:
+            assert x.action == ("keep" if v.maf[i] < 0.4 else "exclude")
+    assert votes
+
+
+def plain_search(spark, got):
+    """The mapping of residuals by plain correlation, for each number of components."""
+    t = plain_table(", t as (select variant % 100 + 1 as gene, sample, dataset, avg(expression) as value from genotypes group by 1, 2, 3) select gene, sample, avg(value) as value from t group by 1, 2", "genotypes")
+    c = plain_table("select variant, sample, min(dosage) as dosage from genotypes where dosage is not null group by 1, 2", "genotypes").pivot(index="variant", columns="sample", values="dosage")
+    pairs = plain_table("select v.variant, g.gene from variants v join genes g on v.chrom = g.chrom and abs(v.pos - g.mid) < 20000", "variants", "genes")
+    wide = t.pivot(index="gene", columns="sample", values="value")
+    x = wide.apply(lambda r: r.fillna(r.mean()), axis=1).to_numpy()
+    x -= x.mean(axis=1, keepdims=True)
+    vt = np.linalg.svd(x, full_matrices=False)[2]
+    hits = {}
+    for k in range(0, 7, 2):
+        left = dict(zip(wide.index, x - x @ vt[:k].T @ vt[:k]))
+        count, genes = 0, set()
+        for variant, gene in pairs.itertuples(index=False):
+            if variant not in c.index or gene not in left:
+                continue
+            d = c.loc[variant].reindex(wide.columns).to_numpy(float)
+            ok = ~np.isnan(d)
+            n = int(ok.sum())
+            if n < 3 or d[ok].std() == 0:
+                continue
+            r = np.corrcoef(d[ok], left[gene][ok])[0, 1]
+            if abs(r) >= 1:
+                continue
+            f = n - 2
+            u = r * math.sqrt(f / (1 - r * r))
+            z = (8 * f + 1) / (8 * f + 3) * math.sqrt(f * math.log(1 + u * u / f))
+            if math.erfc(z / math.sqrt(2)) <= 0.05:
+                count += 1
+                genes.add(gene)
+        hits[k] = (count, len(genes))
+    mine = {r.components: (r.hits, r.genes) for r in got}
+    assert mine == {k: hits[k] for k in mine} and 0 in mine
+    assert [r.components for r in got if r.best] == [min(k for k, h in mine.items() if h[0] == max(x[0] for x in mine.values()))]
+
+
 #: Queries that SQL cannot say, with what tests them.
-PLAIN = {"elastic_net_models": plain_elastic, "marker_features": plain_markers, "singular_scores": plain_svd, "independent_sources": plain_ica, "sample_dispersion": plain_dispersion, "cell_type_allelic": plain_allelic(True), "cell_type_binomial": plain_allelic(False), "beta_binomial_maximum": plain_overdispersed, "principal_components": plain_components, "remove_components": plain_residuals, "top_with_beta": plain_beta, "beta_adjusted_p": plain_beta}
+PLAIN = {"gene_scores_ld": plain_genes, "gene_scores_by_draws": plain_genes, "set_regression_merged": plain_merged_sets, "harmonise_with_ld": plain_linkage, "component_search": plain_search, "elastic_net_models": plain_elastic, "marker_features": plain_markers, "singular_scores": plain_svd, "independent_sources": plain_ica, "sample_dispersion": plain_dispersion, "cell_type_allelic": plain_allelic(True), "cell_type_binomial": plain_allelic(False), "beta_binomial_maximum": plain_overdispersed, "principal_components": plain_components, "remove_components": plain_residuals, "top_with_beta": plain_beta, "beta_adjusted_p": plain_beta}
 #: Queries whose operators have tests of their own against plain computations.
-ELSEWHERE = {"gene_scores_ld": "test_gene_p_with_ld", "deconvolve_cells": "test_interaction_regression_and_nnls", "conditional_mapping": "test_conditional_mapping_finds_two_effects", "cis_mapping_with_fdr": "test_bounded_cis_mapping_runs"}
+ELSEWHERE = {"deconvolve_cells": "test_interaction_regression_and_nnls", "conditional_mapping": "test_conditional_mapping_finds_two_effects", "cis_mapping_with_fdr": "test_bounded_cis_mapping_runs"}
 
 
 @pytest.fixture(scope="module")
