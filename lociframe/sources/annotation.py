@@ -80,11 +80,11 @@ def read_gwas(spark: SparkSession, path: str, p_column: str = "P-VALUE", most_p:
 def read_pileup(spark: SparkSession, path: str, least_quality: int = 0) -> DataFrame:
     """(chrom, pos, ref, a, c, g, t): counts of bases of enough quality; "." and "," are the reference.
 
-    Insertions, deletions and read ends are taken out of the bases first, up to two digits long."""
+    Insertions and deletions of any length, and read ends, are taken out of the bases first."""
     x = _fields(spark, path, "^#").select(F.get("x", F.lit(0)).alias("chrom"), F.get("x", F.lit(1)).cast("long").alias("pos"), F.upper(F.get("x", F.lit(2))).alias("ref"), F.get("x", F.lit(4)).alias("bases"), F.get("x", F.lit(5)).alias("quals"))
-    clean = F.regexp_replace("bases", r"\^.|\$", "")
-    for n in range(60, 0, -1):
-        clean = F.regexp_replace(clean, rf"[+-]{n}[ACGTNacgtn*]{{{n}}}", "")
+    pieces = F.split(F.regexp_replace("bases", r"\^.|\$", ""), "[+-]")  # each but the first begins with a length and so many bases
+    digits = lambda p: F.regexp_extract(p, "^[0-9]+", 0)
+    clean = F.array_join(F.transform(pieces, lambda p, i: F.when((i == 0) | (digits(p) == ""), p).otherwise(F.substring(p, F.length(digits(p)) + digits(p).try_cast("int") + 1, F.length(p)))), "")
     x = x.withColumn("b", F.split(clean, "")).withColumn("q", F.split("quals", ""))
     kept = F.filter(F.arrays_zip("b", "q"), lambda z: z["b"].isNotNull() & (z["b"] != "") & (F.ascii(z["q"]) - 33 >= least_quality))
     seen = F.transform(kept, lambda z: F.when(z["b"].isin(".", ","), F.col("ref")).otherwise(F.upper(z["b"])))

@@ -71,6 +71,9 @@ def test_annotation(spark, tmp_path):
     assert f == {"c1": "ACGT", "c2": "GG"}
     p = annotation.read_pileup(spark, put(tmp_path, "a.pileup", "1\t5\ta\t5\t.,G+2ACg^I.$\tIIIII\n")).first()
     assert (p.a, p.g) == (3, 2)
+    long = ".+120" + "ACGTN" * 24 + "-75" + "g" * 75 + "c,^+T$"
+    p = annotation.read_pileup(spark, put(tmp_path, "b.pileup", f"1\t5\ta\t4\t{long}\tIIII\n")).first()
+    assert (p.a, p.c, p.g, p.t) == (2, 1, 0, 1)
 
 
 def test_matrices(spark, tmp_path):
