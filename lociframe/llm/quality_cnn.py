@@ -8,7 +8,8 @@ probability. Because largest values are all that counts, a gradient reaches one
 a filter and chunk, which makes training cheap.
 
 Training uses a sample of labelled rows of at most about SAMPLE a class (chosen by a
-hash of the id, among texts of TRAIN_BYTES at most) and, as scoring, every chunk of them. It runs on the
+hash of the id), texts of any length, and, as scoring, every chunk of them: a text's chunks are gone through in pieces, and as only the
+chunks with the largest hidden values have a gradient, only these are kept. It runs on the
 driver, on this bounded sample, from a fixed seed.
 
 A null id is in no sample and stays null in its own row. Null and empty texts are one chunk of zero bytes and get the score that the network
@@ -29,7 +30,7 @@ from .langid import held_out
 from .textops import slices, tidy, utf8
 
 CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 256, 192, 6, 16, 12
-SAMPLE, TRAIN_BYTES, EPOCHS = 1200, 1 << 15, 14
+SAMPLE, EPOCHS = 1200, 14
 _PIECE_CHUNKS = 2048
 
 Model = dict[str, np.ndarray]
@@ -71,6 +72,23 @@ def peaks(filters: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(where), np.concatenate(most)
 
 
+def _leading(m: Model, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each hidden value, the chunk of a text where it is largest: its bytes, and where and how much each filter responds there."""
+    best = None
+    for s in range(0, len(chunks), _PIECE_CHUNKS):
+        piece = chunks[s : s + _PIECE_CHUNKS]
+        where, most = peaks(m["filters"], piece)
+        h = np.maximum(np.maximum(most + m["fb"], 0) @ m["w1"] + m["b1"], 0)
+        at = h.argmax(axis=0)
+        own = h[at, np.arange(HIDDEN)], piece[at], where[at], most[at]
+        if best is None:
+            best = own
+        else:
+            up = own[0] > best[0]
+            best = (np.where(up, own[0], best[0]), *(np.where(up[:, None], a, b) for a, b in zip(own[1:], best[1:])))
+    return best[1:]
+
+
 def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     m: Model = {
@@ -88,28 +106,25 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed
         order = rng.permutation(len(parts))
         for at in range(0, len(order), 48):
             pick = order[at : at + 48]
-            bound = np.cumsum([0] + [len(parts[i]) for i in pick])
-            chunks = np.concatenate([parts[i] for i in pick])
-            where, most = peaks(m["filters"], chunks)
+            chunks, where, most = (np.concatenate(x) for x in zip(*(_leading(m, parts[i]) for i in pick)))  # HIDDEN rows a text
             p0 = most + m["fb"]
             p = np.maximum(p0, 0)
             h0 = p @ m["w1"] + m["b1"]
-            h = np.maximum(h0, 0)
-            top = np.array([h[s:e].argmax(axis=0) + s for s, e in zip(bound[:-1], bound[1:])])  # (text, hidden)
-            doc = np.take_along_axis(h, top, axis=0)
+            unit = np.tile(np.arange(HIDDEN), len(pick))
+            rows = np.arange(len(chunks))
+            doc = np.maximum(h0[rows, unit], 0).reshape(-1, HIDDEN)
             score = 1 / (1 + np.exp(-np.clip(doc @ m["w2"] + m["b2"], -30, 30)))
             g = ((score - labels[pick]) * weights[pick] / len(pick)).astype(np.float32)
             grad = {"w2": doc.T @ g, "b2": g.sum(keepdims=True)}
-            gh = np.zeros_like(h)
-            np.add.at(gh, (top, np.arange(HIDDEN)[None, :]), g[:, None] * m["w2"][None, :])
-            gh *= h0 > 0
+            gh = np.zeros_like(h0)
+            gh[rows, unit] = np.repeat(g, HIDDEN) * m["w2"][unit] * (h0[rows, unit] > 0)
             grad["w1"], grad["b1"] = p.T @ gh, gh.sum(axis=0)
             gp = (gh @ m["w1"].T) * (p0 > 0)
             grad["fb"] = gp.sum(axis=0)
             gf = np.zeros_like(m["filters"])
-            rows, filt = np.arange(len(chunks))[:, None], np.arange(FILTERS)[None, :]
+            filt = np.arange(FILTERS)[None, :]
             for j in range(WIDTH):
-                np.add.at(gf[j], (chunks[rows, where + j], filt), gp)
+                np.add.at(gf[j], (chunks[rows[:, None], where + j], filt), gp)
             grad["filters"] = gf
             step += 1
             rate = 4e-3 * (0.5 * (1 + np.cos(np.pi * epoch / EPOCHS)) + 0.05)
@@ -133,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("label") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
     texts_of = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("txt")).join(F.broadcast(chosen), "id")
-    got = texts_of.select("id", "label", F.coalesce("txt", F.lit("")).cast("binary").alias("bytes")).where(F.length("bytes") <= TRAIN_BYTES).collect()
+    got = texts_of.select("id", "label", F.coalesce("txt", F.lit("")).cast("binary").alias("bytes")).collect()
     got.sort(key=lambda r: (r["id"], r["bytes"]))
     labels_of = np.array([r["label"] for r in got], np.float32)
     if not 0 < labels_of.sum() < len(got):

@@ -103,6 +103,25 @@ def test_language_equals_plain_cosine(spark):
         assert r.score == pytest.approx(cos.max(), abs=1e-4) and r.lang_pred == langs[int(cos.argmax())]
 
 
+def test_long_labelled_texts_are_learnt_from(spark, monkeypatch):
+    """All texts are of 100 KB: they are in the sample, the classes part, and pieces give what one pass gives."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(chr(97 + 13 * (i % 2) + c) for c in rng.integers(0, 13, 100_000))) for i in range(24)]
+    labels = [(i, i % 2) for i in range(24)]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    monkeypatch.setattr(quality_cnn, "EPOCHS", 4)
+    texts = [np.frombuffer(t.encode(), np.uint8) for _, t in rows[:8]]
+    y, w = np.array([i % 2 for i in range(8)], np.float32), np.ones(8)
+    whole = quality_cnn.train(texts, y, w)
+    monkeypatch.setattr(quality_cnn, "_PIECE_CHUNKS", 50)
+    pieces = quality_cnn.train(texts, y, w)
+    assert all(np.allclose(whole[k], pieces[k], atol=1e-5) for k in whole)
+    monkeypatch.setattr(quality_cnn, "EPOCHS", 60)
+    got = quality_cnn.classify(df, known).collect()
+    by = {c: np.mean([r.score for r in got if r.doc_id % 2 == c]) for c in (0, 1)}
+    assert by[1] > by[0] + 0.2
+
+
 def test_quality_scores_equal_a_plain_forward_pass():
     rng = np.random.default_rng(2)
     texts = [rng.integers(97, 123, 600).astype(np.uint8) for _ in range(6)]
