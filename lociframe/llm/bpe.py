@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 from .textops import byte_hashes, slices, tidy, tidy_group
 
-BLOCK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 #: Bytes of text for one bucket of words, about.
 BUCKET_TEXT = 128 << 20
 #: Ids of texts that are decoded at a time, about.
@@ -88,8 +88,8 @@ def _pieces(rows: list[tuple[int, int, int, bytes]], docs: list | None = None) -
     return pa.table([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), pa.array(docs or [None] * len(rows), pa.list_(pa.int64()))], names=["dest", "source", "kind", "payload", "docs"])
 
 
-def _split(buckets: int, kind: int):
-    """Blocks of (id, words). LIST: parts of a block's list of distinct words, for buckets (dest under 0).
+def _split(buckets: int, kind: int, block_bytes: int = BLOCK_BYTES):
+    """Blocks of (id, words), of about block_bytes. LIST: parts of a block's list of distinct words, for buckets (dest under 0).
     TEXTS: the block's texts as word numbers, for the block. The words that are most frequent in
     the block have the smallest numbers; a list keeps their order."""
 
@@ -137,7 +137,7 @@ def _split(buckets: int, kind: int):
                 coded = words.filter(some).dictionary_encode()
                 held.append((coded.dictionary, coded.indices.to_numpy(), np.diff(sums[ends]), batch.column(0).slice(s, e - s).to_pylist()))
                 size += int(pc.sum(pc.binary_length(batch.column(1).slice(s, e - s))).as_py() or 0)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield from flush()
                     size = 0
         if held:
@@ -298,8 +298,9 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: s
     return keyed.join(text, "row", "left").select(*(F.col("own")[c].alias(c) for c in rest), F.coalesce("text", F.lit("")).alias(out_col))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) of every row of docs."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep_ids: bool = False, keep_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) of every row of docs. block_bytes: of text that a task holds at a
+    time, about; smaller blocks repeat more words in their lists."""
     spark = docs.sparkSession
     vocabulary = vocabulary or load_vocabulary()
     tokenizer = spark.sparkContext.broadcast(vocabulary)
@@ -307,8 +308,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     volume = own.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
     buckets = max(16, volume // BUCKET_TEXT)
     split = own.select("id", words_of(F.col("txt")).alias("words"))
-    ids = split.mapInArrow(tidy(_split(buckets, LIST)), _PIECES).groupBy("dest").applyInArrow(tidy_group(_encode(tokenizer)), _PIECES)
-    texts = split.mapInArrow(tidy(_split(buckets, TEXTS)), _PIECES)
+    ids = split.mapInArrow(tidy(_split(buckets, LIST, block_bytes)), _PIECES).groupBy("dest").applyInArrow(tidy_group(_encode(tokenizer)), _PIECES)
+    texts = split.mapInArrow(tidy(_split(buckets, TEXTS, block_bytes)), _PIECES)
     placed = texts.unionByName(ids).groupBy("dest").applyInArrow(tidy_group(_place), _PLACED)
     known = placed.join(F.broadcast(piece_table(spark, vocabulary)), "token_id", "left")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
