@@ -44,7 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs, keep_ids=True)
+    return encode(docs, keep_ids=True, block_bytes=5 << 20)
 
 
 STAGES = [
