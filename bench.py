@@ -8,7 +8,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ("association_screen", "variant_summary", "cis_pairs", "points_in_intervals", "interval_overlaps", "boundary_as_of", "merge_intervals", "correlate", "spearman", "mann_whitney", "simple_regression", "weighted_z", "heterogeneity", "benjamini_hochberg", "permutation_fdr", "quantile_normalise", "ld_r2", "association", "cis_mapping", "risk_scores", "set_rank_enrichment", "principal_components", "compare_results", "top_association")
+HEADLINE = ("association_screen", "variant_summary", "cis_pairs", "points_in_intervals", "interval_overlaps", "boundary_as_of", "merge_intervals", "correlate", "spearman", "mann_whitney", "simple_regression", "weighted_z", "heterogeneity", "benjamini_hochberg", "permutation_fdr", "quantile_normalise", "ld_r2", "association", "cis_mapping", "risk_scores", "set_rank_enrichment", "principal_components", "compare_results", "top_association", "ld_pruned", "gene_scores_ld")
 
 
 def main() -> None:
@@ -29,6 +29,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
+    from lociframe.plans import catalog_correlated  # noqa: F401  (registers its queries)
     from lociframe.plans.catalog import QUERIES
 
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()  # starts the engine

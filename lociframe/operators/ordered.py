@@ -4,7 +4,8 @@ A window without partitions puts every row in one task. Here rows are ranged int
 blocks by their order key; each block is summed; the few block totals are accumulated
 and joined back, and windows run inside the blocks. Blocks come from the data's own
 quantiles, so they are of like size whatever the distribution; equal keys share one
-block."""
+block. How many blocks there are follows from the counted rows; few rows are one block, in one task,
+without quantiles or totals."""
 
 from __future__ import annotations
 
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCKS = 64
+#: Rows of a block, about, and the most blocks.
+BLOCK_ROWS, BLOCKS = 200_000, 512
 
 
 def _tree(key: Column, cuts: list, low: int) -> Column:
@@ -26,41 +28,53 @@ def _tree(key: Column, cuts: list, low: int) -> Column:
     return F.when(key > F.lit(cuts[half]), _tree(key, cuts[half + 1 :], low + half + 1)).otherwise(_tree(key, cuts[:half], low))
 
 
-def blocked(rows: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
-    """rows with __block, the number of quantiles of key under it; null keys are block -1. Rows that have
+def block_cuts(rows: DataFrame, key: str, rows_each: int | None = None) -> list:
+    """The quantiles of key that part rows into blocks of about rows_each; none for so few."""
+    blocks = min(BLOCKS, -(-rows.count() // (rows_each or BLOCK_ROWS)))
+    if blocks <= 1:
+        return []
+    return sorted(set(rows.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], max(1000, 4 * blocks)).alias("cuts")).first()["cuts"] or []))
+
+
+def blocked(rows: DataFrame, key: str, cuts: list | None = None) -> DataFrame:
+    """rows with __block, the number of cuts (block_cuts) under key; null keys are block -1, or in the only one. Rows that have
     blocks keep them."""
     if "__block" in rows.columns:
         return rows
-    cuts = rows.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 1000).alias("cuts")).first()["cuts"] or []
-    return rows.withColumn("__block", F.when(F.col(key).isNull(), -1).otherwise(_tree(F.col(key), sorted(set(cuts)), 0)))
+    cuts = block_cuts(rows, key) if cuts is None else cuts
+    return rows.withColumn("__block", F.when(F.col(key).isNull(), -1).otherwise(_tree(F.col(key), cuts, 0)) if cuts else F.lit(0))
 
 
-def running_sums(rows: DataFrame, key: str, order: list[Column | str], sums: dict[str, Column], descending: bool = False) -> DataFrame:
+def running_sums(rows: DataFrame, key: str, order: list[Column | str], sums: dict[str, Column], descending: bool = False, cuts: list | None = None) -> DataFrame:
     """rows with, for each name, the sum of its column over all rows up to this one in order.
 
-    order begins with key, or its descending."""
-    r = blocked(rows, key)
+    order begins with key, or its descending. cuts: block_cuts of rows, if they are known."""
+    cuts = block_cuts(rows, key) if cuts is None else cuts
+    r = blocked(rows, key, cuts)
     for name, c in sums.items():
         r = r.withColumn(f"__v_{name}", c)
+    w = Window.partitionBy("__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not cuts:
+        return r.select(*rows.columns, *(F.sum(f"__v_{n}").over(w).alias(n) for n in sums))
     totals = r.groupBy("__block").agg(*(F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums))
     first = F.desc("__block") if descending else F.asc("__block")
     before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)  # over at most as many rows as blocks
     offsets = totals.select("__block", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums))
-    w = Window.partitionBy("__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = r.join(F.broadcast(offsets), "__block")
-    for n in sums:
-        out = out.withColumn(n, F.sum(f"__v_{n}").over(w) + F.col(f"__o_{n}"))
-    return out.select(*rows.columns, *sums)
+    return out.select(*rows.columns, *((F.sum(f"__v_{n}").over(w) + F.col(f"__o_{n}")).alias(n) for n in sums))
 
 
-def running_min_from_end(rows: DataFrame, key: str, order: list[Column | str], value: Column, out: str) -> DataFrame:
+def running_min_from_end(rows: DataFrame, key: str, order: list[Column | str], value: Column, out: str, cuts: list | None = None) -> DataFrame:
     """rows with the least value over this and all later rows in order."""
-    r = blocked(rows, key).withColumn("__v", value)
+    cuts = block_cuts(rows, key) if cuts is None else cuts
+    r = blocked(rows, key, cuts).withColumn("__v", value)
+    w = Window.partitionBy("__block").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    if not cuts:
+        return r.select(*rows.columns, F.min("__v").over(w).alias(out))
     totals = r.groupBy("__block").agg(F.min("__v").alias("__t"))
     later = Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
     offsets = totals.select("__block", F.min("__t").over(later).alias("__o"))
-    w = Window.partitionBy("__block").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return r.join(F.broadcast(offsets), "__block").withColumn(out, F.least(F.min("__v").over(w), "__o")).select(*rows.columns, out)
+    return r.join(F.broadcast(offsets), "__block").select(*rows.columns, F.least(F.min("__v").over(w), "__o").alias(out))
 
 
 def carried(rows: DataFrame, on: list[str], block: str, totals: dict[str, Column], over: dict[str, Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import blocked, running_min_from_end, running_sums, settled
+from .ordered import block_cuts, blocked, running_min_from_end, running_sums, settled
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, tie: str, out: str = "q") -> DataFrame:
@@ -19,8 +19,9 @@ def benjamini_hochberg(tests: DataFrame, p: str, tie: str, out: str = "q") -> Da
     t = tests.where(F.col(p).isNotNull())
     c = settled(t.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k")))
     n = c.agg(F.sum("__k")).first()[0] or 0
-    c = running_sums(blocked(c, "__p"), "__p", ["__p"], {"__upto": F.col("__k")})
-    c = running_min_from_end(c, "__p", ["__p"], F.col("__p") * n / F.col("__upto"), out)
+    cuts = block_cuts(c, "__p")
+    c = running_sums(blocked(c, "__p", cuts), "__p", ["__p"], {"__upto": F.col("__k")}, cuts=cuts)
+    c = running_min_from_end(c, "__p", ["__p"], F.col("__p") * n / F.col("__upto"), out, cuts)
     return t.join(c.select("__p", F.least(F.lit(1.0), out).alias(out)), F.col(p) == F.col("__p")).drop("__p")
 
 
@@ -37,13 +38,15 @@ def bonferroni(tests: DataFrame, p: str, out: str = "adjusted") -> DataFrame:
 
 
 def holm(tests: DataFrame, p: str, tie: str, alpha: float = 0.05, out: str = "rejected") -> DataFrame:
-    """tests with whether Holm's step-down rejects: all up to the first p over alpha / (n - rank + 1)."""
+    """tests with whether Holm's step-down rejects: all up to the first p over alpha / (n - rank + 1), in order of p and tie. Only distinct
+    p with their numbers are put in order: of equal p the first rank fails first, and the rest of them after it."""
     t = tests.where(F.col(p).isNotNull())
-    n = t.count()
-    t = running_sums(t, p, [p, tie], {"__rank": F.lit(1)})
-    t = t.withColumn("__fail", (F.col(p) > alpha / (n - F.col("__rank") + 1)).cast("int"))
-    t = running_sums(t, p, [p, tie], {"__fails": F.col("__fail")})
-    return t.withColumn(out, F.col("__fails") == 0).drop("__rank", "__fail", "__fails")
+    c = settled(t.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k")))
+    n = c.agg(F.sum("__k")).first()[0] or 0
+    c = running_sums(c, "__p", ["__p"], {"__upto": F.col("__k")})
+    # at p, ranks from upto - k + 1 to upto: the bound alpha / (n - rank + 1) is least for the first
+    fails = c.where(F.col("__p") > alpha / (n - (F.col("__upto") - F.col("__k") + 1) + 1)).agg(F.min("__p").alias("__first"))  # one row
+    return t.join(F.broadcast(fails), how="left").withColumn(out, F.col("__first").isNull() | (F.col(p) < F.col("__first"))).drop("__first")
 
 
 def storey_pi0(tests: DataFrame, p: str, lam: float = 0.5) -> DataFrame:

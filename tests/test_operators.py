@@ -333,3 +333,32 @@ def test_pruning_in_tiles(spark, by, monkeypatch):
     clumps = {r.k: r.locus for r in ld.greedy_clumps(v, e, "k", "p", ["chrom", "pos"], tile=300).collect()}
     assert clumps == {i: i if i in kept else min(near[i] & kept, key=lambda f: (rank[f], f)) for i in range(n)}
     assert ld.prune(v.limit(0), e, "k", "p").collect() == [] and ld.prune(v.limit(3), e.limit(0), "k", "p").count() == 3
+
+
+def test_many_blocks_equal_one(spark, monkeypatch):
+    """Orders in blocks of a few rows give what one block gives, nulls and ties included."""
+    rng = random.Random(8)
+    data = [(i, None if i % 17 == 0 else rng.randrange(1, 60) / 997, rng.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, p double, v int").repartition(5)
+
+    def results():
+        up = {r.id: r.s for r in ordered.running_sums(df, "p", ["p", "id"], {"s": F.col("v")}).collect()}
+        down = {r.id: r.s for r in ordered.running_sums(df, "p", [F.desc("p"), "id"], {"s": F.col("v")}, descending=True).collect()}
+        least = {r.id: r.m for r in ordered.running_min_from_end(df, "p", ["p", "id"], F.col("v"), "m").collect()}
+        bh = {r.id: round(r.q, 12) for r in testing.benjamini_hochberg(df, "p", "id").collect()}
+        holm = {r.id: r.rejected for r in testing.holm(df, "p", "id", 0.6).collect()}
+        return up, down, least, bh, holm
+
+    one = results()
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 7)
+    assert len(ordered.block_cuts(df, "p")) > 20
+    assert results() == one
+    ps = sorted((p, i) for i, p, _ in data if p is not None)
+    fail = next((k for k, (p, _) in enumerate(ps) if p > 0.6 / (len(ps) - k)), len(ps))
+    assert one[4] == {i: k < fail for k, (_, i) in enumerate(ps)} and 0 < fail < len(ps)
+    order = sorted(data, key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
+    total, want = 0, {}
+    for i, _, v in order:
+        total += v
+        want[i] = total
+    assert one[0] == want
