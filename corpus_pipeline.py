@@ -20,19 +20,22 @@ from lociframe.llm.decontam import contaminated
 from lociframe.llm.ngram_join import jaccard_components
 from lociframe.llm.quality_cnn import keep_good
 from lociframe.llm.secrets import redact
-from lociframe.llm.shared import materialize, table, without
+from lociframe.llm.shared import materialize, small_batches, table, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     groups = jaccard_components(docs)
     return without(docs, groups.where("doc_id != component_id"), "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")), "doc_id")
 
 
@@ -44,6 +47,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return encode(docs, keep_ids=True, block_bytes=5 << 20)
 
 
