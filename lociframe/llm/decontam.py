@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .textops import Words, grams, mix, shingle_sets, slices, utf8
+from .textops import Words, grams, mix, shingle_sets, slices, tidy, utf8
 
 _SLOTS = 1 << 20
 _SMALL = 16
@@ -109,7 +109,7 @@ def _search(k: int, bands: int, levels: list[int], key_table, tok_table):
         keyt, tokt = key_table.value, tok_table.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for s, e in slices(batch.column(1)):
+            for s, e in slices(batch.column(1), 1 << 19):
                 words = Words(*utf8(batch.column(1).slice(s, e - s)))
                 begun, row = row, row + e - s
                 h = words.hashes()
@@ -196,14 +196,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("txt"))
     ref = items.select(F.monotonically_increasing_id().alias("ref"), F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("txt"))
-    ref = materialize(ref.mapInArrow(_items(k, bands, percent), _ITEM).where("n > 0"), "items")
+    ref = materialize(ref.mapInArrow(tidy(_items(k, bands, percent)), _ITEM).where("n > 0"), "items")
     levels = sorted(r[0] for r in ref.select("level").distinct().collect())  # powers of two: a few dozen at most
     if not levels:
         hits = spark.createDataFrame([], _HIT)
     else:
         key_table = spark.sparkContext.broadcast(_slot_table(ref.select(F.explode("keys").alias("v"))))
         tok_table = spark.sparkContext.broadcast(_slot_table(ref.select(F.explode("toks").alias("v"))))
-        hits = materialize(own.mapInArrow(_search(k, bands, levels, key_table, tok_table), _HIT), "hits")
+        hits = materialize(own.mapInArrow(tidy(_search(k, bands, levels, key_table, tok_table)), _HIT), "hits")
     keys = ref.select("ref", F.explode("keys").alias("key"))
     pairs = hits.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "ref").distinct()
     both = pairs.join(hits.select("row", "doc", F.col("toks").alias("have")), "row").join(ref.select("ref", "item", "n", "toks"), "ref")
