@@ -47,6 +47,7 @@ PHRASES = (
     Template("reserved", "all rights reserved", 2),
 )
 #: Notices, found approximately.
+# Published notices.
 NOTICES = (
     Template("notice-apache-2.0", "licensed under the apache license version 2 0", 2, 0.7),
     Template("notice-mit", "released under the mit license", 2, 0.7),
@@ -57,6 +58,7 @@ NOTICES = (
     Template("notice-mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 4, 0.6),
 )
 #: Bodies of licenses, as published.
+# Published license texts; those of Apache, GPL, MPL and CC are the notices that their licenses ask for.
 BODIES = (
     Template(
         "mit",
