@@ -28,8 +28,9 @@ def benjamini_hochberg(tests: DataFrame, p: str, tie: str, out: str = "q") -> Da
 def benjamini_hochberg_by(tests: DataFrame, by: list[str], p: str, tie: str, out: str = "q") -> DataFrame:
     """The same inside each group, as plain windows."""
     w = Window.partitionBy(*by)
-    t = tests.where(F.col(p).isNotNull()).withColumn("__x", F.col(p) * F.count("*").over(w) / F.row_number().over(w.orderBy(p, tie)))
-    return t.withColumn(out, F.least(F.lit(1.0), F.min("__x").over(w.orderBy(p, tie).rowsBetween(0, Window.unboundedFollowing)))).drop("__x")
+    t = tests.where(F.col(p).isNotNull()).withColumn("__r", F.row_number().over(w.orderBy(p, tie)))
+    least = F.min(F.col(p) * F.col("__n") / F.col("__r")).over(w.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0))  # from the end
+    return t.withColumn("__n", F.count("*").over(w)).withColumn(out, F.least(F.lit(1.0), least)).drop("__r", "__n")
 
 
 def bonferroni(tests: DataFrame, p: str, out: str = "adjusted") -> DataFrame:
