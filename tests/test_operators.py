@@ -372,8 +372,17 @@ def test_minima_from_the_end_read_a_row_once(spark):
     """Frames that are open at the end cost rows squared, so windows begin there."""
     df = spark.createDataFrame([(i, (i * 7 % 10) / 10 or None, i % 3) for i in range(40)], "id int, p double, g int")
     q = testing.benjamini_hochberg_by(df, ["g"], "p", "id")
-    assert all("unboundedfollowing" not in plan(x) for x in (testing.benjamini_hochberg(df, "p", "id"), q))
+    assert all("currentrow$(), unboundedfollowing" not in plan(x) for x in (testing.benjamini_hochberg(df, "p", "id"), q))
     for g in range(3):
         own = sorted((r.p, r.id, r.q) for r in q.where(f"g = {g}").collect())
         want = [min(1.0, *(p * len(own) / (k + 1) for k, (p, _, _) in enumerate(own) if k >= i)) for i in range(len(own))]
         assert [x for _, _, x in own] == pytest.approx(want)
+
+
+def test_storey_q_reads_a_row_once(spark):
+    df = spark.createDataFrame([(i, (i * 7 % 11) / 11) for i in range(44)], "id int, p double")
+    q = testing.storey_q(df, "p", "id")
+    assert "currentrow$(), unboundedfollowing" not in plan(q)
+    pi0 = min(1.0, sum(i * 7 % 11 > 5 for i in range(44)) / 22)
+    bh = {r.id: r.q for r in testing.benjamini_hochberg(df, "p", "id").collect()}
+    assert {r.id: r.q for r in q.collect()} == pytest.approx({k: x * pi0 for k, x in bh.items()})
