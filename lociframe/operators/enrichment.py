@@ -29,9 +29,9 @@ def rank_enrichment(scores: DataFrame, members: DataFrame, item: str, group: str
     """n, z, p and auc of each set's scores against all other items', from one ranking of all items.
 
     Items are ranked by distinct score through counts, not in one task."""
-    from .ordered import running_sums
+    from .ordered import running_sums, settled
 
-    s = scores.where(F.col(score).isNotNull()).dropDuplicates([item])
+    s = settled(scores.where(F.col(score).isNotNull()).dropDuplicates([item]))
     n = s.count()
     c = running_sums(s.groupBy(score).agg(F.count("*").alias("__k")), score, [score], {"__upto": F.col("__k")})
     r = c.select(score, (F.col("__upto") - (F.col("__k") - 1) / 2).alias("__rank"))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import alleles
 from ..functions.special import log_gamma
 from .aggregates import correlate, interaction_regression
-from .ordered import running_sums
+from .ordered import running_sums, settled
 
 
 def cube_slice(cube: DataFrame, **bound: object) -> DataFrame:
@@ -184,7 +184,7 @@ def empirical_p(values: DataFrame, null: DataFrame, by: list[str], value: str, w
 
 def naive_bh(tests: DataFrame, p: str, tie: str, out: str = "q") -> DataFrame:
     """p times the whole part of n / rank, without a running minimum, as some older tools report."""
-    t = tests.where(F.col(p).isNotNull())
+    t = settled(tests.where(F.col(p).isNotNull()))
     n = t.count()
     return running_sums(t, p, [p, tie], {"__rank": F.lit(1)}).withColumn(out, F.col(p) * F.floor(F.lit(n) / F.col("__rank"))).drop("__rank")
 

@@ -15,8 +15,9 @@ def benjamini_hochberg(tests: DataFrame, p: str, tie: str, out: str = "q") -> Da
     """tests (null p left out) with min(1, least of p n / rank over this and larger p).
 
     Equal p share the least, that of the last of them, so only distinct p with their numbers are put in order,
-    in one set of blocks. tie is not needed for the result."""
-    t = tests.where(F.col(p).isNotNull())
+    in one set of blocks. tie is not needed for the result. Tests are written before they meet their p again: sums that are
+    computed a second time may differ in their last digit."""
+    t = settled(tests.where(F.col(p).isNotNull()))
     c = settled(t.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k")))
     n = c.agg(F.sum("__k")).first()[0] or 0
     cuts = block_cuts(c, "__p")
@@ -40,8 +41,9 @@ def bonferroni(tests: DataFrame, p: str, out: str = "adjusted") -> DataFrame:
 
 def holm(tests: DataFrame, p: str, tie: str, alpha: float = 0.05, out: str = "rejected") -> DataFrame:
     """tests with whether Holm's step-down rejects: all up to the first p over alpha / (n - rank + 1), in order of p and tie. Only distinct
-    p with their numbers are put in order: of equal p the first rank fails first, and the rest of them after it."""
-    t = tests.where(F.col(p).isNotNull())
+    p with their numbers are put in order: of equal p the first rank fails first, and the rest of them after it. Tests are written before
+    they meet the first p again, as in benjamini_hochberg."""
+    t = settled(tests.where(F.col(p).isNotNull()))
     c = settled(t.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k")))
     n = c.agg(F.sum("__k")).first()[0] or 0
     c = running_sums(c, "__p", ["__p"], {"__upto": F.col("__k")})
@@ -103,7 +105,7 @@ def apply_thresholds(tests: DataFrame, thresholds: DataFrame, p: str, fdr: str =
 
 def qq(tests: DataFrame, p: str, tie: str) -> DataFrame:
     """expected and observed -log10 p, from ranks over n + 1."""
-    t = tests.where(F.col(p) > 0)
+    t = settled(tests.where(F.col(p) > 0))
     n = t.count()
     r = running_sums(t, p, [p, tie], {"__rank": F.lit(1)})
     return r.select(tie, (-F.log10(F.col("__rank") / (n + 1))).alias("expected"), (-F.log10(p)).alias("observed"))
