@@ -6,9 +6,11 @@ bounds; groups are spread over tasks by their key."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,38 +47,99 @@ def f_test(rss_small: float, rss_big: float, df_small: int, df_big: int) -> floa
     return float(betainc(np.array([df_big / 2]), np.array([(df_small - df_big) / 2]), np.array([df_big / (df_big + (df_small - df_big) * max(f, 0.0))]))[0])
 
 
+def nnls_many(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """nnls of each matrix of a stack (groups, rows, columns) and its row of b, all at once; a group that comes back to where it was is done."""
+    m, _, n = a.shape
+    x, free, done = np.zeros((m, n)), np.zeros((m, n), bool), np.zeros(m, bool)
+    gradient = np.einsum("mrn,mr->mn", a, b)
+    for _ in range(rounds):
+        steep = np.where(free, -np.inf, gradient)
+        at = np.flatnonzero(~done & (steep.max(axis=1) > 1e-10))
+        if not len(at):
+            break
+        was, had = x[at], free[at]
+        free[at, steep[at].argmax(axis=1)] = True
+        inner = at
+        while len(inner):
+            own = np.where(free[inner][:, None, :], a[inner], 0.0)
+            s = np.where(free[inner], np.einsum("mnr,mr->mn", np.linalg.pinv(own, rcond=np.finfo(float).eps * max(own.shape[1:])), b[inner]), 0.0)
+            bad = free[inner] & (s <= 0)
+            out = bad.any(axis=1)
+            x[inner[~out]] = s[~out]
+            inner, s, bad = inner[out], s[out], bad[out]
+            step = np.where(bad, x[inner] / np.maximum(x[inner] - s, 1e-300), np.inf).min(axis=1, initial=np.inf)
+            x[inner] += np.where(np.isfinite(step), step, 0.0)[:, None] * (s - x[inner])
+            free[inner] &= x[inner] > 1e-12
+        done[at] = (free[at] == had).all(axis=1) & (x[at] == was).all(axis=1)
+        gradient[at] = np.einsum("mrn,mr->mn", a[at], b[at] - np.einsum("mrn,mn->mr", a[at], x[at]))
+    return x
+
+
+def f_tests(rss_small: np.ndarray, rss_big: np.ndarray, df_big: np.ndarray) -> np.ndarray:
+    """p of dropping one term, which leaves rss_small of rss_big; NaN without degrees of freedom or residuals."""
+    out = np.full(len(rss_big), np.nan)
+    ok = (rss_big > 0) & (df_big > 0)
+    d = df_big[ok].astype(float)
+    f = np.maximum((rss_small[ok] - rss_big[ok]) / (rss_big[ok] / d), 0.0)
+    out[ok] = betainc(d / 2, np.full(len(d), 0.5), d / (d + f))
+    return out
+
+
+#: Numbers of a stack of groups that are worked on at once.
+STACK = 1 << 20
+
+
+def _cell_effects(r: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(beta, beta_dosage, p), groups by cells, from the triangles (groups, rows, 2 k + 1) of proportions, their products with dosage, and values."""
+    y = r[:, :, 2 * k]
+    rss = lambda a, x: ((y - np.einsum("mrn,mn->mr", a, x)) ** 2).sum(axis=1)
+    a = r[:, :, : 2 * k]
+    turned = np.concatenate([a[:, :, :k], 2 * a[:, :, :k] - a[:, :, k:]], axis=2)
+    x, xt = nnls_many(a, y), nnls_many(turned, y)
+    big, big_t = rss(a, x), rss(turned, xt)
+    turn = big_t < big
+    a, x, big = np.where(turn[:, None, None], turned, a), np.where(turn[:, None], xt, x), np.where(turn, big_t, big)
+    p = np.empty((len(n), k))
+    for i in range(k):
+        less = np.delete(a, k + i, axis=2)
+        p[:, i] = f_tests(rss(less, nnls_many(less, y)), big, n - 2 * k)
+    return x[:, :k], np.where(turn[:, None], -x[:, k:], x[:, k:]), p
+
+
 def deconvolve(values: DataFrame, by: list[str], expression: str, dosage: str, proportions: list[str]) -> DataFrame:
     """Cell-type effects: expression as a sum over cell types of proportion and proportion times
     dosage, coefficients of 0 or more, for dosage as it is and turned (2 - dosage), each term in whichever
     fits better. (by, cell, beta, beta_dosage, p): p of dropping the cell's dosage term, by an F-test.
 
-    values has one row per sample, without nulls in what is used."""
-    key = list(by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, g = pdf[expression].to_numpy(float), pdf[dosage].to_numpy(float)
-        c = pdf[proportions].to_numpy(float)
-        best = None
-        for turned in (False, True):
-            d = 2 - g if turned else g
-            a = np.column_stack([c, c * d[:, None]])
-            x = nnls(a, y)
-            rss = float(((y - a @ x) ** 2).sum())
-            if best is None or rss < best[0]:
-                best = (rss, a, x, turned)
-        rss, a, x, turned = best
-        k, n = len(proportions), len(y)
-        rows = []
-        for i, cell in enumerate(proportions):
-            less = np.delete(a, k + i, axis=1)
-            small = float(((y - less @ nnls(less, y)) ** 2).sum())
-            p = f_test(small, rss, n - 2 * k + 1, n - 2 * k)
-            rows.append([*(pdf[b].iloc[0] for b in key), cell, float(x[i]), float(-x[k + i] if turned else x[k + i]), p])
-        return pd.DataFrame(rows, columns=[*key, "cell", "beta", "beta_dosage", "p"])
+    values has one row per sample, without nulls in what is used. Groups of a batch are brought to triangles (QR) and solved as stacks."""
+    key, k = list(by), len(proportions)
+    used = [*proportions, dosage, expression]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column(len(key) + i) for i in range(k + 2)]
+            flat = [x.flatten().to_numpy(zero_copy_only=False) for x in arrays]
+            n = arrays[0].value_lengths().to_numpy(zero_copy_only=False).astype(int)
+            start = np.cumsum(n) - n
+            beta, slope, p = (np.empty((len(n), k)) for _ in range(3))
+            order = np.argsort(n, kind="stable")
+            while len(order):
+                width = np.maximum(n[order], 2 * k + 1)  # rising
+                take = max(1, int((width * np.arange(1, len(order) + 1) * (2 * k + 1) <= STACK).sum()))
+                own, order, rows = order[:take], order[take:], int(width[take - 1])
+                place = np.arange(rows)[None, :]
+                inside = place < n[own][:, None]
+                at = np.where(inside, start[own][:, None] + place, 0)
+                *c, g, y = (np.where(inside, x[at], 0.0) for x in flat)
+                r = np.linalg.qr(np.stack([*c, *(x * g for x in c), y], axis=2), mode="r")
+                beta[own], slope[own], p[own] = _cell_effects(r, n[own], k)
+            keys = [c.take(pa.array(np.repeat(np.arange(len(n)), k))) for c in batch.columns[: len(key)]]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(proportions * len(n), pa.string()), *(pa.array(x.ravel()) for x in (beta, slope, p))], names=[*key, "cell", "beta", "beta_dosage", "p"])
 
     types = dict(values.dtypes)
     schema = ", ".join(f"{b} {types[b]}" for b in key) + ", cell string, beta double, beta_dosage double, p double"
-    out = values.dropna(subset=[expression, dosage, *proportions]).groupBy(*key).applyInPandas(run, schema)
+    one = values.dropna(subset=[expression, dosage, *proportions]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(used))))).alias("__v"))
+    out = one.select(*key, *(F.col(f"__v.v{i}").alias(f"__v{i}") for i in range(k + 2))).mapInArrow(run, schema)
     return out.withColumn("p", F.when(~F.isnan("p"), F.col("p")))
 
 
