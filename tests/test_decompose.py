@@ -71,3 +71,12 @@ def test_empty_and_constant(spark):
     flat = table(spark, np.ones((5, 3)))
     assert decompose.singular_values(flat, "x", 2)["values"] == pytest.approx([0, 0], abs=1e-12)
     assert decompose.independent_components(flat, "x", 2)["loadings"].shape[0] == 0
+
+
+def test_few_rows_of_many_columns_settle(spark):
+    """A few rows' directions are used up in a few rounds; rounding must not be taken for more of them."""
+    x = np.random.default_rng(5).standard_normal((40, 300)) * 30
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(4)
+    svd = decompose.singular_values(df, "v", 6, centre=False, wide=100)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(svd["values"], s[:6], rtol=1e-8) and np.allclose(np.abs((svd["vectors"] * vt[:6]).sum(axis=1)), 1, atol=1e-6)
