@@ -433,3 +433,31 @@ def test_deconvolution_in_stacks_is_that_of_each_group(spark):
     for k, cells in want.items():
         for cell, w in zip(("c1", "c2"), cells):
             assert found[k, cell] == pytest.approx(w, abs=1e-6)  # p near 1 goes with the root of rounding
+
+
+def test_mixups_of_all_pairs_are_never_rows(spark):
+    """Against plain loops; a sample measured twice in a gene, samples and genes that are null, and blocks of several samples."""
+    rng = np.random.default_rng(5)
+    effects = [(v, v % 3) for v in range(7)] + [(7, None)]
+    geno = [(v, s, int(rng.integers(3))) for v in range(8) for s in range(24) if rng.random() < 0.9] + [(1, None, 0), (2, 3, None)]
+    vals = [(g, s, float(rng.normal())) for g in range(3) for s in range(24) if rng.random() < 0.9] + [(0, 5, 0.25), (1, None, 0.5), (None, 4, 1.0)]
+    groups, want = {}, {}
+    for v, g in effects:
+        for w, s, d in geno:
+            for h, t, x in vals:
+                if v == w and g is not None and g == h and s is not None and s == t and d is not None:
+                    groups.setdefault((v, g, d), []).append(x)
+    for (v, g, d), xs in groups.items():
+        if len(xs) >= 3 and np.std(xs, ddof=1) > 0:
+            for w, s, e in geno:
+                for h, t, x in vals:
+                    if (w, e, h) == (v, d, g):
+                        want.setdefault((s, t), []).append(abs(x - np.mean(xs)) / np.std(xs, ddof=1))
+    frames = [spark.createDataFrame(r, c) for r, c in ((effects, "variant int, gene int"), (geno, "variant int, sample long, dosage int"), (vals, "gene long, sample long, value double"))]
+    from unittest import mock
+
+    with mock.patch.multiple(flow, GENOTYPED=10, MEASURED=7):
+        scores = flow.mixups(*frames)
+        got = {(r.genotyped, r.measured): (r.score, r.n) for r in scores.collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == len(x) and abs(got[k][0] - np.mean(x)) < 1e-9 for k, x in want.items())
+    assert "Join" not in scores._jdf.queryExecution().optimizedPlan().toString()  # once scored, a pair of samples is no join's row
