@@ -135,8 +135,15 @@ def _correlations(own, near) -> np.ndarray:
     return m
 
 
-def _matrix(rows: pd.DataFrame, loadings: str) -> np.ndarray:
-    return np.stack(rows[loadings].to_numpy()).astype(float)
+def gathered(rows: DataFrame, block: str, item: str, **columns: Column) -> DataFrame:
+    """(block, items, names...): a row a block, arrays in order of item. Blocks go through Python many to a batch, as a call for each costs more than its work."""
+    one = F.sort_array(F.collect_list(F.struct(F.col(item).alias("items"), *(c.alias(n) for n, c in columns.items()))))
+    g = rows.groupBy(block).agg(one.alias("__r"))
+    return g.select(block, *(F.col(f"__r.{n}").alias(n) for n in ("items", *columns)))
+
+
+def _square(rows) -> np.ndarray:
+    return np.stack(list(rows)).astype(float)
 
 
 def merged_items(r: np.ndarray, least: float) -> np.ndarray:
@@ -160,15 +167,18 @@ def _merged(r: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def meta_items(rows: DataFrame, block: str, item: str, loadings: str, least: float) -> DataFrame:
     """(block, item, meta, size): the first item of each item's group of merged ones, inside its block, and how many it has."""
-    kinds = dict(rows.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
-        g, names = merged_items(_matrix(pdf, loadings), least), pdf[item].to_numpy()
-        first = np.array([np.flatnonzero(g == k)[0] for k in range(g.max() + 1)])
-        return pd.DataFrame({block: pdf[block].iloc[0], item: names, "meta": names[first[g]], "size": np.bincount(g)[g]})
+    @F.pandas_udf("array<struct<first:int,size:int>>")
+    def run(matrices: pd.Series) -> pd.Series:
+        out = []
+        for r in map(_square, matrices):
+            g = merged_items(r, least)
+            _, first = np.unique(g, return_index=True)
+            out.append([{"first": a, "size": b} for a, b in zip(first[g].tolist(), np.bincount(g)[g].tolist())])
+        return pd.Series(out)
 
-    return rows.select(block, item, loadings).groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, {item} {kinds[item]}, meta {kinds[item]}, size int")
+    each = gathered(rows, block, item, loadings=F.col(loadings)).withColumn("__g", run("loadings"))
+    return each.select(block, "items", F.posexplode("__g").alias("__i", "__g")).select(block, F.get("items", "__i").alias(item), F.get("items", F.col("__g.first")).alias("meta"), F.col("__g.size").alias("size"))
 
 
 def _inverse(r: np.ndarray) -> np.ndarray:
@@ -180,14 +190,14 @@ def _inverse(r: np.ndarray) -> np.ndarray:
 def inverse_blocks(rows: DataFrame, block: str, item: str, loadings: str) -> DataFrame:
     """(block, a, b, value): the (pseudo-)inverse of each block's correlations. loadings is each item's row of the
     block's matrix, in order of item."""
-    kinds = dict(rows.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
-        m, names = _inverse(_matrix(pdf, loadings)), pdf[item].to_numpy()
-        return pd.DataFrame({block: pdf[block].iloc[0], "a": np.repeat(names, len(names)), "b": np.tile(names, len(names)), "value": m.ravel()})
+    @F.pandas_udf("array<double>")
+    def run(matrices: pd.Series) -> pd.Series:
+        return pd.Series([_inverse(_square(x)).ravel() for x in matrices])
 
-    return rows.select(block, item, loadings).groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, a {kinds[item]}, b {kinds[item]}, value double")
+    each = gathered(rows, block, item, loadings=F.col(loadings)).withColumn("__v", run("loadings")).withColumn("__k", F.size("items"))
+    each = each.select(block, "items", "__k", F.posexplode("__v").alias("__i", "value"))
+    return each.select(block, F.get("items", F.floor(F.col("__i") / F.col("__k")).cast("int")).alias("a"), F.get("items", F.col("__i") % F.col("__k")).alias("b"), "value")
 
 
 def set_regression(rows: DataFrame, members: DataFrame, block: str, item: str, group: str, y: str, loadings: str, least: int = 2, merge: float | None = None) -> DataFrame:
@@ -196,28 +206,33 @@ def set_regression(rows: DataFrame, members: DataFrame, block: str, item: str, g
     their mean y, which is in a set if one of them is and counts there once. Blocks come to sums by set, which Spark adds up; a set's items
     are never gathered."""
     m = members.select(item, group).distinct().groupBy(item).agg(F.collect_list(group).alias("__sets"))
-    kind = dict(members.dtypes)[group]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
-        r, v = _matrix(pdf, loadings), pdf[y].to_numpy(float)
-        group_of = np.arange(len(v))
-        if merge is not None:
-            group_of = merged_items(r, merge)
-            means, r = _merged(r, group_of)
-            v = means @ v
-        w = _inverse(r)
-        wy, w1 = w @ v, w.sum(axis=1)
-        inside: dict = {}
-        for i, sets in zip(group_of.tolist(), pdf["__sets"]):
-            for s in sets if sets is not None else ():
-                if i not in (own := inside.setdefault(s, [])):
-                    own.append(i)
-        out = [(None, len(v), w1.sum(), wy.sum(), v @ wy, 0.0, 0.0)]
-        out += [(s, len(i), 0.0, 0.0, w[np.ix_(i, i)].sum(), w1[i].sum(), wy[i].sum()) for s, i in inside.items()]
-        return pd.DataFrame(out, columns=[group, "n", "s11", "s1y", "sq", "s1x", "sxy"])
-
-    sums = rows.select(block, item, y, loadings).join(m, item, "left").groupBy(block).applyInPandas(run, f"{group} {kind}, n long, s11 double, s1y double, sq double, s1x double, sxy double")
+
+    @F.pandas_udf("array<struct<at:int,own:int,n:long,s11:double,s1y:double,sq:double,s1x:double,sxy:double>>")
+    def run(matrices: pd.Series, ys: pd.Series, places: pd.Series) -> pd.Series:
+        """The sums of a block, and those of each set in it, named by where it is first among the sets of the block's items (at item, own of its list)."""
+        blocks = []
+        for r, v, named in zip(map(_square, matrices), ys, places):
+            v = np.asarray(v, float)
+            group_of = np.arange(len(v))
+            if merge is not None:
+                group_of = merged_items(r, merge)
+                means, r = _merged(r, group_of)
+                v = means @ v
+            w = _inverse(r)
+            wy, w1 = w @ v, w.sum(axis=1)
+            inside: dict = {}
+            for i, item_at, codes in zip(group_of.tolist(), range(len(group_of)), named):
+                for k, s in enumerate(codes if codes is not None else ()):
+                    if i not in (own := inside.setdefault(s, (item_at, k, []))[2]):
+                        own.append(i)
+            out = [(-1, -1, len(v), w1.sum(), wy.sum(), v @ wy, 0.0, 0.0)]
+            out += [(p, k, len(i), 0.0, 0.0, w[np.ix_(i, i)].sum(), w1[i].sum(), wy[i].sum()) for p, k, i in inside.values()]
+            blocks.append([dict(zip(("at", "own", "n", "s11", "s1y", "sq", "s1x", "sxy"), x)) for x in out])
+        return pd.Series(blocks)
+
+    each = gathered(rows.join(m, item, "left"), block, item, y=F.col(y), loadings=F.col(loadings), sets=F.col("__sets"))
+    each = each.withColumn("__codes", F.transform("sets", lambda x: F.transform(x, lambda s: s.cast("string"))))
+    sums = each.select("sets", F.explode(run("loadings", "y", "__codes")).alias("__x")).select(F.get(F.get("sets", F.col("__x.at")), F.col("__x.own")).alias(group), *(F.col(f"__x.{c}") for c in ("n", "s11", "s1y", "sq", "s1x", "sxy")))
     sums = sums.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("n", "s11", "s1y", "sq", "s1x", "sxy")))
     every = sums.where(F.col(group).isNull()).select(F.col("n").alias("all"), F.col("s11").alias("t11"), F.col("s1y").alias("t1y"), F.col("sq").alias("tyy"))  # one row
     s = sums.where(F.col(group).isNotNull() & (F.col("n") >= least)).join(F.broadcast(every))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import betainc
+from .correlated import gathered
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -201,19 +202,23 @@ def generalised_least_squares(rows: DataFrame, block: str, item: str, x: str, y:
     """One row (n, beta, alpha, se, t) of y on x where errors of items of a block correlate.
 
     loadings is each item's row of its block's correlation matrix, as an array in order of item.
-    Each block is whitened by its own eigenvectors in a task of its own; the whitened sums
+    Each block is whitened by its own eigenvectors; the whitened sums
     of all blocks are then added up."""
 
-    def whiten(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
-        r = np.stack(pdf[loadings].to_numpy()).astype(float)
-        w, v = np.linalg.eigh((r + r.T) / 2)
-        ok = w > 1e-8
-        t = v[:, ok] / np.sqrt(w[ok])
-        one, a, b = t.T @ np.ones(len(pdf)), t.T @ pdf[x].to_numpy(float), t.T @ pdf[y].to_numpy(float)
-        return pd.DataFrame({"n": [int(ok.sum())], "s1": [one @ one], "sx": [one @ a], "sy": [one @ b], "sxx": [a @ a], "sxy": [a @ b], "syy": [b @ b]})
-
-    s = rows.groupBy(block).applyInPandas(whiten, "n int, s1 double, sx double, sy double, sxx double, sxy double, syy double").agg(*(F.sum(c).alias(c) for c in ("n", "s1", "sx", "sy", "sxx", "sxy", "syy")))
+    @F.pandas_udf("struct<n:int,s1:double,sx:double,sy:double,sxx:double,sxy:double,syy:double>")
+    def whiten(matrices: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out = []
+        for m, a, b in zip(matrices, xs, ys):
+            r = np.stack(list(m)).astype(float)
+            w, v = np.linalg.eigh((r + r.T) / 2)
+            ok = w > 1e-8
+            t = v[:, ok] / np.sqrt(w[ok])
+            one, a, b = t.T @ np.ones(len(r)), t.T @ np.asarray(a, float), t.T @ np.asarray(b, float)
+            out.append((int(ok.sum()), one @ one, one @ a, one @ b, a @ a, a @ b, b @ b))
+        return pd.DataFrame(out, columns=["n", "s1", "sx", "sy", "sxx", "sxy", "syy"])
+
+    each = gathered(rows, block, item, x=F.col(x), y=F.col(y), loadings=F.col(loadings))
+    s = each.select(whiten("loadings", "x", "y").alias("w")).select("w.*").agg(*(F.sum(c).alias(c) for c in ("n", "s1", "sx", "sy", "sxx", "sxy", "syy")))
     det = F.col("s1") * F.col("sxx") - F.col("sx") ** 2
     beta = (F.col("s1") * F.col("sxy") - F.col("sx") * F.col("sy")) / det
     alpha = (F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy")) / det

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lociframe.functions.special import gammaincc
-from lociframe.operators import correlated
+from lociframe.operators import correlated, models
 
 
 def test_tails_are_exact():
@@ -108,3 +108,26 @@ def test_merged_items_count_once(spark):
     assert got["one"].n == 1  # three names of one gene
     listed = {r.item: (r.meta, r["size"]) for r in correlated.meta_items(df, "block", "item", "loadings", 0.9).collect()}
     assert listed[0] == (0, 3) and listed[3] == (0, 3) and listed[2] == (2, 1) and len(listed) == len(rows)
+
+
+def test_blocks_go_through_python_many_to_a_batch(spark):
+    """A call of Python for each of many small blocks costs more than its work."""
+    df = spark.createDataFrame([(b, b * 2 + i, float(i), float(b % 5), [1.0, 0.5] if i == 0 else [0.5, 1.0]) for b in range(40) for i in range(2)], "block long, item long, x double, y double, loadings array<double>")
+    members = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(80)], "item long, grp string")
+    by = {
+        "meta": correlated.meta_items(df, "block", "item", "loadings", 0.5),
+        "inverse": correlated.inverse_blocks(df, "block", "item", "loadings"),
+        "sets": correlated.set_regression(df, members, "block", "item", "grp", "y", "loadings"),
+        "merged": correlated.set_regression(df, members, "block", "item", "grp", "y", "loadings", merge=0.5),
+        "gls": models.generalised_least_squares(df, "block", "item", "x", "y", "loadings"),
+    }
+    assert all("InPandas" not in x._jdf.queryExecution().optimizedPlan().toString() for x in by.values())
+    assert {(r.item, r.meta, r["size"]) for r in by["meta"].collect()} == {(i, i // 2 * 2, 2) for i in range(80)}
+    got = {(r.block, r.a, r.b): r.value for r in by["inverse"].collect()}
+    assert len(got) == 160 and abs(got[3, 6, 7] + 0.5 / 0.75) < 1e-12 and abs(got[3, 7, 7] - 1 / 0.75) < 1e-12
+    w = np.kron(np.eye(40), np.linalg.inv([[1, 0.5], [0.5, 1]]))
+    y = np.repeat(np.arange(40) % 5, 2).astype(float)
+    for name, inside in (("a", np.tile([1.0, 0], 40)), ("b", np.tile([0, 1.0], 40))):
+        x = np.stack([np.ones(80), inside], axis=1)
+        row = {r.grp: r for r in by["sets"].collect()}[name]
+        assert row.n == 40 and abs(row.beta - np.linalg.solve(x.T @ w @ x, x.T @ w @ y)[1]) < 1e-9
