@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import alleles
 from ..functions.special import log_gamma
 from .aggregates import correlate, interaction_regression
-from .ordered import running_sums, settled
+from .ordered import dealt, running_sums, settled
 
 
 def cube_slice(cube: DataFrame, **bound: object) -> DataFrame:
@@ -280,10 +280,10 @@ def beta_binomial(reads: DataFrame, by: list[str], ref: str, alt: str, grid: tup
 
 def covariate_screen(values: DataFrame, by: list[str], x: str, covariates: list[str], y: str) -> DataFrame:
     """(keys, covariate, n, b0..b3, t3): the interaction regression of y on x with each covariate in turn, in one pass:
-    rows are repeated once a covariate, and only sums by key and covariate are shuffled."""
+    rows are dealt by key, and repeated once a covariate where they are summed."""
     entries = F.array(*(F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("__c")) for c in covariates))
-    long = values.select(*by, x, y, F.explode(entries).alias("__e")).select(*by, x, y, "__e.*")
-    return interaction_regression(long, [*by, "covariate"], x, "__c", y)
+    long = dealt(values.select(*by, x, y, *covariates), by).select(*by, x, y, F.explode(entries).alias("__e")).select(*by, x, y, "__e.*")
+    return interaction_regression(long, [*by, "covariate"], x, "__c", y, placed=True)
 
 
 def matched_background(items: DataFrame, item: str, hit: str, bin_: str, per: int, seed: int = 1) -> DataFrame:

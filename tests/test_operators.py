@@ -461,3 +461,43 @@ def test_mixups_of_all_pairs_are_never_rows(spark):
         got = {(r.genotyped, r.measured): (r.score, r.n) for r in scores.collect()}
     assert got.keys() == want.keys() and all(got[k][1] == len(x) and abs(got[k][0] - np.mean(x)) < 1e-9 for k, x in want.items())
     assert "Join" not in scores._jdf.queryExecution().optimizedPlan().toString()  # once scored, a pair of samples is no join's row
+
+
+def test_theil_sen_shuffles_no_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, i if i % 7 else None if i else 3, float(rng.integers(3)), float(rng.normal())) for k in range(4) for i in range(15)] + [(9, 1, 1.0, 2.0), (9, 2, 1.0, 3.0), (None, 1, 0.0, 1.0), (None, 2, 1.0, 1.0), (5, 1, None, 1.0)]
+    fit = agg.theil_sen(spark.createDataFrame(rows, "k int, i int, x double, y double"), ["k"], "x", "y", "i")
+    got = {r.k: r for r in fit.collect()}
+    assert "Join" not in fit._jdf.queryExecution().optimizedPlan().toString() and sorted(got) == [0, 1, 2, 3]
+    for k, r in got.items():
+        own = [(i, x, y) for g, i, x, y in rows if g == k]
+        s = [(b[2] - a[2]) / (b[1] - a[1]) for a in own for b in own if a[0] is not None and b[0] is not None and a[0] < b[0] and a[1] != b[1]]
+        want = np.percentile(s, [50, 2.5, 97.5])
+        assert r.pairs == len(s) and np.allclose([r.slope, r.low, r.high], want)
+        assert abs(r.intercept - (np.median([y for _, _, y in own]) - want[0] * np.median([x for _, x, _ in own]))) < 1e-9
+
+
+def test_tasks_of_ranks_and_regressions_stay_small(spark):
+    """Rows are dealt to as many tasks as they need, whatever the session's number of partitions."""
+    from unittest import mock
+
+    df = spark.range(1000).selectExpr("id % 50 as k", "id", "double(id * 7 % 11) as x", "double(id * 5 % 13) as c", "double(id * id % 17) as y").localCheckpoint()
+    ways = [lambda: ranks.inverse_normal(df, ["k"], "y").select("k", "id", "normal"), lambda: ranks.spearman(df, ["k"], "x", "y"), lambda: screens.covariate_screen(df, ["k"], "x", ["c", "id"], "y"), lambda: agg.interaction_regression(df, ["k"], "x", "c", "y")]
+    near = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    for way in ways:
+        plain = near(way().collect())
+        with mock.patch.object(ordered, "BLOCK_ROWS", 50):
+            small = way()
+            assert small.rdd.getNumPartitions() == 20
+            assert near(small.collect()) == plain
+
+
+def test_conditional_mapping_reads_genes_with_values_only(spark):
+    from unittest import mock
+
+    geno = spark.createDataFrame([(v, s, (s * (v + 1) + v) % 3) for v in range(4) for s in range(30)], "variant long, sample long, dosage int")
+    val = spark.createDataFrame([(1, s, float((s * 2 + 1) % 3) + s % 5 * 0.01) for s in range(30)], "gene long, sample long, value double")
+    pairs = spark.createDataFrame([(v, g) for v in range(4) for g in range(6)], "variant long, gene long")
+    with mock.patch.object(flow, "associate", wraps=flow.associate) as seen:
+        hits = flow.conditional_mapping(pairs, geno, val, 1e-4, 2).collect()
+    assert hits and all({r.gene for r in c.args[0].collect()} <= {1} for c in seen.call_args_list)
