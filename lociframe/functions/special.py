@@ -13,43 +13,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """The logarithm of the gamma function of positive numbers: Stirling's series, after small ones are raised."""
-    x = np.asarray(x, float)
-    small = np.ones_like(x)
+def _stirling(x: np.ndarray, order: int) -> list[np.ndarray]:
+    """log_gamma and its first derivatives up to order, for positive numbers: asymptotic series, after small ones alone are raised."""
+    x = np.array(x, float)
+    low = x < 10
+    small = x[low]
+    sums = [np.ones_like(small), np.zeros_like(small), np.zeros_like(small)][: order + 1]
     for _ in range(10):
-        low = x < 10
-        small = np.where(low, small * x, small)
-        x = np.where(low, x + 1, x)
-    s = 1 / (x * x)
-    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - s * (1 / 360 - s * (1 / 1260 - s * (1 / 1680 - s / 1188)))) / x - np.log(small)
+        under = small < 10
+        if not under.any():
+            break
+        sums[0] = np.where(under, sums[0] * small, sums[0])
+        if order > 0:
+            sums[1] = np.where(under, sums[1] - 1 / small, sums[1])
+        if order > 1:
+            sums[2] = np.where(under, sums[2] + 1 / (small * small), sums[2])
+        small = np.where(under, small + 1, small)
+    x[low] = small
+    log, s = np.log(x), 1 / (x * x)
+    out = [np.asarray((x - 0.5) * log - x + 0.9189385332046727 + (1 / 12 - s * (1 / 360 - s * (1 / 1260 - s * (1 / 1680 - s / 1188)))) / x)]
+    out[0][low] -= np.log(sums[0])
+    if order > 0:
+        out.append(np.asarray(log - 0.5 / x - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))))
+        out[1][low] += sums[1]
+    if order > 1:
+        out.append(np.asarray((1 + 0.5 / x + s * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s * (1 / 30 - s * 5 / 66))))) / x))
+        out[2][low] += sums[2]
+    return out
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function of positive numbers."""
+    return _stirling(x, 0)[0]
 
 
 _lgamma = log_gamma
 
 
+def log_gamma_slopes(x: np.ndarray) -> list[np.ndarray]:
+    """log_gamma, digamma and trigamma of the same numbers, which share their logarithms and what small ones are raised by."""
+    return _stirling(x, 2)
+
+
 def digamma(x: np.ndarray) -> np.ndarray:
-    """The derivative of log_gamma, for positive numbers: the asymptotic series, after small ones are raised."""
-    x = np.asarray(x, float)
-    out = np.zeros_like(x)
-    for _ in range(10):
-        low = x < 10
-        out = np.where(low, out - 1 / x, out)
-        x = np.where(low, x + 1, x)
-    s = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
+    """The derivative of log_gamma, for positive numbers."""
+    return _stirling(x, 1)[1]
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:
     """The derivative of digamma."""
-    x = np.asarray(x, float)
-    out = np.zeros_like(x)
-    for _ in range(10):
-        low = x < 10
-        out = np.where(low, out + 1 / (x * x), out)
-        x = np.where(low, x + 1, x)
-    s = 1 / (x * x)
-    return out + (1 + 0.5 / x + s * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s * (1 / 30 - s * 5 / 66))))) / x
+    return _stirling(x, 2)[2]
 
 
 def ln_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:

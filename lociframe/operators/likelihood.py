@@ -1,9 +1,9 @@
 """Maximum likelihood of allele counts, a batch of keys at a time.
 
 A key's rows are counted first (equal rows are one, with a weight), so what is gathered is its distinct counts, whose
-number a study's samples bound. All keys of a batch climb together: rows lie in one flat array, sums by key are bin
-counts, and each round is one projected Newton step for every key, shortened until it gains. Keys that do not settle
-say so in the column `settled`.
+number a study's samples bound. Keys of a batch climb together: rows lie in one flat array, sums by key are bin
+counts, and each round is one projected Newton step for every key that is still open, shortened where it does not gain. Keys that do
+not settle say so in the column `settled`.
 
 The terms: with share q of the first allele and dispersion sigma, its count of k in k + m is beta-binomial with
 a = q s, b = (1 - q) s, s = 1 / sigma ** 2 - 1, or binomial where sigma is null or 0. A site is heterozygous with probability
@@ -19,50 +19,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..functions.special import digamma, log_gamma, trigamma
+from ..functions.special import log_gamma, log_gamma_slopes
 
 #: Shares stay this far from 0 and 1.
 EDGE = 1e-6
-#: Rows that are worked on at once.
-ROWS = 1 << 18
+#: Rows that are worked on at once: few, so that the arrays of a round stay in a core's cache.
+ROWS = 1 << 15
 #: Shares that a scan tries where there may be several tops, and how many of the best are climbed from.
 SCAN, CLIMBS = (0.01, 0.06, 0.15, 0.3, 0.5, 0.7, 0.85, 0.94, 0.99), 5
 
-Surface = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Surface = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def maximise(surface: Surface, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200, within: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(points, values, settled) of each row of start, of one or two parameters, climbed to a maximum in its box.
 
-    surface gives values (n), gradients (n, p) and second derivatives (n, p, p). A point is settled when no free parameter
-    could gain more than within, relative to the value, by its slope over a Newton step."""
+    surface(points, keys) gives values (n), gradients (n, p) and second derivatives (n, p, p) of those keys alone, which ascend. A point is
+    settled when no free parameter could gain more than within, relative to the value, by its slope over a Newton step. A key is
+    left once it gains no more, so late rounds cost what their open keys do."""
     low, high = np.broadcast_to(low, start.shape), np.broadcast_to(high, start.shape)
     x = np.clip(start, low, high)
-    value, g, h = surface(x)
+    keys = np.arange(len(x))
+    value, g, h = surface(x, keys)
     for _ in range(rounds):
-        free = ~((x <= low) & (g < 0)) & ~((x >= high) & (g > 0))
-        slope = np.where(free, g, 0.0)
-        step = _newton(slope, h, free)
-        gain = (slope * step).sum(axis=1)
-        open_ = gain > within * (1 + np.abs(value)) * 1e-3
-        if not open_.any():
+        slope, step = _uphill(x[keys], g[keys], h[keys], low[keys], high[keys])
+        open_ = (slope * step).sum(axis=1) > within * (1 + np.abs(value[keys])) * 1e-3
+        keys, slope, step = keys[open_], slope[open_], step[open_]
+        if not len(keys):
             break
-        scale = np.where(open_, 1.0, 0.0)
-        for _ in range(40):
-            y = np.clip(x + scale[:, None] * step, low, high)
-            v2, g2, h2 = surface(y)
-            worse = open_ & (v2 < value + 1e-4 * (slope * (y - x)).sum(axis=1)) & (scale > 0)
-            if not worse.any():
+        at, scale = x[keys], np.ones((len(keys), 1))
+        y = np.clip(at + step, low[keys], high[keys])
+        v2, g2, h2 = surface(y, keys)
+        for _ in range(39):
+            worse = np.flatnonzero(v2 < value[keys] + 1e-4 * (slope * (y - at)).sum(axis=1))
+            if not len(worse):
                 break
-            scale = np.where(worse, scale / 2, scale)
-        better = open_ & (v2 >= value)
-        if not (better & (np.abs(y - x).max(axis=1) > 0)).any():
-            break
-        x = np.where(better[:, None], y, x)
-        value, g, h = np.where(better, v2, value), np.where(better[:, None], g2, g), np.where(better[:, None, None], h2, h)
+            scale[worse] /= 2
+            y[worse] = np.clip(at[worse] + scale[worse] * step[worse], low[keys[worse]], high[keys[worse]])
+            v2[worse], g2[worse], h2[worse] = surface(y[worse], keys[worse])
+        up = (v2 >= value[keys]) & (np.abs(y - at).max(axis=1) > 0)
+        keys = keys[up]
+        x[keys], value[keys], g[keys], h[keys] = y[up], v2[up], g2[up], h2[up]
+    slope, step = _uphill(x, g, h, low, high)
+    return x, value, (slope * step).sum(axis=1) <= within * (1 + np.abs(value))
+
+
+def _uphill(x: np.ndarray, g: np.ndarray, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the parameters that are free to follow them, and their Newton steps."""
     free = ~((x <= low) & (g < 0)) & ~((x >= high) & (g > 0))
     slope = np.where(free, g, 0.0)
-    return x, value, (slope * _newton(slope, h, free)).sum(axis=1) <= within * (1 + np.abs(value))
+    return slope, _newton(slope, h, free)
 
 
 def _newton(g: np.ndarray, h: np.ndarray, free: np.ndarray) -> np.ndarray:
@@ -81,21 +87,30 @@ def _newton(g: np.ndarray, h: np.ndarray, free: np.ndarray) -> np.ndarray:
     return -np.stack([(d1 * g[:, 0] - a[:, 0, 1] * g[:, 1]) / det, (d0 * g[:, 1] - a[:, 0, 1] * g[:, 0]) / det], axis=1)
 
 
-def _count_term(q: np.ndarray, k: np.ndarray, m: np.ndarray, s: np.ndarray, slopes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _count_term(q: np.ndarray, k: np.ndarray, m: np.ndarray, s: np.ndarray, fixed: np.ndarray, slopes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The logarithm of the probability of one ordering of k and m reads at share q, and its first and second derivative in q.
-    s is inf for binomial counts."""
-    flat = ~np.isfinite(s)
-    t = np.where(flat, 1.0, s)
-    a, b = q * t, (1 - q) * t
-    one = log_gamma(k + a) + log_gamma(m + b) - log_gamma(k + m + t) - log_gamma(a) - log_gamma(b) + log_gamma(t)
-    value = np.where(flat, k * np.log(q) + m * np.log1p(-q), one)
-    if not slopes:
-        return value, value, value
-    d = np.where(flat, k / q - m / (1 - q), t * (digamma(k + a) - digamma(m + b) - digamma(a) + digamma(b)))
-    dd = np.where(flat, -k / q**2 - m / (1 - q) ** 2, t * t * (trigamma(k + a) + trigamma(m + b) - trigamma(a) - trigamma(b)))
+    s is inf for binomial counts; fixed: _fixed_term(k, m, s)."""
+    over = np.isfinite(s)
+    value, d, dd = k * np.log(q) + m * np.log1p(-q), k / q - m / (1 - q), -k / q**2 - m / (1 - q) ** 2
+    if over.any():
+        q, k, m, t = q[over], k[over], m[over], s[over]
+        a, b = q * t, (1 - q) * t
+        if not slopes:
+            value[over] = fixed[over] + log_gamma(k + a) + log_gamma(m + b) - log_gamma(a) - log_gamma(b)
+            return value, value, value
+        (ka, dka, ddka), (mb, dmb, ddmb), (la, da, dda), (lb, db, ddb) = (log_gamma_slopes(x) for x in (k + a, m + b, a, b))
+        value[over] = fixed[over] + ka + mb - la - lb
+        d[over], dd[over] = t * (dka - dmb - da + db), t * t * (ddka + ddmb - dda - ddb)
     return value, d, dd
 
 
+def _fixed_term(k: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """What no share changes in _count_term."""
+    over = np.isfinite(s)
+    t = np.where(over, s, 1.0)
+    return np.where(over, log_gamma(t) - log_gamma(k + m + t), 0.0)
+
+
 def _mixed(value: np.ndarray, d: np.ndarray, dd: np.ndarray, k: np.ndarray, m: np.ndarray, het: float, error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same with what homozygous sites with errors add."""
     if het >= 1:
@@ -124,7 +139,8 @@ def log_likelihood(ratio: Column, ref: Column, alt: Column, sigma: Column | None
     def run(q: pd.Series, k: pd.Series, m: pd.Series, sd: pd.Series) -> pd.Series:
         q, k, m = (x.to_numpy(float) for x in (q, k, m))
         p = np.clip(q, EDGE, 1 - EDGE)
-        v = _count_term(p, k, m, _s(sd.to_numpy(float)), False)[0]
+        s = _s(sd.to_numpy(float))
+        v = _count_term(p, k, m, s, _fixed_term(k, m, s), False)[0]
         out = pd.Series(_mixed(v, v, v, k, m, het, error)[0])
         return out.where(out.notna(), None)
 
@@ -153,6 +169,36 @@ def _chunks(arrays: tuple[pd.Series, ...]):
         start = stop
 
 
+def _picked(at: np.ndarray, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray | slice]:
+    """Rows of the keys, and the place of each row's key among them; at tells the key of each row of all n."""
+    if len(keys) == n:
+        return at, slice(None)
+    place = np.full(n, -1)
+    place[keys] = np.arange(len(keys))
+    to = place[at]
+    rows = np.flatnonzero(to >= 0)
+    return to[rows], rows
+
+
+class _Counts:
+    """A column of counts whose numbers repeat within keys: a function of count and key is computed once for each that differs."""
+
+    def __init__(self, at: np.ndarray, n: int, counts: np.ndarray):
+        own, which = np.unique(counts, return_inverse=True)
+        pairs, self.place = np.unique(at * len(own) + which, return_inverse=True)
+        self.n, self.at, self.counts = n, pairs // max(1, len(own)), own[pairs % max(1, len(own))]
+
+    def of(self, function, add: np.ndarray, keys: np.ndarray, rows: np.ndarray | slice) -> list[np.ndarray]:
+        """What function gives for each row's count plus add of its key; rows: those of keys, as _picked tells."""
+        to, pairs = _picked(self.at, self.n, keys)
+        place = self.place[rows]
+        if len(keys) < self.n:
+            back = np.zeros(len(self.at), np.int64)
+            back[pairs] = np.arange(len(pairs))
+            place = back[place]
+        return [x[place] for x in function(self.counts[pairs] + add[to])]
+
+
 def _tops(heights: np.ndarray) -> np.ndarray:
     """Which points of each grid (the first axis counts grids) no neighbour along an axis or a diagonal exceeds."""
     out = np.ones(heights.shape, bool)
@@ -188,21 +234,26 @@ def allelic_test(reads: DataFrame, by: list[str], ref: str, alt: str, sigma: str
         parts = []
         for n, at, (k_, m_, c_, sd_, w_) in _chunks((k, m, c, sd, w)):
             s = _s(sd_)
+            fixed, every = _fixed_term(k_, m_, s), np.arange(n)
             least, most = np.full(n, np.inf), np.full(n, -np.inf)
             np.minimum.at(least, at, c_)
             np.maximum.at(most, at, c_)
             span = most - least
             u = (c_ - least[at]) / np.where(span > 0, span, 1)[at]
 
-            def flat(x: np.ndarray):
-                value, d, dd = _mixed(*_count_term(x[at, 0], k_, m_, s), k_, m_, het, error)
-                v_, g_, h_ = _sums(at, n, w_ * value, w_ * d, w_ * dd)
+            def flat(x: np.ndarray, keys: np.ndarray, slopes: bool = True):
+                to, rows = _picked(at, n, keys)
+                k, m, w = k_[rows], m_[rows], w_[rows]
+                value, d, dd = _mixed(*_count_term(x[to, 0], k, m, s[rows], fixed[rows], slopes), k, m, het, error)
+                v_, g_, h_ = _sums(to, len(keys), w * value, w * d, w * dd)
                 return v_, g_[:, None], h_[:, None, None]
 
-            def line(x: np.ndarray):
-                lo, hi = 1 - u, u
-                value, d, dd = _mixed(*_count_term(lo * x[at, 0] + hi * x[at, 1], k_, m_, s), k_, m_, het, error)
-                v_, g0, g1, h00, h01, h11 = _sums(at, n, w_ * value, w_ * d * lo, w_ * d * hi, w_ * dd * lo * lo, w_ * dd * lo * hi, w_ * dd * hi * hi)
+            def line(x: np.ndarray, keys: np.ndarray, slopes: bool = True):
+                to, rows = _picked(at, n, keys)
+                k, m, w, hi = k_[rows], m_[rows], w_[rows], u[rows]
+                lo = 1 - hi
+                value, d, dd = _mixed(*_count_term(lo * x[to, 0] + hi * x[to, 1], k, m, s[rows], fixed[rows], slopes), k, m, het, error)
+                v_, g0, g1, h00, h01, h11 = _sums(to, len(keys), w * value, w * d * lo, w * d * hi, w * dd * lo * lo, w * dd * lo * hi, w * dd * hi * hi)
                 return v_, np.stack([g0, g1], axis=1), np.stack([np.stack([h00, h01], axis=1), np.stack([h01, h11], axis=1)], axis=1)
 
             def highest(surface, start):
@@ -210,7 +261,7 @@ def allelic_test(reads: DataFrame, by: list[str], ref: str, alt: str, sigma: str
                 starts = [start]
                 if het < 1:
                     scan = np.array(np.meshgrid(*[SCAN] * start.shape[1])).reshape(start.shape[1], -1).T
-                    heights = np.stack([surface(np.tile(x, (n, 1)))[0] for x in scan], axis=1)
+                    heights = np.stack([surface(np.tile(x, (n, 1)), every, False)[0] for x in scan], axis=1)
                     tops = _tops(heights.reshape(n, *[len(SCAN)] * start.shape[1]))
                     starts += [scan[i] for i in np.argsort(-np.where(tops.reshape(n, -1), heights, -np.inf), axis=1)[:, :CLIMBS].T]
                 best = maximise(surface, start, EDGE, 1 - EDGE)
@@ -224,7 +275,7 @@ def allelic_test(reads: DataFrame, by: list[str], ref: str, alt: str, sigma: str
             joint = np.clip(first / np.maximum(all_, 1), 0.01, 0.99)
             one, one_ll, one_ok = highest(flat, joint[:, None])
             if proportion is None:
-                half = flat(np.full((n, 1), 0.5))[0]
+                half = flat(np.full((n, 1), 0.5), every, False)[0]
                 parts.append(pd.DataFrame({"n": count.astype(int), "reads": all_.astype(int), "ratio": one[:, 0], "slope": None, "base": None, "null_ll": half, "alt_ll": one_ll, "settled": one_ok}))
                 continue
             det = count * wcc - wc * wc
@@ -254,18 +305,30 @@ def sample_dispersion(reads: DataFrame, by: list[str], ref: str, alt: str, het:
         parts = []
         for n, at, (k_, m_, w_) in _chunks((k, m, w)):
 
-            def surface(x: np.ndarray):
-                t = np.exp(x[at, 0])
-                a = t / 2
-                value = log_gamma(k_ + a) + log_gamma(m_ + a) - log_gamma(k_ + m_ + t) - 2 * log_gamma(a) + log_gamma(t)
-                d = (digamma(k_ + a) + digamma(m_ + a)) / 2 - digamma(k_ + m_ + t) - digamma(a) + digamma(t)
-                dd = (trigamma(k_ + a) + trigamma(m_ + a)) / 4 - trigamma(k_ + m_ + t) - trigamma(a) / 2 + trigamma(t)
-                value, d, dd = _mixed(value, t * d, t * t * dd + t * d, k_, m_, het, error)
-                v_, g_, h_ = _sums(at, n, w_ * value, w_ * d, w_ * dd)
+            every, ks, ms, both = np.arange(n), _Counts(at, n, k_), _Counts(at, n, m_), _Counts(at, n, k_ + m_)
+
+            def surface(x: np.ndarray, keys: np.ndarray):
+                to, rows = _picked(at, n, keys)
+                t = np.exp(x[:, 0])
+                (ka, dka, ddka), (ma, dma, ddma), (kmt, dkmt, ddkmt) = (c.of(log_gamma_slopes, add, keys, rows) for c, add in ((ks, t / 2), (ms, t / 2), (both, t)))
+                (la, da, dda), (lt, dt, ddt) = ([z[to] for z in log_gamma_slopes(y)] for y in (t / 2, t))
+                t, w = t[to], w_[rows]
+                value = ka + ma - kmt - 2 * la + lt
+                d = (dka + dma) / 2 - dkmt - da + dt
+                dd = (ddka + ddma) / 4 - ddkmt - dda / 2 + ddt
+                value, d, dd = _mixed(value, t * d, t * t * dd + t * d, k_[rows], m_[rows], het, error)
+                v_, g_, h_ = _sums(to, len(keys), w * value, w * d, w * dd)
                 return v_, g_[:, None], h_[:, None, None]
 
+            def height(x: float):
+                """Values alone, all keys at one point."""
+                t = np.exp(np.full(n, x))
+                (ka,), (ma,), (kmt,) = (c.of(lambda y: [log_gamma(y)], add, every, slice(None)) for c, add in ((ks, t / 2), (ms, t / 2), (both, t)))
+                value = ka + ma - kmt + (log_gamma(t) - 2 * log_gamma(t / 2))[at]
+                return _sums(at, n, w_ * _mixed(value, value, value, k_, m_, het, error)[0])[0]
+
             scan = np.linspace(-4, 12, 17)
-            values = np.stack([surface(np.full((n, 1), x))[0] for x in scan], axis=1)
+            values = np.stack([height(x) for x in scan], axis=1)
             x, top, ok = maximise(surface, scan[values.argmax(axis=1)][:, None], -9.0, 18.0)
             parts.append(pd.DataFrame({"n": _sums(at, n, w_)[0].astype(int), "sigma": 1 / np.sqrt(1 + np.exp(x[:, 0])), "log_likelihood": top, "settled": ok}))
         return pd.concat(parts, ignore_index=True)
@@ -282,24 +345,27 @@ def beta_binomial_maximum(reads: DataFrame, by: list[str], ref: str, alt: str) -
     def run(k: pd.Series, m: pd.Series, w: pd.Series) -> pd.DataFrame:
         parts = []
         for n, at, (k_, m_, w_) in _chunks((k, m, w)):
-            ways = special.ln_choose(k_ + m_, k_)
-
-            def surface(x: np.ndarray):
-                q, t = x[at, 0], np.exp(x[at, 1])
-                a, b = q * t, (1 - q) * t
-                la, lb, lt = digamma(k_ + a) - digamma(a), digamma(m_ + b) - digamma(b), digamma(t) - digamma(k_ + m_ + t)
-                ta, tb, tt = trigamma(k_ + a) - trigamma(a), trigamma(m_ + b) - trigamma(b), trigamma(t) - trigamma(k_ + m_ + t)
-                value = ways + log_gamma(k_ + a) + log_gamma(m_ + b) - log_gamma(k_ + m_ + t) - log_gamma(a) - log_gamma(b) + log_gamma(t)
+            ways, every = special.ln_choose(k_ + m_, k_), np.arange(n)
+
+            def surface(x: np.ndarray, keys: np.ndarray):
+                to, rows = _picked(at, n, keys)
+                k, m, w, q, t = k_[rows], m_[rows], w_[rows], x[to, 0], np.exp(x[to, 1])
+                own = (x[:, 0] * np.exp(x[:, 1]), (1 - x[:, 0]) * np.exp(x[:, 1]), np.exp(x[:, 1]))
+                (a0, a1, a2), (b0, b1, b2), (t0, t1, t2) = ([z[to] for z in log_gamma_slopes(y)] for y in own)
+                (ka, dka, ddka), (mb, dmb, ddmb), (kmt, dkmt, ddkmt) = (log_gamma_slopes(y) for y in (k + q * t, m + (1 - q) * t, k + m + t))
+                la, lb, lt = dka - a1, dmb - b1, t1 - dkmt
+                ta, tb, tt = ddka - a2, ddmb - b2, t2 - ddkmt
+                value = ways[rows] + ka + mb - kmt - a0 - b0 + t0
                 dt = q * la + (1 - q) * lb + lt
-                v_, g0, g1, h00, h01, h11 = _sums(at, n, w_ * value, w_ * t * (la - lb), w_ * t * dt, w_ * t * t * (ta + tb), w_ * t * (la - lb + t * (q * ta - (1 - q) * tb)), w_ * (t * t * (q * q * ta + (1 - q) ** 2 * tb + tt) + t * dt))
+                v_, g0, g1, h00, h01, h11 = _sums(to, len(keys), w * value, w * t * (la - lb), w * t * dt, w * t * t * (ta + tb), w * t * (la - lb + t * (q * ta - (1 - q) * tb)), w * (t * t * (q * q * ta + (1 - q) ** 2 * tb + tt) + t * dt))
                 return v_, np.stack([g0, g1], axis=1), np.stack([np.stack([h00, h01], axis=1), np.stack([h01, h11], axis=1)], axis=1)
 
             first, all_ = _sums(at, n, w_ * k_, w_ * (k_ + m_))
             q0 = np.clip(first / all_, 0.001, 0.999)
             scan = np.linspace(-2, 12, 8)
-            values = np.stack([surface(np.stack([q0, np.full(n, x)], axis=1))[0] for x in scan], axis=1)
+            values = np.stack([surface(np.stack([q0, np.full(n, x)], axis=1), every)[0] for x in scan], axis=1)
             x, top, ok = maximise(surface, np.stack([q0, scan[values.argmax(axis=1)]], axis=1), np.array([EDGE, -7.0]), np.array([1 - EDGE, 18.0]))
-            half = surface(np.stack([np.full(n, 0.5), x[:, 1]], axis=1))[0]
+            half = surface(np.stack([np.full(n, 0.5), x[:, 1]], axis=1), every)[0]
             parts.append(pd.DataFrame({"n": _sums(at, n, w_)[0].astype(int), "ratio": x[:, 0], "theta": np.exp(x[:, 1]), "log_likelihood": top, "null_ll": half, "settled": ok}))
         return pd.concat(parts, ignore_index=True)
 

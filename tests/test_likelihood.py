@@ -149,3 +149,37 @@ def test_empty(spark):
     e = spark.createDataFrame([], "g int, k int, m int, c double, s double")
     assert likelihood.allelic_test(e, ["g"], "k", "m", "s", "c").collect() == [] and likelihood.beta_binomial_maximum(e, ["g"], "k", "m").collect() == []
     assert likelihood.sample_dispersion(e, ["g"], "k", "m").collect() == [] and likelihood.negative_binomial(e, ["g"], "k", "m").collect() == []
+
+
+def test_only_open_keys_climb_on():
+    """One key needs many rounds; the others are at their tops after one, and are not worked on with it."""
+    seen = []
+    top = np.arange(100) / 10.0
+
+    def surface(x, keys=None):
+        seen.append(len(x))
+        own = np.arange(100) if keys is None else keys
+        d = x[:, 0] - top[own]
+        far = own == 99  # flat far from its top
+        a, b, c = np.where(far, np.log1p(d**2), d**2), np.where(far, 2 * d / (1 + d**2), 2 * d), np.where(far, 2 * (1 - d**2) / (1 + d**2) ** 2, 2.0)
+        return -a, -b[:, None], -c[:, None, None]
+
+    x, value, settled = likelihood.maximise(surface, np.full((100, 1), -20.0), -50.0, 50.0)
+    assert settled.all() and x[:, 0] == pytest.approx(top, abs=1e-3) and value == pytest.approx(np.zeros(100), abs=1e-6)
+    assert len(seen) > 3 and sum(seen) < 100 * 3
+
+
+def test_counts_are_worked_out_once_a_key():
+    rng = np.random.default_rng(2)
+    at, counts, add = np.sort(rng.integers(0, 9, 500)), rng.integers(0, 6, 500).astype(float), rng.random(9)
+    worked = []
+
+    def square(x):
+        worked.append(len(x))
+        return [x * x]
+
+    own = likelihood._Counts(at, 9, counts)
+    for keys in (np.arange(9), np.array([2, 3, 8]), np.array([], int)):
+        to, rows = likelihood._picked(at, 9, keys)
+        assert np.array_equal(own.of(square, add[keys], keys, rows)[0], (counts[rows] + add[keys][to]) ** 2)
+        assert worked[-1] == len({(k, c) for k, c in zip(at, counts) if k in keys})
