@@ -17,7 +17,11 @@ def benjamini_hochberg(tests: DataFrame, p: str, tie: str, out: str = "q") -> Da
     Equal p share the least, that of the last of them, so only distinct p with their numbers are put in order,
     in one set of blocks. tie is not needed for the result. Tests are written before they meet their p again: sums that are
     computed a second time may differ in their last digit."""
-    t = settled(tests.where(F.col(p).isNotNull()))
+    return _step_up(settled(tests.where(F.col(p).isNotNull())), p, out)
+
+
+def _step_up(t: DataFrame, p: str, out: str) -> DataFrame:
+    """benjamini_hochberg of tests that are written and have p."""
     c = settled(t.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k")))
     n = c.agg(F.sum("__k")).first()[0] or 0
     cuts = block_cuts(c, "__p")
@@ -58,8 +62,10 @@ def storey_pi0(tests: DataFrame, p: str, lam: float = 0.5) -> DataFrame:
 
 
 def storey_q(tests: DataFrame, p: str, tie: str, lam: float = 0.5, out: str = "q") -> DataFrame:
-    pi0 = storey_pi0(tests, p, lam).first()["pi0"]
-    q = benjamini_hochberg(tests, p, tie, out)
+    """benjamini_hochberg times pi0, both from one reading of the tests, written first as there."""
+    t = settled(tests.where(F.col(p).isNotNull()))
+    pi0 = storey_pi0(t, p, lam).first()["pi0"]
+    q = _step_up(t, p, out)
     return q.withColumn(out, F.col(out) * F.lit(1.0 if pi0 is None else pi0))
 
 

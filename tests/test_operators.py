@@ -388,6 +388,18 @@ def test_storey_q_reads_a_row_once(spark):
     assert {r.id: r.q for r in q.collect()} == pytest.approx({k: x * pi0 for k, x in bh.items()})
 
 
+def test_storey_q_takes_pi0_and_minima_from_the_same_p(spark):
+    """tests are worked out once: p that come out otherwise a second time must not be counted in pi0."""
+    again = F.udf(lambda i: random.random() ** 2, "double")
+    got = testing.storey_q(spark.range(4000).select("id", again("id").alias("p")), "p", "id").orderBy("p").collect()
+    pi0 = sum(r.p > 0.5 for r in got) / 2000
+    least, want = 1.0, []
+    for k in range(4000, 0, -1):
+        least = min(least, got[k - 1].p * 4000 / k)
+        want.append(least * pi0)
+    assert pi0 < 1 and [r.q for r in got] == pytest.approx(want[::-1])
+
+
 def test_results_survive_p_that_differ_when_computed_again(spark, monkeypatch):
     """Sums over a shuffle may differ in their last digit when they are computed again; no row may be lost for it."""
     monkeypatch.setattr(ordered, "BLOCK_ROWS", 7)
