@@ -50,6 +50,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have executors collect their garbage, a task a core, so that the heap which the work before has grown goes back to the machine and does not
+    add up with what the next work takes beside it in Python. No result depends on it: an executor that gets no such task keeps its heap."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -54,3 +54,24 @@ def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
     ids = sorted((r.doc_id for r in got), key=str)
     assert 7 not in ids and 2 not in ids  # holds a benchmark item; a copy
     assert {1, 3, 4, None} <= set(ids) and ids.count(5) <= 2
+
+
+def test_each_stage_gives_back_the_heap(spark, monkeypatch):
+    """What the work before has grown is given back before a stage begins, by a task and not by the driver."""
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    from lociframe.llm import shared
+
+    heap = lambda: spark._jvm.java.lang.Runtime.getRuntime().totalMemory()
+    spark.range(3_000_000).select(F.md5(F.col("id").cast("string")).alias("v")).groupBy("v").count().write.format("noop").mode("overwrite").save()
+    before = heap()
+    shared.give_back(spark)
+    assert heap() < before
+    calls = []
+    monkeypatch.setattr(p, "give_back", lambda s: calls.append(1))
+    docs = spark.createDataFrame([(1, "some text", "en", "web", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(p, "table", lambda s, d, name: s.createDataFrame([], "doc_id long, quality int, toxic int, item_id long, text string"))
+    for i, (name, stage) in enumerate(p.STAGES):
+        stage(spark, docs, "")
+        assert len(calls) == i + 1, name
