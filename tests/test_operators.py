@@ -475,6 +475,34 @@ def test_mixups_of_all_pairs_are_never_rows(spark):
     assert "Join" not in scores._jdf.queryExecution().optimizedPlan().toString()  # once scored, a pair of samples is no join's row
 
 
+def test_mixups_copy_neither_side_for_the_other(spark):
+    """Many blocks of either side, and rows move once; a repeated effect counts in groups but makes no call twice; genes that few samples have, and that most have."""
+    rng = np.random.default_rng(8)
+    effects = [(v, v % 4) for v in range(12)] + [(1, 1), (2, 3)]
+    geno = [(v, s, int(rng.integers(3))) for v in range(12) for s in range(40) if rng.random() < 0.9]
+    vals = [(g, s, float(rng.normal())) for g in range(4) for s in range(50) if rng.random() < (0.2 if g == 2 else 0.9)]
+    x, groups, want = {(g, s): y for g, s, y in vals}, {}, {}
+    for v, g in effects:
+        for w, s, d in geno:
+            if v == w and (g, s) in x:
+                groups.setdefault((v, g, d), []).append(x[g, s])
+    for (v, g, d), xs in groups.items():
+        if len(xs) >= 3 and np.std(xs, ddof=1) > 0:
+            for s in (s for w, s, e in geno if (w, e) == (v, d)):
+                for t in range(50):
+                    if (g, t) in x:
+                        want.setdefault((s, t), []).append(abs(x[g, t] - np.mean(xs)) / np.std(xs, ddof=1))
+    frames = [spark.createDataFrame(r, c) for r, c in ((effects, "variant int, gene int"), (geno, "variant int, sample int, dosage int"), (vals, "gene int, sample int, value double"))]
+    from unittest import mock
+
+    with mock.patch.multiple(flow, GENOTYPED=4, MEASURED=5):
+        scores = flow.mixups(*frames)
+        got = {(r.genotyped, r.measured): (r.score, r.n) for r in scores.collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == len(y) and abs(got[k][0] - np.mean(y)) < 1e-9 for k, y in want.items())
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Generate", "CoGroup", "Join"))  # each side was a copy a block of the other
+
+
 def test_theil_sen_shuffles_no_pairs(spark):
     rng = np.random.default_rng(2)
     rows = [(k, i if i % 7 else None if i else 3, float(rng.integers(3)), float(rng.normal())) for k in range(4) for i in range(15)] + [(9, 1, 1.0, 2.0), (9, 2, 1.0, 3.0), (None, 1, 0.0, 1.0), (None, 2, 1.0, 1.0), (5, 1, None, 1.0)]
