@@ -43,15 +43,20 @@ def rank_enrichment(scores: DataFrame, members: DataFrame, item: str, group: str
     return g.select(group, "n", z.alias("z"), stats.two_sided_normal_p(z).alias("p"), (u / (n1 * n2)).alias("auc"))
 
 
-def prioritise(scores: DataFrame, terms: DataFrame, item: str, term: str, z: str) -> DataFrame:
+def prioritise(scores: DataFrame, terms: DataFrame, item: str, term: str, z: str, order: str | None = None) -> DataFrame:
     """(item, score, rank): the sum of z over the terms given, over the root of their number, ranked, ties by item.
 
     An item has about one z a term; they are added in order of size, so that equal z give equal scores, which tie, however
-    rows come. Scores are written before they are ranked."""
+    rows come; or by the column order, as a sum over rows kept in that order would, to its last digit. Scores are written before they are ranked."""
     from .ordered import running_sums, settled
 
     t = terms.select(term).distinct()
-    j = scores.join(t, term).groupBy(item).agg(F.sort_array(F.collect_list(F.col(z).cast("double"))).alias("__z"))
+    own = F.col(z).cast("double")
+    if order is None:
+        listed = F.sort_array(F.collect_list(own))
+    else:
+        listed = F.transform(F.sort_array(F.collect_list(F.when(own.isNotNull(), F.struct(F.col(order).alias("at"), own.alias("z"))))), lambda x: x["z"])
+    j = scores.join(t, term).groupBy(item).agg(listed.alias("__z"))
     total = F.aggregate(F.slice("__z", 2, F.greatest(F.size("__z") - 1, F.lit(0))), F.get("__z", F.lit(0)), lambda a, x: a + x)
     s = settled(j.select(item, (total / F.sqrt(F.nullif(F.size("__z"), F.lit(0)).cast("double"))).alias("score")))
     return running_sums(s, "score", [F.desc("score"), item], {"rank": F.lit(1)}, descending=True)

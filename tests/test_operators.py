@@ -422,6 +422,15 @@ def test_priorities_of_equal_sums_tie(spark):
     assert {r.i: r.score for r in got.collect()} == {1: pytest.approx(0.6 / 3**0.5), 2: pytest.approx(0.6 / 3**0.5), 3: None, 4: 9.0}
 
 
+def test_prioritised_scores_add_in_the_order_given(spark):
+    """0.1 + 0.2 + 0.3 is over 0.3 + 0.2 + 0.1 in its last digit, and so is the first item's score over the second's, wherever its rows lie."""
+    z = [(2, 7, 0, 0.3), (2, 8, 1, 0.2), (2, 9, 2, 0.1), (1, 6, 0, 0.1), (1, 5, 0, 0.2), (1, 4, 1, 0.3), (0, 3, 2, 0.3), (0, 1, 2, 0.1), (0, 2, 1, 0.2), (3, 0, 0, None), (4, 1, 0, None), (4, 2, 0, 9.0)]
+    frame = spark.createDataFrame(z, "i int, at int, t int, z double").repartition(3)
+    got = enrichment.prioritise(frame, spark.createDataFrame([(0,), (1,), (2,)], "t int"), "i", "t", "z", "at")
+    assert [(r.i, r["rank"]) for r in got.orderBy("rank").collect()] == [(4, 1), (0, 2), (1, 3), (2, 4), (3, 5)]
+    assert {r.i: r.score for r in got.collect()} == {0: (0.1 + 0.2 + 0.3) / 3**0.5, 1: (0.3 + 0.2 + 0.1) / 3**0.5, 2: (0.3 + 0.2 + 0.1) / 3**0.5, 3: None, 4: 9.0}
+
+
 def test_deconvolution_in_stacks_is_that_of_each_group(spark):
     rng = np.random.default_rng(3)
     data, want = [], {}
